@@ -1,2 +1,2 @@
 """Query plans.  Importing this package fills `spec.REGISTRY`."""
-from . import grids  # noqa: F401
+from . import grids, series  # noqa: F401

@@ -56,7 +56,7 @@ class Views:
 
     def _positions(self, series: str) -> DataFrame:
         ev = self.table("events")
-        hour = F.floor(F.unix_micros("ts") / 3600000000)
+        hour = F.date_trunc("hour", F.col("ts"))
         return scale.dense_position(
             ev.select(F.col(series).alias("series_id"), "ts", "event_id", "value", "event_type"),
             "series_id", ["ts", "event_id"], hour)

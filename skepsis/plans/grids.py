@@ -318,10 +318,10 @@ pn AS (SELECT *, lead(f) OVER rw AS fr, lag(f) OVER rw AS fl, lead(f) OVER cw AS
 pg AS (SELECT sample_id, name, coalesce(fr, f) - coalesce(fl, f) AS fx, coalesce(fd, f) - coalesce(fu, f) AS fy,
     coalesce(tr, t) - coalesce(tl, t) AS tx, coalesce(td, t) - coalesce(tu, t) AS ty FROM pn),
 gr AS (SELECT sample_id, name, CASE WHEN name = 'constant' THEN 0.5 ELSE {S01.format(
-    r="sum(fx * tx + fy * ty) / nullif(sqrt(sum(fx * fx + fy * fy) * sum(tx * tx + ty * ty)), 0)")} END AS gradient01 FROM pg GROUP BY ALL)
+    r="sum(fx * tx + fy * ty) / nullif(sqrt(sum(fx * fx + fy * fy) * sum(tx * tx + ty * ty)), 0)")} END AS gradient01 FROM pg GROUP BY sample_id, name)
 SELECT sample_id, name, CASE WHEN name = 'constant' THEN 0.5 ELSE {P01} END AS pearson01,
   least(greatest(1 - avg(abs(f - t)), 0), 1) AS mae01, any_value(gradient01) AS gradient01
-FROM pc JOIN gr USING (sample_id, name) GROUP BY ALL""")
+FROM pc JOIN gr USING (sample_id, name) GROUP BY sample_id, name""")
 
 # -- spectra ------------------------------------------------------------------------------------------
 
