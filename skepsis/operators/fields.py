@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import clamp, col, let, ratio
-from .scale import names
+from .scale import materialize, names
 
 
 def checked(vals, w: int, h: int) -> Column:
@@ -183,34 +183,22 @@ def neighbour_similarity(grids: DataFrame, keys, w: int, h: int, tol: float = 0.
 
 # -- connected components -------------------------------------------------------------------------
 
-def ensure_checkpoint_dir(spark) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; set one only where none is set."""
-    sc = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return
-    import tempfile
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-
-
 def component_labels(nodes: DataFrame, edges: DataFrame, keys) -> DataFrame:
     """Smallest reachable node per node, all samples at once: neighbour minimum plus pointer
     jumping, so rounds grow with the logarithm of the longest path.  Each round is checkpointed."""
     keys = names(keys)
-    ensure_checkpoint_dir(nodes.sparkSession)
     lab = nodes.select(*keys, "idx", F.col("idx").alias("lab"))
-    n = edges.select(*keys, "a", "b")
-    lab = (lab.join(n.groupBy(*keys, F.col("a").alias("idx")).agg(F.min("b").alias("m")), keys + ["idx"], "left")
-           .select(*keys, "idx", F.least("lab", F.coalesce("m", "lab")).alias("lab")).checkpoint())
+    n = materialize(edges.select(*keys, "a", "b"))
+    lab = materialize(lab.join(n.groupBy(*keys, F.col("a").alias("idx")).agg(F.min("b").alias("m")), keys + ["idx"], "left")
+                      .select(*keys, "idx", F.least("lab", F.coalesce("m", "lab")).alias("lab")))
     while True:
         via = (n.join(lab.withColumnRenamed("idx", "b"), keys + ["b"])
                .groupBy(*keys, F.col("a").alias("idx")).agg(F.min("lab").alias("m")))
         step = lab.join(via, keys + ["idx"], "left").select(
             *keys, "idx", F.col("lab").alias("old"), F.least("lab", F.coalesce("m", "lab")).alias("lab"))
         jump = step.select(*keys, F.col("idx").alias("lab"), F.col("lab").alias("lab2"))
-        nxt = step.join(jump, keys + ["lab"], "left").select(
-            *keys, "idx", "old", F.least("lab", F.coalesce("lab2", "lab")).alias("lab")).checkpoint()
+        nxt = materialize(step.join(jump, keys + ["lab"], "left").select(
+            *keys, "idx", "old", F.least("lab", F.coalesce("lab2", "lab")).alias("lab")))
         done = nxt.filter("old <> lab").isEmpty()
         lab = nxt.select(*keys, "idx", "lab")
         if done:

@@ -53,6 +53,27 @@ def with_local(df: DataFrame, keys, pos: str, exprs: dict, before: int = 0, afte
             .filter("_own").drop("_chunk", "_own"))
 
 
+def ensure_checkpoint_dir(spark) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        import tempfile
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+    sc.setCheckpointDir(folder)
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once into the shared checkpoint folder: for results read several times.  Unlike a
+    cache it survives the loss of executors and cuts the plan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -150,7 +171,8 @@ def rank_quantiles(df: DataFrame, keys, value: str, picks: dict, buckets: int =
 
 def replicate(df: DataFrame, n: int, name: str = "rep", start: int = 0) -> DataFrame:
     """Attach a replicate key 0..n-1 row-locally (no join, no shuffle)."""
-    return df.withColumn(name, F.explode(F.sequence(F.lit(start), F.lit(start + n - 1))).cast("bigint"))
+    return df.withColumn(name, F.explode(F.sequence(
+        F.lit(start).cast("bigint"), F.lit(start + n - 1).cast("bigint"))))
 
 
 SMALL_ROWS = 100_000

@@ -110,8 +110,8 @@ class Views:
     @cached_property
     def unit_features(self) -> DataFrame:
         """Discreteness features of `unit_grids`, long, row-local (one array is one sample)."""
-        return degrade.discreteness_features(
-            self.unit_grids, ["sample_id", "grp", "seed", "split", "unit", "label"])
+        return scale.materialize(degrade.discreteness_features(
+            self.unit_grids, ["sample_id", "grp", "seed", "split", "unit", "label"]))
 
     @cached_property
     def doc_features(self) -> DataFrame:
@@ -139,6 +139,33 @@ class Views:
         return g.unpivot(["grp", "seed", "unit"], ["quantity", "price", "discount", "tax"],
                          "name", "value")
 
+    @cached_property
+    def unit_diffs(self) -> DataFrame:
+        """Discreteness features of every unit minus the undegraded reference of the same sample."""
+        from ..operators import pairing
+        return pairing.feature_diff(self.unit_features, F.col("unit") == "none", F.col("unit") != "none")
+
+    @cached_property
+    def pair_diffs(self) -> DataFrame:
+        """Supplier-year differences of return flags A and R against N: no signal is expected."""
+        from ..operators import pairing
+        return pairing.feature_diff(self.unit_pairs, F.col("unit") == "N", F.col("unit") != "N")
+
+    @cached_property
+    def trace(self) -> DataFrame:
+        s = self.series.withColumn("hour", F.date_trunc("hour", F.col("ts")))
+        n = s.groupBy("series_id", "hour").agg(F.count(F.lit(1)).alias("n"))
+        top = n.groupBy("series_id").agg(F.max("n").alias("top"))
+        return s.join(n.join(top, "series_id"), ["series_id", "hour"]).select(
+            "series_id", "t", (F.col("n") / F.col("top")).alias("active"), F.col("v").alias("mean"),
+            F.lit(0.0).alias("std"), "flag")
+
+    @cached_property
+    def trace_base(self) -> DataFrame:
+        s = self.series.withColumn("hod", F.hour("ts"))
+        h = s.groupBy("hod").agg((F.floor(F.avg("v") * 100.0 + 0.50013) / 100.0).alias("mean"))
+        return s.join(h, "hod").select("series_id", "t", F.lit(1.0).alias("active"), "mean", F.lit(0.0).alias("std"))
+
     @cached_property
     def catalogue(self) -> DataFrame:
         e = self.table("embeddings")
@@ -289,6 +316,20 @@ WITH g AS (
          avg(l_extendedprice) AS price, avg(l_discount) AS discount, avg(l_tax) AS tax
   FROM lineitem GROUP BY ALL)
 UNPIVOT g ON quantity, price, discount, tax INTO NAME name VALUE value""",
+    "v_unit_diffs": """
+SELECT a.grp, a.seed, a.unit, a.name, a.value - r.value AS d FROM v_unit_features a
+JOIN v_unit_features r ON r.sample_id = a.sample_id AND r.name = a.name AND r.unit = 'none' WHERE a.unit <> 'none'""",
+    "v_pair_diffs": """
+SELECT a.grp, a.seed, a.unit, a.name, a.value - r.value AS d FROM v_unit_pairs a
+JOIN v_unit_pairs r ON r.grp = a.grp AND r.seed = a.seed AND r.name = a.name AND r.unit = 'N' WHERE a.unit <> 'N'""",
+    "v_trace": """
+WITH h AS (SELECT *, date_trunc('hour', ts) AS hour FROM v_series),
+n AS (SELECT series_id, hour, count(*) AS n FROM h GROUP BY ALL),
+m AS (SELECT *, max(n) OVER (PARTITION BY series_id) AS top FROM n)
+SELECT series_id, t, n / top::DOUBLE AS active, v AS mean, 0.0::DOUBLE AS std, flag FROM h JOIN m USING (series_id, hour)""",
+    "v_trace_base": """
+WITH b AS (SELECT hour(ts) AS hod, floor(avg(v) * 100.0::DOUBLE + 0.50013::DOUBLE) / 100.0::DOUBLE AS mean FROM v_series GROUP BY 1)
+SELECT series_id, t, 1.0::DOUBLE AS active, mean, 0.0::DOUBLE AS std FROM v_series JOIN b ON b.hod = hour(ts)""",
     "v_catalogue": """
 WITH b AS (
   SELECT label::BIGINT AS sky, vec_id AS event_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b,

@@ -1,7 +1,7 @@
 """Queries over fields: marginal features, two-dimensional features, spectra, degradations."""
 from pyspark.sql import functions as F
 
-from ..operators import degrade, fields, marginal, spectral
+from ..operators import degrade, fields, marginal, spectral, surrogates
 from .fixtures import H, W
 from .spec import query
 
@@ -466,3 +466,53 @@ degradation("o17_smooth_squash", {"tanh": f"tanh(v * 1.001{D}) / 1.001{D}", "rat
 query("o18_subsample_time", "series_id:l t:l idx:l v:d", lambda V: degrade.subsample_time(V.frames, "series_id", 4), """
 SELECT series_id, t, idx, v FROM (SELECT *, max(t) OVER (PARTITION BY series_id) AS last FROM v_frames)
 WHERE (t - 1) % 4 = 0 OR t = last""")
+
+# -- Fourier surrogates ----------------------------------------------------------------------------------
+
+
+def dft_sql(src, keys, name, v="v"):
+    """Padded spectrum of (keys, t, v) by direct summation."""
+    k = [c.strip() for c in keys.split(",")]
+    on = " AND ".join(f"s.{c} = n.{c}" for c in k)
+    nk = ", ".join(f"n.{c}" for c in k)
+    return f"""
+{name}_n AS (SELECT {keys}, max(t) AS len, pow(2, ceil(log2(max(t))))::BIGINT AS n FROM {src} GROUP BY ALL),
+{name}_k AS (SELECT *, unnest(range(n)) AS i FROM {name}_n),
+{name} AS (SELECT {nk}, n.n, n.len, n.i, sum({v} * cos(2 * pi() * ((i * (t - 1)) % n) / n)) AS re, -sum({v} * sin(2 * pi() * ((i * (t - 1)) % n) / n)) AS im
+  FROM {name}_k n JOIN {src} s ON {on} GROUP BY ALL)"""
+
+
+def idft_sql(src, keys, name):
+    return f"""
+{name} AS (SELECT {keys}, t, sum(re * cos(2 * pi() * ((i * (t - 1)) % n) / n) - im * sin(2 * pi() * ((i * (t - 1)) % n) / n)) / any_value(n) AS v
+  FROM (SELECT *, unnest(range(1, len + 1)) AS t FROM {src}) GROUP BY ALL)"""
+
+
+def phase_sql(src, keys, name, seed):
+    parts = [f"'{seed}'"] + [c.strip() for c in keys.split(",")] + ["least(i, n - i)"]
+    ph = f"(2 * pi() * {u_sql(*parts)} - pi())"
+    return f"""
+{name} AS (SELECT {keys}, n, len, i, CASE WHEN i = 0 OR 2 * i = n THEN re ELSE sqrt(re * re + im * im) * cos({ph}) END AS re,
+  CASE WHEN i = 0 OR 2 * i = n THEN 0 ELSE CASE WHEN 2 * i < n THEN 1 ELSE -1 END * sqrt(re * re + im * im) * sin({ph}) END AS im FROM {src})"""
+
+
+query("r11_phase_surrogate", "series_id:l t:l v:d", lambda V: surrogates.phase_surrogate(V.series, "series_id", "ph"), f"""
+WITH {dft_sql('v_series', 'series_id', 'sp')}, {phase_sql('sp', 'series_id', 'ps', 'ph')}, {idft_sql('ps', 'series_id', 'bk')} SELECT * FROM bk""")
+query("r12_trajectory_surrogate", "series_id:l idx:l t:l v:d",
+      lambda V: surrogates.trajectory_surrogate(V.frames, "tr"), f"""
+WITH {dft_sql('v_frames', 'series_id, idx', 'sp')}, {phase_sql('sp', 'series_id, idx', 'ps', 'tr')}, {idft_sql('ps', 'series_id, idx', 'bk')} SELECT * FROM bk""")
+
+
+def _spectrum_match(V):
+    s = V.pairs_cells
+    pos = (F.col("idx") + 1).alias("t")
+    return surrogates.spectrum_match(s.select("pair_id", pos, F.col("f").alias("v")), s.select("pair_id", pos, F.col("t").alias("v")), "pair_id")
+
+
+query("r13_spectrum_match", "pair_id:l t:l v:d", _spectrum_match, f"""
+WITH a AS (SELECT pair_id, idx + 1 AS t, f AS v FROM v_pairs_cells), b AS (SELECT pair_id, idx + 1 AS t, v_pairs_cells.t AS v FROM v_pairs_cells),
+{dft_sql('a', 'pair_id', 'sa')}, {dft_sql('b', 'pair_id', 'sb')},
+ra AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY mag, i) AS r FROM (SELECT *, floor(sqrt(re * re + im * im) * 1000000000.0{D} + 0.5{D}) / 1000000000.0{D} AS mag FROM sa)),
+rb AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY mag, i) AS r, mag AS new FROM (SELECT *, floor(sqrt(re * re + im * im) * 1000000000.0{D} + 0.5{D}) / 1000000000.0{D} AS mag FROM sb)),
+mt AS (SELECT pair_id, n, len, i, re * new / mag AS re, im * new / mag AS im FROM ra JOIN rb USING (pair_id, r)), {idft_sql('mt', 'pair_id', 'bk')}
+SELECT pair_id, t, least(greatest(v, -1.5), 1.5) AS v FROM bk""")
