@@ -184,25 +184,27 @@ def neighbour_similarity(grids: DataFrame, keys, w: int, h: int, tol: float = 0.
 # -- connected components -------------------------------------------------------------------------
 
 def component_labels(nodes: DataFrame, edges: DataFrame, keys) -> DataFrame:
-    """Smallest reachable node per node, all samples at once: neighbour minimum plus pointer
-    jumping, so rounds grow with the logarithm of the longest path.  Each round is checkpointed."""
+    """One representative per connected component, all samples at once, by contraction.
+
+    Every vertex hooks onto its smallest neighbour, chains of hooks are shortened by pointer jumping,
+    and the graph of representatives goes into the next round.  A round removes at least half of
+    the vertices that still have edges, so rounds grow with the logarithm of the component size.
+    """
     keys = names(keys)
     lab = nodes.select(*keys, "idx", F.col("idx").alias("lab"))
-    n = materialize(edges.select(*keys, "a", "b"))
-    lab = materialize(lab.join(n.groupBy(*keys, F.col("a").alias("idx")).agg(F.min("b").alias("m")), keys + ["idx"], "left")
-                      .select(*keys, "idx", F.least("lab", F.coalesce("m", "lab")).alias("lab")))
-    while True:
-        via = (n.join(lab.withColumnRenamed("idx", "b"), keys + ["b"])
-               .groupBy(*keys, F.col("a").alias("idx")).agg(F.min("lab").alias("m")))
-        step = lab.join(via, keys + ["idx"], "left").select(
-            *keys, "idx", F.col("lab").alias("old"), F.least("lab", F.coalesce("m", "lab")).alias("lab"))
-        jump = step.select(*keys, F.col("idx").alias("lab"), F.col("lab").alias("lab2"))
-        nxt = materialize(step.join(jump, keys + ["lab"], "left").select(
-            *keys, "idx", "old", F.least("lab", F.coalesce("lab2", "lab")).alias("lab")))
-        done = nxt.filter("old <> lab").isEmpty()
-        lab = nxt.select(*keys, "idx", "lab")
-        if done:
-            return lab
+    e = materialize(edges.select(*keys, "a", "b"))
+    while not e.isEmpty():
+        p = materialize(e.groupBy(*keys, "a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
+        for _ in range(2):
+            up = p.select(*keys, F.col("a").alias("p"), F.col("p").alias("_pp"))
+            p = p.join(up, keys + ["p"], "left").select(*keys, "a", F.coalesce("_pp", "p").alias("p"))
+        p = materialize(p)
+        lab = lab.join(p.withColumnRenamed("a", "lab"), keys + ["lab"], "left").select(
+            *keys, "idx", F.coalesce("p", "lab").alias("lab"))
+        pb = p.select(*keys, F.col("a").alias("b"), F.col("p").alias("_pb"))
+        e = materialize(e.join(p, keys + ["a"]).join(pb, keys + ["b"]).filter("p <> _pb").select(
+            *keys, F.col("p").alias("a"), F.col("_pb").alias("b")).distinct())
+    return lab
 
 
 def components(grids: DataFrame, keys, w: int, h: int, threshold: float = 0.5) -> DataFrame:
