@@ -85,6 +85,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Spread a source with fewer splits than cores by key before row-local heavy work.  A table
+    that already has enough splits is left alone, so large inputs are never shuffled for this."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys)
+
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 

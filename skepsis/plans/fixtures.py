@@ -23,8 +23,8 @@ class Views:
 
     @cached_property
     def grids(self) -> DataFrame:
-        return self.table("embeddings").select(
-            F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("vals"))
+        return scale.spread(self.table("embeddings").select(
+            F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("vals")), "sample_id")
 
     @cached_property
     def cells(self) -> DataFrame:

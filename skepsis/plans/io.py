@@ -53,9 +53,8 @@ SELECT candidate_id, cr, score, 4 AS levels, status FROM v_evals WHERE run_id =
 def _results_strict(V):
     path = scale.scratch_path(V.spark, "results")
     _result_lines(V).write.text(path)
-    d = files.read_result_tsv(V.spark, path, strict=True)
-    return d.groupBy(F.col("_corrupt_record").isNotNull().alias("malformed")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("candidate_id").alias("last_id"))
+    d = scale.materialize(files.read_result_tsv(V.spark, path, strict=True))
+    return d.groupBy(F.col("_corrupt_record").isNotNull().alias("malformed")).agg(F.count(F.lit(1)).alias("n"))
 
 
 query("s3_result_errors", "malformed:b n:l", _results_strict, """
