@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.hashing import hash_uniform
 from ..functions.numeric import clamp, col
 from .degrade import exponent2
-from .scale import dense_position, names
+from .scale import dense_position, materialize, names
 
 
 def next_pow2(n) -> Column:
@@ -24,18 +24,19 @@ def next_pow2(n) -> Column:
 
 
 def _group_fft(inverse: bool):
-    @F.pandas_udf("array<struct<k:bigint,re:double,im:double>>")
-    def run(cells: pd.Series, size: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<re:array<double>,im:array<double>>")
+    def run(i: pd.Series, re: pd.Series, im: pd.Series, size: pd.Series) -> pd.DataFrame:
         import numpy as np
-        out = []
-        for group, n in zip(cells, size):
+        out_re, out_im = [], []
+        for at, a, b, n in zip(i, re, im, size):
             x = np.zeros(int(n), dtype=complex)
-            for c in group:
-                x[c["i"]] = complex(c["re"], c["im"])
+            x[at] = a + 1j * b
             y = np.fft.ifft(x) * len(x) if inverse else np.fft.fft(x)
-            out.append([{"k": i, "re": float(v.real), "im": float(v.imag)} for i, v in enumerate(y)])
-        return pd.Series(out)
-    return run
+            out_re.append(y.real)
+            out_im.append(y.imag)
+        return pd.DataFrame({"re": out_re, "im": out_im})
+
+    return lambda size: run(F.col("_c.i"), F.col("_c.re"), F.col("_c.im"), F.col(size))
 
 
 def fft(df: DataFrame, keys, n: str = "n", inverse: bool = False) -> DataFrame:
@@ -49,22 +50,26 @@ def fft(df: DataFrame, keys, n: str = "n", inverse: bool = False) -> DataFrame:
     d = d.withColumns({"_m2": i % F.col("_n2"), "_m1": F.floor(i / F.col("_n2"))})
     run = _group_fft(inverse)
     g = d.groupBy(*keys, n, "_n1", "_n2", "_m2").agg(F.collect_list(F.struct(F.col("_m1").alias("i"), "re", "im")).alias("_c"))
-    s = g.select(*keys, n, "_n1", "_n2", "_m2", F.explode(run("_c", "_n1")).alias("_y"))
-    ang = (2.0 if inverse else -2.0) * math.pi * F.col("_m2") * F.col("_y.k") / F.col(n)
+    s = g.select(*keys, n, "_n1", "_n2", "_m2", run("_n1").alias("_f")).select(
+        *keys, n, "_n1", "_n2", "_m2", F.posexplode(F.arrays_zip("_f.re", "_f.im")).alias("_k", "_y"))
+    ang = (2.0 if inverse else -2.0) * math.pi * F.col("_m2") * F.col("_k") / F.col(n)
     re, im = F.col("_y.re"), F.col("_y.im")
-    s = s.select(*keys, n, "_n1", "_n2", "_m2", F.col("_y.k").alias("_k1"),
+    s = s.select(*keys, n, "_n1", "_n2", "_m2", F.col("_k").cast("bigint").alias("_k1"),
                  (re * F.cos(ang) - im * F.sin(ang)).alias("re"), (re * F.sin(ang) + im * F.cos(ang)).alias("im"))
     g = s.groupBy(*keys, n, "_n1", "_n2", "_k1").agg(F.collect_list(F.struct(F.col("_m2").alias("i"), "re", "im")).alias("_c"))
-    o = g.select(*keys, n, "_n1", "_k1", F.explode(run("_c", "_n2")).alias("_y"))
+    o = g.select(*keys, n, "_n1", "_k1", run("_n2").alias("_f")).select(
+        *keys, n, "_n1", "_k1", F.posexplode(F.arrays_zip("_f.re", "_f.im")).alias("_k", "_y"))
     scale = F.col(n) if inverse else F.lit(1.0)
-    return o.select(*keys, n, (F.col("_k1") + F.col("_n1") * F.col("_y.k")).alias("i"),
+    return o.select(*keys, n, (F.col("_k1") + F.col("_n1") * F.col("_k")).alias("i"),
                     (F.col("_y.re") / scale).alias("re"), (F.col("_y.im") / scale).alias("im"))
 
 
-def spectrum(series: DataFrame, keys, v: str = "v", t: str = "t") -> DataFrame:
+def spectrum(series: DataFrame, keys, v: str = "v", t: str = "t", lengths: DataFrame | None = None) -> DataFrame:
     """Transform of a 1-based dense series, padded with zeros to a power of two."""
     keys = names(keys)
-    n = series.groupBy(*keys).agg(next_pow2(F.max(t)).alias("n"))
+    if lengths is None:
+        lengths = series.groupBy(*keys).agg(F.max(t).alias("_len"))
+    n = lengths.select(*keys, next_pow2("_len").alias("n"))
     d = series.select(*keys, (F.col(t) - 1).cast("bigint").alias("i"), F.col(v).alias("re"), F.lit(0.0).alias("im"))
     return fft(d.join(n, keys), keys)
 
@@ -82,8 +87,9 @@ def phase_surrogate(series: DataFrame, keys, seed, v: str = "v", t: str = "t") -
     constant and the Nyquist term keep their signed real value, so the mean is preserved.
     """
     keys = names(keys)
-    lengths = series.groupBy(*keys).agg(F.max(t).alias("_len"))
-    s = spectrum(series, keys, v, t)
+    series = materialize(series.select(*keys, t, v))
+    lengths = materialize(series.groupBy(*keys).agg(F.max(t).alias("_len")))
+    s = spectrum(series, keys, v, t, lengths)
     k, n = F.col("i"), F.col("n")
     half = F.least(k, n - k)
     ph = 2.0 * math.pi * hash_uniform(seed, *[F.col(c) for c in keys], half) - math.pi
@@ -104,12 +110,12 @@ def trajectory_surrogate(frames: DataFrame, seed, key: str = "series_id") -> Dat
 def spectrum_match(source: DataFrame, target: DataFrame, keys, v: str = "v", t: str = "t", bound: float = 1.5) -> DataFrame:
     """Source phases with the target's magnitudes assigned by rank, clamped to +-bound."""
     keys = names(keys)
-    lengths = source.groupBy(*keys).agg(F.max(t).alias("_len"))
+    lengths = materialize(source.groupBy(*keys).agg(F.max(t).alias("_len")))
 
     def ranked(spec):
-        m = spec.withColumn("_mag", F.floor(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) * 1e9 + 0.5) / 1e9)
+        m = materialize(spec).withColumn("_mag", F.floor(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) * 1e9 + 0.5) / 1e9)
         return dense_position(m, keys, ["_mag", "i"], F.floor(F.ln(F.col("_mag") + 1e-9) * 8.0), out="_r")
-    s = ranked(spectrum(source, keys, v, t))
+    s = ranked(spectrum(source, keys, v, t, lengths))
     g = ranked(spectrum(target, keys, v, t)).select(*keys, "_r", F.col("_mag").alias("_new"))
     j = s.join(g, keys + ["_r"])
     f = F.col("_new") / F.nullif(F.col("_mag"), F.lit(0.0))

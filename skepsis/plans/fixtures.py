@@ -74,15 +74,21 @@ class Views:
             F.when(F.col("value") > 100, 1).otherwise(0).cast("bigint").alias("flag"))
 
     @cached_property
-    def samples(self) -> DataFrame:
+    def sample_grids(self) -> DataFrame:
+        """Arrays with their metadata, from one scan."""
         vid, lab = F.col("vec_id"), F.col("label")
         g = vid % 8
-        return self.table("embeddings").select(
+        return scale.spread(self.table("embeddings").select(
             vid.alias("sample_id"), F.concat(F.lit("g"), g.cast("string")).alias("grp"),
             F.concat(F.lit("u"), (lab % 5).cast("string")).alias("unit"),
             F.floor(vid / 8).alias("seed"),
             F.when(lab < 5, "low").otherwise("high").alias("label"),
-            F.when(g <= 4, "train").when(g == 5, "validation").otherwise("holdout").alias("split"))
+            F.when(g <= 4, "train").when(g == 5, "validation").otherwise("holdout").alias("split"),
+            F.col("embedding").cast("array<double>").alias("vals")), "sample_id")
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        return self.sample_grids.drop("vals")
 
     @cached_property
     def features(self) -> DataFrame:
@@ -91,15 +97,10 @@ class Views:
             "sample_id", F.concat(F.lit("d"), F.col("d").cast("string")).alias("name"), "value",
             F.concat(F.lit("f"), F.floor(F.col("d") / 16).cast("string")).alias("family"))
 
-    @cached_property
-    def labelled(self) -> DataFrame:
-        return self.features.join(self.samples, "sample_id")
-
     @cached_property
     def unit_grids(self) -> DataFrame:
         """Every sample observed through every unit: the positive control."""
-        s = self.samples.select("sample_id", "grp", "seed", "split")
-        g = self.grids.join(s, "sample_id")
+        g = self.sample_grids
         arms = F.array(*[F.struct(F.lit(u).alias("unit"), degrade.array_unit(
             u, F.col("vals"), F.col("sample_id"), W, H).alias("vals")) for u in UNITS])
         out = g.select("sample_id", "grp", "seed", "split", F.explode(arms).alias("arm")).select(
@@ -272,8 +273,6 @@ SELECT vec_id AS sample_id, 'g' || (vec_id % 8) AS grp, 'u' || (label % 5) AS un
 FROM embeddings""",
     "v_features": """
 SELECT sample_id, 'd' || idx AS name, v AS value, 'f' || (idx // 16) AS family FROM v_cells""",
-    "v_labelled": """
-SELECT f.*, s.grp, s.unit, s.seed, s.label, s.split FROM v_features f JOIN v_samples s USING (sample_id)""",
     "v_unit_base": """
 SELECT c.sample_id, c.y, c.x, c.idx, c.v, min(c.v) OVER w AS lo, max(c.v) OVER w AS hi,
        s.grp, s.seed, s.split
