@@ -152,14 +152,16 @@ def array_hash(vals) -> Column:
     return F.sha2(F.concat_ws(",", F.transform(col(vals), lambda x: x.cast("string"))), 256)
 
 
-def content_hash(series: DataFrame, key, v: str = "v", chunk: int = 4096, places: int = 6) -> DataFrame:
-    """SHA-256 of a series in position order: hashes of fixed chunks are hashed in chunk order, so
-    a long series is never assembled in one place."""
+def content_hash(series: DataFrame, key, v: str = "v", chunk: int = 4096, places: int = 6, levels: int = 2) -> DataFrame:
+    """SHA-256 of a series in position order as a hash tree: chunks of `chunk` values, then chunks of
+    `chunk` hashes, so no group holds more than `chunk` entries below the root."""
     k = names(key)
     val = F.floor(F.col(v) * float(10 ** places) + 0.5).cast("string")
-    c = series.select(*k, F.col("t"), val.alias("_v")).withColumn("_c", F.floor(F.col("t") / chunk))
-    h = c.groupBy(*k, "_c").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("t", "_v"))), lambda s: s["_v"])), 256).alias("_h"))
-    return h.groupBy(*k).agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("_c", "_h"))), lambda s: s["_h"])), 256).alias("content"))
+    d = series.select(*k, F.col("t").alias("_c"), val.alias("_h"))
+    joined = F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("_c", "_h"))), lambda s: s["_h"])), 256)
+    for _ in range(levels):
+        d = d.groupBy(*k, F.floor(F.col("_c") / chunk).alias("_up")).agg(joined.alias("_h")).withColumnRenamed("_up", "_c")
+    return d.groupBy(*k).agg(joined.alias("content"))
 
 
 def collisions(hashes: DataFrame, name: str = "name") -> DataFrame:

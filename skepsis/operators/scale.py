@@ -143,19 +143,34 @@ def hash_bucket(u, rows_hint: int = 1024) -> Column:
     return F.floor(col(u) * float(rows_hint))
 
 
-def value_ranks(df: DataFrame, keys, value: str, buckets: int = 1024) -> DataFrame:
+def value_cuts(distinct: DataFrame, keys, value: str, cells: int = 64) -> DataFrame:
+    """(keys, _cuts): ascending cut values per key, from a mergeable sketch of the distinct values."""
+    at = F.array(*[F.lit(i / cells) for i in range(cells + 1)])
+    return distinct.groupBy(*names(keys)).agg(F.percentile_approx(value, at, 20 * cells).alias("_cuts"))
+
+
+def value_bucket(x, cuts="_cuts", parts: int = 64) -> Column:
+    """Monotone bucket of x: the cut cell it falls in, divided into equal-width parts.
+
+    Cells hold about equally many distinct values whatever the distribution, so an outlier or a long
+    tail does not push the rest into one bucket.
+    """
+    x, cuts = col(x), col(cuts)
+    cell = F.size(F.filter(cuts, lambda c: c <= x))
+    lo, hi = F.get(cuts, cell - 1), F.get(cuts, cell)
+    part = F.floor((x - lo) / F.nullif((hi - lo).cast("double"), F.lit(0.0)) * float(parts))
+    return cell.cast("bigint") * parts + F.coalesce(F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1)), F.lit(0))
+
+
+def value_ranks(df: DataFrame, keys, value: str, cells: int = 64) -> DataFrame:
     """(keys, value, n_at, below, total): exact rank information per distinct value.
 
     Rows are first collapsed to distinct values (map-side combine takes the ties), then values
-    are cut into equal-width buckets; only bucket totals are scanned per key.
+    are cut into buckets of similar size; only bucket totals are scanned per key.
     """
     keys = names(keys)
     vc = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_at"))
-    span = vc.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.nullif((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(0.0))
-    b = F.coalesce(F.least(F.floor((F.col(value) - F.col("_lo")) / width * float(buckets)),
-                           F.lit(buckets - 1)), F.lit(0))
-    d = vc.join(span, keys).withColumn("_b", b).drop("_lo", "_hi")
+    d = vc.join(value_cuts(vc, keys, value, cells), keys).withColumn("_b", value_bucket(value)).drop("_cuts")
     tot = d.groupBy(*keys, "_b").agg(F.sum("n_at").alias("_n"))
     w = W.partitionBy(*keys)
     earlier = w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -168,11 +183,11 @@ def value_ranks(df: DataFrame, keys, value: str, buckets: int = 1024) -> DataFra
             .select(*keys, value, "n_at", "below", "total"))
 
 
-def rank_quantiles(df: DataFrame, keys, value: str, picks: dict, buckets: int = 1024) -> DataFrame:
+def rank_quantiles(df: DataFrame, keys, value: str, picks: dict, cells: int = 64) -> DataFrame:
     """Exact order statistics per key.  picks: name -> f(total) giving the 0-based index
     (possibly fractional: then the two neighbours are interpolated linearly)."""
     keys = names(keys)
-    r = value_ranks(df, keys, value, buckets)
+    r = value_ranks(df, keys, value, cells)
     aggs = []
     for n, f in picks.items():
         at = f(F.col("total")).cast("double")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import bin_index, col, dbl, entropy_bits, ratio, trunc
 from .marginal import with_stats
-from .scale import CHUNK, names, running, with_local
+from .scale import CHUNK, names, running, value_bucket, value_cuts, with_local
 
 S = "series_id"
 
@@ -247,7 +247,7 @@ def recurrence_density(series: DataFrame, frac: float = 0.1, key: str = S, v: st
             ratio(F.coalesce("pairs", F.lit(0)), total, 0.0)).alias("density"))
 
 
-def count_close_pairs(df: DataFrame, key: str, v: str, tol: str, size: int = CHUNK, buckets: int = 1024) -> DataFrame:
+def count_close_pairs(df: DataFrame, key: str, v: str, tol: str, size: int = CHUNK, cells: int = 64) -> DataFrame:
     """(key, pairs): pairs with |v_i - v_j| < tol and positions at least two apart, none emitted.
 
     With G(x) = number of values below x, a value v has G(v + tol) - G(v) - own partners above it.
@@ -255,13 +255,13 @@ def count_close_pairs(df: DataFrame, key: str, v: str, tol: str, size: int = CHU
     adjacent positions are counted separately and taken off.
     """
     vc = df.groupBy(key, v).agg(F.count(F.lit(1)).alias("_n"), F.max(tol).alias("_tol"))
-    span = vc.groupBy(key).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    cuts = value_cuts(vc, key, v, cells)
     n = F.col("_n")
     both = F.explode(F.array(
         F.struct(col(v).alias("x"), F.lit(1).alias("kind"), n.alias("w"), (-n).alias("sign")),
         F.struct((col(v) + F.col("_tol")).alias("x"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("w"), n.alias("sign"))))
-    d = vc.select(key, both.alias("_e")).select(key, "_e.*").join(span, key)
-    d = d.withColumn("_b", bin_index("x", "_lo", "_hi", buckets))
+    d = vc.select(key, both.alias("_e")).select(key, "_e.*").join(cuts, key)
+    d = d.withColumn("_b", value_bucket("x")).drop("_cuts")
     tot = d.groupBy(key, "_b").agg(F.sum("w").alias("_t"))
     earlier = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     base = tot.select(key, "_b", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"))

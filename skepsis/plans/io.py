@@ -33,7 +33,7 @@ SELECT 6 AS ra_places, 6 AS dec_places, energy IS NULL AS no_energy, count(*) AS
 
 
 def _result_lines(V):
-    e = V.evals.filter("run_id = '1-URGENT'")
+    e = V.evals
     cells = [F.col("candidate_id"), F.col("cr"), F.col("ci"), F.col("score"), *[F.lit(0.5)] * 8, F.lit(4), F.lit(0.1), F.lit(0.2), F.col("status")]
     good = F.concat_ws("\t", *[c.cast("string") for c in cells])
     return e.select(F.when(F.col("candidate_id") % 10 == 3, F.concat(F.lit("x"), good)).otherwise(good).alias("value"))
@@ -47,7 +47,7 @@ def _results(V):
 
 
 query("s3_read_result_tsv", "candidate_id:l cr:d score:d levels:l status:s", _results, """
-SELECT candidate_id, cr, score, 4 AS levels, status FROM v_evals WHERE run_id = '1-URGENT' AND candidate_id % 10 <> 3""")
+SELECT candidate_id, cr, score, 4 AS levels, status FROM v_evals WHERE candidate_id % 10 <> 3""")
 
 
 def _results_strict(V):
@@ -58,12 +58,12 @@ def _results_strict(V):
 
 
 query("s3_result_errors", "malformed:b n:l", _results_strict, """
-SELECT candidate_id % 10 = 3 AS malformed, count(*) AS n FROM v_evals WHERE run_id = '1-URGENT' GROUP BY 1""")
+SELECT candidate_id % 10 = 3 AS malformed, count(*) AS n FROM v_evals GROUP BY 1""")
 
 
 def _trace(V):
     path = scale.scratch_path(V.spark, "trace")
-    t = V.type_series.filter("series_id = 'click'").select(
+    t = V.type_series.select(
         F.col("t").alias("iter"), F.lit(1.0).alias("active_frac"), F.col("v").alias("mean_abs_z"),
         F.when(F.col("flag") == 1, F.col("v")).alias("std_abs_z"), *[F.lit(0.0).alias(c) for c in ("mean_zr", "mean_zi", "esc_frac", "driver")],
         F.col("flag").cast("int").alias("prime"))
@@ -72,7 +72,7 @@ def _trace(V):
 
 
 query("s4_read_trace_tsv", "t:l mean_abs_z:d std_abs_z:d prime:l", _trace, """
-SELECT t, v AS mean_abs_z, CASE WHEN flag = 1 THEN v ELSE 0 END AS std_abs_z, flag AS prime FROM v_type_series WHERE series_id = 'click'""")
+SELECT t, v AS mean_abs_z, CASE WHEN flag = 1 THEN v ELSE 0 END AS std_abs_z, flag AS prime FROM v_type_series""")
 
 
 def _values(V):

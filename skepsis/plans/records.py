@@ -133,7 +133,8 @@ UNION ALL SELECT 'document -> label', doc_id::VARCHAR FROM documents WHERE doc_i
 def hash_sql(src, key):
     return f"""
 hc AS (SELECT {key}, t // 4096 AS c, sha256(string_agg(floor(v * 1000000.0{D} + 0.5{D})::BIGINT, ',' ORDER BY t)) AS h FROM {src} GROUP BY ALL),
-hs AS (SELECT {key}, sha256(string_agg(h, ',' ORDER BY c)) AS content FROM hc GROUP BY ALL)"""
+hd AS (SELECT {key}, c // 4096 AS c2, sha256(string_agg(h, ',' ORDER BY c)) AS h FROM hc GROUP BY ALL),
+hs AS (SELECT {key}, sha256(string_agg(h, ',' ORDER BY c2)) AS content FROM hd GROUP BY ALL)"""
 
 
 query("l14_content_hash", "name:s content:s", lambda V: audit.content_hash(V.named_series, "name"), f"WITH {hash_sql('v_named_series', 'name')} SELECT * FROM hs")

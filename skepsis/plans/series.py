@@ -166,10 +166,8 @@ WITH p AS (SELECT run_id, candidate_id, score, row_number() OVER (PARTITION BY r
 b AS (SELECT *, max(score) OVER (PARTITION BY run_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM p),
 i AS (SELECT *, prev IS NULL OR score > prev AS improved, greatest(score, coalesce(prev, score)) AS best FROM b)
 SELECT *, t - max(CASE WHEN improved THEN t END) OVER (PARTITION BY run_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS since FROM i""")
-query("w27_state_revisit", "series_id:l revisit:d",
-      lambda V: seq.state_revisit(V.frame_grids.withColumn("vals", F.slice("vals", 1, 3)), decimals=1), """
-WITH s AS (SELECT series_id, t, string_agg(floor(v * 10.0::DOUBLE + 0.5::DOUBLE)::BIGINT, ',' ORDER BY idx) AS s, sqrt(sum(v * v)) AS n
-  FROM v_frames WHERE idx < 3 GROUP BY ALL)
+query("w27_state_revisit", "series_id:l revisit:d", lambda V: seq.state_revisit(V.frame_grids, decimals=0), """
+WITH s AS (SELECT series_id, t, string_agg(floor(v + 0.5::DOUBLE)::BIGINT, ',' ORDER BY idx) AS s, sqrt(sum(v * v)) AS n FROM v_frames GROUP BY ALL)
 SELECT series_id, 1.0::DOUBLE - count(DISTINCT s) / count(*)::DOUBLE AS revisit FROM s WHERE n > 1e-6 GROUP BY 1""")
 
 # -- aggregations over series and logs ------------------------------------------------------------

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.scale import join_small
 from ..sources.files import parse_catalogue
 
 
@@ -76,13 +77,13 @@ def window_features(events: DataFrame, key: str, ts: str = "ts", v: str = "v", s
 def score(features: DataFrame, model: DataFrame, names: list[str], labels: list[str], sample: str = "sample_id") -> DataFrame:
     """Mean-difference label of wide feature rows against a frozen model table.
 
-    The stream joins the model once per feature row packed into one static row per label, so no
-    state is kept.
+    The model is packed into one static row per label, so no state is kept.
     """
     keep = F.col("name").isin(names)
     packed = model.filter(keep).groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("mu", "sd", "w", "b")))).alias("_m"))
-    by_label = packed.withColumn("_one", F.lit(1))
-    s = features.withColumn("_one", F.lit(1)).join(F.broadcast(by_label), "_one")  # one row per class
+    # every row meets each label by an equi-join; the model side has one row per label
+    s = features.withColumn("label", F.explode(F.array(*[F.lit(x) for x in labels])))
+    s = join_small(s, packed, "label", len(labels))
     total = None
     for n in names:
         m = F.col("_m")[n]
