@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import dbl, ratio
-from .scale import names
+from .scale import materialize, names
 
 
 def zscore_fit(train: DataFrame, by=(), name: str = "name", value: str = "value") -> DataFrame:
@@ -19,7 +19,7 @@ def zscore_fit(train: DataFrame, by=(), name: str = "name", value: str = "value"
 
 def zscore_transform(df: DataFrame, fit: DataFrame, by=(), name: str = "name", value: str = "value") -> DataFrame:
     """Features the fit does not know become 0."""
-    j = df.join(fit, names(by) + [name], "left")
+    j = df.join(materialize(fit), names(by) + [name], "left")
     return j.withColumn("z", F.when(F.col("mu").isNull(), 0.0).otherwise((F.col(value) - F.col("mu")) / F.col("sd"))).drop("mu", "sd")
 
 
@@ -46,7 +46,8 @@ def class_scores(df: DataFrame, model: DataFrame, by=(), sample: str = "sample_i
     """(by, sample, label, dist2, score): features meet their packed model row once and fan out to
     classes after the join, so the join carries one row per feature."""
     by = names(by)
-    packed = model.groupBy(*by, name).agg(F.collect_list(F.struct(label, "mu", "sd", "c", "w", "b")).alias("_k"))
+    # a written model has a known size, so the planner broadcasts it exactly when it is small
+    packed = materialize(model.groupBy(*by, name).agg(F.collect_list(F.struct(label, "mu", "sd", "c", "w", "b")).alias("_k")))
     j = df.select(*by, *names(sample), name, value).join(packed, by + [name])
     j = j.select(*by, *names(sample), value, F.explode("_k").alias("_m"))
     z = (F.col(value) - F.col("_m.mu")) / F.col("_m.sd")
@@ -170,7 +171,7 @@ def pairwise_hits(diffs: DataFrame, model: DataFrame, by=(), pair=("grp", "seed"
                   d: str = "d", eps: float = 1e-9, keep=()) -> DataFrame:
     """1 if the pair is oriented as (alternative, reference), 0 if not, 1/2 for indistinguishable pairs."""
     by, pair = names(by), names(pair)
-    j = diffs.join(model, by + [name])
+    j = diffs.join(materialize(model), by + [name])
     a = j.groupBy(*by, *pair, *keep).agg(F.sum(F.col(d) / F.col("sd") * F.col("w")).alias("margin"), F.max(F.abs(F.col(d))).alias("_top"))
     # rounding residue of a zero margin is a zero margin: the first class wins as for exact zero
     hit = F.when(F.col("_top") < eps, 0.5).when(F.col("margin") >= -1e-12, 1.0).otherwise(0.0)
