@@ -1,10 +1,12 @@
 """Reading, writing and Arrow helpers shared by the operators of this folder."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..operators.scale import join_small, materialize, scratch_path  # noqa: F401
 
@@ -23,3 +25,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 def record(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type)
                                        for f, c in ((f, cols[f.name]) for f in schema)], schema=schema)
+
+
+def extend(docs: DataFrame, carry: list[str], text: str, add: Callable, added: StructType, rows: int = 256) -> DataFrame:
+    """`carry` columns of every row and what `add(texts)` makes of its text, as columns `added`.
+
+    `add` takes a list of texts (null: None) and gives a list or array per added column.  A carried column that
+    has the name of an added one gives way.
+    """
+    new = {f.name.lower() for f in added}
+    carry = [c for c in carry if c.lower() not in new]
+    source = docs.select(*[docs[c] for c in carry], docs[text].alias("__text"))
+    types = [to_arrow_type(f.dataType) for f in added]
+
+    def run(batches):
+        for b in slices(batches, rows):
+            made = add(b.column(len(carry)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(carry)], *[pa.array(x, t) for x, t in zip(made, types)]],
+                                             names=[*carry, *[f.name for f in added]])
+
+    return source.mapInArrow(run, StructType([*source.schema.fields[:len(carry)], *added.fields]))

@@ -37,7 +37,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, most: int = MOST_TOKENS
 
     def run(batches):
         coder = load(path)
-        for b in slices(batches):
+        for b in slices(batches, 1024):
             d, s, n, t, x = [], [], [], [], []
             for doc, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist())):
                 ids += end

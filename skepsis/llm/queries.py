@@ -5,17 +5,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, shards
-from .common import table
+from . import bpe, packing, quality, shards, tokenbin, urls
+from .common import scratch_path, table
 
 SHARDS = 16
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.references(docs), ["doc_id"])
+
+
+def op5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "ids")
+    tokenbin.write(table(spark, sf_dir, "documents"), path)
+    return tokenbin.read(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return d.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                    F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packing.pack(table(spark, sf_dir, "documents"))
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.fit(*urls.labelled(pages)))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = shards.shuffled_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -24,6 +46,6 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op7_pack": op7_pack, "op10_shards": op10_shards,
+    "op4_quality": op4_quality, "op5_ids": op5_ids, "op6_bpe": op6_bpe, "op7_pack": op7_pack, "op8_urls": op8_urls, "op10_shards": op10_shards,
 }
 ORACLES: dict[str, str] = {}

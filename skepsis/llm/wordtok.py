@@ -2,20 +2,20 @@
 
 The vocabulary's own rules (NFC, white space to one blank, lower case, a pattern whose matches never hold
 white space) treat every run between ASCII white space on its own, so a text's ids are its runs' ids in
-order.  Runs are folded further where that is exact: A-Z is lower-cased at once, and punctuation after a
-letter or digit forms a run of its own.  Each distinct run goes through the tokenizers library once per
-worker; runs of lower-case letters, whose normal form is themselves, share one call.
+order.  A-Z is lower-cased at once.  Each distinct run goes through the tokenizers library once per worker; punctuation
+that follows a letter or digit is a match of its own there, so such a run is put together from its two
+parts.  Runs of lower-case letters, whose normal form is themselves, share one call.
 """
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 
 import numpy as np
 
 CACHE_WORDS = 600_000
-_TAIL = re.compile(rb"(?<=[a-z0-9])([.,!?;:]+)(?=[ \t-\r]|\Z)")
+_TAIL = b".,!?;:"
+_BEFORE_TAIL = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 _LOADED: dict[str, "WordTokenizer"] = {}
 
 
@@ -56,9 +56,24 @@ class WordTokenizer:
         data = ids.tobytes()
         return {w: data[a:b] for w, a, b in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist())}
 
-    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        easy, hard = [], []
+    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        cache, parted, single = self.cache, {}, set()
         for w in missing:
+            core = w.rstrip(_TAIL)
+            if len(core) < len(w) and core and core[-1] in _BEFORE_TAIL:
+                parted[w] = core, w[len(core):]
+                single.update(x for x in parted[w] if x not in cache)
+            else:
+                single.add(w)
+        found = self._single(single)
+        both = _Both(cache, found)
+        for w, (core, tail) in parted.items():
+            found[w] = both[core] + both[tail]
+        return found
+
+    def _single(self, words: set[bytes]) -> dict[bytes, bytes]:
+        easy, hard = [], []
+        for w in words:
             s = w.decode()
             (easy if self.suffix and s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s) else hard).append(w)
         found = self._letters(easy) if easy else {}
@@ -69,17 +84,16 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null or empty text has none."""
-        runs = [_TAIL.sub(rb" \1", t.encode().lower()).split() if t else [] for t in texts]
-        cache = self.cache
-        missing = {w for r in runs for w in r if w not in cache}
-        if missing:
-            found = self._learn(list(missing))
-            if len(cache) + len(found) <= self.most:
-                cache.update(found)
-            else:
-                cache = _Both(cache, found)
-        get = cache.__getitem__
-        return [b"".join(map(get, r)) for r in runs]
+        runs = [t.encode().lower().split() if t else [] for t in texts]
+        distinct, cache = set().union(*runs), self.cache
+        missing = {w for w in distinct if w not in cache}
+        found = self._learn(missing) if missing else {}
+        if len(cache) + len(found) <= self.most:
+            cache.update(found)
+        else:
+            cache = _Both(cache, found)
+        here = {w: cache[w] for w in distinct}.__getitem__
+        return [b"".join(map(here, r)) for r in runs]
 
 
 class _Both(dict):
