@@ -24,9 +24,9 @@ TOP_WORDS = 50
 MOST_LANGUAGES = 64
 LEAST_LANGUAGE_WORDS = 2_000
 LEAST_CHARS = 120
-LEAST_WORDS = 60
-CLASS_LIMIT = 0.25
-WORD_LIMIT = 0.62
+LEAST_WORDS = 100
+CLASS_LIMIT = 0.3
+WORD_LIMIT = 0.34
 FLUSH_WORDS = 200_000
 
 WHITE = b" \t\n\v\f\r"

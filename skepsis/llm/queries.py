@@ -5,10 +5,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing, quality, shards, tokenbin, urls
+from . import ann, bpe, html, packing, quality, shards, simhash, tokenbin, toxic, urls
 from .common import scratch_path, table
 
 SHARDS = 16
+QUERY_STRIDE = 100          # the contract's query set
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_STRIDE == 0)
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(html.sample(pages)), ["page_id", "url"]).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = simhash.components(table(spark, sf_dir, "documents"))
+    return c.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +53,12 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.fit(*urls.labelled(pages)))
 
 
+def op9_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxic.fit(*toxic.labelled(docs, table(spark, sf_dir, "labels")))
+    return toxic.score(docs, model, ["doc_id"]).select("doc_id", toxic.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = shards.shuffled_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -46,6 +67,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_quality": op4_quality, "op5_ids": op5_ids, "op6_bpe": op6_bpe, "op7_pack": op7_pack, "op8_urls": op8_urls, "op10_shards": op10_shards,
+    "op1_ann": op1_ann, "op2_html": op2_html, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_ids": op5_ids, "op6_bpe": op6_bpe, "op7_pack": op7_pack, "op8_urls": op8_urls, "op9_toxic": op9_toxic,
+    "op10_shards": op10_shards,
 }
 ORACLES: dict[str, str] = {}
