@@ -68,39 +68,49 @@ class Reference:
         self.language, self.classes, self.words, self.shares = language, classes, words, shares
 
 
-def _partial(batches):
-    counts, classes, words = Counter(), {}, {}
-
-    def flush():
-        rows = [(lang, None, i, int(n)) for lang, c in classes.items() for i, n in enumerate(c) if n]
-        rows += [(lang, w, None, n) for (lang, w), n in counts.items()] + [(lang, None, -1, n) for lang, n in words.items()]
-        cols = list(zip(*rows)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())],
-                                          names=["lang", "word", "class", "n"])
-    for b in slices(batches):
-        langs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-        for lang, t, c in zip(langs, texts, class_counts(texts)):
-            w = plain_words(t.encode())
-            for x, n in Counter(w).items():
-                counts[lang, x] += n
-            classes[lang] = classes.get(lang, 0) + c
-            words[lang] = words.get(lang, 0) + len(w)
-        if len(counts) > FLUSH_WORDS:
-            yield flush()
-            counts, classes, words = Counter(), {}, {}
-    yield flush()
-
-
-def references(docs: DataFrame, top: int = TOP_WORDS, most: int = MOST_LANGUAGES, least: int = LEAST_LANGUAGE_WORDS) -> list[Reference]:
-    """References from counts over all documents of each `lang` (null is a language of its own).
-
-    At most the `most` languages with the most words, and none under `least` words unless all are.  Words are counted
-    whole: each task adds up its own first, and the totals are kept down to each language's share of 1 in 4 `top`, which
-    bounds what reaches the driver.  Words of equal count are taken in byte order.
+def _partial(refs: list["Reference"], limits: tuple):
+    """Counts of the texts that pass the rules: per language, words, characters by class, and the total."""
+    def run(batches):
+        counts, classes, words = Counter(), {}, {}
+
+        def flush():
+            rows = [(lang, None, i, int(n)) for lang, c in classes.items() for i, n in enumerate(c) if n]
+            rows += [(lang, w, None, n) for (lang, w), n in counts.items()] + [(lang, None, -1, n) for lang, n in words.items()]
+            cols = list(zip(*rows)) or [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())],
+                                              names=["lang", "word", "class", "n"])
+        for b in slices(batches):
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            m = measure(texts, refs, *limits)
+            for lang, ok, w, c in zip(b.column(0).to_pylist(), m["kept"], m["plain"], m["chars"]):
+                if ok:
+                    for x, n in Counter(w).items():
+                        counts[lang, x] += n
+                    classes[lang] = classes.get(lang, 0) + c
+                    words[lang] = words.get(lang, 0) + len(w)
+            if len(counts) > FLUSH_WORDS:
+                yield flush()
+                counts, classes, words = Counter(), {}, {}
+        yield flush()
+    return run
+
+
+def references(docs: DataFrame, top: int = TOP_WORDS, most: int = MOST_LANGUAGES, least: int = LEAST_LANGUAGE_WORDS, limits: tuple = ()) -> list[Reference]:
+    """References from counts over the documents of each `lang` (null is a language of its own).
+
+    A first pass counts all documents that pass the base rules, a second one those of them that lie near the first pass'
+    references, so that what the rules reject doesn't shape them.  At most the `most` languages with the most words, and
+    none under `least` words unless all are.  Each task adds up its own words first; of the totals, those with a share of
+    1 in 4 `top` of their language go on, which bounds what reaches the driver.  Words of equal count are taken in byte order.
     """
-    sums = (docs.select("lang", "text").mapInArrow(_partial, "lang string, word binary, class int, n long")
-            .groupBy("lang", "word", "class").agg(F.sum("n").alias("n")))
-    sums = materialize(sums)
+    limits = limits or (CLASS_LIMIT, WORD_LIMIT, LEAST_CHARS, LEAST_WORDS)
+    first = _collect(docs, [], limits, top, most, least)
+    return _collect(docs, first, limits, top, most, least) or first
+
+
+def _collect(docs, refs, limits, top, most, least) -> list[Reference]:
+    sums = materialize(docs.select("lang", "text").mapInArrow(_partial(refs, limits), "lang string, word binary, class int, n long")
+                       .groupBy("lang", "word", "class").agg(F.sum("n").alias("n")))
     sizes = sums.filter("class = -1").select("lang", F.col("n").alias("total")).orderBy(F.desc("total"), "lang").limit(most).collect()
     sizes = [r for r in sizes if r["total"] >= least] or [r for r in sizes if r["total"]]
     out = []
@@ -156,6 +166,31 @@ def duplicate_lines(data: bytes) -> int:
     return n
 
 
+def measure(texts: list[str], refs: list[Reference], class_limit: float, word_limit: float, least_chars: int, least_words: int) -> dict:
+    """Base rules, distances from the nearest reference and verdict of each text."""
+    data = [t.encode() for t in texts]
+    words = [d.split() for d in data]
+    n = np.array([len(w) for w in words], np.int64)
+    repeats = repeat_words(words)
+    failed = (n < 20) | (100 * repeats > 30 * n)
+    chars = class_counts(texts)
+    size = chars.sum(1)
+    plain = [plain_words(d) for d in data]
+    many = np.array([len(w) for w in plain])
+    near_c, near_w, nearest = np.full(len(texts), np.inf), np.full(len(texts), np.inf), np.full(len(texts), None, object)
+    for r in refs:
+        near_c = np.minimum(near_c, js_distance(chars / np.maximum(size, 1)[:, None], r.classes))
+        last, get = len(r.words), r.words.get
+        own = np.stack([np.bincount([get(w, last) for w in p], minlength=last + 1) if p else np.zeros(last + 1) for p in plain])
+        d = js_distance(own / np.maximum(many, 1)[:, None], r.shares)
+        nearest[d < near_w] = r.language
+        near_w = np.minimum(near_w, d)
+    by_class, by_word = (size >= least_chars) & np.isfinite(near_c), (many >= least_words) & np.isfinite(near_w)
+    far = by_class & (near_c > class_limit) | by_word & (near_w > word_limit)
+    return {"n_words": n, "repeats": repeats, "failed": failed, "kept": ~(failed | far), "nearest": nearest, "plain": plain, "chars": chars,
+            "class_distance": [x if ok else None for x, ok in zip(near_c.tolist(), by_class)], "word_distance": [x if ok else None for x, ok in zip(near_w.tolist(), by_word)]}
+
+
 ADDED = StructType([StructField(n, LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [
     StructField("base_failed", BooleanType()), StructField("kept", BooleanType()), StructField("nearest", StringType()),
     StructField("class_distance", DoubleType()), StructField("word_distance", DoubleType())])
@@ -173,27 +208,9 @@ def judge(docs: DataFrame, refs: list[Reference], carry: list[str] | None = None
     def add(texts):
         texts = [t or "" for t in texts]
         data = [t.encode() for t in texts]
-        words = [d.split() for d in data]
-        n = np.array([len(w) for w in words], np.int64)
-        repeats = repeat_words(words)
-        failed = (n < 20) | (100 * repeats > 30 * n)
-        chars = class_counts(texts)
-        size = chars.sum(1)
-        plain = [plain_words(d) for d in data]
-        many = np.array([len(w) for w in plain])
-        near_c, near_w, nearest = np.full(len(texts), np.inf), np.full(len(texts), np.inf), np.full(len(texts), None, object)
-        for r in refs:
-            d = js_distance(chars / np.maximum(size, 1)[:, None], r.classes)
-            near_c = np.minimum(near_c, d)
-            last, get = len(r.words), r.words.get
-            own = np.stack([np.bincount([get(w, last) for w in p], minlength=last + 1) if p else np.zeros(last + 1) for p in plain])
-            d = js_distance(own / np.maximum(many, 1)[:, None], r.shares)
-            nearest[d < near_w] = r.language
-            near_w = np.minimum(near_w, d)
-        by_class, by_word = (size >= least_chars) & np.isfinite(near_c), (many >= least_words) & np.isfinite(near_w)
-        far = by_class & (near_c > class_limit) | by_word & (near_w > word_limit)
+        m = measure(texts, refs, class_limit, word_limit, least_chars, least_words)
         gone = [len(d) - len(d.translate(None, WHITE)) for d in data]
-        return [n, [len(t) - g for t, g in zip(texts, gone)], [len(d) - len(d.translate(None, SYMBOLS)) for d in data], [duplicate_lines(d) for d in data], repeats,
-                failed, ~(failed | far), nearest, [x if ok else None for x, ok in zip(near_c.tolist(), by_class)], [x if ok else None for x, ok in zip(near_w.tolist(), by_word)]]
+        return [m["n_words"], [len(t) - g for t, g in zip(texts, gone)], [len(d) - len(d.translate(None, SYMBOLS)) for d in data], [duplicate_lines(d) for d in data],
+                m["repeats"], m["failed"], m["kept"], m["nearest"], m["class_distance"], m["word_distance"]]
 
     return extend(docs, docs.columns if carry is None else carry, "text", add, ADDED)

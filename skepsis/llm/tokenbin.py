@@ -27,7 +27,8 @@ END_ID = 2
 # Fixed values of the format: (ids in a word, bits of each) of selectors 1 to 14; selector 0 is an escape.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 _COUNT = np.array([1] + [n for n, _ in SELECTORS] + [0], np.int64)
-_AT = {n: i for i, (n, _) in enumerate(SELECTORS, 1) if n <= 15}
+_AT = {n: i for i, (n, _) in enumerate(SELECTORS, 1)}
+_BITS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
 _U = np.uint64
 
 
@@ -44,26 +45,26 @@ def encode(values: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.n
         return np.zeros(0, _U), np.zeros((2, 0), np.int64)
     ends = np.minimum((np.arange(blocks) + 1) * block, n)
     padded = np.r_[v, np.zeros(60, _U)]
-    bits = np.frexp(padded.astype(np.float64))[1].astype(np.uint8)          # bits that each id needs; beyond the end, none
+    small = v.max() < len(_BITS)
+    bits = _BITS[padded] if small else np.frexp(padded.astype(np.float64))[1].astype(np.uint8)      # that each id needs; beyond the end, none
     who, pos, steps = np.arange(blocks), np.arange(blocks) * block, []
     while len(who):
         stop = ends[who]
         ending = bool((pos + 60 > stop).any())
         s, most = np.zeros(len(pos), np.uint8), np.zeros(len(pos), np.uint8)
-        for k in range(15):
+        for k in range(6):
             b = bits[pos + k]
             if ending:
                 b[pos + k >= stop] = 0                      # a block's last word may be part filled
             np.maximum(most, b, out=most)
-            if k + 1 in _AT:
-                s[most <= SELECTORS[_AT[k + 1] - 1][1]] = _AT[k + 1]
-        low = np.flatnonzero(most <= SELECTORS[2][1])       # few ids are so small: look further for these blocks only
+            s[most <= SELECTORS[_AT[k + 1] - 1][1]] = _AT[k + 1]
+        low = np.flatnonzero(most <= SELECTORS[_AT[7] - 1][1])      # few blocks have so small ids next: look further for these only
         if len(low):
             at = pos[low, None] + np.arange(60)
             far = bits[at]
             far[at >= stop[low, None]] = 0
             far = np.maximum.accumulate(far, 1)
-            for k in (3, 2, 1):
+            for k in range(_AT[7], 0, -1):
                 count, width = SELECTORS[k - 1]
                 s[low[far[:, count - 1] <= width]] = k
         steps.append((who, pos, s))

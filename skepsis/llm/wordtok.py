@@ -39,6 +39,8 @@ class WordTokenizer:
         self.full.encode_special_tokens = True
         self.plain = Tokenizer(self.full.model)
         self.plain.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii = Tokenizer(self.full.model)
+        self.ascii.pre_tokenizer = pre.Split(" ", "removed")
         self.suffix = getattr(self.full.model, "end_of_word_suffix", None)
         vocab = self.full.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
@@ -46,40 +48,43 @@ class WordTokenizer:
             self.ends[[i for w, i in vocab.items() if w.endswith(self.suffix)]] = True
         self.most, self.cache = most, {}
 
-    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _letters(self, words: list[bytes], coder) -> dict[bytes, bytes]:
         """Ids of runs of letters; each ends with the only word-end id it has."""
-        joined = [" ".join(w.decode() for w in words[i:i + 1000]) for i in range(0, len(words), 1000)]
-        ids = np.concatenate([np.asarray(e.ids, "<u4") for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)])
+        joined = [b" ".join(words[i:i + 500]).decode() for i in range(0, len(words), 500)]
+        ids = np.concatenate([np.asarray(e.ids, "<u4") for e in coder.encode_batch_fast(joined, add_special_tokens=False)])
         cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(cuts) != len(words):
             raise ValueError("the vocabulary has no word ends")
-        data = ids.tobytes()
-        return {w: data[a:b] for w, a, b in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist())}
+        data, cuts = ids.tobytes(), cuts.tolist()
+        return {w: data[a:b] for w, a, b in zip(words, [0, *cuts], cuts)}
 
     def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        cache, parted, single = self.cache, {}, set()
+        cache, ascii_, other, parted = self.cache, [], [], []
         for w in missing:
-            core = w.rstrip(_TAIL)
-            if len(core) < len(w) and core and core[-1] in _BEFORE_TAIL:
-                parted[w] = core, w[len(core):]
-                single.update(x for x in parted[w] if x not in cache)
+            if w.isalpha():
+                ascii_.append(w)
+            elif len(core := w.rstrip(_TAIL)) < len(w) and core and core[-1] in _BEFORE_TAIL:
+                parted.append((w, core, w[len(core):]))
             else:
-                single.add(w)
-        found = self._single(single)
-        both = _Both(cache, found)
-        for w, (core, tail) in parted.items():
-            found[w] = both[core] + both[tail]
-        return found
-
-    def _single(self, words: set[bytes]) -> dict[bytes, bytes]:
-        easy, hard = [], []
-        for w in words:
+                other.append(w)
+        parts = {x for _, *ab in parted for x in ab if x not in cache and x not in missing}
+        ascii_ += [x for x in parts if x.isalpha()]
+        other += [x for x in parts if not x.isalpha()]
+        letters, hard = [], []
+        for w in other:
             s = w.decode()
-            (easy if self.suffix and s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s) else hard).append(w)
-        found = self._letters(easy) if easy else {}
+            (letters if s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s) else hard).append(w)
+        if not self.suffix:
+            ascii_, letters, hard = [], [], ascii_ + letters + hard
+        found = self._letters(ascii_, self.ascii) if ascii_ else {}
+        if letters:
+            found |= self._letters(letters, self.plain)
         if hard:
             for w, e in zip(hard, self.full.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False)):
                 found[w] = np.asarray(e.ids, "<u4").tobytes()
+        for w, core, tail in parted:
+            a, b = found.get(core), found.get(tail)
+            found[w] = (cache[core] if a is None else a) + (cache[tail] if b is None else b)
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
