@@ -24,10 +24,12 @@ TOP_WORDS = 50
 MOST_LANGUAGES = 64
 LEAST_LANGUAGE_WORDS = 2_000
 LEAST_CHARS = 120
-LEAST_WORDS = 100
-CLASS_LIMIT = 0.3
-WORD_LIMIT = 0.34
+LEAST_WORDS = 60
+# A histogram of n counts strays from its source by about 1 / sqrt(n): the limits are base + slack / sqrt(n).
+CLASS_LIMIT, CLASS_SLACK = 0.06, 4.2
+WORD_LIMIT, WORD_SLACK = 0.16, 3.0
 FLUSH_WORDS = 200_000
+LIMITS = (CLASS_LIMIT, CLASS_SLACK, WORD_LIMIT, WORD_SLACK, LEAST_CHARS, LEAST_WORDS)
 
 WHITE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"        # fixed value of the contract
@@ -103,7 +105,7 @@ def references(docs: DataFrame, top: int = TOP_WORDS, most: int = MOST_LANGUAGES
     none under `least` words unless all are.  Each task adds up its own words first; of the totals, those with a share of
     1 in 4 `top` of their language go on, which bounds what reaches the driver.  Words of equal count are taken in byte order.
     """
-    limits = limits or (CLASS_LIMIT, WORD_LIMIT, LEAST_CHARS, LEAST_WORDS)
+    limits = limits or LIMITS
     first = _collect(docs, [], limits, top, most, least)
     return _collect(docs, first, limits, top, most, least) or first
 
@@ -166,7 +168,7 @@ def duplicate_lines(data: bytes) -> int:
     return n
 
 
-def measure(texts: list[str], refs: list[Reference], class_limit: float, word_limit: float, least_chars: int, least_words: int) -> dict:
+def measure(texts: list[str], refs: list[Reference], class_limit: float, class_slack: float, word_limit: float, word_slack: float, least_chars: int, least_words: int) -> dict:
     """Base rules, distances from the nearest reference and verdict of each text."""
     data = [t.encode() for t in texts]
     words = [d.split() for d in data]
@@ -186,7 +188,7 @@ def measure(texts: list[str], refs: list[Reference], class_limit: float, word_li
         nearest[d < near_w] = r.language
         near_w = np.minimum(near_w, d)
     by_class, by_word = (size >= least_chars) & np.isfinite(near_c), (many >= least_words) & np.isfinite(near_w)
-    far = by_class & (near_c > class_limit) | by_word & (near_w > word_limit)
+    far = (by_class & (near_c > class_limit + class_slack / np.sqrt(np.maximum(size, 1)))) | (by_word & (near_w > word_limit + word_slack / np.sqrt(np.maximum(many, 1))))
     return {"n_words": n, "repeats": repeats, "failed": failed, "kept": ~(failed | far), "nearest": nearest, "plain": plain, "chars": chars,
             "class_distance": [x if ok else None for x, ok in zip(near_c.tolist(), by_class)], "word_distance": [x if ok else None for x, ok in zip(near_w.tolist(), by_word)]}
 
@@ -196,19 +198,18 @@ ADDED = StructType([StructField(n, LongType()) for n in ("n_words", "word_chars"
     StructField("class_distance", DoubleType()), StructField("word_distance", DoubleType())])
 
 
-def judge(docs: DataFrame, refs: list[Reference], carry: list[str] | None = None, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT,
-          least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS) -> DataFrame:
+def judge(docs: DataFrame, refs: list[Reference], carry: list[str] | None = None, limits: tuple = LIMITS) -> DataFrame:
     """Counts and verdict of every whole text, beside the columns `carry` (all, if not given).
 
-    `kept` is false if the base rules fail, or if the text has `least_chars` characters and its character classes lie
-    further than `class_limit` from every language's, or has `least_words` words and its words lie further than
-    `word_limit` from every language's; distances are null below those lengths or without a reference.  A null or empty
+    `kept` is false if the base rules fail, or if the text has `LEAST_CHARS` characters and its character classes lie
+    further from every language's than the class limit for its length, or has `LEAST_WORDS` words and its words lie further
+    from every language's than the word limit; distances are null below those lengths or without a reference.  A null or empty
     text has no words and fails the base rules; repeated rows are all judged; columns named like an added one give way.
     """
     def add(texts):
         texts = [t or "" for t in texts]
         data = [t.encode() for t in texts]
-        m = measure(texts, refs, class_limit, word_limit, least_chars, least_words)
+        m = measure(texts, refs, *limits)
         gone = [len(d) - len(d.translate(None, WHITE)) for d in data]
         return [m["n_words"], [len(t) - g for t, g in zip(texts, gone)], [len(d) - len(d.translate(None, SYMBOLS)) for d in data], [duplicate_lines(d) for d in data],
                 m["repeats"], m["failed"], m["kept"], m["nearest"], m["class_distance"], m["word_distance"]]

@@ -10,6 +10,10 @@ To find pairs that differ by up to t within a partition, both sides emit the par
 of up to ceil(t / 2) bits: such a pair meets at a value half way.  Nodes that meet are verified on all 64 bits.
 Each task joins what it has verified into a forest at once, so a dense group leaves as many links as it has
 members, not all its pairs.
+
+With a radius of more than a few bits, unrelated texts meet by chance once there are very many.  A second fingerprint, of the
+same shingles under another hash, then has to agree as well (`check` bits): for texts of similarity 0.8 and more it nearly
+always does, for others hardly ever.
 """
 from __future__ import annotations
 
@@ -27,7 +31,7 @@ from .common import extend, materialize
 BITS = 64
 SHINGLE_SEED = 42
 #: Runs of nodes with one key are compared shift by shift up to this length, beyond it by a search that shrinks.
-LONG_RUN = 48
+LONG_RUN = 256
 #: Most partitions tried.
 MOST_PARTITIONS = 5
 #: What one emitted row costs beside one compared pair.
@@ -35,31 +39,45 @@ ROW_COST = 30.0
 ONE = np.uint64(1)
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Majority of the bits of XXH64 over all shingles of `words` words (repeats included), A-Z lower-cased.
+def _majority(h: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(h), 1 << 15):
+        ones += np.unpackbits(h[i:i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def _remixed(h: np.ndarray) -> np.ndarray:
+    """Another hash of the same shingles: multiply and fold twice."""
+    for by, odd in ((31, 0x9E3779B97F4A7C15), (29, 0xD6E8FEB86659FD93)):
+        h = (h ^ (h >> np.uint64(by))) * np.uint64(odd)
+    return h ^ (h >> np.uint64(32))
+
 
-    A text of fewer words is one shingle; without a word, the fingerprint is zero.
+def fingerprint(text: str | None, words: int, second: bool = False) -> tuple[int, int]:
+    """Majority of the bits of XXH64 over all shingles of `words` words (repeats included), A-Z lower-cased; then that of the
+    second hash, 0 if not asked for.
+
+    A text of fewer words is one shingle; without a word, fingerprints are zero.
     """
     w = text.encode().lower().split() if text else []
     if not w:
-        return 0
+        return 0, 0
     joined, n = b" ".join(w), max(1, len(w) - words + 1)
     ends = np.cumsum([len(x) + 1 for x in w])
     starts = [0, *ends[:n - 1].tolist()]
     stops = (ends[min(words, len(w)) - 1:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(joined[a:b], SHINGLE_SEED) for a, b in zip(starts, stops)], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, n, 1 << 15):
-        ones += np.unpackbits(h[i:i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return _majority(h), _majority(_remixed(h)) if second else 0
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): fingerprints of whole texts as signed 64-bit integers; null and empty texts have 0."""
+def fingerprints(docs: DataFrame, words: int = 3, second: bool = False) -> DataFrame:
+    """(doc_id, fp, fp2): fingerprints of whole texts as signed 64-bit integers; null and empty texts have 0."""
     def add(texts):
-        return [np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)]
-    return extend(docs, ["doc_id"], "text", add, StructType([StructField("fp", LongType())]))
+        f = np.array([fingerprint(t, words, second) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
+        return [f[:, 0], f[:, 1]]
+    return extend(docs, ["doc_id"], "text", add, StructType([StructField("fp", LongType()), StructField("fp2", LongType())]))
 
 
 # -- partitions and thresholds ----------------------------------------------------------------------------------------------
@@ -114,12 +132,12 @@ def differing(n: int, both: np.ndarray, group: list[int]) -> np.ndarray:
 
 
 def emit_keys(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(p, k, fp): for every partition p, each value k that a node's bits take with up to parts[p][1] of them changed."""
+    """(p, k, fp, fp2): for every partition p, each value k that a node's bits take with up to parts[p][1] of them changed."""
     masks = [np.array([sum(1 << i for i in c) for n in range(most + 1) for c in combinations(range(len(g)), n)], np.uint64) for g, most in parts]
 
     def emit(batches):
         for b in batches:
-            fp = b.column(0).to_numpy().view(np.uint64)
+            fp, fp2 = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
             for p, ((g, _), mask) in enumerate(zip(parts, masks)):
                 v = np.zeros(len(fp), np.uint64)
                 for i, bit in enumerate(g):
@@ -128,9 +146,10 @@ def emit_keys(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame
                 for i in range(0, len(fp), step):
                     key = (v[i:i + step, None] ^ mask[None, :]).ravel()
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), p, np.int8)), pa.array(key.view(np.int64)),
-                                                      pa.array(np.repeat(fp[i:i + step], len(mask)).view(np.int64))], names=["p", "k", "fp"])
+                                                      pa.array(np.repeat(fp[i:i + step], len(mask)).view(np.int64)), pa.array(np.repeat(fp2[i:i + step], len(mask)))],
+                                                     names=["p", "k", "fp", "fp2"])
 
-    return nodes.select("fp").mapInArrow(emit, "p byte, k long, fp long")
+    return nodes.select("fp", "fp2").mapInArrow(emit, "p byte, k long, fp long, fp2 long")
 
 
 def allocate(costs: list[np.ndarray], total: int) -> list[int]:
@@ -194,62 +213,64 @@ class _Forest:
             up[x], x = top, up.get(x, x)
         return top
 
-    def join(self, a, b):
+    def join(self, pairs):
         if len(self.up) > self.most:        # forgetting only lets a link through twice
             self.up = {}
-        for x, y in zip(a.tolist(), b.tolist()):
+        for x, y in pairs:
             p, q = self.find(x), self.find(y)
             if p != q:
                 self.up[max(p, q)] = min(p, q)
-                yield x, y
+                yield *x, *y
+
+
+def _near(a: np.ndarray, b: np.ndarray, radius: int, check: int) -> np.ndarray:
+    """Whether rows (fp, fp2) are linked."""
+    return (np.bitwise_count(a[..., 0] ^ b[..., 0]) <= radius) & (np.bitwise_count(a[..., 1] ^ b[..., 1]) <= check)
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= radius
+def _tuples(x: np.ndarray) -> list[tuple]:
+    return list(map(tuple, x.tolist()))
 
 
-def _search(run: np.ndarray, radius: int):
+def _search(run: np.ndarray, radius: int, check: int):
     """Links that connect a long run: breadth-first, each step against those not reached yet."""
     left = run
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            hit = _near(left, x, radius)
+            hit = _near(left, x, radius, check)
             if hit.any():
                 new = left[hit]
-                yield np.full(len(new), x), new
+                yield from ((tuple(x.tolist()), y) for y in _tuples(new))
                 queue.extend(new)
                 left = left[~hit]
 
 
-def _link(keys: np.ndarray, fps: np.ndarray, radius: int, forest: _Forest):
-    """Verified links among nodes whose rows are sorted by key; (a, b) as pairs that join two trees."""
+def _link(keys: np.ndarray, fps: np.ndarray, radius: int, check: int, forest: _Forest):
+    """Verified links among nodes whose rows are sorted by key, as (fp, fp2, fp, fp2) of pairs that join two trees."""
     cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     length = np.diff(np.r_[cut, len(keys)])
     for c, n in zip(cut[length > LONG_RUN].tolist(), length[length > LONG_RUN].tolist()):
-        for a, b in _search(np.unique(fps[c:c + n]), radius):
-            yield from forest.join(a, b)
+        yield from forest.join(_search(fps[c:c + n], radius, check))
     short = np.repeat(length <= LONG_RUN, length)
     keys, fps = keys[short], fps[short]
     for d in range(1, min(LONG_RUN, len(keys))):
-        same = keys[d:] == keys[:-d]
-        if not same.any():
+        at = np.flatnonzero(keys[d:] == keys[:-d])
+        if not len(at):
             break
-        at = np.flatnonzero(same)
-        at = at[_near(fps[at], fps[at + d], radius)]
-        at = at[fps[at] != fps[at + d]]
+        at = at[_near(fps[at], fps[at + d], radius, check)]
         if len(at):
-            yield from forest.join(fps[at], fps[at + d])
+            yield from forest.join(zip(_tuples(fps[at]), _tuples(fps[at + d])))
 
 
-def links(nodes: DataFrame, radius: int, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(a, b): links that connect all nodes within `radius` bits, about one per node that has any."""
+def links(nodes: DataFrame, radius: int, parts: list[tuple[list[int], int]], check: int = BITS) -> DataFrame:
+    """(a, a2, b, b2): links that connect all nodes within `radius` bits of fp and `check` of fp2, about one per node that has any."""
     def verify(batches):
         forest, held = _Forest(), None
         for b in batches:
             key = np.stack([b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()])
-            fp = b.column(2).to_numpy().view(np.uint64)
+            fp = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], 1).view(np.uint64)
             if held is not None:
                 key, fp = np.concatenate([held[0], key], 1), np.concatenate([held[1], fp])
             new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
@@ -262,17 +283,17 @@ def links(nodes: DataFrame, radius: int, parts: list[tuple[list[int], int]]) ->
 
     def out(key, fp, forest):
         run = np.cumsum(np.r_[False, (key[:, 1:] != key[:, :-1]).any(0)])
-        found = list(_link(run, fp, radius, forest))
+        found = list(_link(run, fp, radius, check, forest))
         if found:
             x = np.array(found, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(4)], names=["a", "a2", "b", "b2"])
 
     rows = emit_keys(nodes, [(g, (t + 1) // 2) for g, t in parts])
-    return rows.repartition("p", "k").sortWithinPartitions("p", "k").mapInArrow(verify, "a long, b long")
+    return rows.repartition("p", "k").sortWithinPartitions("p", "k").mapInArrow(verify, "a long, a2 long, b long, b2 long")
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(node, root): components of an undirected graph, root the smallest node; by alternating star contractions, each
+    """(node, root): components of an undirected graph of links (a, b), root the smallest node; by alternating star contractions, each
     written to the shared folder.  A node without links is not listed."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
@@ -290,19 +311,22 @@ def connected(links: DataFrame) -> DataFrame:
         edges = small
 
 
-def components(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
+def components(docs: DataFrame, radius: int = 2, words: int = 3, check: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of all documents: component_id is the smallest doc_id of those reachable over links.
 
-    Null, empty and blank texts have fingerprint 0 and are linked like any other; repeated rows are all returned; a
-    null doc_id is ignored as a component's id unless it has no other; other columns are not read; an empty table has no rows.
+    Linked are texts whose fingerprints differ in at most `radius` bits and, if `check` is given, whose second fingerprints
+    differ in at most so many.  Null, empty and blank texts have fingerprint 0 and are linked like any other; repeated rows are all
+    returned; a null doc_id is a component's id only if it has no other; other columns are not read; an empty table has no rows.
     """
-    rows = materialize(fingerprints(docs, words))
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = connected(links(nodes, radius, plan(nodes, radius)))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rows = materialize(fingerprints(docs, words, check is not None))
+    nodes = materialize(rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    found = links(nodes, radius, plan(nodes, radius), BITS if check is None else check)
+    side = lambda x: nodes.select(F.col("fp").alias(x), F.col("fp2").alias(x + "2"), F.col("node").alias("n" + x))
+    pairs = found.join(side("a"), ["a", "a2"]).join(side("b"), ["b", "b2"]).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    rooted = nodes.join(connected(pairs), "node", "left").select("fp", "fp2", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "fp2", "component_id")
+    return rows.join(named, ["fp", "fp2"]).select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp):
@@ -310,11 +334,11 @@ def hexadecimal(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def distinct_documents(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
+def distinct_documents(docs: DataFrame, radius: int = 2, words: int = 3, check: int | None = None) -> DataFrame:
     """Rows of `docs` (all columns) whose doc_id names its component: one document of each group of near-duplicates.
 
     Rows repeated under the surviving doc_id with the same text are kept once.
     """
-    keep = components(docs, radius, words).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    keep = components(docs, radius, words, check).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])

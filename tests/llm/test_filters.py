@@ -49,7 +49,7 @@ def test_junk_goes_and_prose_stays(mixed):
 
 
 def test_references_count_all(mixed):
-    limits = (2.0, 2.0, 0, 0)               # nothing is too far: the base rules alone choose
+    limits = (2.0, 0, 2.0, 0, 0, 0)               # nothing is too far: the base rules alone choose
     refs = {r.language: r for r in quality.references(mixed, least=1, limits=limits)}
     for lang in ("xx", "yy"):
         texts = [r["text"] for r in mixed.filter(F.col("lang") == lang).collect() if not plain_base(r["text"])[-1]]

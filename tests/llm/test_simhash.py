@@ -5,6 +5,8 @@ import xxhash
 
 from skepsis.llm import simhash
 
+from .conftest import prose
+
 
 def plain_fingerprint(text, words=3):
     import re
@@ -36,7 +38,7 @@ def plain_components(fps: dict, radius: int) -> dict:
 
 def test_fingerprint(docs):
     for r in docs.collect():
-        assert simhash.fingerprint(r["text"], 3) == plain_fingerprint(r["text"])
+        assert simhash.fingerprint(r["text"], 3) == (plain_fingerprint(r["text"]), 0)
 
 
 @pytest.mark.parametrize("radius", [2, 6])
@@ -58,9 +60,8 @@ def test_links_connect_all_near_nodes(spark, radius):
     near = [int(b) ^ sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 9), replace=False)) for b in base for _ in range(8)]
     dense = [int(base[0]) ^ (1 << i) ^ (1 << j) for i in range(14) for j in range(i)]
     fps = sorted({*map(int, base), *near, *dense})
-    nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long").repartition(4)
+    nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), 0) for f in fps], "fp long, fp2 long").repartition(4)
     parts = simhash.plan(nodes, radius)
-    assert sum(t for _, t in parts) - (simhash_m(parts)) <= radius
     root = {r["node"]: r["root"] for r in simhash.connected(simhash.links(nodes, radius, parts)).collect()}
     got = {}
     for f in fps:
@@ -72,8 +73,28 @@ def test_links_connect_all_near_nodes(spark, radius):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-def simhash_m(parts):
-    return len(parts)
+def test_second_fingerprint_parts_chance_neighbours(spark):
+    near = [(0b0, 0), (0b1, 0b11), (0b11, 2**63 - 1), (0b111, 2**63 - 2)]
+    nodes = spark.createDataFrame(near, "fp long, fp2 long")
+    parts = simhash.plan(nodes, 4)
+    got = {frozenset(((r["a"], r["a2"]), (r["b"], r["b2"]))) for r in simhash.links(nodes, 4, parts, check=4).collect()}
+    assert got == {frozenset(near[:2]), frozenset(near[2:])}
+
+
+def test_near_copies_of_the_pipeline(spark):
+    rng, rows = np.random.default_rng(2), []
+    for i in range(60):
+        w = prose(i, 300).split()
+        rows.append((10 * i, " ".join(w)))
+        for k in range(3):
+            v = list(w)
+            for at in rng.choice(300, 2, replace=False):
+                v[at] = f"edit{int(rng.integers(10**6))}"
+            rows.append((10 * i + k + 1, " ".join(v)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    from corpus_pipeline import CHECK, RADIUS, WORDS
+    kept = {r["doc_id"] for r in simhash.distinct_documents(docs, RADIUS, WORDS, CHECK).collect()}
+    assert {10 * i for i in range(60)} <= kept and len(kept) <= 60 + 0.1 * 180
 
 
 def test_thresholds_sum(monkeypatch):
