@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skepsis.llm import packing, quality, simhash, toxic
 from skepsis.llm.common import materialize, table
 
-#: Near-duplicates of the pipeline: shingles of five words, and the bits within which a similarity of 0.8 and more mostly lies.
-WORDS, RADIUS = 5, 6
+#: Near-duplicates of the pipeline: shingles of five words, and the bits within which texts of a similarity of 0.8 and more mostly
+#: lie, of the fingerprint that is searched and of the second one that is checked.
+WORDS, RADIUS, CHECK = 5, 9, 17
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    return simhash.distinct_documents(docs, RADIUS, WORDS)
+    return simhash.distinct_documents(docs, RADIUS, WORDS, CHECK)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
