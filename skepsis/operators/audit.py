@@ -41,15 +41,15 @@ def cross_split_duplicates(grids: DataFrame, split: str = "split", id: str = "sa
     return h.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(split).alias("splits"), F.min(id).alias("first_id")).filter("splits > 1")
 
 
-def missing_id_ranges(ids: DataFrame, id: str, low: int, high: Column | int, by=(), bucket: int = 1 << 16) -> DataFrame:
-    """Absent ids of [low, high] as ranges.
+def missing_id_ranges(ids: DataFrame, id: str, low: int, high: DataFrame | int, by=(), bucket: int = 1 << 16) -> DataFrame:
+    """Absent ids of [low, high] as ranges.  `high` is a number, or a frame of one row whose only column holds it.
 
     A gap is the distance from one id to the next, so only neighbours are compared.  Ids are cut
     into buckets; each bucket also sees the last id before it, taken from per-bucket maxima.
     """
     by = names(by)
     d = ids.select(*by, id).filter(F.col(id) >= low).distinct()
-    hi = high if isinstance(high, Column) else F.lit(high)
+    hi = high.scalar() if isinstance(high, DataFrame) else F.lit(high)
     d = d.filter(F.col(id) <= hi).withColumn("_b", F.floor(F.col(id) / bucket))
     top = d.groupBy(*by, "_b").agg(F.max(id).alias("_m"))
     prev = top.select(*by, "_b", F.lag("_m").over(W.partitionBy(*(by or [F.lit(0)])).orderBy("_b")).alias("_before"))

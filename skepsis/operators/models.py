@@ -43,17 +43,25 @@ def fit(train: DataFrame, by=(), label: str = "label", name: str = "name", value
 
 def class_scores(df: DataFrame, model: DataFrame, by=(), sample: str = "sample_id", label: str = "label",
                  name: str = "name", value: str = "value") -> DataFrame:
-    """(by, sample, label, dist2, score): features meet their packed model row once and fan out to
-    classes after the join, so the join carries one row per feature."""
+    """(by, sample, label, dist2, score) of every sample: features meet their packed model row once and fan out to
+    classes after the join, so the join carries one row per feature.
+
+    A known feature that a sample lacks has z = 0, one that the model does not know counts for nothing: each class starts from
+    its totals over all known features, and the features present correct them.
+    """
     by = names(by)
     # a written model has a known size, so the planner broadcasts it exactly when it is small
     packed = materialize(model.groupBy(*by, name).agg(F.collect_list(F.struct(label, "mu", "sd", "c", "w", "b")).alias("_k")))
-    j = df.select(*by, *names(sample), name, value).join(packed, by + [name])
-    j = j.select(*by, *names(sample), value, F.explode("_k").alias("_m"))
-    z = (F.col(value) - F.col("_m.mu")) / F.col("_m.sd")
+    keys, one = (by, {}) if by else (["_one"], {"_one": F.lit(1)})
+    totals = materialize(model.withColumns(one).groupBy(*keys, label).agg(F.sum(F.col("c") * F.col("c")).alias("_c2"), F.sum("b").alias("_b")))
+    classes = totals.groupBy(*keys).agg(F.collect_list(F.struct(F.col(label), *[F.lit(0.0).alias(c) for c in ("mu", "sd", "c", "w", "b")])).alias("_all"))
+    j = df.select(*by, *names(sample), name, value).withColumns(one).join(packed, by + [name], "left").join(classes, keys)
+    j = j.select(*keys, *names(sample), value, F.explode(F.coalesce("_k", "_all")).alias("_m"))
+    z = F.coalesce((F.col(value) - F.col("_m.mu")) / F.nullif(F.col("_m.sd"), F.lit(0.0)), F.lit(0.0))
     gap = z - F.col("_m.c")
-    return j.groupBy(*by, *names(sample), F.col(f"_m.{label}").alias(label)).agg(
-        F.sum(gap * gap).alias("dist2"), F.sum(z * F.col("_m.w") + F.col("_m.b")).alias("score"))
+    s = j.groupBy(*keys, *names(sample), F.col(f"_m.{label}").alias(label)).agg(
+        F.sum(gap * gap - F.col("_m.c") * F.col("_m.c")).alias("_d"), F.sum(z * F.col("_m.w")).alias("_s"))
+    return s.join(totals, keys + [label]).select(*by, *names(sample), label, (F.col("_d") + F.col("_c2")).alias("dist2"), (F.col("_s") + F.col("_b")).alias("score"))
 
 
 def predict(scores: DataFrame, by=(), sample: str = "sample_id", label: str = "label") -> DataFrame:
@@ -169,10 +177,12 @@ def pairwise_fit(diffs: DataFrame, by=(), name: str = "name", d: str = "d") -> D
 
 def pairwise_hits(diffs: DataFrame, model: DataFrame, by=(), pair=("grp", "seed", "unit"), name: str = "name",
                   d: str = "d", eps: float = 1e-9, keep=()) -> DataFrame:
-    """1 if the pair is oriented as (alternative, reference), 0 if not, 1/2 for indistinguishable pairs."""
+    """1 if the pair is oriented as (alternative, reference), 0 if not, 1/2 for indistinguishable pairs, also
+    for pairs of which the model knows no feature."""
     by, pair = names(by), names(pair)
-    j = diffs.join(materialize(model), by + [name])
-    a = j.groupBy(*by, *pair, *keep).agg(F.sum(F.col(d) / F.col("sd") * F.col("w")).alias("margin"), F.max(F.abs(F.col(d))).alias("_top"))
+    j = diffs.join(materialize(model), by + [name], "left")
+    top = F.max(F.when(F.col("sd").isNotNull(), F.abs(F.col(d))))
+    a = j.groupBy(*by, *pair, *keep).agg(F.sum(F.col(d) / F.col("sd") * F.col("w")).alias("margin"), F.coalesce(top, F.lit(0.0)).alias("_top"))
     # rounding residue of a zero margin is a zero margin: the first class wins as for exact zero
     hit = F.when(F.col("_top") < eps, 0.5).when(F.col("margin") >= -1e-12, 1.0).otherwise(0.0)
     return a.withColumn("hit", hit).drop("_top")

@@ -82,42 +82,70 @@ def locality(r: DataFrame, y: Column, x: Column, centre: tuple, radius: int = 3,
         F.coalesce(F.max(F.when(a > floor, d)), F.lit(0)).alias("speed"))
 
 
-def collisions(finals: DataFrame, world="world_id", tol: float = 1e-9, roles: list[str] | None = None) -> DataFrame:
+ROLES = ["A", "B", "AB", "opposite", "AB_copy"]
+
+
+def collisions(finals: DataFrame, world="world_id", tol: float = 1e-9, roles: list[str] = ROLES) -> DataFrame:
     """Interventions whose final responses coincide, as a share of all interventions of a world.
 
-    Responses equal within tol share a rounded signature, so merging is a count of signatures: no
-    pair of roles is formed.
+    A role is merged if its response lies within tol (Euclidean norm of the difference) of an earlier role's.  The roles are a
+    plan parameter: their responses stand side by side per cell, and one aggregation per world adds up the squared differences.
     """
     k = names(world)
-    sig = F.sum(F.xxhash64("idx", F.floor(F.col("v") / (tol * 10) + 0.5)).cast("decimal(38,0)"))
-    s = finals.filter(F.abs(F.col("v")) > tol).groupBy(*k, "role").agg(sig.alias("_s"))
-    every = finals.select(*k, "role").distinct().join(s, k + ["role"], "left").fillna(0, subset=["_s"])
-    return every.groupBy(*k).agg(F.count(F.lit(1)).alias("interventions"), (F.count(F.lit(1)) - F.count_distinct("_s")).alias("merged")).withColumn(
-        "collision", F.col("merged") / F.col("interventions"))
+    w = finals.filter(F.col("role").isin(roles)).groupBy(*k, "idx").agg(
+        *[F.sum(F.when(F.col("role") == x, F.col("v"))).alias(f"r{i}") for i, x in enumerate(roles)])
+    value = lambda i: F.coalesce(F.col(f"r{i}"), F.lit(0.0))
+    n = len(roles)
+    g = w.groupBy(*k).agg(*[F.count(f"r{i}").alias(f"n{i}") for i in range(n)],
+                          *[F.sqrt(F.sum((value(i) - value(j)) * (value(i) - value(j)))).alias(f"d{i}_{j}") for j in range(n) for i in range(j)])
+    here = [F.when(F.col(f"n{i}") > 0, 1).otherwise(0) for i in range(n)]
+    merged = F.lit(0)
+    for j in range(1, n):
+        near = F.lit(False)
+        for i in range(j):
+            near = near | ((F.col(f"n{i}") > 0) & (F.col(f"d{i}_{j}") <= tol))
+        merged = merged + F.when((F.col(f"n{j}") > 0) & near, 1).otherwise(0)
+    total = here[0]
+    for h in here[1:]:
+        total = total + h
+    return g.select(*k, total.cast("bigint").alias("interventions"), merged.cast("bigint").alias("merged")).withColumn("collision", F.col("merged") / F.col("interventions"))
 
 
 def effective_rank(finals: DataFrame, roles: list[str], world="world_id", eps: float = 1e-9) -> DataFrame:
     """Rank of the roles x cells matrix over the number of roles.
 
-    The Gram matrix (roles x roles, a plan parameter in size) comes from one aggregation over cells;
-    only that small matrix is decomposed, in batches of worlds.
+    A world's matrix is one row (its cells are those of one field, its roles a plan parameter).  Roles are scaled to norm 1
+    and eliminated with the largest remaining one as pivot; pivots above `eps` count.  The matrix itself is
+    eliminated, not its Gram matrix, which would lose half the digits.
     """
     k = names(world)
     w = finals.filter(F.col("role").isin(roles)).groupBy(*k, "idx").agg(
         *[F.sum(F.when(F.col("role") == x, F.col("v")).otherwise(0.0)).alias(f"r{i}") for i, x in enumerate(roles)])
     n = len(roles)
-    gram = F.array(*[F.sum(F.col(f"r{min(i, j)}") * F.col(f"r{max(i, j)}")) for i in range(n) for j in range(n)])
-    g = w.groupBy(*k).agg(gram.alias("gram"))
+    g = w.groupBy(*k).agg(F.flatten(F.array_sort(F.collect_list(F.array(*[F.col(f"r{i}") for i in range(n)])))).alias("m"))
 
     @F.pandas_udf("int")
     def rank(m: pd.Series) -> pd.Series:
         import numpy as np
-        a = np.stack(m.to_numpy()).reshape(-1, n, n)
-        scale = np.sqrt(np.maximum(np.einsum("bii->bi", a), 0.0))
-        scale[scale < eps] = 1.0
-        a = a / scale[:, :, None] / scale[:, None, :]
-        return pd.Series((np.linalg.eigvalsh(a) > 1e-9).sum(axis=1).astype("int32"))
-    return g.select(*k, rank("gram").cast("bigint").alias("rank")).withColumn("eff_rank", F.col("rank") / float(n))
+
+        def one(flat):
+            a = np.asarray(flat, float).reshape(-1, n).T.copy()
+            norm = np.sqrt((a * a).sum(1))
+            a /= np.where(norm < eps, 1.0, norm)[:, None]
+            found = 0
+            for _ in range(n):
+                norm = np.sqrt((a * a).sum(1))
+                p = int(norm.argmax())
+                if norm[p] <= eps:
+                    break
+                found += 1
+                q = a[p] / norm[p]
+                for _ in range(2):                      # twice is enough against rounding
+                    a -= np.outer(a @ q, q)
+                a[p] = 0.0
+            return found
+        return pd.Series([one(x) for x in m], dtype="int32")
+    return g.select(*k, rank("m").cast("bigint").alias("rank")).withColumn("eff_rank", F.col("rank") / float(n))
 
 
 def operator_features(r: DataFrame, world="world_id") -> DataFrame:

@@ -56,13 +56,15 @@ def with_local(df: DataFrame, keys, pos: str, exprs: dict, before: int = 0, afte
 
 
 def ensure_checkpoint_dir(spark) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only in local mode, where driver and tasks share a disk."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
     sc.setCheckpointDir(folder)
@@ -85,15 +87,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys) -> DataFrame:
-    """Spread a source with fewer splits than cores by key before row-local heavy work.  A table
-    that already has enough splits is left alone, so large inputs are never shuffled for this."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, *keys)
-
-
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 

@@ -350,12 +350,11 @@ def return_time_std(series: DataFrame, bins: int = 4, key: str = S, v: str = "v"
     return d.groupBy(key).agg(F.when(F.count(gap) > 2, F.stddev_samp(gap)).otherwise(0.0).alias("return_time_std"))
 
 
-def frame_divergence(frame_grids: DataFrame, cells: int, key: str = S, size: int = CHUNK) -> DataFrame:
-    """Mean and variance over time of the mean |frame change| on strided cells, and the share of
-    cells left unchanged by the last step.  One row per frame, the previous frame by a lag."""
-    step = max(1, cells // 200)
+def frame_divergence(frame_grids: DataFrame, cells: int, key: str = S, size: int = CHUNK, stride: int = 1) -> DataFrame:
+    """Mean and variance over time of the mean |frame change| on every `stride`-th cell (all by default), and the
+    share of cells left unchanged by the last step.  One row per frame, the previous frame by a lag."""
     d = with_local(frame_grids.select(key, "t", "vals"), key, "t", {"_p": lambda w: F.lag("vals").over(w)}, before=1, size=size)
-    idx = F.sequence(F.lit(0), F.lit(cells - 1), F.lit(step))
+    idx = F.sequence(F.lit(0), F.lit(cells - 1), F.lit(stride))
     total = F.aggregate(idx, F.lit(0.0), lambda a, i: a + F.abs(F.get("vals", i) - F.get("_p", i)))
     same = F.size(F.filter(F.zip_with("vals", "_p", lambda a, b: a == b), lambda s: s)) / F.size("vals")
     d = d.filter("_p is not null").select(key, "t", (total / F.size(idx)).alias("dv"), same.alias("same"))

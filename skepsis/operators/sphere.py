@@ -131,18 +131,21 @@ def isotropic_null(skies: DataFrame, n_events, rotations: DataFrame, n_rot: int,
 
 
 def score_catalogue(events: DataFrame, n_rot: int, n_null: int, seed, null_keys=("n_events",)) -> DataFrame:
-    """Statistic, p-value, z and verdict per sky; skies with too few events are dropped.
+    """Statistic, p-value, z and verdict per sky.  A sky of fewer than `MIN_EVENTS` events has the verdict
+    TOO_FEW_EVENTS and no statistic.
 
     Skies of equal size share one null, keyed by the number of events.
     """
     spark = events.sparkSession
-    size = events.groupBy("sky_id").agg(F.count(F.lit(1)).alias("n_events")).filter(F.col("n_events") >= MIN_EVENTS)
+    every = events.groupBy("sky_id").agg(F.count(F.lit(1)).alias("n_events"))
+    size = every.filter(F.col("n_events") >= MIN_EVENTS)
     pool = rotation_pool(spark, n_rot, seed)
     obs = alignment_statistic(axis_score(events.join(size, "sky_id", "left_semi"), pool, n_rot)).join(size, "sky_id")
     sizes = size.select("n_events").distinct()
     null = isotropic_null(sizes, F.col("n_events"), pool, n_rot, n_null, f"{seed}n", ["n_events"])
     p = empirical_p(null.join(size, "n_events").select("sky_id", "stat"), obs.withColumnRenamed("stat", "observed"), "sky_id")
-    return p.join(size, "sky_id").withColumn("verdict", F.when(F.col("p_value") < ALPHA, "SIGNATURE_DETECTED").otherwise("NO_SIGNATURE"))
+    return every.join(p, "sky_id", "left").withColumn("verdict", F.when(F.col("n_events") < MIN_EVENTS, "TOO_FEW_EVENTS").when(
+        F.col("p_value") < ALPHA, "SIGNATURE_DETECTED").otherwise("NO_SIGNATURE"))
 
 
 def type1_calibration(null: DataFrame, fresh: DataFrame) -> DataFrame:

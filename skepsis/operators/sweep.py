@@ -33,16 +33,17 @@ def topk_distinct(log: DataFrame, k: int, point=("cr", "ci"), decimals: int = 6,
         F.desc(score), tie).limit(k)
 
 
-def stratified_starts(points: DataFrame, domain: tuple, x: str = "cr", y: str = "ci", id: str = "candidate_id", per_quadrant: int = 2, cap: int = 8) -> DataFrame:
-    """Starting points spread over the four quadrants: evenly spaced in (x, y) order, at most `cap`."""
+def stratified_starts(points: DataFrame, domain: tuple, x: str = "cr", y: str = "ci", id: str = "candidate_id", per_quadrant: int = 2) -> DataFrame:
+    """Starting points spread over the four quadrants: in each, `per_quadrant` (or all, if fewer) evenly spaced in (x, y) order."""
     x0, x1, y0, y1 = domain
     q = F.when(F.col(x) > (x0 + x1) / 2, 1).otherwise(0) + F.when(F.col(y) > (y0 + y1) / 2, 2).otherwise(0)
     width = (x1 - x0) / 1024.0
     d = dense_position(points.select(id, x, y, q.alias("quadrant")), "quadrant", [x, y, id], F.floor((F.col(x) - x0) / width), out="_r")
     n = d.groupBy("quadrant").agg(F.count(F.lit(1)).alias("_n"))
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / per_quadrant))
-    d = d.join(n, "quadrant").filter((F.col("_r") - 1) % step == 0)
-    return d.orderBy("quadrant", "_r").limit(cap).select("quadrant", id, x, y)
+    at = F.col("_r") - 1
+    d = d.join(n, "quadrant").filter((at % step == 0) & (F.floor(at / step) < per_quadrant))
+    return d.select("quadrant", id, x, y)
 
 
 def contrast_table(scores: DataFrame, keys, rules: dict, name: str = "name", score: str = "score") -> DataFrame:

@@ -23,8 +23,7 @@ class Views:
 
     @cached_property
     def grids(self) -> DataFrame:
-        return scale.spread(self.table("embeddings").select(
-            F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("vals")), "sample_id")
+        return self.table("embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("vals"))
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -78,13 +77,13 @@ class Views:
         """Arrays with their metadata, from one scan."""
         vid, lab = F.col("vec_id"), F.col("label")
         g = vid % 8
-        return scale.spread(self.table("embeddings").select(
+        return self.table("embeddings").select(
             vid.alias("sample_id"), F.concat(F.lit("g"), g.cast("string")).alias("grp"),
             F.concat(F.lit("u"), (lab % 5).cast("string")).alias("unit"),
             F.floor(vid / 8).alias("seed"),
             F.when(lab < 5, "low").otherwise("high").alias("label"),
             F.when(g <= 4, "train").when(g == 5, "validation").otherwise("holdout").alias("split"),
-            F.col("embedding").cast("array<double>").alias("vals")), "sample_id")
+            F.col("embedding").cast("array<double>").alias("vals"))
 
     @cached_property
     def samples(self) -> DataFrame:

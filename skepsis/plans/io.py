@@ -131,15 +131,22 @@ WITH {CLASSIFIER}, p AS (SELECT 'g' || (sample_id % 8) AS grp, unit, sample_id /
 
 
 def _manifest(V):
-    """The manifest of a table folder against itself after one run was rewritten."""
+    """The manifest of a table folder against the folder after one file was deleted, one renamed and one overwritten by another."""
     path = scale.scratch_path(V.spark, "manifest")
-    V.evals.write.partitionBy("run_id").parquet(path)
-    now = files.file_manifest(V.spark, path)
-    stored = scale.materialize(now)
-    return files.compare_manifest(stored, now).groupBy("state").agg((F.count(F.lit(1)) > 0).alias("present"))
-
-
-query("s16_file_manifest", "state:s present:b", _manifest, "SELECT 'same' AS state, count(*) > 0 AS present FROM orders")
+    V.evals.write.partitionBy("run_id", "status").parquet(path)
+    stored = scale.materialize(files.file_manifest(V.spark, path))
+    jvm, conf = V.spark._jvm, V.spark._jsc.hadoopConfiguration()
+    at = [jvm.org.apache.hadoop.fs.Path(r["path"]) for r in V.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").orderBy("path").limit(4).collect()]
+    fs = at[0].getFileSystem(conf)
+    fs.delete(at[0], False)
+    fs.rename(at[1], jvm.org.apache.hadoop.fs.Path(at[1].getParent(), "renamed.parquet"))
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, at[3], fs, at[2], False, True, conf)
+    states = files.compare_manifest(stored, files.file_manifest(V.spark, path)).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return states.select("state", F.when(F.col("state") != "same", F.col("n")).alias("n"))       # how many are the same depends on the writers
+
+
+query("s16_file_manifest", "state:s n:l", _manifest, """
+SELECT state, n FROM (VALUES ('changed', 1), ('missing', 2), ('new', 1), ('same', NULL)) AS v(state, n) WHERE EXISTS (SELECT 1 FROM orders)""")
 
 # -- T: streams ----------------------------------------------------------------------------------------
 

@@ -84,7 +84,8 @@ WITH {POOL}, {NULL}, {score_sql('st', 'v_catalogue', 'sky_id')},
 j AS (SELECT sz.sky_id, sz.n_events, st.stat AS o, nu.stat AS x FROM sz JOIN st USING (sky_id) JOIN nu USING (n_events)),
 a AS (SELECT sky_id, n_events, any_value(o) AS observed, count(*) AS n_null, avg(x) AS null_mean, stddev_pop(x) AS null_sd,
   (count(CASE WHEN x >= o THEN 1 END) + 1) / (count(*) + 1){D} AS p_value FROM j GROUP BY ALL)
-SELECT *, (observed - null_mean) / null_sd AS z, CASE WHEN p_value < 0.05{D} THEN 'SIGNATURE_DETECTED' ELSE 'NO_SIGNATURE' END AS verdict FROM a""")
+SELECT *, (observed - null_mean) / null_sd AS z, CASE WHEN p_value < 0.05{D} THEN 'SIGNATURE_DETECTED' ELSE 'NO_SIGNATURE' END AS verdict FROM a
+UNION ALL SELECT sky_id, count(*), NULL, NULL, NULL, NULL, NULL, NULL, 'TOO_FEW_EVENTS' FROM v_catalogue GROUP BY 1 HAVING count(*) < 30""")
 
 # Control skies sized like the largest single sky of the catalogue.
 ONE = "nmax AS (SELECT max(n) AS n_events FROM (SELECT count(*) AS n FROM v_catalogue WHERE sky_id >= 0 GROUP BY sky_id))"

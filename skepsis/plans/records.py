@@ -82,10 +82,10 @@ WITH c AS (SELECT sample_id, unit, CASE WHEN unit = 'none' THEN 'train' ELSE spl
   string_agg(floor(v * 1000000.0::DOUBLE + 0.5::DOUBLE)::BIGINT, ',' ORDER BY idx) AS h FROM v_unit_cells GROUP BY ALL)
 SELECT count(*) AS n, count(DISTINCT split) AS splits, min(sample_id) AS first_id FROM c GROUP BY h HAVING count(DISTINCT split) > 1""")
 query("l6_missing_id_ranges", "run_id:s first_missing:l last_missing:l", lambda V: audit.missing_id_ranges(
-    V.evals, "candidate_id", 0, F.lit(20000), by="run_id", bucket=512), """
+    V.evals, "candidate_id", 0, V.evals.agg(F.max("candidate_id").alias("high")), by="run_id", bucket=512), """
 WITH i AS (SELECT run_id, candidate_id AS id, lag(candidate_id, 1, -1) OVER (PARTITION BY run_id ORDER BY candidate_id) AS p FROM v_evals)
 SELECT run_id, p + 1 AS first_missing, id - 1 AS last_missing FROM i WHERE id - p > 1
-UNION ALL SELECT run_id, max(id) + 1, 20000 FROM i GROUP BY 1 HAVING max(id) < 20000""")
+UNION ALL SELECT run_id, max(id) + 1, (SELECT max(candidate_id) FROM v_evals) FROM i GROUP BY 1 HAVING max(id) < (SELECT max(candidate_id) FROM v_evals)""")
 REC = ["score", "role", "status"]
 query("l7_reconcile", "candidate_id:l side:s cell:s", lambda V: audit.reconcile(V.evals, V.evals_b, "candidate_id", REC), """
 WITH j AS (SELECT coalesce(a.candidate_id, b.candidate_id) AS candidate_id, a.candidate_id AS l, b.candidate_id AS r,
@@ -221,7 +221,7 @@ SELECT candidate_id, score, cr, ci FROM r WHERE r = 1 ORDER BY score DESC, candi
 query("k3_stratified_starts", "quadrant:l candidate_id:l cr:d ci:d", lambda V: sweep.stratified_starts(V.evals.filter("status = 'OK'"), (0.0, 5.0, 0.0, 1.0)), """
 WITH q AS (SELECT candidate_id, cr, ci, CASE WHEN cr > 2.5 THEN 1 ELSE 0 END + CASE WHEN ci > 0.5 THEN 2 ELSE 0 END AS quadrant FROM v_evals WHERE status = 'OK'),
 r AS (SELECT *, row_number() OVER (PARTITION BY quadrant ORDER BY cr, ci, candidate_id) - 1 AS i, count(*) OVER (PARTITION BY quadrant) AS n FROM q)
-SELECT quadrant, candidate_id, cr, ci FROM r WHERE i % greatest(1, n // 2) = 0 ORDER BY quadrant, i LIMIT 8""")
+SELECT quadrant, candidate_id, cr, ci FROM r WHERE i % greatest(1, n // 2) = 0 AND i // greatest(1, n // 2) < 2 ORDER BY quadrant, i""")
 
 
 def _scores_by_role(V):

@@ -75,11 +75,13 @@ RESULT_SCHEMA = ("candidate_id bigint, cr double, ci double, score double, pears
 
 
 def read_result_tsv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Result rows.  Malformed rows are dropped, or kept with `_corrupt_record` when strict."""
-    r = spark.read.option("sep", "\t")
-    if strict:
-        return r.option("columnNameOfCorruptRecord", "_corrupt_record").schema(RESULT_SCHEMA + ", _corrupt_record string").csv(path)
-    return r.option("mode", "DROPMALFORMED").schema(RESULT_SCHEMA).csv(path)
+    """Result rows.  Malformed rows are dropped, or kept with `_corrupt_record` when strict.
+
+    Every line is parsed whole, whichever columns are selected later, so the rows kept never depend on the selection.
+    """
+    row = F.from_csv(F.col("value"), RESULT_SCHEMA + ", _corrupt_record string", {"sep": "\t", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    d = spark.read.text(path).filter(F.length("value") > 0).select(row.alias("_r")).select("_r.*")
+    return d if strict else d.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
 TRACE_SCHEMA = ("iter bigint, active_frac double, mean_abs_z double, std_abs_z double, mean_zr double, mean_zi double, "
@@ -92,12 +94,12 @@ def read_trace_tsv(spark: SparkSession, path: str) -> DataFrame:
     return d.fillna(0).withColumnRenamed("iter", "t")
 
 
-def read_value_file(spark: SparkSession, path: str, chunk_lines: bool = True) -> DataFrame:
+def read_value_file(spark: SparkSession, path: str) -> DataFrame:
     """Whitespace-separated numbers -> (file, t, v).
 
     Lines are read in parallel; a value's position is its place in the line plus the counts of the
-    lines before it, so a large file is not one row.  Lines are ordered by their byte block and row
-    index within the file.
+    lines before it, so a large file is not one row.  Lines are ordered by the start of their split in
+    the file, then by their order in the task that reads the split.
     """
     d = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
@@ -106,10 +108,11 @@ def read_value_file(spark: SparkSession, path: str, chunk_lines: bool = True) ->
     from ..operators.scale import materialize
     d = materialize(d.withColumn("_n", F.size("_p")))  # fixes the line ids before they are used twice
     line = F.floor(F.col("_ln") / 4096)
-    tot = d.withColumn("_c", line).groupBy("file", "_c").agg(F.sum("_n").alias("_t"))
-    base = tot.select("file", "_c", F.coalesce(F.sum("_t").over(W.partitionBy("file").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    inner = F.coalesce(F.sum("_n").over(W.partitionBy("file", "_c").orderBy("_ln").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("_c", line).withColumn("_in", inner).join(base, ["file", "_c"])
+    chunk = ["file", "_blk", "_c"]
+    tot = d.withColumn("_c", line).groupBy(*chunk).agg(F.sum("_n").alias("_t"))
+    base = tot.select(*chunk, F.coalesce(F.sum("_t").over(W.partitionBy("file").orderBy("_blk", "_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    inner = F.coalesce(F.sum("_n").over(W.partitionBy(*chunk).orderBy("_ln").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumn("_c", line).withColumn("_in", inner).join(base, chunk)
     return d.select("file", (F.col("_off") + F.col("_in")).alias("_s"), F.posexplode("_p").alias("_i", "_v")).select(
         "file", (F.col("_s") + F.col("_i") + 1).cast("bigint").alias("t"), F.col("_v").try_cast("double").alias("v"))
 
