@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -70,14 +70,21 @@ class Reference:
         self.language, self.classes, self.words, self.shares = language, classes, words, shares
 
 
-def _partial(refs: list["Reference"], limits: tuple):
-    """Counts of the texts that pass the rules: per language, words, characters by class, and the total."""
+def _partial(refs: list["Reference"], limits: tuple, share: float, known: frozenset | None):
+    """Counts of the texts that pass the rules: per language, characters by class, words, and the total.
+
+    Words are those of `known`, or, without it, those that hold `share` of a language's words in the part of the task
+    counted so far: what is frequent in all is so in some part.
+    """
     def run(batches):
-        counts, classes, words = Counter(), {}, {}
+        counts, classes, total = defaultdict(Counter), {}, Counter()
 
         def flush():
+            if known is None:
+                for lang, c in counts.items():
+                    counts[lang] = Counter({w: n for w, n in c.items() if n >= share * total[lang]})
             rows = [(lang, None, i, int(n)) for lang, c in classes.items() for i, n in enumerate(c) if n]
-            rows += [(lang, w, None, n) for (lang, w), n in counts.items()] + [(lang, None, -1, n) for lang, n in words.items()]
+            rows += [(lang, w, None, n) for lang, c in counts.items() for w, n in c.items()] + [(lang, None, -1, n) for lang, n in total.items()]
             cols = list(zip(*rows)) or [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())],
                                               names=["lang", "word", "class", "n"])
@@ -86,13 +93,12 @@ def _partial(refs: list["Reference"], limits: tuple):
             m = measure(texts, refs, *limits)
             for lang, ok, w, c in zip(b.column(0).to_pylist(), m["kept"], m["plain"], m["chars"]):
                 if ok:
-                    for x, n in Counter(w).items():
-                        counts[lang, x] += n
+                    total[lang] += len(w)
+                    counts[lang].update(w if known is None else filter(known.__contains__, w))
                     classes[lang] = classes.get(lang, 0) + c
-                    words[lang] = words.get(lang, 0) + len(w)
-            if len(counts) > FLUSH_WORDS:
+            if sum(map(len, counts.values())) > FLUSH_WORDS:
                 yield flush()
-                counts, classes, words = Counter(), {}, {}
+                counts, classes, total = defaultdict(Counter), {}, Counter()
         yield flush()
     return run
 
@@ -100,31 +106,38 @@ def _partial(refs: list["Reference"], limits: tuple):
 def references(docs: DataFrame, top: int = TOP_WORDS, most: int = MOST_LANGUAGES, least: int = LEAST_LANGUAGE_WORDS, limits: tuple = ()) -> list[Reference]:
     """References from counts over the documents of each `lang` (null is a language of its own).
 
-    A first pass counts all documents that pass the base rules, a second one those of them that lie near the first pass'
-    references, so that what the rules reject doesn't shape them.  At most the `most` languages with the most words, and
-    none under `least` words unless all are.  Each task adds up its own words first; of the totals, those with a share of
-    1 in 4 `top` of their language go on, which bounds what reaches the driver.  Words of equal count are taken in byte order.
+    A first pass over all documents that pass the base rules finds the words that are frequent in some part of a task, which
+    holds every word that is frequent in all.  A second pass counts those words over all documents that lie near the first
+    pass' references as well, so that what the rules reject doesn't shape them.  At most the `most` languages with the most words,
+    and none under `least` words unless all are; of the words, the `top` with a share of at least 1 in 4 `top` of their
+    language, equal counts in byte order.  What reaches the driver is bounded by these numbers.
     """
-    limits = limits or LIMITS
-    first = _collect(docs, [], limits, top, most, least)
-    return _collect(docs, first, limits, top, most, least) or first
+    limits, share = limits or LIMITS, 1 / (4 * top)
+    first, known = _collect(docs, [], limits, top, most, least, share / 8, None)
+    return _collect(docs, first, limits, top, most, least, share / 8, known)[0] or first
 
 
-def _collect(docs, refs, limits, top, most, least) -> list[Reference]:
-    sums = materialize(docs.select("lang", "text").mapInArrow(_partial(refs, limits), "lang string, word binary, class int, n long")
+def _collect(docs, refs, limits, top, most, least, share, known) -> tuple[list[Reference], frozenset]:
+    sums = materialize(docs.select("lang", "text").mapInArrow(_partial(refs, limits, share, known), "lang string, word binary, class int, n long")
                        .groupBy("lang", "word", "class").agg(F.sum("n").alias("n")))
-    sizes = sums.filter("class = -1").select("lang", F.col("n").alias("total")).orderBy(F.desc("total"), "lang").limit(most).collect()
-    sizes = [r for r in sizes if r["total"] >= least] or [r for r in sizes if r["total"]]
-    out = []
-    for r in sizes:
-        own = sums.filter(F.col("lang").eqNullSafe(F.lit(r["lang"])))
-        chars = np.zeros(len(CLASSES))
-        for c in own.filter("class >= 0").collect():
-            chars[c["class"]] = c["n"]
-        common = own.filter(F.col("word").isNotNull() & (F.col("n") * 4 * top >= r["total"])).orderBy(F.desc("n"), "word").limit(top).collect()
-        n = np.array([c["n"] for c in common], float)
-        out.append(Reference(r["lang"], chars / chars.sum(), {bytes(c["word"]): i for i, c in enumerate(common)}, np.r_[n, r["total"] - n.sum()] / r["total"]))
-    return out
+    totals = sums.filter("class = -1").select(F.col("lang").alias("of"), F.col("n").alias("total")).orderBy(F.desc("total"), "of").limit(most)
+    # At most `most` languages, and of each its classes and the words of the smaller share: both sides are small.
+    rows = sums.join(F.broadcast(totals), F.col("lang").eqNullSafe(F.col("of"))).filter(F.coalesce(F.col("class") >= 0, F.col("n") >= share * F.col("total"))).collect()
+    size = {r["lang"]: r["total"] for r in rows}
+    chosen = {k for k, n in size.items() if n >= least} or {k for k, n in size.items() if n}
+    out, names = [], set()
+    for lang in sorted(chosen, key=lambda k: (-size[k], k is not None, k)):
+        chars, words = np.zeros(len(CLASSES)), []
+        for r in rows:
+            if r["lang"] == lang and r["word"] is None:
+                chars[r["class"]] = r["n"]
+            elif r["lang"] == lang:
+                words.append((-r["n"], bytes(r["word"])))
+        names.update(w for _, w in words)
+        common = [(w, -n) for n, w in sorted(words)[:top] if -n * 4 * top >= size[lang]]
+        n = np.array([k for _, k in common], float)
+        out.append(Reference(lang, chars / chars.sum(), {w: i for i, (w, _) in enumerate(common)}, np.r_[n, size[lang] - n.sum()] / size[lang]))
+    return out, frozenset(names)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -175,16 +188,23 @@ def measure(texts: list[str], refs: list[Reference], class_limit: float, class_s
     n = np.array([len(w) for w in words], np.int64)
     repeats = repeat_words(words)
     failed = (n < 20) | (100 * repeats > 30 * n)
+    del words
     chars = class_counts(texts)
     size = chars.sum(1)
     plain = [plain_words(d) for d in data]
     many = np.array([len(w) for w in plain])
     near_c, near_w, nearest = np.full(len(texts), np.inf), np.full(len(texts), np.inf), np.full(len(texts), None, object)
+    every = {w: i for i, w in enumerate(dict.fromkeys(w for r in refs for w in r.words))}
+    counts = np.zeros((len(texts), len(every)))
+    if every:                                               # counts of all references' words at once
+        get = every.get
+        at = [[i for i in map(get, p) if i is not None] for p in plain]
+        counts = np.bincount(np.repeat(np.arange(len(texts)), [len(a) for a in at]) * len(every) + np.array([i for a in at for i in a], np.int64),
+                             minlength=len(texts) * len(every)).reshape(len(texts), -1)
     for r in refs:
         near_c = np.minimum(near_c, js_distance(chars / np.maximum(size, 1)[:, None], r.classes))
-        last, get = len(r.words), r.words.get
-        own = np.stack([np.bincount([get(w, last) for w in p], minlength=last + 1) if p else np.zeros(last + 1) for p in plain])
-        d = js_distance(own / np.maximum(many, 1)[:, None], r.shares)
+        own = counts[:, [every[w] for w in r.words]]
+        d = js_distance(np.c_[own, many - own.sum(1)] / np.maximum(many, 1)[:, None], r.shares)
         nearest[d < near_w] = r.language
         near_w = np.minimum(near_w, d)
     by_class, by_word = (size >= least_chars) & np.isfinite(near_c), (many >= least_words) & np.isfinite(near_w)
