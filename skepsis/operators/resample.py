@@ -215,16 +215,20 @@ def effect_size(values: DataFrame, by, value: str = "difference", minimum: int =
 
 def paired_temporal_test(trace: DataFrame, base: DataFrame, key: str = "series_id", by=("all",), reps: int = 1000,
                          seed=0, minimum: int = 20, size: int = CHUNK) -> DataFrame:
-    """Baseline adjustment, detrending, matching, effect size, bootstrap interval, sign-flip p."""
+    """Baseline adjustment, detrending, matching, effect size, bootstrap interval, sign-flip p.
+
+    A group without any matched pair keeps its row: n = 0, status INSUFFICIENT_DATA, no inference.
+    """
     from . import pairing
     adj = pairing.baseline_adjust(trace, base, key)
     resp = pairing.responses(adj, key, size)
     d = pairing.matched_differences(materialize(resp), key, 10, size)
     by = list(by)
+    groups = trace.sparkSession.range(1).select(F.lit(1).alias("all")) if by == ["all"] else resp.select(*by).distinct()
     if by == ["all"]:
         d = d.withColumn("all", F.lit(1))
     d = materialize(d)
-    e = effect_size(d, by, minimum=minimum)
+    e = groups.join(effect_size(d, by, minimum=minimum), by, "left").fillna({"n": 0, "status": "INSUFFICIENT_DATA"})
     ci = bootstrap_mean_ci(d, by, [key, "t"], F.floor(F.col(key) / 64), reps=reps, seed=seed)
     p = sign_flip_test(d, by, [key, "t"], reps=reps, seed=seed)
-    return e.join(ci, by).join(p, by)
+    return e.join(ci, by, "left").join(p, by, "left")

@@ -16,24 +16,28 @@ from ..sources.files import parse_catalogue
 
 
 def running_best(log: DataFrame, key: str = "run_id", id: str = "candidate_id", score: str = "score") -> DataFrame:
-    """A NEW_BEST row whenever a key's best score improves within arrival order of its batch.
+    """A NEW_BEST row whenever a key's best score improves in id order, batch after batch.
 
-    State is the best score of the key.  Rows of a batch are reduced to the maxima per id order by
-    the function itself, in bounded chunks.
+    State is the best score of the key.  A row that does not top the rows of its chunk with smaller ids can't be a new best,
+    so only each chunk's running maxima are held until the batch's last chunk, and then put in order.
     """
     schema = f"{key} string, {id} bigint, {score} double, previous double"
 
     def update(k, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         best = state.get[0] if state.exists else None
+        tops = []
         for pdf in chunks:
             pdf = pdf.dropna(subset=[score]).sort_values(id, kind="stable")
-            out = []
+            tops.append(pdf[pdf[score] > pdf[score].cummax().shift(fill_value=float("-inf") if best is None else best)])
+        out = []
+        if tops:
+            pdf = pd.concat(tops).sort_values(id, kind="stable")
             for i, s in zip(pdf[id], pdf[score]):
                 if best is None or s > best:
                     out.append((k[0], int(i), float(s), best))
                     best = float(s)
-            if out:
-                yield pd.DataFrame(out, columns=[key, id, score, "previous"])
+        if out:
+            yield pd.DataFrame(out, columns=[key, id, score, "previous"])
         if best is not None:
             state.update((best,))
     return log.select(key, id, score).groupBy(key).applyInPandasWithState(
@@ -98,33 +102,38 @@ def catalogue(lines: DataFrame, delimiter: str, header: list[str] | None, energy
     return out if energy_cut is None else out.filter(F.col("energy").isNull() | (F.col("energy") >= energy_cut))
 
 
-def runs(values: DataFrame, key: str, t: str = "t", q: str = "q", max_idle: str | None = None) -> DataFrame:
-    """Closed runs of equal consecutive values, with the open run kept as state.
+def runs(values: DataFrame, key: str, t: str = "t", q: str = "q", ts: str = "ts", max_idle_s: int = 3600, delay: str = "0 seconds") -> DataFrame:
+    """Runs of equal consecutive values, each emitted once: when the next value differs, or when the watermark passes
+    the run's last `ts` by `max_idle_s` seconds.
 
-    A run closes when the next value differs; positions must arrive in order across batches and are
-    sorted inside one.
+    The open run is the state.  Positions must arrive in order across batches; a batch's own rows are put in order first.
     """
     schema = f"{key} string, {q} bigint, start bigint, length bigint"
 
     def update(k, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cur = state.get if state.exists else None
-        frames = [c for c in chunks]
-        pdf = pd.concat(frames).sort_values(t, kind="stable")
-        new = (pdf[q] != pdf[q].shift()).cumsum()
-        g = pdf.groupby(new).agg(v=(q, "first"), start=(t, "first"), n=(t, "size"))
         out = []
-        for v, st, n in zip(g["v"], g["start"], g["n"]):
-            if cur is not None and cur[0] == v:
-                cur = (cur[0], cur[1], cur[2] + int(n))
-            else:
-                if cur is not None:
-                    out.append((k[0], int(cur[0]), int(cur[1]), int(cur[2])))
-                cur = (int(v), int(st), int(n))
-        state.update(tuple(int(x) for x in cur))
+        if state.hasTimedOut:
+            out.append((k[0], *cur[:3]))
+            state.remove()
+        else:
+            pdf = pd.concat([c[[t, q, "_ms"]] for c in chunks]).sort_values(t, kind="stable")
+            new = (pdf[q] != pdf[q].shift()).cumsum()
+            g = pdf.groupby(new).agg(v=(q, "first"), start=(t, "first"), n=(t, "size"), ms=("_ms", "max"))
+            for v, st, n, ms in zip(g["v"], g["start"], g["n"], g["ms"]):
+                if cur is not None and cur[0] == v:
+                    cur = (cur[0], cur[1], cur[2] + int(n), int(ms))
+                else:
+                    if cur is not None:
+                        out.append((k[0], *cur[:3]))
+                    cur = (int(v), int(st), int(n), int(ms))
+            state.update(cur)
+            state.setTimeoutTimestamp(max(cur[3] + 1000 * max_idle_s, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=[key, q, "start", "length"])
-    return values.select(F.col(key).cast("string").alias(key), t, q).groupBy(key).applyInPandasWithState(
-        update, schema, "q bigint, start bigint, length bigint", "append", GroupStateTimeout.NoTimeout)
+    rows = values.withWatermark(ts, delay).select(F.col(key).cast("string").alias(key), t, q, ts, F.unix_millis(ts).alias("_ms"))
+    return rows.groupBy(key).applyInPandasWithState(
+        update, schema, "q bigint, start bigint, length bigint, ms bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> None:

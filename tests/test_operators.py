@@ -234,3 +234,108 @@ def test_bootstrap_interval_covers(spark):
     h = spark.createDataFrame([("k", i, float(i % 2)) for i in range(200)], "k string, id bigint, hit double")
     r = resample.bootstrap_ci(h, "k", "id", 300, 1).first()
     assert r.mean == 0.5 and 0.40 < r.lo < 0.5 < r.hi < 0.60
+
+
+# -- nothing is dropped: no caps, prefixes or lost rows ------------------------------------------------------
+
+def test_missing_ids_reach_the_largest_id(spark):
+    ids = spark.createDataFrame([("a", i) for i in (0, 1, 70_000)] + [("b", 30_000)], "run string, id long")
+    top = ids.agg(F.max("id"))
+    got = {(r["run"], r["first_missing"], r["last_missing"]) for r in audit.missing_id_ranges(ids, "id", 0, top, by="run", bucket=512).collect()}
+    assert got == {("a", 2, 69_999), ("b", 0, 29_999), ("b", 30_001, 70_000)}
+
+
+def test_every_quadrant_has_its_starts(spark):
+    from skepsis.operators import sweep
+    points = spark.createDataFrame([(100 * q + i, 0.1 * i + 5 * (q % 2), 0.1 * i + 5 * (q // 2)) for q in range(4) for i in range(5)] , "candidate_id long, cr double, ci double")
+    got = sweep.stratified_starts(points, (0.0, 9.0, 0.0, 9.0)).groupBy("quadrant").count().collect()
+    assert {r["quadrant"]: r["count"] for r in got} == {0: 2, 1: 2, 2: 2, 3: 2}
+
+
+def test_frame_divergence_uses_all_cells(spark):
+    base = [0.0] * 1800
+    moved = [1.0 if i == 1 else 0.0 for i in range(1800)]
+    frames = spark.createDataFrame([(1, 1, base), (1, 2, moved)], "series_id long, t long, vals array<double>")
+    assert seq.frame_divergence(frames, 1800).first()["divergence"] == pytest.approx(1 / 1800)
+    assert seq.frame_divergence(frames, 1800, stride=9).first()["divergence"] == 0
+
+
+def test_small_sky_is_reported(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(45, 3))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    events = spark.createDataFrame([(1 if i < 5 else 2, *map(float, x)) for i, x in enumerate(v)], "sky_id long, ux double, uy double, uz double")
+    got = {r["sky_id"]: r for r in sphere.score_catalogue(events, 5, 9, "s").collect()}
+    assert (got[1]["verdict"], got[1]["n_events"], got[1]["p_value"]) == ("TOO_FEW_EVENTS", 5, None)
+    assert got[2]["n_events"] == 40 and 0 < got[2]["p_value"] <= 1
+
+
+def test_missing_features_count_as_zero(spark):
+    train = spark.createDataFrame([(i, "ab"[i % 2], f, float(i % 2 * 3 + (i // 2) % 2 + k)) for i in range(8) for k, f in enumerate(("f", "g"))],
+                                  "sample_id long, label string, name string, value double")
+    model = models.fit(train)
+    m = {(r["name"], r["label"]): r for r in model.collect()}
+    test = spark.createDataFrame([(1, "f", 4.0), (2, "unknown", 1.0)], "sample_id long, name string, value double")
+    got = {(r["sample_id"], r["label"]): (r["dist2"], r["score"]) for r in models.class_scores(test, model).collect()}
+    for sample, value in ((1, 4.0), (2, None)):
+        for label in "ab":
+            z = {"f": 0.0 if value is None else (value - m["f", label]["mu"]) / m["f", label]["sd"], "g": 0.0}
+            want = (sum((z[n] - m[n, label]["c"]) ** 2 for n in "fg"), sum(z[n] * m[n, label]["w"] + m[n, label]["b"] for n in "fg"))
+            assert got[sample, label] == pytest.approx(want)
+    assert models.predict(models.class_scores(test, model)).count() == 2
+
+
+def test_result_rows_do_not_depend_on_the_selection(spark, tmp_path):
+    good = "\t".join(["1"] + ["0.5"] * 11 + ["4", "0.5", "0.5", "OK"])
+    (tmp_path / "r.tsv").write_text("\n".join([good, good.replace("0.5", "x", 1), "1\t2", good + "\textra\tmore"]) + "\n")
+    d = files.read_result_tsv(spark, str(tmp_path))
+    assert d.count() == d.select("score").count() == len(d.collect()) == len(d.select("score").collect()) == 1
+    assert files.read_result_tsv(spark, str(tmp_path), strict=True).filter("_corrupt_record is not null").count() == 3
+
+
+def test_lines_of_a_split_file_keep_their_order(spark, tmp_path):
+    n = 20_000
+    (tmp_path / "v.txt").write_text("".join(f"{i} {i + 0.5}\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        d = files.read_value_file(spark, str(tmp_path))
+        assert d.filter(F.col("v") != (F.col("t") - 1) / 2).count() == 0 and d.count() == 2 * n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_one_of_two_copies_in_a_batch_is_accepted(spark):
+    row = "run_id string, step long, candidate_id long, score double"
+    log = spark.createDataFrame([("r", 1, 1, 0.5)], row)
+    batch = spark.createDataFrame([("r", 2, 7, 0.1), ("r", 2, 7, 0.1), ("r", 1, 1, 0.5), ("r", 1, 9, 0.2), ("s", 1, 1, 0.3)], row)
+    got = sorted((r["run_id"], r["candidate_id"], r["verdict"]) for r in evidence.append_check(log, batch).collect())
+    assert got == [("r", 1, "duplicate"), ("r", 7, "accepted"), ("r", 7, "duplicate"), ("r", 9, "late"), ("s", 1, "accepted")]
+
+
+def test_collisions_within_the_tolerance(spark):
+    grid = 1e-8
+    a = [0.5 * grid, 1.0]
+    rows = [(1, r, i, v) for r, d in (("A", 0.0), ("B", 2e-11), ("AB", 8e-9), ("opposite", 5.0)) for i, v in enumerate([a[0] - 1e-11 + d, a[1]])]
+    got = response.collisions(spark.createDataFrame(rows, "world_id long, role string, idx long, v double")).first()
+    assert (got["interventions"], got["merged"]) == (4, 1)
+
+
+def test_rank_of_nearly_parallel_roles(spark):
+    def rank(*vectors):
+        rows = [(1, f"r{k}", i, float(x)) for k, v in enumerate(vectors) for i, x in enumerate(v)]
+        return response.effective_rank(spark.createDataFrame(rows, "world_id long, role string, idx long, v double"), [f"r{k}" for k in range(len(vectors))]).first()["rank"]
+    assert rank((1, 0), (1, 1e-5)) == 2 and rank((1, 0), (1, 1e-12)) == 1 and rank((1, 2, 3), (2, 4, 6), (0, 0, 0)) == 1
+    assert rank((1, 0, 0), (0, 1, 0), (1, 1, 0), (0, 0, 3)) == 3
+
+
+def test_manifest_states(spark, tmp_path):
+    for n, t in (("a", "1"), ("b", "2"), ("c", "3")):
+        (tmp_path / n).write_text(t)
+    stored = [tuple(r) for r in files.file_manifest(spark, str(tmp_path)).collect()]
+    (tmp_path / "a").unlink()
+    (tmp_path / "b").write_text("two")
+    (tmp_path / "d").write_text("4")
+    before = spark.createDataFrame(stored, "file string, bytes long, sha256 string")
+    got = {r["file"].rsplit("/", 1)[-1]: r["state"] for r in files.compare_manifest(before, files.file_manifest(spark, str(tmp_path))).collect()}
+    assert got == {"a": "missing", "b": "changed", "c": "same", "d": "new"}
