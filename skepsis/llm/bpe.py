@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from .common import record, slices
 
-CACHE_SLICES = 500_000
+CACHE_SLICES = 400_000
 LANE = 256
 LONG_SLICE = 200
 NONE = 1 << 40

@@ -29,7 +29,7 @@ LEVEL = 9
 THRESHOLD = 0.7
 LEAST_PLACES = 5
 CONTRAST = 8.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CODES: dict[str, bytes] = {}
