@@ -12,7 +12,7 @@ from skepsis.llm.common import materialize, table
 
 #: Near-duplicates of the pipeline: shingles of five words, and the bits within which texts of a similarity of 0.8 and more mostly
 #: lie, of the fingerprint that is searched and of the second one that is checked.
-WORDS, RADIUS, CHECK = 5, 9, 17
+WORDS, RADIUS, CHECK = 5, 11, 17
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
