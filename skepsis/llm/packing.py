@@ -39,7 +39,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, most: int = MOST_TOKENS
         coder = load(path)
         for b in slices(batches, 1024):
             d, s, n, t, x = [], [], [], [], []
-            for doc, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist())):
+            for doc, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1).cast(pa.binary()).to_pylist())):
                 ids += end
                 at, total = 0, len(ids) // 4
                 for k in binary_lengths(total, most):

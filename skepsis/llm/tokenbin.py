@@ -149,7 +149,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
             return record(_SEGMENT, part=[part], no=[no], n_ids=[size], doc_ids=[docs], lengths=[lengths],
                           offsets=[offsets.astype("<i8").tobytes()], words=[words.astype("<u8").tobytes()])
         for b in slices(batches, 1024):
-            for doc, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist())):
+            for doc, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1).cast(pa.binary()).to_pylist())):
                 ids += end
                 docs.append(doc), lengths.append(len(ids) // 4), held.append(ids)
                 size += len(ids) // 4

@@ -58,7 +58,8 @@ class WordTokenizer:
         data, cuts = ids.tobytes(), cuts.tolist()
         return {w: data[a:b] for w, a, b in zip(words, [0, *cuts], cuts)}
 
-    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, missing: set[bytes], here: dict[bytes, bytes]) -> dict[bytes, bytes]:
+        """Ids of the missing runs; `here` are the known ones of the same texts."""
         cache, ascii_, other, parted = self.cache, [], [], []
         for w in missing:
             if w.isalpha():
@@ -67,7 +68,8 @@ class WordTokenizer:
                 parted.append((w, core, w[len(core):]))
             else:
                 other.append(w)
-        parts = {x for _, *ab in parted for x in ab if x not in cache and x not in missing}
+        # Full caches take no more runs: then a part may be known from these texts only.
+        parts = {x for _, *ab in parted for x in ab if x not in here and x not in missing and x not in cache}
         ascii_ += [x for x in parts if x.isalpha()]
         other += [x for x in parts if not x.isalpha()]
         letters, hard = [], []
@@ -83,30 +85,25 @@ class WordTokenizer:
             for w, e in zip(hard, self.full.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False)):
                 found[w] = np.asarray(e.ids, "<u4").tobytes()
         for w, core, tail in parted:
-            a, b = found.get(core), found.get(tail)
-            found[w] = (cache[core] if a is None else a) + (cache[tail] if b is None else b)
+            a, b = found.get(core) or here.get(core) or cache.get(core), found.get(tail) or here.get(tail) or cache.get(tail)
+            found[w] = a + b
         return found
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; a null or empty text has none."""
-        runs = [t.encode().lower().split() if t else [] for t in texts]
-        distinct, cache = set().union(*runs), self.cache
-        missing = {w for w in distinct if w not in cache}
-        found = self._learn(missing) if missing else {}
-        if len(cache) + len(found) <= self.most:
-            cache.update(found)
-        else:
-            cache = _Both(cache, found)
-        here = {w: cache[w] for w in distinct}.__getitem__
+    def encode(self, texts: list[str | bytes | None]) -> list[bytes]:
+        """Ids of each text (a string, or its UTF-8 bytes) as little-endian unsigned 32-bit integers; a null or empty one has none."""
+        runs = [(t if isinstance(t, bytes) else t.encode()).lower().split() if t else [] for t in texts]
+        here, missing, known = {}, set(), self.cache.get
+        for w in set().union(*runs):
+            ids = known(w)
+            if ids is None:
+                missing.add(w)
+            else:
+                here[w] = ids
+        if missing:
+            found = self._learn(missing, here)
+            here |= found
+            if len(self.cache) + len(found) <= self.most:
+                self.cache.update(found)
+        here = here.__getitem__
         return [b"".join(map(here, r)) for r in runs]
 
-
-class _Both(dict):
-    """This batch's words, then the cache: used once the cache is full, so memory stays bounded."""
-
-    def __init__(self, cache: dict, found: dict):
-        super().__init__(found)
-        self.cache = cache
-
-    def __missing__(self, w):
-        return self.cache[w]
