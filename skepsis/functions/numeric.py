@@ -54,16 +54,6 @@ def bin_index(v, lo, hi, bins: int) -> Column:
     return F.coalesce(clamp(b, 0, bins - 1), F.lit(0)).cast("bigint")
 
 
-def safe_sqrt(c) -> Column:
-    return F.sqrt(F.greatest(col(c), F.lit(0.0)))
-
-
-def central_moments(v) -> list[Column]:
-    """Aggregates n and the raw power sums of a (pre-centred or raw) column."""
-    v = col(v)
-    return [F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var")]
-
-
 def let(value, body) -> Column:
     """Evaluate `value` once and hand it to `body` (an expression named twice, or used inside a
     lambda, would otherwise be evaluated at every use)."""

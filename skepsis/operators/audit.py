@@ -117,12 +117,6 @@ def null_block_audit(candidates: DataFrame, blocks: DataFrame, block: str, score
         F.col("_b._id").alias("candidate_id"), F.col(f"_b.{score}").eqNullSafe(F.col("stored_max")).alias("matches"))
 
 
-def cumulative_blocks(budgets: DataFrame, id: str, budget: str) -> DataFrame:
-    """Half-open position ranges [start, stop) of consecutive blocks (one row per block)."""
-    w = W.partitionBy(F.lit(0)).orderBy(id).rowsBetween(W.unboundedPreceding, 0)
-    return budgets.withColumn("stop", F.sum(budget).over(w)).withColumn("start", F.col("stop") - F.col(budget))
-
-
 def classify_role(log: DataFrame, rules: list[tuple[str, Column]], default: str, out: str = "audit_role") -> DataFrame:
     """First matching rule names the role of a row."""
     e = None

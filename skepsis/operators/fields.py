@@ -364,15 +364,6 @@ def geometry_columns(w: int, h: int) -> dict:
     }
 
 
-def geometry_cells(spark, w: int, h: int) -> DataFrame:
-    xy = spark.range(w * h).select(F.col("id").alias("idx"), F.floor(F.col("id") / w).alias("y"),
-                                   (F.col("id") % w).alias("x"))
-    g = geometry_columns(w, h)
-    arms = F.array(*[F.struct(F.lit(n).alias("name"), e.cast("double").alias("v")) for n, e in g.items()])
-    return xy.select("idx", "y", "x", F.explode(arms).alias("g")).select(
-        F.col("g.name").alias("name"), "y", "x", "idx", F.col("g.v").alias("v"))
-
-
 def geometry_arrays(w: int, h: int) -> Column:
     """array<struct<name, vals>> of all geometries as one row-local expression."""
     pi = math.pi

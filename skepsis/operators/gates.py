@@ -36,10 +36,6 @@ def rule_cascade(metrics: DataFrame, keys, rules: Rules) -> DataFrame:
     return p.withColumn("status", status.otherwise(rules.default))
 
 
-def checks_long(decided: DataFrame, keys, rules: Rules) -> DataFrame:
-    return decided.unpivot(names(keys) + ["status"], list(rules.checks), "check", "passed")
-
-
 # Thresholds and statuses of the published decision rules.
 
 PASSIVE = Rules(

@@ -1,12 +1,11 @@
 """Does a feature identify the group instead of the label?"""
 from __future__ import annotations
 
-import math
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.numeric import entropy_bits, ratio
-from .scale import names, value_ranks
+from ..functions.numeric import entropy_bits
+from .scale import value_ranks
 
 
 def binned_mi(features: DataFrame, targets: dict, bins: int = 8, name: str = "name", value: str = "value") -> DataFrame:

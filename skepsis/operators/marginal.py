@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import bin_index, clamp, col, entropy_bits, entropy_nats, ratio, trunc
+from ..functions.numeric import bin_index, clamp, col, entropy_bits, entropy_nats, trunc
 from .degrade import to_float16, to_float32
 from .scale import names, rank_quantiles
 

@@ -5,8 +5,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import col
-from .marginal import with_stats
-from .scale import CHUNK, dense_position, names, replicate, running, with_local
+from .scale import CHUNK, dense_position, names, running, with_local
 
 
 def pair_join(features: DataFrame, ref: Column, alt: Column, on=("grp", "seed", "name"),

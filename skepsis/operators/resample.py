@@ -4,8 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import hash_sign, hash_uniform
-from ..functions.numeric import col, dbl, ratio
-from .marginal import with_stats
+from ..functions.numeric import dbl, ratio
 from .scale import CHUNK, dense_position, hash_bucket, materialize, names, replicate, running
 
 
@@ -31,10 +30,6 @@ def shuffle_values(df: DataFrame, by, id: str, value: str, seed, bucket: Column
     return df.join(p, by + [id]).join(v, by + ["donor"]).drop("donor")
 
 
-def replicate_ids(ids: DataFrame, n: int) -> DataFrame:
-    return replicate(ids, n)
-
-
 # -- event trains ---------------------------------------------------------------------------------------
 
 def matched_event(series: DataFrame, events: DataFrame, key: str, seed, by: tuple = ()) -> DataFrame:
@@ -168,14 +163,18 @@ def empirical_p(null: DataFrame, observed: DataFrame, by, value: str = "stat", o
 def null_statistics(null: DataFrame, observed: DataFrame, by, value: str = "stat", obs: str = "observed") -> DataFrame:
     """Null summary per group; groups without null values are UNRESOLVED.  Percentile is the share
     strictly below the observation."""
+    from .scale import rank_quantiles
     by = names(by)
     x, o = F.col("_x"), F.col("_o")
+    # the exact median by ranks of distinct values: no task holds a group's values
+    median = rank_quantiles(null.filter(F.col(value).isNotNull()), by, value, {"null_median": lambda n: (n - 1) / 2.0})
     j = observed.select(*by, F.col(obs).alias("_o")).join(null.select(*by, F.col(value).alias("_x")), by, "left")
     ge = F.count(F.when(x >= o, 1))
     n = F.count(x)
     a = j.groupBy(*by).agg(
         n.alias("n"), F.max(o).alias(obs), F.avg(x).alias("null_mean"), F.stddev_samp(x).alias("null_std"),
-        F.percentile(x, F.lit(0.5)).alias("null_median"), F.max(x).alias("null_max"), ge.alias("exceedances"))
+        F.max(x).alias("null_max"), ge.alias("exceedances"))
+    a = a.join(median, by, "left")
     some = F.col("n") > 0
     return a.select(
         *by, F.when(some, "OK").otherwise("UNRESOLVED").alias("status"), obs, "n", "null_mean", "null_std", "null_median",

@@ -196,10 +196,6 @@ def byte_level(v) -> Column:
     return trunc(col(v) * 256.0).bitwiseAND(255)
 
 
-def palette_level(v, n: int = 10) -> Column:
-    return F.least(F.greatest(trunc(col(v) * float(n)), F.lit(0)), F.lit(n - 1))
-
-
 def step_stats(series: DataFrame, key: str = S, v: str = "v", size: int = CHUNK) -> DataFrame:
     """Drift |last - first|, mean |step|, frozen flag, and skewness / excess kurtosis of the steps."""
     inc = increments(series.select(key, "t", v), key, v, size)

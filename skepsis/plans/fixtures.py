@@ -5,7 +5,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.hashing import hash_uniform
 from ..operators import degrade, fields, scale
 
 W, H = 8, 8

@@ -1,10 +1,10 @@
 """Queries that pass the given tables through files and streams and read them back."""
 from pyspark.sql import functions as F
 
-from ..operators import evidence, models, scale, sequence as seq
+from ..operators import evidence, models, scale
 from ..sources import files
 from ..streaming import streams
-from .experiments import CLASSIFIER, TEST, _test, _train, lst
+from .experiments import CLASSIFIER, _test, _train
 from .spec import query
 
 D = "::DOUBLE"

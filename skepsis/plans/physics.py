@@ -1,9 +1,8 @@
 """Queries over directions and responses."""
-import math
 
 from pyspark.sql import functions as F
 
-from ..operators import gates, pairing, resample, response, scale, sphere
+from ..operators import gates, resample, response, scale, sphere
 from ..functions.hashing import hash_uniform
 from .spec import query
 

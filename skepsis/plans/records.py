@@ -2,8 +2,8 @@
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_seed
-from ..operators import audit, degrade, evidence, fields, gates, leakage, marginal, models, sequence as seq, sphere, sweep
-from .experiments import HITS, SQL_TRAIN, TEST, TRAIN, is_train, lst, pair_sql
+from ..operators import audit, degrade, evidence, fields, gates, leakage, marginal, models, sphere, sweep
+from .experiments import SQL_TRAIN, TEST, is_train, lst, pair_sql
 from .fixtures import H, W
 from .spec import query
 

@@ -339,3 +339,39 @@ def test_manifest_states(spark, tmp_path):
     before = spark.createDataFrame(stored, "file string, bytes long, sha256 string")
     got = {r["file"].rsplit("/", 1)[-1]: r["state"] for r in files.compare_manifest(before, files.file_manifest(spark, str(tmp_path))).collect()}
     assert got == {"a": "missing", "b": "changed", "c": "same", "d": "new"}
+
+
+def test_stable_seed_is_crc32(spark):
+    import zlib
+    from skepsis.functions.hashing import stable_seed, stable_seed_scalar
+    names = ["", "a", "É\u0301日本", "x" * 500]
+    got = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, k long").select("name", "k", stable_seed("name", F.col("k"), 53000).alias("s")).collect()
+    assert [r["s"] for r in got] == [(53000 + 1000 * r["k"] + zlib.crc32(r["name"].encode())) % 2**31 for r in got] == [stable_seed_scalar(r["name"], r["k"], 53000) for r in got]
+
+
+def test_append_keeps_accepted_and_rejected(spark, tmp_path):
+    row = "run_id string, step long, candidate_id long, score double"
+    log = spark.createDataFrame([("r", 1, 1, 0.5)], row)
+    batch = spark.createDataFrame([("r", 2, 7, 0.1), ("r", 2, 7, 0.1), ("r", 1, 1, 0.5)], row)
+    evidence.append_evals(log, batch, str(tmp_path / "log"), str(tmp_path / "rejected"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 1 and spark.read.parquet(str(tmp_path / "rejected")).count() == 2
+
+
+def test_null_median_of_ties_and_groups_without_null(spark):
+    null = spark.createDataFrame([("a", float(v)) for v in (1, 1, 2, 8)], "g string, stat double")
+    obs = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "g string, observed double")
+    got = {r["g"]: r for r in resample.null_statistics(null, obs, "g").collect()}
+    assert (got["a"]["null_median"], got["a"]["minus_median"], got["a"]["exceedances"]) == (1.5, 1.5, 1)
+    assert (got["b"]["status"], got["b"]["null_median"]) == ("UNRESOLVED", None)
+
+
+def test_streams_order_batches_and_close_runs(spark, tmp_path):
+    from skepsis.streaming import streams
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = lambda xs: spark.createDataFrame(xs, "k string, t long, q long, s long").selectExpr("k", "t", "q", "timestamp_seconds(1700000000 + s) as ts")
+    for part in ([("a", 2, 1, 2), ("a", 1, 1, 1), ("b", 1, 5, 1)], [("a", 3, 0, 3), ("b", 2, 5, 2)], [("z", 1, 0, 10**8)]):
+        rows(part).coalesce(1).write.mode("append").parquet(src)
+    d = spark.readStream.schema("k string, t long, q long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    streams.to_table(streams.runs(d, "k", delay="1 day"), out, str(tmp_path / "state"))
+    got = {(r["k"], r["q"], r["start"], r["length"]) for r in spark.read.parquet(out).collect()}
+    assert got == {("a", 1, 1, 2), ("a", 0, 3, 1), ("b", 5, 1, 2)}
