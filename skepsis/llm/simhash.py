@@ -37,6 +37,7 @@ MOST_PARTITIONS = 5
 #: What one emitted row costs beside one compared pair.
 ROW_COST = 30.0
 ONE = np.uint64(1)
+NO_ID = (1 << 63) - 1
 
 
 def _majority(h: np.ndarray) -> int:
@@ -319,13 +320,13 @@ def components(docs: DataFrame, radius: int = 2, words: int = 3, check: int | No
     returned; a null doc_id is a component's id only if it has no other; other columns are not read; an empty table has no rows.
     """
     rows = materialize(fingerprints(docs, words, check is not None))
-    nodes = materialize(rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    # A node is labelled by its smallest doc_id, then by a number of its own: the smallest label of a component names it.
+    nodes = materialize(rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first")).select(
+        "fp", "fp2", F.struct(F.coalesce("first", F.lit(NO_ID)).alias("first"), F.monotonically_increasing_id().alias("no")).alias("node")))
     found = links(nodes, radius, plan(nodes, radius), BITS if check is None else check)
     side = lambda x: nodes.select(F.col("fp").alias(x), F.col("fp2").alias(x + "2"), F.col("node").alias("n" + x))
     pairs = found.join(side("a"), ["a", "a2"]).join(side("b"), ["b", "b2"]).select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    rooted = nodes.join(connected(pairs), "node", "left").select("fp", "fp2", "first", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "fp2", "component_id")
+    named = nodes.join(connected(pairs), "node", "left").select("fp", "fp2", F.nullif(F.coalesce("root", "node")["first"], F.lit(NO_ID)).alias("component_id"))
     return rows.join(named, ["fp", "fp2"]).select("doc_id", "fp", "component_id")
 
 

@@ -22,7 +22,7 @@ from .common import extend
 
 SAMPLE_TOXIC = 3_000
 SAMPLE_ORDINARY = 6_000
-SAMPLE_BYTES = 32 << 10
+SAMPLE_BYTES = 16 << 10
 WINDOW_WORDS = 64
 DICTIONARY_BYTES = 16 << 10
 LEVEL = 9
