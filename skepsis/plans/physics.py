@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import gates, resample, response, scale, sphere
+from ..sources import files
 from ..functions.hashing import hash_uniform
 from .spec import query
 
@@ -150,16 +151,46 @@ query("g10_rotation_check", "n:l max_residual:d det_min:d det_max:d max_angle_er
 SELECT count(*) AS n, 0.0 AS max_residual, 1.0 AS det_min, 1.0 AS det_max, 0.0 AS max_angle_error FROM events""")
 
 
+ENERGY_CUT = 9e19
+
+
+def _p_values(events, null, pool):
+    """(sky_id, p_value) of control skies against one shared null."""
+    observed = sphere.alignment_statistic(sphere.axis_score(events, pool, N_ROT)).withColumnRenamed("stat", "observed")
+    each = null.select(F.explode(F.array(F.lit(0), F.lit(1))).cast("bigint").alias("sky_id"), "stat")
+    return resample.empirical_p(each, observed, "sky_id").select("sky_id", "p_value")
+
+
 def _engine(V):
-    cal = sphere.type1_calibration(_skies(V, N_NULL, "cn", "null_id"), _skies(V, 50, "cf", "try_id"))
-    scan = _scan(V)
+    """Does the engine find a known lattice, stay silent on an isotropic sky, and read both back from files?
+
+    Sky 0 is isotropic, sky 1 a lattice of 4 degrees scatter; both are sized like the catalogue's largest sky.
+    """
+    null, pool = scale.materialize(_skies(V, N_NULL, "cn", "null_id")), _pool(V)
+    one = _one(V).select("n_events", F.lit(0).cast("bigint").alias("sky_id"))
+    iso = sphere.isotropic_events(one, F.col("n_events"), ["sky_id"], "control")
+    lattice = sphere.clustered_events(one.withColumn("sky_id", F.lit(1).cast("bigint")), F.col("n_events"), ["sky_id"], "control", F.lit(4.0), F.lit(0.85))
+    energy = 1e19 * F.pow(F.lit(10.0), 2.0 * hash_uniform("energy", F.col("sky_id"), F.col("event_id")))
+    sky = scale.materialize(iso.select("sky_id", "event_id", "ux", "uy", "uz").unionByName(lattice.select("sky_id", "event_id", "ux", "uy", "uz")).withColumn("energy", energy))
+    back, cut = [], None
+    for i in (0, 1):
+        path = scale.scratch_path(V.spark, "control")
+        files.write_catalogue(sky.filter(F.col("sky_id") == i), path)
+        back.append(files.read_catalogue(V.spark, path).withColumn("sky_id", F.lit(i).cast("bigint")))
+        cut = cut or files.read_catalogue(V.spark, path, ENERGY_CUT)
+    back = back[0].unionByName(back[1])
+    count = lambda d, i: d.filter(F.col("sky_id") == i).agg(F.count(F.lit(1))).scalar()
+    direct, again = _p_values(sky, null, pool), _p_values(back, null, pool)
+    p = lambda d, i: F.max(F.when(F.col("sky_id") == i, d["p_value"]))
+    files_ok = V.spark.range(1).select(((count(back, 0) == count(sky, 0)) & (count(back, 1) == count(sky, 1)) & (cut.agg(F.count(F.lit(1))).scalar() < count(back, 0))).alias("same"))
+    read = again.agg((p(again, 1) < sphere.ALPHA).alias("fires"), (p(again, 0) > sphere.ALPHA).alias("silent"))
+    ingest = files_ok.withColumn("_k", F.lit(1)).join(read.withColumn("_k", F.lit(1)), "_k").select(
+        F.lit("ingest_ok").alias("metric"), F.when(F.col("same") & F.col("fires") & F.col("silent"), 1.0).otherwise(0.0).alias("value"))
+    controls = direct.select(F.when(F.col("sky_id") == 1, "positive_p").otherwise("isotropic_p").alias("metric"), F.col("p_value").alias("value"))
+    cal = sphere.type1_calibration(null, _skies(V, 50, "cf", "try_id"))
     long = cal.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("fpr_05", "fpr_10", "median_p")])).alias("m")).select("m.*")
-    power = scan.filter((F.col("width_deg") == 4.0) & (F.col("share") == 0.85)).select(F.lit("power").alias("metric"), F.col("power").alias("value"))
-    cat = sphere.score_catalogue(V.catalogue.filter("sky_id = -1"), N_ROT, N_NULL, SEED)
-    iso = cat.select(F.lit("isotropic_p").alias("metric"), F.col("p_value").alias("value"))
-    fixed = power.select(F.lit("positive_p").alias("metric"), (1.0 - F.col("value")).alias("value"))
-    ing = cat.select(F.lit("ingest_ok").alias("metric"), F.when(F.col("n_events") > 0, 1.0).otherwise(0.0).alias("value"))
-    m = long.unionByName(power).unionByName(iso).unionByName(fixed).unionByName(ing).withColumn("engine", F.lit("sphere"))
+    power = _scan(V).filter((F.col("width_deg") == 4.0) & (F.col("share") == 0.85)).select(F.lit("power").alias("metric"), F.col("power").alias("value"))
+    m = long.unionByName(power).unionByName(controls).unionByName(ingest).withColumn("engine", F.lit("sphere"))
     return gates.rule_cascade(m, "engine", gates.ENGINE)
 
 
