@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .common import hash_sample
+
 K = 10
 SAMPLE_VECTORS = 4_096
 CHUNK_ROWS = 2_048
@@ -144,7 +146,7 @@ def search(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    drawn = [r["x"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
+    drawn = [r["x"] for r in hash_sample(rows, sample, "vec_id").collect()]
     ddl = "query_id long, vec_id long, score double"
     if not drawn:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

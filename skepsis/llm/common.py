@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hash_sample(df: DataFrame, most: int, *by: str) -> DataFrame:
+    """At most `most` rows: those with the smallest hash of the columns `by`, ties in the order of these columns.
+
+    Rows are first cut to a share of the hashes that holds a few more than asked for, so that tasks don't each
+    send `most` rows to the driver.
+    """
+    total = df.count()
+    h = F.xxhash64(*by)
+    if total > most:
+        df = df.filter(F.shiftrightunsigned(h, 11) < F.lit(int(min(1.0, (1.2 * most + 64) / total) * 2.0 ** 53)))
+    return df.orderBy(h, *by).limit(most)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Short batches, so that what a task holds beside its input stays small."""
     for b in batches:

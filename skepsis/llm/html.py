@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import extend
+from .common import extend, hash_sample
 
 SAMPLE_PAGES = 200
 SAMPLE_CHARS = 32_000
@@ -417,8 +417,8 @@ def fit(pages: list[str], layouts: int = LAYOUTS, seed: int = 7) -> Model:
 
 def sample(pages: DataFrame, most: int = SAMPLE_PAGES, most_chars: int = SAMPLE_CHARS) -> list[str]:
     """At most `most` pages of up to `most_chars` characters, drawn by hash."""
-    rows = pages.select("html").filter((F.length("html") <= most_chars)).orderBy(F.xxhash64("html"), "html").limit(most).collect()
-    return [r["html"] for r in rows]
+    rows = hash_sample(pages.select("page_id", "html").filter(F.length("html") <= most_chars), most, "page_id", "html").collect()
+    return list(dict.fromkeys(r["html"] for r in rows))
 
 
 ADDED = StructType([StructField("text", StringType())])

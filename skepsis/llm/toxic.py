@@ -18,7 +18,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import extend
+from .common import extend, hash_sample
 
 SAMPLE_TOXIC = 3_000
 SAMPLE_ORDINARY = 6_000
@@ -151,7 +151,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most_toxic: int = SAMPLE_TOXIC,
     usable = labels.filter(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     drawn = None
     for v, n in ((1, most_toxic), (0, most_ordinary)):
-        part = usable.filter(F.col("toxic") == v).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = hash_sample(usable.filter(F.col("toxic") == v).distinct(), n, "doc_id")
         drawn = part if drawn is None else drawn.unionByName(part)
     short = docs.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes)
     rows = short.join(F.broadcast(drawn), "doc_id").collect()         # at most most_toxic + most_ordinary ids
