@@ -157,7 +157,7 @@ ENERGY_CUT = 9e19
 def _p_values(events, null, pool):
     """(sky_id, p_value) of control skies against one shared null."""
     observed = sphere.alignment_statistic(sphere.axis_score(events, pool, N_ROT)).withColumnRenamed("stat", "observed")
-    each = null.select(F.explode(F.array(F.lit(0), F.lit(1))).cast("bigint").alias("sky_id"), "stat")
+    each = null.select(F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("sky_id"), "stat")
     return resample.empirical_p(each, observed, "sky_id").select("sky_id", "p_value")
 
 
