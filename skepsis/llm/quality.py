@@ -27,7 +27,7 @@ LEAST_CHARS = 120
 LEAST_WORDS = 60
 # A histogram of n counts strays from its source by about 1 / sqrt(n): the limits are base + slack / sqrt(n).
 CLASS_LIMIT, CLASS_SLACK = 0.06, 4.2
-WORD_LIMIT, WORD_SLACK = 0.16, 3.0
+WORD_LIMIT, WORD_SLACK = 0.2, 3.0
 FLUSH_WORDS = 200_000
 LIMITS = (CLASS_LIMIT, CLASS_SLACK, WORD_LIMIT, WORD_SLACK, LEAST_CHARS, LEAST_WORDS)
 
