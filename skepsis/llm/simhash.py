@@ -8,8 +8,8 @@ cheapest m is taken.  The estimates come from counts over all nodes.
 
 To find pairs that differ by up to t within a partition, both sides emit the partition's value with every change
 of up to ceil(t / 2) bits: such a pair meets at a value half way.  Nodes that meet are verified on all 64 bits.
-Each task joins what it has verified into a forest at once, so a dense group leaves as many links as it has
-members, not all its pairs.
+Each task joins what it has verified into a forest at once and gives out stars, so a dense group leaves few links for each
+member, not all its pairs.
 
 With a radius of more than a few bits, unrelated texts meet by chance once there are very many.  A second fingerprint, of the
 same shingles under another hash, then has to agree as well (`check` bits): for texts of similarity 0.8 and more it nearly
@@ -38,6 +38,8 @@ MOST_PARTITIONS = 5
 ROW_COST = 30.0
 ONE = np.uint64(1)
 NO_ID = (1 << 63) - 1
+#: Nodes that a task's forest holds before it gives them out.
+MOST_TREES = 1 << 20
 
 
 def _majority(h: np.ndarray) -> int:
@@ -201,12 +203,12 @@ def plan(nodes: DataFrame, radius: int) -> list[tuple[list[int], int]]:
 # -- candidates, verification, links -----------------------------------------------------------------------------------------
 
 class _Forest:
-    """Joins pairs; says which of them joined two trees."""
+    """Trees of nodes that verified pairs have joined; the smallest node is the root."""
 
-    def __init__(self, most: int = 1 << 20):
-        self.up, self.most = {}, most
+    def __init__(self):
+        self.up = {}
 
-    def find(self, x: int) -> int:
+    def find(self, x):
         up, top = self.up, x
         while (y := up.get(top, top)) != top:
             top = y
@@ -215,13 +217,16 @@ class _Forest:
         return top
 
     def join(self, pairs):
-        if len(self.up) > self.most:        # forgetting only lets a link through twice
-            self.up = {}
         for x, y in pairs:
             p, q = self.find(x), self.find(y)
             if p != q:
                 self.up[max(p, q)] = min(p, q)
-                yield *x, *y
+
+    def stars(self) -> np.ndarray:
+        """(node, its root) of all nodes but the roots; forgets them."""
+        out = [(*x, *self.find(x)) for x in list(self.up)]
+        self.up = {}
+        return np.array(out, np.uint64).reshape(-1, 4)
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int, check: int) -> np.ndarray:
@@ -248,12 +253,12 @@ def _search(run: np.ndarray, radius: int, check: int):
                 left = left[~hit]
 
 
-def _link(keys: np.ndarray, fps: np.ndarray, radius: int, check: int, forest: _Forest):
-    """Verified links among nodes whose rows are sorted by key, as (fp, fp2, fp, fp2) of pairs that join two trees."""
+def _link(keys: np.ndarray, fps: np.ndarray, radius: int, check: int, forest: _Forest) -> None:
+    """Join all linked nodes (fp, fp2) whose rows, sorted by key, share one."""
     cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     length = np.diff(np.r_[cut, len(keys)])
     for c, n in zip(cut[length > LONG_RUN].tolist(), length[length > LONG_RUN].tolist()):
-        yield from forest.join(_search(fps[c:c + n], radius, check))
+        forest.join(_search(fps[c:c + n], radius, check))
     short = np.repeat(length <= LONG_RUN, length)
     keys, fps = keys[short], fps[short]
     for d in range(1, min(LONG_RUN, len(keys))):
@@ -262,11 +267,14 @@ def _link(keys: np.ndarray, fps: np.ndarray, radius: int, check: int, forest: _F
             break
         at = at[_near(fps[at], fps[at + d], radius, check)]
         if len(at):
-            yield from forest.join(zip(_tuples(fps[at]), _tuples(fps[at + d])))
+            forest.join(zip(_tuples(fps[at]), _tuples(fps[at + d])))
 
 
 def links(nodes: DataFrame, radius: int, parts: list[tuple[list[int], int]], check: int = BITS) -> DataFrame:
-    """(a, a2, b, b2): links that connect all nodes within `radius` bits of fp and `check` of fp2, about one per node that has any."""
+    """(a, a2, b, b2): distinct pairs that connect all nodes within `radius` bits of fp and `check` of fp2.
+
+    Each task gives every node it has joined to others once, with the smallest node of its tree.
+    """
     def verify(batches):
         forest, held = _Forest(), None
         for b in batches:
@@ -278,19 +286,23 @@ def links(nodes: DataFrame, radius: int, parts: list[tuple[list[int], int]], che
             stop = new[-1] if len(new) else 0                       # the last run may go on in the next batch
             held = key[:, stop:], fp[stop:]
             if stop:
-                yield from out(key[:, :stop], fp[:stop], forest)
+                link(key[:, :stop], fp[:stop], forest)
+            if len(forest.up) > MOST_TREES:             # forgetting only gives a node again
+                yield from out(forest)
         if held is not None:
-            yield from out(*held, forest)
+            link(*held, forest)
+        yield from out(forest)
+
+    def link(key, fp, forest):
+        _link(np.cumsum(np.r_[False, (key[:, 1:] != key[:, :-1]).any(0)]), fp, radius, check, forest)
 
-    def out(key, fp, forest):
-        run = np.cumsum(np.r_[False, (key[:, 1:] != key[:, :-1]).any(0)])
-        found = list(_link(run, fp, radius, check, forest))
-        if found:
-            x = np.array(found, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(4)], names=["a", "a2", "b", "b2"])
+    def out(forest):
+        x = forest.stars().view(np.int64)
+        for i in range(0, len(x), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i:i + (1 << 16), c]) for c in range(4)], names=["a", "a2", "b", "b2"])
 
     rows = emit_keys(nodes, [(g, (t + 1) // 2) for g, t in parts])
-    return rows.repartition("p", "k").sortWithinPartitions("p", "k").mapInArrow(verify, "a long, a2 long, b long, b2 long")
+    return rows.repartition("p", "k").sortWithinPartitions("p", "k").mapInArrow(verify, "a long, a2 long, b long, b2 long").distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:
