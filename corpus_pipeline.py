@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skepsis.llm import packing, quality, simhash, toxic
+from skepsis.llm import packing, quality, similar, toxic
 from skepsis.llm.common import materialize, table
 
-#: Near-duplicates of the pipeline: shingles of five words, and the bits within which texts of a similarity of 0.8 and more mostly
-#: lie, of the fingerprint that is searched and of the second one that is checked.
+#: Near-duplicates of the pipeline: the similarity of sets of shingles of five words, and the bits within which texts of that similarity
+#: mostly lie, of the fingerprint that is searched for candidates and of the second one.
+SIMILARITY = 0.8
 WORDS, RADIUS, CHECK = 5, 11, 17
 
 
@@ -28,7 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    return simhash.distinct_documents(docs, RADIUS, WORDS, CHECK)
+    return similar.distinct_documents(docs, SIMILARITY, WORDS, RADIUS, CHECK)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,21 +57,28 @@ def _remixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprint(text: str | None, words: int, second: bool = False) -> tuple[int, int]:
-    """Majority of the bits of XXH64 over all shingles of `words` words (repeats included), A-Z lower-cased; then that of the
-    second hash, 0 if not asked for.
-
-    A text of fewer words is one shingle; without a word, fingerprints are zero.
-    """
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of all shingles of `words` words (repeats included), A-Z lower-cased; a text of fewer words is one shingle."""
     w = text.encode().lower().split() if text else []
     if not w:
-        return 0, 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(w), max(1, len(w) - words + 1)
     ends = np.cumsum([len(x) + 1 for x in w])
     starts = [0, *ends[:n - 1].tolist()]
     stops = (ends[min(words, len(w)) - 1:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SHINGLE_SEED) for a, b in zip(starts, stops)], np.uint64)
+    return np.array([digest(joined[a:b], SHINGLE_SEED) for a, b in zip(starts, stops)], np.uint64)
+
+
+def fingerprint(text: str | None, words: int, second: bool = False) -> tuple[int, int]:
+    """Majority of the bits of XXH64 over all shingles of `words` words (repeats included), A-Z lower-cased; then that of the
+    second hash, 0 if not asked for.
+
+    A text of fewer words is one shingle; without a word, fingerprints are zero.
+    """
+    h = shingle_hashes(text, words)
+    if not len(h):
+        return 0, 0
     return _majority(h), _majority(_remixed(h)) if second else 0
 
 
