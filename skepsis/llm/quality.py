@@ -70,12 +70,43 @@ class Reference:
         self.language, self.classes, self.words, self.shares = language, classes, words, shares
 
 
+class References(list):
+    """References on the driver; `rest` holds those of all other languages as a table (lang, classes, words, shares, known), None if there are none."""
+
+    rest: DataFrame | None = None
+
+
+OWN = ["classes", "words", "shares", "known"]
+
+
+def _split(docs: DataFrame, refs: list["Reference"]) -> tuple[DataFrame, DataFrame]:
+    """Documents of the languages of `refs`, and all others beside their own language's reference (nulls if it has none)."""
+    named = F.coalesce(F.col("lang").isin([r.language for r in refs if r.language is not None]), F.lit(any(r.language is None for r in refs)))
+    rest = refs.rest.select(F.col("lang").alias("__lang"), *[F.col(c).alias(f"__{c}") for c in OWN])
+    return docs.filter(named), docs.filter(~named).join(rest, F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang")
+
+
+def _by_language(refs: list["Reference"], langs: list, own: list[list]):
+    """(rows, references, known words) for each language of some rows: `refs` and its own, or none if it has none."""
+    at = defaultdict(list)
+    for i, lang in enumerate(langs):
+        at[lang].append(i)
+    for lang, rows in at.items():
+        classes, words, shares, known = (c[rows[0]] for c in own)
+        if classes is None:
+            yield rows, [], frozenset()
+        else:
+            yield rows, [*refs, Reference(lang, np.array(classes), {w: i for i, w in enumerate(words)}, np.array(shares))], frozenset(known)
+
+
 def _partial(refs: list["Reference"], limits: tuple, share: float, known: frozenset | None):
     """Counts of the texts that pass the rules: per language, characters by class, words, and the total.
 
     Words are those of `known`, or, without it, those that hold `share` of a language's words in the part of the task
     counted so far: what is frequent in all is so in some part.
     """
+    refs = list(refs)               # without the table, which stays with the driver
+
     def run(batches):
         counts, classes, total = defaultdict(Counter), {}, Counter()
 
@@ -89,13 +120,18 @@ def _partial(refs: list["Reference"], limits: tuple, share: float, known: frozen
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())],
                                               names=["lang", "word", "class", "n"])
         for b in slices(batches):
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            m = measure(texts, refs, *limits)
-            for lang, ok, w, c in zip(b.column(0).to_pylist(), m["kept"], m["plain"], m["chars"]):
-                if ok:
-                    total[lang] += len(w)
-                    counts[lang].update(w if known is None else filter(known.__contains__, w))
-                    classes[lang] = classes.get(lang, 0) + c
+            texts, langs = [t or "" for t in b.column(1).to_pylist()], b.column(0).to_pylist()
+            groups = [(range(len(texts)), refs, known)]
+            if b.num_columns > 2:
+                groups = _by_language(refs, langs, [c.to_pylist() for c in b.columns[2:]])
+            for rows, near, names in groups:
+                m = measure([texts[i] for i in rows], near, *limits)
+                for i, ok, w, c in zip(rows, m["kept"], m["plain"], m["chars"]):
+                    if ok:
+                        lang = langs[i]
+                        total[lang] += len(w)
+                        counts[lang].update(w if names is None else filter(names.__contains__, w))
+                        classes[lang] = classes.get(lang, 0) + c
             if sum(map(len, counts.values())) > FLUSH_WORDS:
                 yield flush()
                 counts, classes, total = defaultdict(Counter), {}, Counter()
@@ -108,24 +144,57 @@ def references(docs: DataFrame, top: int = TOP_WORDS, most: int = MOST_LANGUAGES
 
     A first pass over all documents that pass the base rules finds the words that are frequent in some part of a task, which
     holds every word that is frequent in all.  A second pass counts those words over all documents that lie near the first
-    pass' references as well, so that what the rules reject doesn't shape them.  At most the `most` languages with the most words,
-    and none under `least` words unless all are; of the words, the `top` with a share of at least 1 in 4 `top` of their
-    language, equal counts in byte order.  What reaches the driver is bounded by these numbers.
+    pass' references as well, so that what the rules reject doesn't shape them.  Every language of `least` words has one (all, if none
+    has so many): the `most` with the most words on the driver, the others in a table.  Of the words, the `top` with a share of at least 1 in 4 `top` of
+    their language, equal counts in byte order.  What reaches the driver is bounded by these numbers.
     """
     limits, share = limits or LIMITS, 1 / (4 * top)
     first, known = _collect(docs, [], limits, top, most, least, share / 8, None)
     return _collect(docs, first, limits, top, most, least, share / 8, known)[0] or first
 
 
+def _common(words: list[tuple[int, bytes]], top: int, size: int) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent of some (-count, word), and their shares of `size` words with that of all others."""
+    common = [(w, -n) for n, w in sorted(words)[:top] if -n * 4 * top >= size]
+    n = np.array([k for _, k in common], float)
+    return [w for w, _ in common], np.r_[n, size - n.sum()] / size
+
+
+def _table(counts: DataFrame, top: int) -> DataFrame:
+    """References of rows (lang, word, class, n, total), one row a language: at most its classes and the words of the smaller share."""
+    def build(batches):
+        for b in batches:
+            out = []
+            for lang, size, found in zip(*(c.to_pylist() for c in b.columns)):
+                chars = np.zeros(len(CLASSES))
+                for x in found:
+                    if x["word"] is None:
+                        chars[x["class"]] = x["n"]
+                words = [(-x["n"], x["word"]) for x in found if x["word"] is not None]
+                common, shares = _common(words, top, size)
+                out.append((lang, (chars / chars.sum()).tolist(), common, shares.tolist(), [w for _, w in words]))
+            cols = list(zip(*out)) or [[]] * 5
+            types = [pa.string(), pa.list_(pa.float64()), pa.list_(pa.binary()), pa.list_(pa.float64()), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["lang", *OWN])
+    grouped = counts.groupBy("lang", "total").agg(F.collect_list(F.struct("word", "class", "n")).alias("found"))
+    return materialize(grouped.mapInArrow(build, "lang string, classes array<double>, words array<binary>, shares array<double>, known array<binary>"))
+
+
 def _collect(docs, refs, limits, top, most, least, share, known) -> tuple[list[Reference], frozenset]:
-    sums = materialize(docs.select("lang", "text").mapInArrow(_partial(refs, limits, share, known), "lang string, word binary, class int, n long")
-                       .groupBy("lang", "word", "class").agg(F.sum("n").alias("n")))
-    totals = sums.filter("class = -1").select(F.col("lang").alias("of"), F.col("n").alias("total")).orderBy(F.desc("total"), "of").limit(most)
+    form, texts = "lang string, word binary, class int, n long", docs.select("lang", "text")
+    if known is None or getattr(refs, "rest", None) is None:
+        counted = texts.mapInArrow(_partial(refs, limits, share, known), form)
+    else:
+        main, others = _split(texts, refs)
+        counted = main.mapInArrow(_partial(refs, limits, share, known), form).unionByName(others.mapInArrow(_partial(refs, limits, share, None), form))
+    sums = materialize(counted.groupBy("lang", "word", "class").agg(F.sum("n").alias("n")))
+    every = sums.filter("class = -1").select(F.col("lang").alias("of"), F.col("n").alias("total"))
+    totals = every.orderBy(F.desc("total"), "of").limit(most)
     # At most `most` languages, and of each its classes and the words of the smaller share: both sides are small.
     rows = sums.join(F.broadcast(totals), F.col("lang").eqNullSafe(F.col("of"))).filter(F.coalesce(F.col("class") >= 0, F.col("n") >= share * F.col("total"))).collect()
     size = {r["lang"]: r["total"] for r in rows}
     chosen = {k for k, n in size.items() if n >= least} or {k for k, n in size.items() if n}
-    out, names = [], set()
+    out, names = References(), set()
     for lang in sorted(chosen, key=lambda k: (-size[k], k is not None, k)):
         chars, words = np.zeros(len(CLASSES)), []
         for r in rows:
@@ -134,9 +203,13 @@ def _collect(docs, refs, limits, top, most, least, share, known) -> tuple[list[R
             elif r["lang"] == lang:
                 words.append((-r["n"], bytes(r["word"])))
         names.update(w for _, w in words)
-        common = [(w, -n) for n, w in sorted(words)[:top] if -n * 4 * top >= size[lang]]
-        n = np.array([k for _, k in common], float)
-        out.append(Reference(lang, chars / chars.sum(), {w: i for i, (w, _) in enumerate(common)}, np.r_[n, size[lang] - n.sum()] / size[lang]))
+        common, shares = _common(words, top, size[lang])
+        out.append(Reference(lang, chars / chars.sum(), {w: i for i, w in enumerate(common)}, shares))
+    if chosen and every.count() > len(chosen):
+        least = least if max(size.values()) >= least else 1
+        others = every.filter((F.col("total") >= least) & ~F.coalesce(F.col("of").isin([k for k in chosen if k is not None]), F.lit(None in chosen)))
+        out.rest = _table(sums.join(others, F.col("lang").eqNullSafe(F.col("of"))).filter(
+            F.coalesce(F.col("class") >= 0, F.col("n") >= share * F.col("total"))).drop("of"), top)
     return out, frozenset(names)
 
 
@@ -222,16 +295,31 @@ def judge(docs: DataFrame, refs: list[Reference], carry: list[str] | None = None
     """Counts and verdict of every whole text, beside the columns `carry` (all, if not given).
 
     `kept` is false if the base rules fail, or if the text has `LEAST_CHARS` characters and its character classes lie
-    further from every language's than the class limit for its length, or has `LEAST_WORDS` words and its words lie further
-    from every language's than the word limit; distances are null below those lengths or without a reference.  A null or empty
+    further from every reference than the class limit for its length, or has `LEAST_WORDS` words and its words lie further
+    from every reference than the word limit; distances are null below those lengths, and for a language without a reference, whose
+    texts the base rules alone judge.  A text of a language that is not among `refs` is held against its own in `refs.rest` as well.  A null or empty
     text has no words and fails the base rules; repeated rows are all judged; columns named like an added one give way.
     """
-    def add(texts):
+    def found(texts, near):
         texts = [t or "" for t in texts]
         data = [t.encode() for t in texts]
-        m = measure(texts, refs, *limits)
+        m = measure(texts, near, *limits)
         gone = [len(d) - len(d.translate(None, WHITE)) for d in data]
         return [m["n_words"], [len(t) - g for t, g in zip(texts, gone)], [len(d) - len(d.translate(None, SYMBOLS)) for d in data], [duplicate_lines(d) for d in data],
                 m["repeats"], m["failed"], m["kept"], m["nearest"], m["class_distance"], m["word_distance"]]
 
-    return extend(docs, docs.columns if carry is None else carry, "text", add, ADDED)
+    carry, held = docs.columns if carry is None else carry, list(refs)
+    if getattr(refs, "rest", None) is None:
+        return extend(docs, carry, "text", lambda texts: found(texts, held), ADDED)
+    main, others = _split(docs, refs)
+    others = others.withColumn("__own", F.struct(F.col("lang").alias("lang"), *[F.col(f"__{c}").alias(c) for c in OWN], F.col("text").alias("text")))
+
+    def apart(rows):
+        out = [[None] * len(rows) for _ in ADDED]
+        for at, near, _ in _by_language(held, [r["lang"] for r in rows], [[r[c] for r in rows] for c in OWN]):
+            for column, values in zip(out, found([rows[i]["text"] for i in at], near)):
+                for i, v in zip(at, values):
+                    column[i] = v
+        return out
+
+    return extend(main, carry, "text", lambda texts: found(texts, held), ADDED).unionByName(extend(others, carry, "__own", apart, ADDED))
