@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, html, packing, quality, shards, simhash, tokenbin, toxic, urls
+from . import ann, bpe, collocation, dialogue, gam, html, packing, quality, shards, simhash, tokenbin, toxic, urls
 from .common import scratch_path, table
 
 SHARDS = 16
@@ -66,8 +66,22 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = gam.fit(*gam.labelled(docs, table(spark, sf_dir, "labels")))
+    return gam.score(docs, model, ["doc_id"]).select("doc_id", gam.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann, "op2_html": op2_html, "op3_simhash": op3_simhash, "op4_quality": op4_quality, "op5_ids": op5_ids, "op6_bpe": op6_bpe, "op7_pack": op7_pack, "op8_urls": op8_urls, "op9_toxic": op9_toxic,
-    "op10_shards": op10_shards,
+    "op10_shards": op10_shards, "op11_phrases": op11_phrases, "op12_dialogue": op12_dialogue, "op13_gam": op13_gam,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_phrases": collocation.ORACLE, "op12_dialogue": dialogue.ORACLE}
