@@ -24,10 +24,10 @@ LONGEST = 4                 # words of a candidate
 COVERED = 80                # a candidate goes if a longer one that holds it has this share (in percent) of its occurrences
 TOP = 2_000
 SCALE = 2_000_000
-CHUNK_BYTES = 8 << 20       # text that is split at once
-FLUSH_HASHES = 6 << 20      # n-gram occurrences that a task holds before it folds them
-FLUSH_PHRASES = 300_000
-CACHE_WORDS = 400_000
+CHUNK_BYTES = 2 << 20       # text that is split at once
+FLUSH_HASHES = 4 << 20      # n-gram occurrences that a task holds before it folds them
+FLUSH_PHRASES = 200_000
+CACHE_WORDS = 250_000
 SUMMARY_ENTRIES = 1 << 17   # counters for a hash partition, on average
 MOST_BITS = 1 << 29         # the bitmap that tasks receive: 64 MB at most
 SALTS = 16
@@ -118,12 +118,6 @@ def grams(lang: bytes, ids: np.ndarray, old: int, words: Words) -> Iterator[tupl
         yield n, h, new
 
 
-def split_bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Partition (the `bits` leading bits) and the 32 bits behind them."""
-    p = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-    return p, ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-
-
 class Summary:
     """A Misra-Gries summary of 32-bit keys: counts are too low by at most `lost`, which is at most mass / (capacity + 1)."""
 
@@ -153,20 +147,24 @@ PARTIAL = "part int, kind int, mass bigint, hashes binary, counts binary"
 
 def partial_counts(bits: int, flush: int = FLUSH_HASHES):
     """For mapInArrow: per task and hash partition one row (kind 0) with the mass it sends, and the distinct hashes with counts (kind 1)."""
+    bounds = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
+
     def rows(hashes: list[np.ndarray]):
-        h = np.sort(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        p, low = split_bits(h, bits)
-        first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (low[1:] != low[:-1])]) if len(h) else np.zeros(0, np.int64)
-        counts, p, low = np.diff(np.r_[first, len(h)]), p[first], low[first]
-        starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else []
-        out = []
-        for a, z in zip(starts, [*starts[1:], len(p)]):
-            mass = int(counts[a:z].sum())
-            out += [(int(p[a]), 0, mass, None, None), (int(p[a]), 1, mass, low[a:z].tobytes(), counts[a:z].astype("<u4").tobytes())]
-        names = ["part", "kind", "mass", "hashes", "counts"]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        for i in range(0, len(out), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i:i + 64]), types)], names=names)
+        """Empties `hashes`: a task holds them once, sorted in place."""
+        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        hashes.clear()
+        h.sort()
+        h >>= np.uint64(32 - bits)                      # the partition's bits and the 32 bits behind them
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        counts = np.diff(np.r_[first, len(h)]).astype("<u4")
+        h = h[first]
+        ends = [0, *np.searchsorted(h, bounds >> np.uint64(32 - bits)).tolist(), len(h)]
+        for part, (a, z) in enumerate(zip(ends, ends[1:])):
+            if a < z:
+                mass = int(counts[a:z].sum(dtype=np.int64))
+                cols = [[part, part], [0, 1], [mass, mass], [None, h[a:z].astype("<u4").tobytes()], [None, counts[a:z].tobytes()]]
+                types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["part", "kind", "mass", "hashes", "counts"])
 
     def run(batches):
         held, n = [], 0
@@ -176,7 +174,7 @@ def partial_counts(bits: int, flush: int = FLUSH_HASHES):
                 n += len(held[-1])
             if n >= flush:
                 yield from rows(held)
-                held, n = [], 0
+                n = 0
         yield from rows(held)
     return run
 
