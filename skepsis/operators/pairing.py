@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import col
-from .scale import CHUNK, dense_position, names, running, with_local
+from .scale import CHUNK, dense_position, materialize, names, with_local
 
 
 def pair_join(features: DataFrame, ref: Column, alt: Column, on=("grp", "seed", "name"),
@@ -98,44 +98,88 @@ def responses(adjusted: DataFrame, key: str = "series_id", size: int = CHUNK) ->
                     (F.col("adjusted") - F.col("_m")).alias("detrended"))
 
 
-def match_chains(resp: DataFrame, key: str = "series_id", radius: int = 10, size: int = CHUNK) -> DataFrame:
-    """Label events of a bin with independent chains.
+def match_chunks(resp: DataFrame, key: str = "series_id", radius: int = 10, size: int = CHUNK) -> DataFrame:
+    """(key, bin, chunk, ts, cs): the events of a run of `size` positions and the controls they can reach, both ascending.
 
-    Two events more than 2*radius apart share no candidate control, so the greedy choice of one
-    cannot touch the other: a chain ends there.  Chains, not series, are the unit of work.
+    A control near a border is copied next door.  A row holds at most size + 2 * radius positions, whatever a series holds.
     """
-    ev = resp.filter("after_event = 1").select(key, "bin", "t")
-    ev = dense_position(ev, [key, "bin"], "t", F.floor(F.col("t") / size), out="k")
-    ev = with_local(ev, [key, "bin"], "k", {"_p": lambda w: F.lag("t").over(w)}, before=1, size=size)
-    ev = ev.withColumn("_new", F.when(F.col("_p").isNull() | (F.col("t") - F.col("_p") > 2 * radius), 1).otherwise(0))
-    return running(ev, [key, "bin"], "k", {"chain": ("_new", "sum")}, size).select(key, "bin", "chain", "t")
+    chunk = F.floor(F.col("t") / size).cast("bigint")
+    inside = F.pmod(F.col("t"), F.lit(size))
+    homes = F.when(F.col("after_event") == 1, F.array(chunk)).otherwise(F.array_compact(F.array(
+        chunk, F.when(inside < radius, chunk - 1), F.when(inside >= size - radius, chunk + 1))))
+    d = resp.filter("after_event in (0, 1)").select(key, "bin", "t", "after_event", F.explode(homes).alias("chunk"))
+    return d.groupBy(key, "bin", "chunk").agg(
+        F.array_sort(F.collect_list(F.when(F.col("after_event") == 1, F.col("t")))).alias("ts"),
+        F.array_sort(F.collect_list(F.when(F.col("after_event") == 0, F.col("t")))).alias("cs")).filter((F.size("ts") > 0) & (F.size("cs") > 0))
+
+
+def _match(radius: int, size: int):
+    """The sequential rule inside one chunk, from the controls that earlier chunks have used."""
+    @F.pandas_udf("struct<ts:array<bigint>,cs:array<bigint>,used:array<bigint>>")
+    def match(chunk: pd.Series, ts: pd.Series, cs: pd.Series, entry: pd.Series) -> pd.DataFrame:
+        out = []
+        for k, events, controls, taken in zip(chunk.tolist(), ts, cs, entry):
+            base, end = k * size - radius, (k + 1) * size
+            free = bytearray(size + 4 * radius + 1)
+            for c in controls.tolist():
+                free[c - base + radius] = 1
+            for c in taken.tolist():
+                free[c - base + radius] = 0
+            got, used = [], []
+            for t in events.tolist():
+                at = t - base + radius
+                lo, hi = free.rfind(1, at - radius, at), free.find(1, at + 1, at + radius + 1)
+                if lo < 0 and hi < 0:
+                    continue
+                pick = lo if hi < 0 or (lo >= 0 and at - lo <= hi - at) else hi
+                free[pick] = 0
+                got.append(t)
+                used.append(pick + base - radius)
+            out.append((got, used, sorted(c for c in used if c >= end - radius)))
+        return pd.DataFrame(out, columns=["ts", "cs", "used"])
+    return match
 
 
 def greedy_match(resp: DataFrame, key: str = "series_id", radius: int = 10, size: int = CHUNK) -> DataFrame:
-    """Chronological one-to-one matching: every event takes the nearest unused control of its bin
-    within +-radius, earlier control on ties.  (key, bin, t, control_t)."""
-    ev = match_chains(resp, key, radius, size)
-    ctl = resp.filter("after_event = 0").select(key, "bin", F.col("t").alias("c"))
-    # controls reach their chains by an equi-join on positions: each event asks for its 2*radius slots
-    asks = ev.withColumn("c", F.explode(F.sequence(F.col("t") - radius, F.col("t") + radius)))
-    pool = (asks.join(ctl, [key, "bin", "c"]).groupBy(key, "bin", "chain").agg(F.array_sort(F.collect_set("c")).alias("cs")))
-    evs = ev.groupBy(key, "bin", "chain").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-
-    @F.pandas_udf("array<struct<t:bigint,control_t:bigint>>")
-    def pick(ts: pd.Series, cs: pd.Series) -> pd.Series:
-        out = []
-        for events, controls in zip(ts, cs):
-            free = set(controls.tolist())
-            got = []
-            for t in events.tolist():
-                near = [c for d in range(1, radius + 1) for c in (t - d, t + d) if c in free]
-                if near:
-                    free.discard(near[0])
-                    got.append({"t": t, "control_t": near[0]})
-            out.append(got)
-        return pd.Series(out)
-    j = evs.join(pool, [key, "bin", "chain"])
-    return j.select(key, "bin", F.explode(pick("ts", "cs")).alias("p")).select(key, "bin", "p.t", "p.control_t")
+    """Chronological one-to-one matching: every event takes the nearest unused control of its bin within +-radius, the earlier
+    control on ties.  (key, bin, t, control_t), the same as one pass over each series gives.
+
+    Every chunk of positions is matched as if nothing before it had used a control.  What a chunk does to the next one is only
+    which controls within `radius` of their border it has used; chunks for which that was assumed wrongly are matched again,
+    until nothing changes.  Each round settles at least one more chunk of every series, and greedy choices forget a
+    border within a few gaps, so a few rounds are enough however dense the events are.
+    """
+    size = max(size, 2 * radius)            # a chunk's used controls reach no further than the next chunk
+    match = _match(radius, size)
+    keys = [key, "bin", "chunk"]
+    none = F.array().cast("array<bigint>")
+
+    def matched(c: DataFrame) -> DataFrame:
+        return c.withColumn("_m", match("chunk", "ts", "cs", "entry")).select(*keys, "ts", "cs", "entry", "_m")
+    state = materialize(matched(match_chunks(resp, key, radius, size).withColumn("entry", none)))
+    while True:
+        before = state.filter(F.size("_m.used") > 0).select(key, "bin", (F.col("chunk") + 1).alias("chunk"), F.col("_m.used").alias("_in"))
+        seen = state.select(*keys, "entry").join(before, keys, "left").withColumn("_in", F.coalesce("_in", none))
+        stale = seen.filter(F.col("_in") != F.col("entry")).select(*keys, "_in")
+        if stale.isEmpty():
+            break
+        stale = materialize(stale)
+        again = matched(state.join(stale, keys).withColumn("entry", F.col("_in")))
+        state = materialize(state.join(stale, keys, "left_anti").unionByName(again))
+    p = F.explode(F.arrays_zip(F.col("_m.ts").alias("t"), F.col("_m.cs").alias("c"))).alias("p")
+    return state.select(key, "bin", p).select(key, "bin", F.col("p.t").alias("t"), F.col("p.c").alias("control_t"))
+
+
+def exclusions(adjusted: DataFrame, key: str = "series_id", size: int = CHUNK) -> DataFrame:
+    """(key, missing_baseline, extinct, zero_magnitude, unobservable_predecessor, usable, eligible): why rows take no part.
+
+    `usable` rows have a usable predecessor; `eligible` ones follow an event.
+    """
+    ok = F.col("adjusted").isNotNull()
+    d = with_local(adjusted, key, "t", {"_pf": lambda w: F.max(F.when(ok, F.col("flag"))).over(w.rangeBetween(-1, -1))}, before=1, size=size)
+    why = [F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in REASONS]
+    return d.groupBy(key).agg(*why, F.count(F.when(ok & F.col("_pf").isNull(), 1)).alias("unobservable_predecessor"),
+                              F.count(F.when(ok & F.col("_pf").isNotNull(), 1)).alias("usable"), F.count(F.when(ok & (F.col("_pf") == 1), 1)).alias("eligible"))
 
 
 def matched_differences(resp: DataFrame, key: str = "series_id", radius: int = 10, size: int = CHUNK) -> DataFrame:

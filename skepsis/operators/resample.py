@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.hashing import hash_sign, hash_uniform
-from ..functions.numeric import dbl, ratio
-from .scale import CHUNK, dense_position, hash_bucket, materialize, names, replicate, running
+from ..functions.hashing import TWO32, hash_normal, hash_sign, hash_uniform
+from ..functions.numeric import dbl, let, ratio
+from .scale import CHUNK, dense_position, hash_bucket, materialize, names, replicate, running, spread
 
 
 def permutation(ids: DataFrame, by, id: str, draw: Column, bucket: Column, hash_buckets: int = 64) -> DataFrame:
@@ -98,17 +98,63 @@ def bootstrap_ci(hits: DataFrame, by, id: str, reps: int = 1000, seed=0, hit: st
                               F.max(F.when(F.col("_r") == int(0.975 * reps), F.col("m"))).alias("hi"))
 
 
+LEAF = 1024
+
+
+def _binomial(m: Column, p: Column, *key) -> Column:
+    """A keyed binomial of many draws: normal with continuity correction.  Leaves are equally full, so m p (1 - p) is above 100."""
+    m = m.cast("double")
+    x = F.floor(m * p + F.sqrt(m * p * (1.0 - p)) * hash_normal(*key) + 0.5)
+    return F.least(F.greatest(x, F.lit(0)), m.cast("bigint")).cast("bigint")
+
+
+def leaf_draws(rep: Column, leaf: Column, leaves: Column, n: Column, seed, *key) -> Column:
+    """How many of a replicate's n draws fall on rows of `leaf`: the draws are split down a binary tree over the leaves.
+
+    A node's left half gets a binomial share that is a function of (seed, replicate, group, node), the right half the rest, so
+    every leaf finds its own number without meeting the others, and a replicate's numbers add up to n.
+    """
+    def first(at):                          # the first row of a leaf
+        return F.ceil(at * n / leaves.cast("double"))
+
+    def step(s, _):
+        lo, hi, m = s["lo"], s["hi"], s["m"]
+        mid = F.floor((lo + hi) / 2).cast("bigint")
+        left = _binomial(m, (first(mid) - first(lo)).cast("double") / (first(hi) - first(lo)).cast("double"), seed, "split", rep, *key, lo, hi)
+        went = F.struct(lo.alias("lo"), mid.alias("hi"), left.alias("m"))
+        return F.when(hi - lo == 1, s).when(leaf < mid, went).otherwise(F.struct(mid.alias("lo"), hi.alias("hi"), (m - left).alias("m")))
+    depth = F.ceil(F.log2(leaves.cast("double")) + 1e-9).cast("int")
+    start = F.struct(F.lit(0).cast("bigint").alias("lo"), leaves.cast("bigint").alias("hi"), n.cast("bigint").alias("m"))
+    return F.when(leaves == 1, n.cast("bigint")).otherwise(F.aggregate(F.sequence(F.lit(1), depth), start, step)["m"])
+
+
 def bootstrap_mean_ci(values: DataFrame, by, order, bucket: Column, value: str = "difference", reps: int = 1000, seed=0) -> DataFrame:
-    """Percentile interval (interpolated) of the mean of arbitrary values by drawing row numbers."""
+    """Percentile interval (interpolated) of the mean of arbitrary values, every replicate drawing exactly n rows.
+
+    Rows are numbered and packed into leaves of at most `LEAF` values.  A leaf finds by `leaf_draws` how many draws of each
+    replicate it gets and spreads them over its values; so draws are neither shuffled nor joined, only sums of (group, replicate).
+    """
     by = names(by)
     v = dense_position(values.select(*by, *names(order), value), by, order, bucket, out="_i")
-    n = values.groupBy(*by).agg(F.count(value).alias("_n"))
-    d = replicate(v.select(*by, "_i").join(n, by), reps)
-    j = F.floor(hash_uniform(seed, "rep", F.col("rep"), *[F.col(b) for b in by], F.col("_i")) * F.col("_n")) + 1
-    # several draws of one row within a replicate travel as one multiplicity
-    draws = d.groupBy(*by, "rep", j.alias("_i")).agg(F.count(F.lit(1)).alias("_m"))
-    m = (draws.join(v.select(*by, "_i", value), by + ["_i"])
-         .groupBy(*by, "rep").agg((F.sum(F.col(value) * F.col("_m")) / F.sum("_m")).alias("m")))
+    n = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    v = v.join(n, by).withColumn("_k", F.ceil(F.col("_n") / LEAF)).withColumn("_leaf", F.floor((F.col("_i") - 1) * F.col("_k") / F.col("_n")).cast("bigint"))
+    leaves = spread(v.select(*by, "_leaf", "_i", value, "_n", "_k"), *by, "_leaf").groupBy(*by, "_leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", value))), lambda s: s[value].cast("double")).alias("_v"),
+                                         F.max("_n").alias("_n"), F.max("_k").alias("_k"))
+    key = [F.col(b) for b in by]
+    rep = F.col("rep")
+    d = replicate(leaves, reps).withColumn("_m", leaf_draws(rep, F.col("_leaf"), F.col("_k"), F.col("_n"), seed, *key))
+
+    def four(block):                        # one digest gives four draws
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("draw"), rep.cast("string"), *[k.cast("string") for k in key], F.col("_leaf").cast("string"), block.cast("string")))
+
+        def value_at(i, digest):
+            u = F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("double") / TWO32
+            x = F.get("_v", F.floor(u * F.size("_v")).cast("int"))
+            return F.when(block * 4 + i < F.col("_m"), x).otherwise(0.0)
+        return let(digest, lambda g: value_at(0, g) + value_at(1, g) + value_at(2, g) + value_at(3, g))
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_m") + 3) / 4))
+    s = F.aggregate(blocks, F.lit(0.0), lambda acc, b: acc + four(b))
+    m = d.select(*by, "rep", "_n", s.alias("_s")).groupBy(*by, "rep").agg((F.sum("_s") / F.max("_n")).alias("m"))
     return m.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
 
 
@@ -139,7 +185,7 @@ def sign_flip_test(values: DataFrame, by, id, value: str = "difference", reps: i
     """Two-sided sign-flip p-value: replicate sums are combined on the map side."""
     by, id = names(by), names(id)
     s = hash_sign(seed, F.col("rep"), *[F.col(b) for b in by], *[F.col(i) for i in id])
-    d = replicate(values.select(*by, *id, value), reps)
+    d = replicate(spread(values.select(*by, *id, value), *by, *id), reps)
     r = d.groupBy(*by, "rep").agg(F.sum(s * F.col(value)).alias("flip"), F.sum(value).alias("obs"))
     # a replicate equal to the observation up to rounding counts as reaching it
     hit = F.abs("flip") >= F.abs("obs") - 1e-9
@@ -214,19 +260,24 @@ def effect_size(values: DataFrame, by, value: str = "difference", minimum: int =
 
 def paired_temporal_test(trace: DataFrame, base: DataFrame, key: str = "series_id", by=("all",), reps: int = 1000,
                          seed=0, minimum: int = 20, size: int = CHUNK) -> DataFrame:
-    """Baseline adjustment, detrending, matching, effect size, bootstrap interval, sign-flip p.
+    """Baseline adjustment, detrending, matching, effect size, bootstrap interval, sign-flip p, and the rows left out by reason.
 
     A group without any matched pair keeps its row: n = 0, status INSUFFICIENT_DATA, no inference.
     """
     from . import pairing
-    adj = pairing.baseline_adjust(trace, base, key)
-    resp = pairing.responses(adj, key, size)
-    d = pairing.matched_differences(materialize(resp), key, 10, size)
+    adj = materialize(pairing.baseline_adjust(trace, base, key))
+    resp = materialize(pairing.responses(adj, key, size))
+    d = pairing.matched_differences(resp, key, 10, size)
+    left_out = pairing.exclusions(adj, key, size)
     by = list(by)
-    groups = trace.sparkSession.range(1).select(F.lit(1).alias("all")) if by == ["all"] else resp.select(*by).distinct()
     if by == ["all"]:
-        d = d.withColumn("all", F.lit(1))
+        d, left_out = d.withColumn("all", F.lit(1)), left_out.withColumn("all", F.lit(1))
     d = materialize(d)
+    counts = [F.sum(c).alias(c) for c in (*pairing.REASONS, "unobservable_predecessor", "usable", "eligible")]
+    groups = left_out.groupBy(*by).agg(*counts)
+    if by == ["all"]:
+        groups = groups.unionByName(trace.sparkSession.range(1).select(F.lit(1).alias("all"), *[F.lit(0).cast("bigint").alias(c) for c in groups.columns if c != "all"])).groupBy("all").agg(
+            *[F.sum(c).alias(c) for c in groups.columns if c != "all"])
     e = groups.join(effect_size(d, by, minimum=minimum), by, "left").fillna({"n": 0, "status": "INSUFFICIENT_DATA"})
     ci = bootstrap_mean_ci(d, by, [key, "t"], F.floor(F.col(key) / 64), reps=reps, seed=seed)
     p = sign_flip_test(d, by, [key, "t"], reps=reps, seed=seed)

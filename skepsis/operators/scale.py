@@ -197,6 +197,11 @@ def rank_quantiles(df: DataFrame, keys, value: str, picks: dict, cells: int = 64
         for n in picks])
 
 
+def spread(df: DataFrame, *cols) -> DataFrame:
+    """Rows dealt over all shuffle partitions: for little data ahead of much work, which sizes in bytes do not show."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def replicate(df: DataFrame, n: int, name: str = "rep", start: int = 0) -> DataFrame:
     """Attach a replicate key 0..n-1 row-locally (no join, no shuffle)."""
     return df.withColumn(name, F.explode(F.sequence(

@@ -59,8 +59,30 @@ query("j7_baseline_adjust", "series_id:l t:l reason:s adjusted:d", lambda V: pai
 WITH {ADJ} SELECT series_id, t, reason, CASE WHEN reason IS NULL THEN diff END AS adjusted FROM aj""")
 query("j7_responses", "series_id:l t:l after_event:l bin:l detrended:d",
       lambda V: pairing.responses(pairing.baseline_adjust(V.trace, V.trace_base)), f"WITH {ADJ} SELECT * FROM rs")
+#: The sequential rule: events of a bin in order, each taking the nearest control not in the list of used ones.
+GREEDY = """
+ev AS (SELECT series_id, bin, t, row_number() OVER (PARTITION BY series_id, bin ORDER BY t) AS k FROM rs WHERE after_event = 1),
+gm AS (SELECT DISTINCT series_id, bin, 0::BIGINT AS k, NULL::BIGINT AS t, NULL::BIGINT AS control_t, []::BIGINT[] AS used FROM ev
+ UNION ALL
+ SELECT series_id, bin, k, t, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END FROM (
+  SELECT e.series_id, e.bin, e.k, e.t, g.used, arg_min(c.t, 2 * abs(c.t - e.t) + CASE WHEN c.t > e.t THEN 1 ELSE 0 END) AS pick
+  FROM gm g JOIN ev e ON e.series_id = g.series_id AND e.bin = g.bin AND e.k = g.k + 1
+  LEFT JOIN rs c ON c.after_event = 0 AND c.series_id = e.series_id AND c.bin = e.bin AND c.t BETWEEN e.t - 10 AND e.t + 10 AND NOT list_contains(g.used, c.t)
+  GROUP BY ALL)),
+mt AS (SELECT series_id, bin, t, control_t FROM gm WHERE control_t IS NOT NULL)"""
+
+
+def adjusted(V):
+    return pairing.baseline_adjust(V.trace, V.trace_base)
+
+
 query("j6_greedy_match", "series_id:l bin:l t:l control_t:l",
-      lambda V: pairing.greedy_match(scale.materialize(pairing.responses(pairing.baseline_adjust(V.trace, V.trace_base)))))
+      lambda V: pairing.greedy_match(scale.materialize(pairing.responses(adjusted(V)))), f"WITH RECURSIVE {ADJ},{GREEDY} SELECT * FROM mt")
+query("j7_exclusions", "series_id:l missing_baseline:l extinct:l zero_magnitude:l unobservable_predecessor:l usable:l eligible:l",
+      lambda V: pairing.exclusions(adjusted(V)), f"""
+WITH {ADJ} SELECT series_id, count(CASE WHEN reason = 'missing_baseline' THEN 1 END) AS missing_baseline, count(CASE WHEN reason = 'extinct' THEN 1 END) AS extinct,
+ count(CASE WHEN reason = 'zero_magnitude' THEN 1 END) AS zero_magnitude, count(CASE WHEN reason IS NULL AND pf IS NULL THEN 1 END) AS unobservable_predecessor,
+ count(pf) AS usable, count(CASE WHEN pf = 1 THEN 1 END) AS eligible FROM (SELECT * FROM ok UNION ALL SELECT *, NULL, NULL FROM aj WHERE reason IS NOT NULL) GROUP BY 1""")
 query("j8_rank_join", "pair_id:l idx:l source:d matched:d", lambda V: pairing.rank_join(V.pairs_cells), """
 WITH a AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY f, idx) AS rf, row_number() OVER (PARTITION BY pair_id ORDER BY t, idx) AS rt FROM v_pairs_cells)
 SELECT a.pair_id, a.idx, a.f AS source, b.t AS matched FROM a JOIN a b ON b.pair_id = a.pair_id AND b.rt = a.rf""")
@@ -191,12 +213,29 @@ def _hit_ids(V):
 query("n6_bootstrap_ci", "unit:s n:l mean:d lo:d hi:d", lambda V: resample.bootstrap_ci(_hit_ids(V), "unit", "rid", 200, 1), f"""
 WITH {HITS}, hi2 AS (SELECT *, grp || '/' || seed || '/' || unit AS rid FROM hits), {boot_sql('hi2', 'unit', 'rid', 200, 1)} SELECT * FROM ci""")
 DIFFS = f"WITH {BAND}, df AS (SELECT series_id, t, v - base AS difference FROM bd WHERE flag = 1 AND base IS NOT NULL)"
+
+
+def tree_boot_sql(src, by, order, value, reps, seed):
+    """Replicate means `bm(by, rep, m)` of `src`: draws split down a tree over leaves of at most 1,024 rows, then spread over each leaf."""
+    normal = f"sqrt(-2.0{D} * ln(greatest({u(f"'{seed}'", "'split'", 'rep', by, 'lo', 'hi', "'a'")}, 1.0{D} / 4294967296.0{D}))) * cos(2.0{D} * pi() * {u(f"'{seed}'", "'split'", 'rep', by, 'lo', 'hi', "'b'")})"
+    return f"""
+bo AS (SELECT *, ceil(n / 1024.0{D})::BIGINT AS k FROM (SELECT {by}, {value} AS x, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {src})),
+lf AS (SELECT {by}, leaf, list(x ORDER BY i) AS xs FROM (SELECT *, floor(i * k / n::DOUBLE)::BIGINT AS leaf FROM bo) GROUP BY ALL),
+tr AS (SELECT DISTINCT {by}, r AS rep, n, k, 0::BIGINT AS lo, k AS hi, n AS m FROM bo, range({reps}) q(r)
+ UNION ALL
+ SELECT {by}, rep, n, k, CASE side WHEN 0 THEN lo ELSE mid END, CASE side WHEN 0 THEN mid ELSE hi END, CASE side WHEN 0 THEN l ELSE m - l END FROM (
+  SELECT *, least(greatest(floor(m * p + sqrt(m * p * (1.0{D} - p)) * z + 0.5{D}), 0), m)::BIGINT AS l FROM (
+   SELECT *, (ceil(mid * n / k::DOUBLE) - ceil(lo * n / k::DOUBLE)) / (ceil(hi * n / k::DOUBLE) - ceil(lo * n / k::DOUBLE)) AS p, {normal} AS z
+   FROM (SELECT *, (lo + hi) // 2 AS mid FROM tr WHERE hi - lo > 1))), (VALUES (0), (1)) AS sides(side)),
+dr AS (SELECT {by}, rep, n, lo AS leaf, unnest(range(m)) AS d FROM tr WHERE hi - lo = 1),
+bm AS (SELECT {by}, rep, sum(xs[1 + floor(('0x' || substr(md5(concat_ws(':', '{seed}', 'draw', rep, {by}, leaf, d // 4)), (1 + 8 * (d % 4))::INT, 8))::BIGINT / 4294967296.0{D} * len(xs))::INT]) / any_value(n) AS m
+  FROM dr JOIN lf USING ({by}, leaf) GROUP BY ALL)"""
+
+
 query("n7_bootstrap_mean_ci", "series_id:s lo:d hi:d", lambda V: resample.bootstrap_mean_ci(
     pairing.band_baseline(V.type_series, "series_id"), "series_id", "t", F.floor(F.col("t") / 512), reps=100, seed=2), f"""
-{DIFFS}, o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) AS i, count(*) OVER (PARTITION BY series_id) AS n FROM df),
-d AS (SELECT series_id, r AS rep, floor({u("'2'", "'rep'", "r", "series_id", "i")} * n) + 1 AS i FROM o, range(100) q(r)),
-m AS (SELECT series_id, rep, avg(difference) AS m FROM d JOIN o USING (series_id, i) GROUP BY ALL)
-SELECT series_id, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY 1""")
+{DIFFS.replace("WITH", "WITH RECURSIVE", 1)}, {tree_boot_sql("df", "series_id", "t", "difference", 100, 2)}
+SELECT series_id, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY 1""")
 query("n8_block_bootstrap_ci", "series_id:s lo:d hi:d", lambda V: resample.block_bootstrap_ci(
     V.type_series, "series_id", "v", 21, 100, 5), f"""
 WITH n AS (SELECT series_id, count(*) AS n FROM v_type_series GROUP BY 1),
@@ -579,5 +618,15 @@ query("n21_effect_size", "series_id:s n:l mean:d sd:d effect:d status:s", lambda
     pairing.band_baseline(V.type_series, "series_id"), "series_id"), f"""
 {DIFFS} SELECT series_id, count(*) AS n, avg(difference) AS mean, stddev_samp(difference) AS sd, avg(difference) / stddev_samp(difference) AS effect,
  CASE WHEN count(*) < 20 THEN 'INSUFFICIENT_DATA' WHEN max(abs(difference)) = 0 THEN 'DEGENERATE' ELSE 'OK' END AS status FROM df GROUP BY 1""")
-query("n22_paired_temporal_test", "n:l mean:d sd:d effect:d status:s lo:d hi:d exceedances:l p:d",
-      lambda V: resample.paired_temporal_test(V.trace, V.trace_base, reps=100, seed=6))
+query("n22_paired_temporal_test", "n:l mean:d sd:d effect:d status:s lo:d hi:d exceedances:l p:d missing_baseline:l extinct:l zero_magnitude:l unobservable_predecessor:l usable:l eligible:l",
+      lambda V: resample.paired_temporal_test(V.trace, V.trace_base, reps=1000, seed=6), f"""
+WITH RECURSIVE {ADJ},{GREEDY},
+df AS (SELECT 1 AS one, m.series_id, m.t, a.detrended - c.detrended AS difference FROM mt m JOIN rs a ON a.series_id = m.series_id AND a.t = m.t JOIN rs c ON c.series_id = m.series_id AND c.t = m.control_t),
+{tree_boot_sql("df", "one", "series_id, t", "difference", 1000, 6)},
+sf AS (SELECT r, sum(difference * CASE WHEN {u("'6'", "r", "one", "series_id", "t")} < 0.5{D} THEN -1 ELSE 1 END) AS s, sum(difference) AS o FROM df, range(1000) q(r) GROUP BY 1),
+sp AS (SELECT nullif(count(CASE WHEN abs(s) >= abs(o) - 1e-9 THEN 1 END), CASE WHEN count(*) = 0 THEN 0 ELSE -1 END) AS exceedances, (count(CASE WHEN abs(s) >= abs(o) - 1e-9 THEN 1 END) + 1) / 1001.0{D} AS p0, count(*) AS reps FROM sf),
+ef AS (SELECT count(*) AS n, avg(difference) AS mean, stddev_samp(difference) AS sd, avg(difference) / nullif(stddev_samp(difference), 0) AS effect,
+  CASE WHEN count(*) < 20 THEN 'INSUFFICIENT_DATA' WHEN max(abs(difference)) = 0 THEN 'DEGENERATE' ELSE 'OK' END AS status FROM df),
+ex AS (SELECT count(CASE WHEN reason = 'missing_baseline' THEN 1 END) AS missing_baseline, count(CASE WHEN reason = 'extinct' THEN 1 END) AS extinct, count(CASE WHEN reason = 'zero_magnitude' THEN 1 END) AS zero_magnitude FROM aj),
+us AS (SELECT count(*) - count(pf) AS unobservable_predecessor, count(pf) AS usable, count(CASE WHEN pf = 1 THEN 1 END) AS eligible FROM ok)
+SELECT ef.*, (SELECT quantile_cont(m, 0.025) FROM bm) AS lo, (SELECT quantile_cont(m, 0.975) FROM bm) AS hi, exceedances, CASE WHEN reps > 0 THEN p0 END AS p, ex.*, us.* FROM ef, sp, ex, us""")

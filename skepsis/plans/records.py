@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_seed
+from ..functions.numeric import clamp
 from ..operators import audit, degrade, evidence, fields, gates, leakage, marginal, models, sphere, sweep
 from .experiments import SQL_TRAIN, TEST, is_train, lst, pair_sql
 from .fixtures import H, W
@@ -342,7 +343,7 @@ query("p7_canonical_name", "id:l canonical:s", lambda V: evidence.canonical_name
 query("p8_label_map", "id:l label:s", lambda V: evidence.label_map(V.messy, "alias", {"goods": ["aut", "fur", "hou"], "works": ["bui", "mac"]}, "unknown"), """
 SELECT id, CASE WHEN alias IN ('aut', 'fur', 'hou') THEN 'goods' WHEN alias IN ('bui', 'mac') THEN 'works' ELSE 'unknown' END AS label FROM v_messy""")
 query("p9_reflect_clamp", "id:l reflected:d clamped:d", lambda V: V.messy.select(
-    "id", evidence.reflect_into("amount", 0.0, 1500.0).alias("reflected"), evidence.clamp("amount", 0.0, 1500.0).alias("clamped")), """
+    "id", evidence.reflect_into("amount", 0.0, 1500.0).alias("reflected"), clamp("amount", 0.0, 1500.0).alias("clamped")), """
 SELECT id, CASE WHEN p > 1500 THEN 3000 - p ELSE p END AS reflected, least(greatest(amount, 0), 1500) AS clamped
 FROM (SELECT id, amount, amount - floor(amount / 3000.0::DOUBLE) * 3000.0::DOUBLE AS p FROM v_messy)""")
 query("p10_boundary_distance", "candidate_id:l distance:d edge:s suspect:b", lambda V: evidence.boundary_distance(V.evals, "cr", "ci", (0.0, 6.0, 0.0, 1.0)), """

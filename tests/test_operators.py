@@ -131,6 +131,47 @@ def test_greedy_match_against_sequential(spark):
     assert got == want
 
 
+def test_greedy_match_of_one_dense_chain(spark):
+    """No gap lets a chain end, and choices reach over every border: chunks are matched again until they agree with one pass."""
+    rng = random.Random(9)
+    rows = [(s, t, int(rng.random() < 0.6), 0, 0.0) for s in (1, 2) for t in range(1, 900)]
+    r = spark.createDataFrame(rows, "series_id bigint, t bigint, after_event bigint, bin bigint, detrended double")
+    want = {}
+    for s in (1, 2):
+        flag, used = {t: e for k, t, e, _, _ in rows if k == s}, set()
+        for t in sorted(flag):
+            c = [k for k in range(t - 10, t + 11) if flag[t] == 1 and flag.get(k) == 0 and k not in used]
+            if c:
+                want[s, t] = min(c, key=lambda k: (abs(k - t), k))
+                used.add(want[s, t])
+    for size in (20, 64, 1 << 16):
+        assert {(x.series_id, x.t): x.control_t for x in pairing.greedy_match(r, size=size).collect()} == want
+    assert pairing.greedy_match(r.filter("after_event = 1")).count() == 0 and pairing.greedy_match(r.filter("false")).count() == 0
+    sizes = [len(x.ts) + len(x.cs) for x in pairing.match_chunks(r, size=64).collect()]
+    assert max(sizes) <= 84
+
+
+def test_tree_draws_are_a_multinomial(spark):
+    """Every replicate draws exactly n rows; leaves share them as chance would."""
+    for n, leaves in ((1, 1), (5000, 5), (70_000, 69)):
+        d = spark.range(leaves).withColumnRenamed("id", "leaf").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199))))
+        m = d.select("rep", "leaf", resample.leaf_draws(F.col("rep"), F.col("leaf"), F.lit(leaves), F.lit(n), 3, F.lit("g")).alias("m")).toPandas()
+        assert (m.groupby("rep").m.sum() == n).all() and (m.m >= 0).all()
+        if leaves > 1:
+            size = np.array([-(-(k + 1) * n // leaves) - -(-k * n // leaves) for k in range(leaves)])
+            got = m.pivot(index="rep", columns="leaf", values="m").to_numpy()
+            z = (got - size) / np.sqrt(size * (1 - size / n))
+            assert abs(z.mean()) < 0.05 and 0.85 < z.std() < 1.15
+
+
+def test_bootstrap_mean_interval(spark):
+    v = np.random.default_rng(4).normal(1.0, 2.0, 3000)
+    d = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(v)] + [(2, 0, 5.0)], "k bigint, t bigint, difference double")
+    got = {r.k: (r.lo, r.hi) for r in resample.bootstrap_mean_ci(d, "k", "t", F.floor(F.col("t") / 512), reps=300, seed=1).collect()}
+    se = v.std() / np.sqrt(len(v))
+    assert got[2] == (5.0, 5.0) and got[1][0] == pytest.approx(v.mean() - 1.96 * se, abs=0.5 * se) and got[1][1] == pytest.approx(v.mean() + 1.96 * se, abs=0.5 * se)
+
+
 def test_phase_surrogate_keeps_spectrum(spark):
     v = np.random.default_rng(2).normal(2.0, 1.0, 64)
     s = spark.createDataFrame([("a", i + 1, float(x)) for i, x in enumerate(v)], "k string, t bigint, v double")
