@@ -5,8 +5,9 @@ and buckets of nodes that agree in all `ROWS` minima of one of `BANDS` bands of
 probability of (1 - 0.8 ** ROWS) ** BANDS = 0.0007, one at 0.85 of 0.000005.  A candidate is a link only if the similarity of the two
 whole sets, counted on Spark, reaches the limit.
 
-Rounds in which each bucket's members are checked against one of them join most of a dense group, so that not all its pairs are needed.  The last
-round checks all pairs of a bucket that are not in one component yet: no pair of a bucket is left out that could join two components.
+A bucket's nodes are checked against one of them, never all against all: `ROUNDS` times over, those still in different components meet
+another one of the bucket.  What is still apart then is checked pair by pair, as far as sizes and both fingerprints allow
+the similarity: no pair of a bucket is left out that could join two components.
 """
 from __future__ import annotations
 
@@ -15,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import extend, materialize
+from .collocation import holds, power
+from .common import extend, materialize, slices
 from .simhash import BITS, NO_ID, _majority, _remixed, connected, links, plan, shingle_hashes
 
 ROWS, BANDS = 6, 24
-#: Rounds with one pivot a bucket go on while more pairs than so many for each member are open, and links are found.
-OPEN_PAIRS = 4
+ROUNDS = 3
+#: Differing bits of both fingerprints (128); at a similarity of 0.8 they differ in 19 on average, with a deviation of 4.
+MOST_APART = 36
+FEW_PAIRS = 50_000          # pairs (16 bytes each) up to which their nodes are broadcast
+MOST_BITS = 1 << 28         # the filter of documents that tasks receive: 32 MB at most
 ODD = np.random.default_rng(8).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -66,25 +71,64 @@ def described(docs: DataFrame, words: int) -> DataFrame:
     return extend(docs, ["doc_id"], "text", add, StructType([StructField(c, LongType()) for c in ("fp", "fp2", "sig", "n")] + [StructField("bands", ArrayType(LongType()))]))
 
 
+def _some(ids: DataFrame, most_bits: int = MOST_BITS) -> tuple[np.ndarray, int]:
+    """(bitmap, its bits as a power of two) of the hashes `h` of ids: a filter of bounded size that holds them all, and others by chance.
+
+    Each task fills the slice of its hashes; the slices, `most_bits` bits in all at most, meet on the driver.
+    """
+    bits = min(power(8 * max(1, ids.count())), power(most_bits))
+    bits = max(bits, 16)
+
+    def fill(batches):
+        part, held = None, None
+        for b in batches:
+            parts, at = (b.column(c).to_numpy() for c in (0, 1))
+            for p in np.unique(parts).tolist():
+                if p != part:
+                    if held is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["part", "bits"])
+                    part, held = p, np.zeros(1 << (bits - 8), np.uint8)
+                held[at[parts == p]] = 1
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["part", "bits"])
+    rows = ids.select(F.shiftrightunsigned("h", 56).alias("part"), F.shiftrightunsigned("h", 64 - bits).bitwiseAND((1 << (bits - 8)) - 1).alias("at"))
+    out = np.zeros((256, (1 << (bits - 8)) // 8), np.uint8)
+    for r in rows.repartition("part").sortWithinPartitions("part").mapInArrow(fill, "part long, bits binary").collect():
+        out[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1), bits
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, s): the whole sets of the given nodes, each from texts of the document that names it."""
-    def add(texts):
-        s = [shingle_set(t, words)[1] for t in texts]
-        return [[np.uint64(set_key(x)).astype(np.int64) for x in s], [x.view(np.int64) for x in s]]
+    """(node, first, s): the whole sets of the given (node, first, sig), each from a text of the document that names it.
 
-    ids = nodes.select(F.col("node.first").alias("__id")).distinct()
-    chosen = docs.select("doc_id", "text").join(ids, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__id"), "left_semi").distinct()
-    made = extend(chosen, ["doc_id"], "text", add, StructType([StructField("sig", LongType()), StructField("s", ArrayType(LongType()))]), 64)
-    made = made.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("first"), "sig", "s")
-    return nodes.select("node", F.col("node.first").alias("first"), F.col("node.sig").alias("sig")).join(made, ["first", "sig"]).select("node", "s").dropDuplicates(["node"])
+    Texts aren't shuffled: every task knows by the filter of `_some` which of its documents may be meant.
+    """
+    first = F.coalesce("doc_id", F.lit(NO_ID))
+    bitmap, bits = _some(nodes.select(F.xxhash64("first").alias("h")))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def make(batches):
+        for b in slices(batches, 64):
+            some = b.filter(pa.array(holds(shared.value, bits, b.column(1).to_numpy().view(np.uint64))))
+            s = [shingle_set(t, words)[1] for t in some.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([np.uint64(set_key(x)).astype(np.int64) for x in s], pa.int64()), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64()))],
+                                             names=["first", "sig", "s"])
+    made = docs.select(first.alias("first"), F.xxhash64(first).alias("h"), "text").mapInArrow(make, "first long, sig long, s array<long>")
+    return nodes.join(made, ["first", "sig"]).select("node", "first", "s").dropDuplicates(["node"])
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, link) of distinct pairs (a, b): whether the exact similarity of their sets reaches `similarity`."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias("s" + x))
+    """(a, b, fa, fb, link) of distinct pairs (a, b): whether the exact similarity of their sets reaches `similarity`; fa and fb name the nodes.
+
+    The set of a member goes to its pivot, which may have very many: that join is one that Spark splits.
+    """
+    if pairs.count() <= FEW_PAIRS:          # little is left: most sets stay where they are
+        few = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = sets.join(F.broadcast(few), "node", "left_semi")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("first").alias("f" + x), F.col("s").alias("s" + x))
     both = F.size(F.array_intersect("sa", "sb"))
-    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").select(
-        "a", "b", (both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).alias("link")))
+    return materialize(pairs.join(side("b"), "b").join(side("a"), "a").select(
+        "a", "b", "fa", "fb", (both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).alias("link")))
 
 
 def _pairs(met: DataFrame, similarity: float) -> DataFrame:
@@ -93,6 +137,97 @@ def _pairs(met: DataFrame, similarity: float) -> DataFrame:
             .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
 
 
+RUNS = "k long, node long, n int, c long, other long, m int, oc long, edge boolean"
+
+
+def stars(rows: DataFrame, order=None) -> DataFrame:
+    """(k, node, n, c, other, m, oc) of rows (k, node, n, c): every node of a key that others share, beside the key's first node in `order`.
+
+    Rows are dealt by ranges of (key, order), so that a key of very many rows lies in many tasks; a task's first and last
+    key, which may go on next door, are joined with the two rows a task has of them at most.
+    """
+    fields = RUNS.split(", ")
+    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(f.split()[0], types[f.split()[1]]) for f in fields])
+
+    def batch(x, first, edge):
+        return pa.RecordBatch.from_arrays([*[pa.array(v, f.type) for v, f in zip([*x, *first, np.full(len(x[0]), edge)], schema)]], schema=schema)
+
+    def run(batches):
+        held, head, pivot = None, True, None      # rows of the last key, is it the task's first key, its first row if some rows are out
+
+        def close(rows, key_ends):
+            """Rows of whole or, at the end of what was read, growing keys."""
+            nonlocal head, pivot
+            cut = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+            length = np.diff(np.r_[cut, len(rows[0])])
+            first = [np.repeat(v[cut], length) for v in rows[1:]]
+            edge = np.zeros(len(rows[0]), bool)
+            if head:
+                edge[:length[0]] = True
+            if not key_ends:
+                edge[cut[-1]:] = True
+            share = np.repeat(length > 1, length) | edge
+            for e in (False, True):
+                at = share & (edge == e)
+                if at.any():
+                    yield batch([v[at] for v in rows], [f[at] for f in first], e)
+            head = False
+
+        for b in batches:
+            rows = [b.column(c).to_numpy() for c in range(4)]
+            if not len(rows[0]):
+                continue
+            if held is not None:
+                rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
+            stop = int(np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])[-1])
+            if stop:
+                yield from close([r[:stop] for r in rows], True)
+            held = [r[stop:] for r in rows]
+        if held is not None:
+            yield from close(held, False)
+
+    o = F.col("node") if order is None else order
+    dealt = rows.select("k", "node", "n", "c", o.alias("o")).repartitionByRange("k", "o", "node").sortWithinPartitions("k", "o", "node").select("k", "node", "n", "c")
+    found = materialize(dealt.mapInArrow(run, RUNS).withColumn("task", F.spark_partition_id()))
+    inner = found.filter("not edge").drop("edge", "task")
+    edges = found.filter("edge")
+    by = F.struct(F.col("task"), F.col("other"), F.col("m"), F.col("oc"))
+    runs = edges.groupBy("k").agg(F.min(by).alias("p"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")        # two keys a task at most
+    edges = edges.select("k", "node", "n", "c").join(F.broadcast(runs), "k").select("k", "node", "n", "c", F.col("p.other").alias("other"), F.col("p.m").alias("m"), F.col("p.oc").alias("oc"))
+    return inner.unionByName(edges)
+
+
+def _rest(open_: DataFrame, similarity: float) -> DataFrame:
+    """(node, n, other, m): pairs of nodes that share a key, lie in different components, and may be similar by size and both fingerprints."""
+    def run(batches):
+        held = None
+
+        def pairs(x):
+            k, node, n, c, f, g = x
+            cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(k)]):
+                for i in range(a, z - 1):
+                    at = np.arange(i + 1, z)
+                    ok = (c[at] != c[i]) & (np.minimum(n[at], n[i]) >= similarity * np.maximum(n[at], n[i]) - 1e-9) & (np.bitwise_count(f[at] ^ f[i]).astype(int) + np.bitwise_count(g[at] ^ g[i]) <= MOST_APART)
+                    at = at[ok]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), node[i])), pa.array(np.full(len(at), n[i])), pa.array(node[at]), pa.array(n[at])], names=["node", "n", "other", "m"])
+        for b in batches:
+            rows = [b.column(c).to_numpy() for c in range(6)]
+            if not len(rows[0]):
+                continue
+            if held is not None:
+                rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
+            stop = int(np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])[-1])
+            if stop:
+                yield from pairs([r[:stop] for r in rows])
+            held = [r[stop:] for r in rows]
+        if held is not None:
+            yield from pairs(held)
+    return open_.select("k", "node", "n", "c", "fp", "fp2").repartition("k").sortWithinPartitions("k", "node").mapInArrow(run, "node long, n int, other long, m int")
+
+
 def components(docs: DataFrame, similarity: float, words: int, radius: int, check: int) -> DataFrame:
     """(doc_id, component_id) of all documents: the smallest doc_id of those reachable over pairs of the given similarity.
 
@@ -100,53 +235,40 @@ def components(docs: DataFrame, similarity: float, words: int, radius: int, chec
     """
     rows = materialize(described(docs, words))
     key = ["fp", "fp2", "sig"]
-    nodes = materialize(rows.groupBy(*key).agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")).select(
-        *key, "n", "bands", F.struct(F.coalesce("first", F.lit(NO_ID)).alias("first"), "sig", "fp", "fp2").alias("node")))
-    every = nodes.select("node", "n", F.explode("bands").alias("k"))
-    shared = every.groupBy("k").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("k")
-    members = materialize(every.join(shared, "k"))
+    nodes = materialize(rows.groupBy(*key).agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+                        .select(*key, F.coalesce("first", F.lit(NO_ID)).alias("first"), F.col("n").cast("int").alias("n"), "bands", F.monotonically_increasing_id().alias("node")))
+    buckets = nodes.select(F.explode("bands").alias("k"), "node", "n", F.col("node").alias("c"))
+    met = materialize(stars(buckets))
 
     # SimHash links are between fingerprints: the smallest node of each stands for it, buckets join the others.
     fps = materialize(nodes.filter("n > 0").groupBy("fp", "fp2").agg(F.min(F.struct("node", "n")).alias("x")).select("fp", "fp2", F.col("x.node").alias("node"), F.col("x.n").alias("n")))
     side = lambda x, node, n: fps.select(F.col("fp").alias(x), F.col("fp2").alias(x + "2"), F.col("node").alias(node), F.col("n").alias(n))
-    near = links(fps, radius, plan(fps, radius), check).join(side("a", "node", "n"), ["a", "a2"]).join(side("b", "other", "m"), ["b", "b2"]).select("node", "n", "other", "m")
-    near = materialize(near)
-    needed = members.select("node").unionByName(near.select("node")).unionByName(near.select(F.col("other").alias("node"))).distinct()
-    sets = materialize(_sets(docs, needed, words))
-
-    def pivots(open_, turn):
-        one = open_.groupBy("k").agg(F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(turn))).alias("p"))
-        return open_.join(one, "k").filter("c <> p.c").select("node", "n", F.col("p.node").alias("other"), F.col("p.n").alias("m"))
-
-    def opened(root):
-        """Members of the buckets that hold several components, and how many pairs of them are open."""
-        at = members if root is None else members.join(root, "node", "left")
-        at = at.withColumn("c", F.col("node") if root is None else F.coalesce("root", "node")).select("k", "node", "n", "c")
-        parts = at.groupBy("k", "c").agg(F.count(F.lit(1)).alias("x")).groupBy("k").agg(
-            F.sum("x").alias("t"), F.max(F.struct("x", "c"))["c"].alias("most"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        return materialize(at.join(parts.select("k", "most", "t", "q"), "k"))
-
-    done = _checked(_pairs(near.unionByName(pivots(members.withColumn("c", F.col("node")), 0)), similarity), sets, similarity)
-    turn, before = 0, 0
-    while True:
-        found = done.filter("link").count()
-        root = connected(done.filter("link").select("a", "b")) if found else None
-        open_ = opened(root)
-        left, size = open_.agg(F.coalesce(F.sum((F.col("t") * F.col("t") - F.col("q")) / (2 * F.col("t"))), F.lit(0.0)), F.count(F.lit(1))).first()
-        last = left <= OPEN_PAIRS * size or found == before
-        turn, before = turn + 1, found
-        if last:            # every open pair has a side outside the bucket's largest component
-            met = open_.filter("c <> most").join(open_.select("k", F.col("node").alias("other"), F.col("n").alias("m"), F.col("c").alias("d")), "k").filter("c <> d")
+    near = materialize(links(fps, radius, plan(fps, radius), check).join(side("a", "node", "n"), ["a", "a2"]).join(side("b", "other", "m"), ["b", "b2"]).select("node", "n", "other", "m"))
+    needed = met.select("node").unionByName(near.select("node")).unionByName(near.select(F.col("other").alias("node"))).distinct()
+    sets = materialize(_sets(docs, nodes.select("node", "first", "sig").join(needed, "node"), words))
+
+    def joined(done):
+        """(node, c): the component of each linked node, named by the smallest document."""
+        a, b = (F.struct(F.col("f" + x).alias("first"), F.col(x).alias("no")) for x in "ab")
+        return connected(done.filter("link").select(a.alias("a"), b.alias("b")))
+
+    done = _checked(_pairs(near.unionByName(met.select("node", "n", "other", "m")), similarity), sets, similarity)
+    open_, root = met.select("k", "node", "n"), joined(done)
+    for turn in range(1, ROUNDS + 2):
+        at = open_.join(root.select(F.col("node.no").alias("node"), F.col("root.no").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        apart = at.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("k")
+        open_ = materialize(at.join(apart, "k", "left_semi").select("k", "node", "n", "c"))
+        if turn <= ROUNDS:
+            new = stars(open_, F.xxhash64("node", F.lit(turn))).filter("c <> oc").select("node", "n", "other", "m")
         else:
-            met = pivots(open_, turn)
-        new = _checked(_pairs(met, similarity).join(done.select("a", "b"), ["a", "b"], "left_anti"), sets, similarity)
-        done = done.unionByName(new)
-        if last:
-            break
-    if done.filter("link").count() > found:
-        root = connected(done.filter("link").select("a", "b"))
-    named = nodes.select(*key, "node") if root is None else nodes.select(*key, "node").join(root, "node", "left")
-    named = named.select(*key, F.nullif((F.col("node") if root is None else F.coalesce("root", "node"))["first"], F.lit(NO_ID)).alias("component_id"))
+            new = _rest(open_.join(nodes.select("node", "fp", "fp2"), "node"), similarity)
+        new = materialize(_pairs(new, similarity).join(done.select("a", "b"), ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            done = done.unionByName(_checked(new, sets, similarity))
+            root = joined(done)
+        open_ = open_.select("k", "node", "n")
+    named = nodes.select(*key, F.struct("first", F.col("node").alias("no")).alias("node")).join(root, "node", "left")
+    named = named.select(*key, F.nullif(F.coalesce("root", "node")["first"], F.lit(NO_ID)).alias("component_id"))
     return rows.select("doc_id", *key).join(named, key).select("doc_id", "component_id")
 
 
