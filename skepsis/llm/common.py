@@ -28,6 +28,25 @@ def hash_sample(df: DataFrame, most: int, *by: str) -> DataFrame:
     return df.orderBy(h, *by).limit(most)
 
 
+_CLEAR: dict[str, Callable[[], None]] = {}
+_LAST: list[str] = []
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Registers what a module keeps in a worker between tasks."""
+    _CLEAR[owner] = clear
+
+
+def turn_to(owner: str) -> None:
+    """In a worker, before an operator's work: what other operators have kept there goes, as their stage is over."""
+    if _LAST != [owner]:
+        for name, clear in _CLEAR.items():
+            if name != owner:
+                clear()
+        _LAST[:] = [owner]
+        pa.default_memory_pool().release_unused()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Short batches, so that what a task holds beside its input stays small."""
     for b in batches:
@@ -56,5 +75,6 @@ def extend(docs: DataFrame, carry: list[str], text: str, add: Callable, added: S
             made = add(b.column(len(carry)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:len(carry)], *[pa.array(x, t) for x, t in zip(made, types)]],
                                              names=[*carry, *[f.name for f in added]])
+        pa.default_memory_pool().release_unused()       # workers go on to other stages
 
     return source.mapInArrow(run, StructType([*source.schema.fields[:len(carry)], *added.fields]))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import extend, materialize, slices
+from .common import extend, materialize, slices, turn_to
 
 TOP_WORDS = 50
 MOST_LANGUAGES = 64
@@ -108,6 +108,7 @@ def _partial(refs: list["Reference"], limits: tuple, share: float, known: frozen
     refs = list(refs)               # without the table, which stays with the driver
 
     def run(batches):
+        turn_to("quality")
         counts, classes, total = defaultdict(Counter), {}, Counter()
 
         def flush():

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .collocation import holds, power
-from .common import extend, materialize, slices
+from .common import extend, materialize, slices, turn_to
 from .simhash import BITS, NO_ID, _majority, _remixed, connected, links, plan, shingle_hashes
 
 ROWS, BANDS = 6, 24
@@ -60,6 +60,7 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 def described(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, fp, fp2, sig, n, bands): both fingerprints, key, size and band keys of each text's set; no bands without a word."""
     def add(texts):
+        turn_to("similar")
         f, sig, n, low = np.zeros((len(texts), 2), np.uint64), np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), np.zeros((len(texts), len(ODD)), np.uint64)
         for i, t in enumerate(texts):
             h, s = shingle_set(t, words)

@@ -18,7 +18,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import extend, hash_sample
+from .common import extend, hash_sample, keeps, turn_to
 
 SAMPLE_TOXIC = 3_000
 SAMPLE_ORDINARY = 6_000
@@ -33,6 +33,7 @@ CACHE_WORDS = 150_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CODES: dict[str, bytes] = {}
+keeps("toxic", _CODES.clear)
 
 
 def codes(text: str) -> list[bytes]:
@@ -168,6 +169,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None, thresho
     Null, empty and wordless texts have one empty window and so no gain; repeated rows are all scored; columns named like an added one give way.
     """
     def add(texts):
+        turn_to("toxic")
         s = model.scores(texts)
         return [s, (s >= threshold).astype(np.int32)]
     return extend(docs, docs.columns if carry is None else carry, "text", add, ADDED)

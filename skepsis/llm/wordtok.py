@@ -13,10 +13,13 @@ import unicodedata
 
 import numpy as np
 
-CACHE_WORDS = 600_000
+from .common import keeps, turn_to
+
+CACHE_WORDS = 500_000
 _TAIL = b".,!?;:"
 _BEFORE_TAIL = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 _LOADED: dict[str, "WordTokenizer"] = {}
+keeps("wordtok", _LOADED.clear)
 
 
 def default_vocabulary() -> str:
@@ -26,6 +29,7 @@ def default_vocabulary() -> str:
 
 def load(path: str) -> "WordTokenizer":
     """One tokenizer per worker process and file."""
+    turn_to("wordtok")
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
     return _LOADED[path]
@@ -36,7 +40,7 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers as pre
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        self.special = [t.content.lower().encode() for t in self.full.get_added_tokens_decoder().values()]
         self.plain = Tokenizer(self.full.model)
         self.plain.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ascii = Tokenizer(self.full.model)
@@ -89,9 +93,20 @@ class WordTokenizer:
             found[w] = a + b
         return found
 
+    def _whole(self, text: bytes) -> bytes:
+        return np.asarray(self.full.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[str | bytes | None]) -> list[bytes]:
-        """Ids of each text (a string, or its UTF-8 bytes) as little-endian unsigned 32-bit integers; a null or empty one has none."""
-        runs = [(t if isinstance(t, bytes) else t.encode()).lower().split() if t else [] for t in texts]
+        """Ids of each text (a string, or its UTF-8 bytes) as little-endian unsigned 32-bit integers; a null or empty one has none.
+
+        A text that holds an added token's name goes through the library whole.
+        """
+        raw = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
+        low = [t.lower() for t in raw]
+        named = [i for i, t in enumerate(low) if b"<|" in t and any(x in t for x in self.special)]
+        for i in named:
+            low[i] = b""
+        runs = [t.split() for t in low]
         here, missing, known = {}, set(), self.cache.get
         for w in set().union(*runs):
             ids = known(w)
@@ -105,5 +120,7 @@ class WordTokenizer:
             if len(self.cache) + len(found) <= self.most:
                 self.cache.update(found)
         here = here.__getitem__
-        return [b"".join(map(here, r)) for r in runs]
-
+        out = [b"".join(map(here, r)) for r in runs]
+        for i in named:
+            out[i] = self._whole(raw[i])
+        return out

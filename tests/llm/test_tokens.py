@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from skepsis.llm import bpe, packing, tokenbin, wordtok
 
 
+LIBRARY = None
+
+
 def ids_of(text):
-    return wordtok.load(wordtok.default_vocabulary()).full.encode(text or "", add_special_tokens=False).ids + [2]
+    """By a tokenizer that nothing here has touched."""
+    global LIBRARY
+    if LIBRARY is None:
+        from tokenizers import Tokenizer
+        LIBRARY = Tokenizer.from_file(wordtok.default_vocabulary())
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def packed(ids):
@@ -43,6 +51,13 @@ def test_id_files_of_an_empty_table(spark, empty, tmp_path):
     assert tokenbin.read(spark, str(tmp_path / "ids")).count() == 0
 
 
+def test_names_of_added_tokens():
+    texts = ["<|endoftext|> hi", "a<|startoftext|>b. c", "<|EndOfText|> Hi <| endoftext |>", "x <|endoftext|>, Y <|ENDOFTEXT|>", "<|endoftext|>" * 3, "<|", "<|endoftext|"]
+    w = wordtok.WordTokenizer(wordtok.default_vocabulary())
+    assert [x + packed([2]) for x in w.encode(texts)] == [packed(ids_of(t)) for t in texts]
+    assert ids_of(texts[0]) == [49407, 1883, 2]
+
+
 def test_full_cache_changes_nothing():
     texts = ["some words, more Words. and more", "other words! some"]
     w = wordtok.WordTokenizer(wordtok.default_vocabulary(), most=2)
