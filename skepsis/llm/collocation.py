@@ -26,7 +26,7 @@ TOP = 2_000
 SCALE = 2_000_000
 CHUNK_BYTES = 2 << 20       # text that is split at once
 FLUSH_HASHES = 4 << 20      # n-gram occurrences that a task holds before it folds them
-FLUSH_PHRASES = 200_000
+FLUSH_PHRASES = 700_000
 CACHE_WORDS = 250_000
 SUMMARY_ENTRIES = 1 << 17   # counters for a hash partition, on average
 MOST_BITS = 1 << 29         # the bitmap that tasks receive: 64 MB at most
@@ -249,21 +249,26 @@ def holds(bitmap: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
 
 
 def exact_counts(shared, bits: int, flush: int = FLUSH_PHRASES):
-    """For mapInArrow: (lang, phrase, words, n) of the n-grams that the bitmap `shared.value` holds; words 0: all words of the language."""
-    def rows(held: dict):
-        keys = list(held)
-        for i in range(0, len(keys), 20_000):
-            part = keys[i:i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.binary()).cast(pa.string()), pa.array([k[1] for k in part], pa.binary()).cast(pa.string()),
-                                              pa.array([k[2] for k in part], pa.int32()), pa.array([held[k] for k in part], pa.int64())], names=["lang", "phrase", "words", "n"])
+    """For mapInArrow: (lang, phrase, n) of the n-grams that the bitmap `shared.value` holds; the empty phrase: all words of the language.
+
+    A task holds what it counts until `flush` phrases are met, which should be more than its share of the text has: a phrase
+    that goes out and comes again is a row each time.
+    """
+    def rows(held: dict[bytes, dict[bytes, int]]):
+        for lang, counts in held.items():
+            phrases, n = list(counts), list(counts.values())
+            for i in range(0, len(phrases), 20_000):
+                part = pa.array(phrases[i:i + 20_000], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang.decode()] * len(part), pa.string()), part, pa.array(n[i:i + 20_000], pa.int64())], names=["lang", "phrase", "n"])
 
     def run(batches):
-        held: dict[tuple[bytes, bytes, int], int] = {}
+        held: dict[bytes, dict[bytes, int]] = {}
         for lang, ids, old, words in token_runs(batches):
+            counts = held.setdefault(lang, {})
             known = seen = None
             for n, h, new in grams(lang, ids, old, words):
                 if n == 1:
-                    held[lang, b"", 0] = held.get((lang, b"", 0), 0) + int(new.sum())
+                    counts[b""] = counts.get(b"", 0) + int(new.sum())
                     hot, known = (ids != _BREAK) & holds(shared.value, bits, h), ids
                 else:           # a frequent n-gram's first and last n - 1 words are frequent
                     at = np.flatnonzero(seen[:-1] & seen[1:])
@@ -276,10 +281,10 @@ def exact_counts(shared, bits: int, flush: int = FLUSH_PHRASES):
                 at = np.flatnonzero(hot & new)
                 _, first, count = np.unique(known[at], return_index=True, return_counts=True)
                 for i, c in zip(at[first].tolist(), count.tolist()):
-                    key = (lang, b" ".join([words.names[w] for w in ids[i:i + n]]), n)
-                    held[key] = held.get(key, 0) + c
+                    key = b" ".join([words.names[w] for w in ids[i:i + n]])
+                    counts[key] = counts.get(key, 0) + c
                 seen = hot
-            if len(held) > flush:
+            if sum(map(len, held.values())) > flush:
                 yield from rows(held)
                 held = {}
         yield from rows(held)
@@ -291,8 +296,9 @@ def frequent(docs: DataFrame, least: int = LEAST, entries: int = SUMMARY_ENTRIES
     texts = docs.select(F.coalesce("lang", F.lit("und")).cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
     bitmap, bits = survivors(texts, least, entries, flush)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    n = texts.mapInArrow(exact_counts(shared, bits), "lang string, phrase string, words int, n bigint")
-    return n.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("words") == 0))
+    n = texts.mapInArrow(exact_counts(shared, bits), "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return n.select("lang", "phrase", words.alias("words"), "n").filter((F.col("n") >= least) | (F.col("words") == 0))
 
 
 def _inside(words, length: int):
