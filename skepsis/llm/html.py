@@ -26,16 +26,18 @@ EPOCHS = 6
 
 # HTML's elements without content, of raw text, and of block level; those that end an open paragraph are the last.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object textarea select canvas audio video title head".split())
+RAW = frozenset("script style template iframe noembed noframes xmp textarea select title".split())
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul""".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)""", re.S)
+_ATTRIBUTE = re.compile(r""">|=\s*(["'])""")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[a-z]+")
+MOST_DEEP = 128
 
 
 class Block:
@@ -55,11 +57,26 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+def _tag_end(page: str, at: int) -> tuple[int, int]:
+    """(end of the attributes that start at `at`, start of what follows the tag).
+
+    A quote opens a value after an equals sign only; one that nothing closes is part of a name.  A tag that doesn't end takes the rest of the page.
+    """
+    while m := _ATTRIBUTE.search(page, at):
+        if not m[1]:
+            return m.start(), m.end()
+        stop = page.find(m[1], m.end())
+        at = stop + 1 if stop >= 0 else m.end()
+    return len(page), len(page)
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order: character references decoded, white space folded to one blank and trimmed.
 
-    Comments, declarations and the content of scripts, styles and other raw elements belong to no block.  Unclosed tags end where HTML
-    ends them; an end tag without a start is ignored; a null or empty page has no block.
+    Comments, declarations and the content of scripts, styles and other raw elements belong to no block; text inside formulas, drawings
+    and embedded objects is text like any other.  A head has no end of its own: what else stands in it is read as part of the page.  Unclosed
+    tags end where HTML ends them; an end tag without a start is ignored; a null or empty page has no block.  Elements nested
+    deeper than `MOST_DEEP` are read as siblings at that depth, their text stays.
     """
     out, stack, held, linked, link_depth, at, n = [], [], [], 0, 0, 0, len(page or "")
 
@@ -89,11 +106,13 @@ def blocks(page: str | None) -> list[Block]:
                 linked += len(text.strip())
         if not m:
             break
-        at = m.end()
-        name = m[2]
+        at, name = m.end(), m[2]
         if not name:
             continue
-        name = name.lower()
+        name, start = name.lower(), at
+        stop, at = _tag_end(page, at)
+        attributes = page[start:stop]
+        closed = attributes.rstrip().endswith("/")
         block = name in BLOCK
         if block:
             flush()
@@ -104,24 +123,23 @@ def blocks(page: str | None) -> list[Block]:
                 link_depth = 0
             close((name,), BLOCK - {name} if not block else frozenset())
             continue
-        if name in RAW and not m[3].rstrip().endswith("/"):
-            if name == "head":                      # only what may stand in a head is skipped with it
-                stop = re.compile(r"</head|<body|<(?:h[1-6]|p|div|nav|main|article|header)[\s>]", re.I).search(page, at)
-                at = stop.start() if stop else n
-                continue
-            stop = _RAW_END[name].search(page, at)
-            at = stop.end() if stop else n
+        if name in RAW and not closed:
+            end = _RAW_END[name].search(page, at)
+            at = end.end() if end else n
             if name not in ("script", "style", "title", "template"):
                 held.append(" ")
             continue
+        if name == "head":
+            continue
         if block:
             close(("p",), frozenset(("td", "th", "li", "button", "body", "article", "div", "section")))
             if name in CLOSES:
                 close(*CLOSES[name])
         if name == "a":
             link_depth = 1
-        if name not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((name, _names(m[3])))
+        if name not in VOID and not closed:
+            del stack[MOST_DEEP - 1:]
+            stack.append((name, _names(attributes)))
     flush()
     return out
 

@@ -1,4 +1,6 @@
 """Main-text extraction on pages with known text; nearest neighbours against brute force."""
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +68,29 @@ def test_viterbi_and_gradient():
     assert pairs[1, 0] == pytest.approx(sum(x * sum(a == 1 and b == 0 for a, b in zip(y, y[1:])) for x, y in zip(p, every)))
 
 
+def texts_of(page):
+    return [b.text for b in html.blocks(page)]
+
+
+def test_unclosed_heads_and_embedded_text():
+    assert texts_of("<html><head><title>T</title><section>Body text here</section></html>") == ["Body text here"]
+    assert texts_of("<head><meta charset=x><style>p{}</style><table><tr><td>cell</table>after") == ["cell", "after"]
+    assert texts_of("<head><script>a</script></head>plain words") == ["plain words"]
+    assert texts_of("<p>Let <math><mi>x</mi></math> be</p><object>fallback words</object>") == ["Let x be", "fallback words"]
+    assert texts_of("<p>a<noscript> b </noscript>c<svg><title>t</title><text>d</text></svg><select><option>no</select></p>") == ["a b cd"]
+    assert texts_of("<p title='a>b' data-x=\"c>d\">kept</p><a href=it's>own</a>") == ["kept", "own"]
+    assert texts_of("<p title=\"x\"y\">odd quote</p><p>next") == ["odd quote", "next"]
+
+
+def test_hostile_pages_take_time_in_proportion():
+    start = time.time()
+    assert texts_of("ab" + "<b " * 350_000 + '"') == ["ab"]
+    assert texts_of("<b>" * 200_000 + "<p>x</p>" * 20_000)[:2] == ["x", "x"]
+    assert len(texts_of("<div>a" * 50_000)) == 50_000
+    assert texts_of("<a =' <b =\" " * 50_000 + ">c") == ["c"]
+    assert time.time() - start < 10
+
+
 def test_extract(spark, model):
     page = f"<article><h1>Title words</h1><p>{prose(1, 50)}</p></article>"
     rows = [(1, "u", page, "clash"), (1, "u", page, "clash"), (2, None, None, None), (3, "v", "", ""), (None, "w", "<p", ""), (4, "x", "<nav>a</nav>" + page * 50, "")]
