@@ -18,7 +18,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import extend, hash_sample, keeps, turn_to
+from .common import extend, hash_sample, keeps, materialize, turn_to
 
 SAMPLE_TOXIC = 3_000
 SAMPLE_ORDINARY = 6_000
@@ -148,16 +148,20 @@ def held_out():
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most_toxic: int = SAMPLE_TOXIC, most_ordinary: int = SAMPLE_ORDINARY, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
-    """At most `most_toxic` toxic and `most_ordinary` ordinary labelled texts of up to `most_bytes`, drawn by hash outside the held-out rows."""
+    """At most `most_toxic` toxic and `most_ordinary` ordinary labelled texts of up to `most_bytes`, drawn by hash outside the held-out rows.
+
+    Rows of one id with different texts are texts of their own; the bounds are of texts, whatever one id holds.  An id with both labels counts for both.
+    """
     usable = labels.filter(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     drawn = None
     for v, n in ((1, most_toxic), (0, most_ordinary)):
         part = hash_sample(usable.filter(F.col("toxic") == v).distinct(), n, "doc_id")
         drawn = part if drawn is None else drawn.unionByName(part)
     short = docs.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes)
-    rows = short.join(F.broadcast(drawn), "doc_id").collect()         # at most most_toxic + most_ordinary ids
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0]
+    texts = materialize(short.join(F.broadcast(drawn), "doc_id").distinct())       # at most most_toxic + most_ordinary ids, but any number of texts of one
+    toxic, ordinary = ([(r["doc_id"], r["text"]) for r in hash_sample(texts.filter(F.col("toxic") == v), n, "doc_id", "text").collect()]
+                       for v, n in ((1, most_toxic), (0, most_ordinary)))
+    return [t for _, t in sorted(toxic)], [t for _, t in sorted(ordinary)]
 
 
 ADDED = StructType([StructField("score", DoubleType()), StructField("predicted", IntegerType())])

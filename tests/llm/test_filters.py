@@ -1,6 +1,7 @@
 """Quality, toxicity and URL filters against plain versions and held-out labels."""
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -99,7 +100,6 @@ def test_toxicity_query(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(b)) for i, _, b in rows] + [(None, 1), (7, None)], "doc_id long, toxic int")
     bad, good = toxic.labelled(table, labels)
     held = {r["doc_id"] for r in table.filter(toxic.held_out()).collect()}
-    import zlib
     assert held == {i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1}
     assert sorted(bad + good) == sorted(t for i, t, _ in rows if i not in held)
     model = toxic.fit(bad, good)
@@ -111,6 +111,16 @@ def test_toxicity_query(spark, docs, empty):
     assert not toxic.fit([], good).scores(["a b"]).any()
 
 
+def test_toxicity_sample_is_of_texts(spark):
+    hot, other = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows = [(hot, f"text {i}") for i in range(400)] * 2 + [(i, f"other {i}") for i in range(300, 400)] + [(None, "x"), (other, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(hot, 1), (hot, 0), (other, 1)] + [(i, 0) for i in range(300, 400)], "doc_id long, toxic int")
+    bad, good = toxic.labelled(table, labels, 30, 50)
+    assert len(set(bad)) == len(bad) == 30 and all(t.startswith("text") for t in bad)       # one id of most rows stays within the bound
+    assert len(set(good)) == len(good) == 50
+
+
 def test_host_path(spark):
     cases = {"http://WWW.Ex.org/A/b?x#y": ("www.ex.org", "/A/b"), "https://a.com?q=/x": ("a.com", ""), "https://a.com#/x": ("a.com", ""), "a.com/x": ("", ""), None: ("", ""),
              "": ("", ""), "x://": ("", ""), "http://ÀB.de/é://z": ("Àb.de", "/é://z"), "http:///p": ("", "/p")}
@@ -141,6 +151,16 @@ def test_rules_and_model(spark):
     assert {r["verdict"] for r in got if not r["host"]} == {"allow"}
 
 
+def test_both_kinds_of_rejected_urls(spark):
+    rows = [(i, f"http://shop.com/de/{i}") for i in range(5)] + [(9, "http://news.org/x")]
+    draw = lambda more: [sorted(x) for x in urls.labelled(spark.createDataFrame(rows + more, "page_id long, url string"))]
+    good, bad, weights = draw([])
+    assert (good, len(bad), weights) == (["news/x"], 5, [1] * 5)
+    assert draw([(10, "http://casino-a.net/q")]) == [good, sorted([*bad, "casino-a/q"]), [*weights, urls.LISTED_WEIGHT]]
+    w = urls._counts(["ab", "ac"], 1, [3, 1])
+    assert dict(w["a"]) == {"b": 3, "c": 1}
+
+
 def test_character_model():
     m = urls.fit(["/good/page%d" % i for i in range(60)], ["/evil/page%d" % i for i in range(60)])
     assert m.score("/good/page7") > 0 > m.score("/evil/page7") and m.score("") == 0
