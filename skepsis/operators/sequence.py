@@ -5,13 +5,15 @@ long series spreads over many tasks (see `scale`).
 """
 from __future__ import annotations
 
+import itertools
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import bin_index, col, dbl, entropy_bits, ratio, trunc
 from .marginal import with_stats
-from .scale import CHUNK, names, running, value_bucket, value_cuts, with_local
+from .scale import CHUNK, materialize, names, running, value_bucket, value_cuts, with_local
 
 S = "series_id"
 
@@ -281,31 +283,84 @@ def embed(series: DataFrame, dim: int = 3, delay: int = 2, key: str = S, v: str
     return d.filter(F.col(f"x{dim - 1}").isNotNull())
 
 
-def count_close_points(points: DataFrame, key: str, radii: dict, dim: int = 3) -> DataFrame:
-    """(key, <name> per radius): unordered pairs of points closer than each radius column.
+def count_close_points(points: DataFrame, key: str, radii: dict, dim: int = 3, spare: int = 16, deepest: int = 40) -> DataFrame:
+    """(key, <name> per radius): unordered pairs of points closer than each radius column, the last of which is the largest.
 
-    Points fall into cells as wide as the largest radius; a point meets its own cell and half of the
-    neighbouring ones by an equi-join (skewed cells are split by AQE) and pairs are counted inside
-    the join task.
+    Distinct points with counts fall into cells as wide as the largest radius; a cell meets itself and half of its
+    neighbours.  Two cells whose boxes lie wholly within or wholly beyond a radius are settled by the product of
+    their counts; the others are halved along each axis and their parts meet again.  Points meet points only once at most
+    `spare` pairs for each distinct point are left in such cells (or after `deepest` halvings), so the work does not grow
+    with the number of pairs.  Where the first cells hold so few points that all pairs of neighbours are at most four times as many, they meet at once.  Box distances are evaluated like point distances, so rounding keeps their order and
+    counts are exact.  Points with a null or non-finite coordinate are close to none.
     """
-    import itertools
-    xs = [f"x{i}" for i in range(dim)]
+    xs, rs = [f"x{i}" for i in range(dim)], list(dict.fromkeys(radii.values()))
     rmax = list(radii.values())[-1]
-    p = points.select(key, "t", *xs, *set(radii.values()))
-    cell = [F.floor(F.col(x) / F.col(rmax)) for x in xs]
+    usable = reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(x)) < float("inf"), F.lit(False)) for x in xs])
+    p = materialize(points.filter(usable).groupBy(key, *xs, *rs).agg(F.count(F.lit(1)).alias("n")))
+    def cell(level):
+        # a little wider than the radius: a quotient that is rounded over a cell border loses no pair
+        return F.struct(*[F.floor(F.col(x) / (F.col(rmax) * (1 + 1e-9)) * 2.0 ** level).alias(x) for x in xs])
+
+    def cells(level, side):
+        """Cells of a level with the cell above, counts and box, as columns of one side of a pair."""
+        d = p.groupBy(key, *rs, cell(level).alias(side), cell(max(level - 1, 0)).alias(f"up_{side}")).agg(
+            F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), *[F.min(x).alias(f"lo_{x}") for x in xs], *[F.max(x).alias(f"hi_{x}") for x in xs])
+        box = F.struct("n", "m", *[f"{e}_{x}" for e in ("lo", "hi") for x in xs]).alias(f"box_{side}")
+        return d.select(key, *(rs if side == "a" else []), side, f"up_{side}", box)
+
+    def length(parts):
+        return F.sqrt(reduce(lambda a, b: a + b, [t * t for t in parts]))
+
+    def judged(pairs):
+        """Adds, for each radius still open, whether all pairs of the two cells are closer (`in`) or some may be (`open`)."""
+        lo, hi = (lambda side, x: F.col(f"box_{side}.lo_{x}")), (lambda side, x: F.col(f"box_{side}.hi_{x}"))
+        near = length([F.greatest(F.lit(0.0), lo("a", x) - hi("b", x), lo("b", x) - hi("a", x)) for x in xs])
+        far = length([F.greatest(hi("a", x) - lo("b", x), hi("b", x) - lo("a", x)) for x in xs])
+        d = pairs.withColumns({"_near": near, "_far": far})
+        return d.withColumns({f"in_{n}": F.col(f"open_{n}") & (F.col("_far") < F.col(r)) for n, r in radii.items()}).withColumns(
+            {f"open_{n}": F.col(f"open_{n}") & (F.col("_near") < F.col(r)) & ~(F.col("_far") < F.col(r)) for n, r in radii.items()}).drop("_near", "_far")
+
+    opens = [f"open_{n}" for n in radii]
+    undecided = reduce(lambda a, b: a | b, [F.col(o) for o in opens])
     half = [o for o in itertools.product((-1, 0, 1), repeat=dim) if o >= (0,) * dim]
-    shifts = F.array(*[F.struct(F.lit(int(any(o))).alias("far"),
-                                *[(cell[i] + o[i]).alias(f"c{i}") for i in range(dim)]) for o in half])
-    a = p.withColumn("_o", F.explode(shifts)).select(key, "t", *xs, *set(radii.values()), "_o.*")
-    b = p.select(key, F.col("t").alias("t2"), *[F.col(x).alias(f"y{i}") for i, x in enumerate(xs)],
-                 *[cell[i].alias(f"c{i}") for i in range(dim)])
-    j = a.join(b, [key] + [f"c{i}" for i in range(dim)]).filter((F.col("far") == 1) | (F.col("t") < F.col("t2")))
-    d2 = None
-    for i in range(dim):
-        t = (F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}"))
-        d2 = t if d2 is None else d2 + t
-    d = F.sqrt(d2)
-    return j.groupBy(key).agg(*[F.count(F.when(d < F.col(r), 1)).alias(n) for n, r in radii.items()])
+
+    def met(c):
+        return F.explode(F.array(*[F.struct(*[(F.col(f"{c}.{x}") + k).alias(x) for x, k in zip(xs, o)]) for o in half]))
+
+    def members(level, up, point, count):
+        return p.select(key, *(rs if up == "up_a" else []), cell(level).alias(up), F.struct(*xs).alias(point), F.col("n").alias(count))
+
+    def counted(met_points):
+        """Pairs of points of two cells, by radius still open."""
+        j = met_points.filter((F.col("up_a") != F.col("up_b")) | (F.col("p") <= F.col("q")))
+        d = length([F.col(f"p.{x}") - F.col(f"q.{x}") for x in xs])
+        both = F.when(F.col("p") == F.col("q"), F.shiftright(F.col("np") * (F.col("np") - 1), 1)).otherwise(F.col("np") * F.col("nq"))
+        return j.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col(f"open_{n}") & (d < F.col(r)), both)), F.lit(0)).alias(n) for n, r in radii.items()])
+
+    crowd = p.groupBy(key, cell(0).alias("a")).agg(F.count(F.lit(1)).alias("m")).agg(
+        F.coalesce(F.sum("m"), F.lit(0)).alias("points"), F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0)).alias("squares")).first()
+    distinct = crowd["points"]
+    if len(half) * crowd["squares"] <= 4 * spare * distinct:
+        return counted(members(0, "up_a", "p", "np").withColumn("up_b", met("up_a")).join(members(0, "up_b", "q", "nq"), [key, "up_b"]).withColumns(
+            {o: F.lit(True) for o in opens}))
+    pairs = cells(0, "a").withColumn("b", met("a")).join(cells(0, "b"), [key, "b"]).withColumns({o: F.lit(True) for o in opens})
+    settled, level = [], 0
+    while True:
+        pairs = materialize(judged(pairs.drop("up_a", "up_b")).filter(reduce(lambda a, b: a | b, [F.col(f"{k}_{n}") for n in radii for k in ("in", "open")])))
+        na, nb = F.col("box_a.n"), F.col("box_b.n")
+        both = F.when(F.col("a") == F.col("b"), F.shiftright(na * (na - 1), 1)).otherwise(na * nb)
+        settled.append(pairs.groupBy(key).agg(*[F.sum(F.when(F.col(f"in_{n}"), both)).alias(n) for n in radii]))
+        left = pairs.filter(undecided)
+        candidates = left.agg(F.coalesce(F.sum(F.col("box_a.m") * F.col("box_b.m")), F.lit(0))).first()[0]
+        left = left.select(key, F.col("a").alias("up_a"), F.col("b").alias("up_b"), *opens)
+        if candidates <= spare * distinct or level == deepest:
+            break
+        level += 1
+        pairs = left.join(cells(level, "a"), [key, "up_a"]).join(cells(level, "b"), [key, "up_b"]).filter(
+            (F.col("up_a") != F.col("up_b")) | (F.col("a") <= F.col("b")))
+    if candidates:
+        settled.append(counted(left.join(members(level, "up_a", "p", "np"), [key, "up_a"]).join(members(level, "up_b", "q", "nq"), [key, "up_b"])))
+    return reduce(DataFrame.unionByName, settled).groupBy(key).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in radii])
 
 
 def corr_dimension(series: DataFrame, dim: int = 3, delay: int = 2, key: str = S, v: str = "v",

@@ -416,3 +416,31 @@ def test_streams_order_batches_and_close_runs(spark, tmp_path):
     streams.to_table(streams.runs(d, "k", delay="1 day"), out, str(tmp_path / "state"))
     got = {(r["k"], r["q"], r["start"], r["length"]) for r in spark.read.parquet(out).collect()}
     assert got == {("a", 1, 1, 2), ("a", 0, 3, 1), ("b", 5, 1, 2)}
+
+
+def test_close_points_by_counts(spark):
+    rng = np.random.default_rng(3)
+    sets = {1: rng.normal(size=(300, 3)),                                                                  # all distances
+            2: np.repeat(rng.integers(-2, 3, (40, 3)) * 0.25, 9, 0),                                       # ties, pairs exactly at a radius
+            3: np.r_[rng.normal(size=(200, 3)) * 1e-7, rng.normal(size=(200, 3)) * 1e-7 + [0.5, 0, 0]],    # clusters about a radius apart
+            4: np.array([[0.0, 0, 0], [1e12, 0, 0], [1e12, 0.1, 0]]), 5: np.zeros((1, 3))}
+    rows = [(k, t, *map(float, x), 0.25, 0.5) for k, xs in sets.items() for t, x in enumerate(xs)]
+    rows += [(1, 900, None, 0.0, 0.0, 0.25, 0.5), (1, 901, float("nan"), 0.0, 0.0, 0.25, 0.5), (1, 902, float("inf"), 0.0, 0.0, 0.25, 0.5)]
+    pts = spark.createDataFrame(rows, "k int, t int, x0 double, x1 double, x2 double, r1 double, r2 double")
+
+    def plain(xs):
+        d = np.sqrt(sum((xs[:, None, i] - xs[None, :, i]) ** 2 for i in range(3)))[np.triu_indices(len(xs), 1)]
+        return int((d < 0.25).sum()), int((d < 0.5).sum())
+    want = {k: plain(xs) for k, xs in sets.items()}
+    for spare, deepest in ((16, 40), (0, 4), (10 ** 6, 40)):
+        got = seq.count_close_points(pts, "k", {"c1": "r1", "c2": "r2"}, spare=spare, deepest=deepest).collect()
+        assert {r["k"]: (r["c1"], r["c2"]) for r in got} == want
+    assert seq.count_close_points(pts.limit(0), "k", {"c1": "r1", "c2": "r2"}).count() == 0
+
+
+def test_close_points_of_one_dense_series(spark):
+    n = 200_000
+    u = lambda salt: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)) * 1e-3
+    pts = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("t"), *[u(i).alias(f"x{i}") for i in range(3)], F.lit(0.1).alias("r1"), F.lit(0.4).alias("r2"))
+    r = seq.count_close_points(pts, "k", {"c1": "r1", "c2": "r2"}).first()
+    assert (r["c1"], r["c2"]) == (n * (n - 1) // 2,) * 2
