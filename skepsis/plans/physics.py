@@ -264,21 +264,21 @@ SELECT DISTINCT world_id, mech, 0.0 AS max_abs, 0.5 AS hit FROM v_responses""")
 
 
 def _role_surrogate(V):
-    """Each role's trajectories are dealt to other worlds, independently per role and replicate."""
-    r = V.responses.filter("mech = 'additive' and role in ('A', 'B', 'AB')").drop("mech")
-    ids = scale.replicate(r.select("world_id", "role").distinct(), 3)
-    p = resample.permutation(ids, ["rep", "role"], "world_id", hash_uniform("role", F.col("rep"), F.col("role"), F.col("world_id")), F.floor(F.col("world_id") / 64))
-    dealt = p.join(r.withColumnRenamed("world_id", "donor"), ["role", "donor"]).drop("donor")
-    e = response.superposition_err(dealt, world=["rep", "world_id"])
-    return e.groupBy("rep").agg(F.count(F.lit(1)).alias("worlds"), F.avg("superposition_path").alias("mean_path"), F.min("superposition_path").alias("min_path"))
-
-
-query("n13_role_surrogate", "rep:l worlds:l mean_path:d min_path:d", _role_surrogate, f"""
-WITH r AS (SELECT world_id, role, t, idx, v FROM v_responses WHERE mech = 'additive' AND role IN ('A', 'B', 'AB')),
-ids AS (SELECT DISTINCT world_id, role, w.r AS rep FROM r, range(3) w(r)),
-pm AS (SELECT *, row_number() OVER (PARTITION BY rep, role ORDER BY world_id) AS p, row_number() OVER (PARTITION BY rep, role ORDER BY {u("'role'", "rep", "role", "world_id")}, world_id) AS k FROM ids),
-dl AS (SELECT a.rep, a.world_id, a.role, r.t, r.idx, r.v FROM pm a JOIN pm b ON b.rep = a.rep AND b.role = a.role AND b.k = a.p JOIN r ON r.world_id = b.world_id AND r.role = a.role),
-wd AS (SELECT rep, world_id, t, idx, sum(CASE WHEN role = 'A' THEN v ELSE 0 END) AS a, sum(CASE WHEN role = 'B' THEN v ELSE 0 END) AS b, sum(CASE WHEN role = 'AB' THEN v ELSE 0 END) AS ab FROM dl GROUP BY ALL),
-sp AS (SELECT rep, world_id, t, sqrt(sum((ab - a - b) * (ab - a - b))) AS g, sqrt(sum(ab * ab)) AS n FROM wd GROUP BY ALL),
-e AS (SELECT rep, world_id, sum(g) / (sum(n) + 1e-12) AS p FROM sp GROUP BY ALL)
-SELECT rep, count(*) AS worlds, avg(p) AS mean_path, min(p) AS min_path FROM e GROUP BY 1""")
+    """Each role's trajectories are dealt to other worlds, independently per mechanism, role and replicate."""
+    r = V.responses.filter("role in ('A', 'B', 'AB')")
+    ids = scale.replicate(r.select("mech", "world_id", "role").distinct(), 3)
+    p = resample.permutation(ids, ["rep", "mech", "role"], "world_id", hash_uniform("role", F.col("rep"), F.col("role"), F.col("world_id")), F.floor(F.col("world_id") / 64))
+    dealt = p.join(r.withColumnRenamed("world_id", "donor"), ["mech", "role", "donor"]).drop("donor")
+    e = response.superposition_err(dealt, world=["rep", "mech", "world_id"])
+    return e.groupBy("rep", "mech").agg(F.count(F.lit(1)).alias("worlds"), F.avg("superposition_path").alias("mean_path"), F.min("superposition_path").alias("min_path"))
+
+
+query("n13_role_surrogate", "rep:l mech:s worlds:l mean_path:d min_path:d", _role_surrogate, f"""
+WITH r AS (SELECT mech, world_id, role, t, idx, v FROM v_responses WHERE role IN ('A', 'B', 'AB')),
+ids AS (SELECT DISTINCT mech, world_id, role, w.r AS rep FROM r, range(3) w(r)),
+pm AS (SELECT *, row_number() OVER (PARTITION BY rep, mech, role ORDER BY world_id) AS p, row_number() OVER (PARTITION BY rep, mech, role ORDER BY {u("'role'", "rep", "role", "world_id")}, world_id) AS k FROM ids),
+dl AS (SELECT a.rep, a.mech, a.world_id, a.role, r.t, r.idx, r.v FROM pm a JOIN pm b ON b.rep = a.rep AND b.mech = a.mech AND b.role = a.role AND b.k = a.p JOIN r ON r.world_id = b.world_id AND r.mech = b.mech AND r.role = a.role),
+wd AS (SELECT rep, mech, world_id, t, idx, sum(CASE WHEN role = 'A' THEN v ELSE 0 END) AS a, sum(CASE WHEN role = 'B' THEN v ELSE 0 END) AS b, sum(CASE WHEN role = 'AB' THEN v ELSE 0 END) AS ab FROM dl GROUP BY ALL),
+sp AS (SELECT rep, mech, world_id, t, sqrt(sum((ab - a - b) * (ab - a - b))) AS g, sqrt(sum(ab * ab)) AS n FROM wd GROUP BY ALL),
+e AS (SELECT rep, mech, world_id, sum(g) / (sum(n) + 1e-12) AS p FROM sp GROUP BY ALL)
+SELECT rep, mech, count(*) AS worlds, avg(p) AS mean_path, min(p) AS min_path FROM e GROUP BY ALL""")
