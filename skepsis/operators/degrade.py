@@ -221,13 +221,8 @@ def subsample_time(frames: DataFrame, key: str, k: int, t: str = "t") -> DataFra
 
 # -- discreteness features of arrays ----------------------------------------------------------------
 
-def discreteness_features(grids: DataFrame, keys) -> DataFrame:
-    """distinct values, repeated share, largest share and value entropy per sample, long.
-
-    One sorted pass over the array counts its runs of equal values, so nothing is shuffled.
-    """
-    keys = names(keys)
-
+def run_summary(vals: Column) -> Column:
+    """Runs of equal neighbours of an array of doubles: k runs, the longest one, sums of n ln n and of n^2 over run lengths n."""
     def closed(a):
         run = a["run"].cast("double")
         return a["s"] + F.when(a["run"] > 0, run * F.ln(run)).otherwise(0.0)
@@ -236,13 +231,22 @@ def discreteness_features(grids: DataFrame, keys) -> DataFrame:
         same = (a["run"] > 0) & (a["prev"] == x)
         run = F.when(same, a["run"] + 1).otherwise(F.lit(1).cast("bigint"))
         return F.struct(x.alias("prev"), run.alias("run"), (a["k"] + F.when(same, 0).otherwise(1)).cast("bigint").alias("k"),
-                        F.greatest(a["top"], run).alias("top"), F.when(same, a["s"]).otherwise(closed(a)).alias("s"))
+                        F.greatest(a["top"], run).alias("top"), F.when(same, a["s"]).otherwise(closed(a)).alias("s"),
+                        (a["sq"] + 2 * run - 1).cast("bigint").alias("sq"))
     zero = F.lit(0).cast("bigint")
-    start = F.struct(F.lit(0.0).alias("prev"), zero.alias("run"), zero.alias("k"), zero.alias("top"), F.lit(0.0).alias("s"))
+    start = F.struct(F.lit(0.0).alias("prev"), zero.alias("run"), zero.alias("k"), zero.alias("top"), F.lit(0.0).alias("s"), zero.alias("sq"))
+    return F.aggregate(vals, start, step, lambda a: F.struct(
+        a["k"].cast("double").alias("k"), a["top"].cast("double").alias("top"), closed(a).alias("s"), a["sq"].cast("double").alias("sq")))
+
+
+def discreteness_features(grids: DataFrame, keys) -> DataFrame:
+    """distinct values, repeated share, largest share and value entropy per sample, long.
+
+    One sorted pass over the array counts its runs of equal values, so nothing is shuffled.
+    """
+    keys = names(keys)
     n = F.size("vals").cast("double")
-    done = F.aggregate(F.array_sort("vals"), start, step, lambda a: F.struct(
-        a["k"].cast("double").alias("k"), a["top"].cast("double").alias("top"), closed(a).alias("s")))
-    d = grids.select(*keys, n.alias("_n"), done.alias("_a"))
+    d = grids.select(*keys, n.alias("_n"), run_summary(F.array_sort("vals")).alias("_a"))
     arms = F.array(*[F.struct(F.lit(m).alias("name"), e.alias("value")) for m, e in (
         ("distinct_values", F.col("_a.k")), ("repeated", 1.0 - F.col("_a.k") / F.col("_n")), ("dominant", F.col("_a.top") / F.col("_n")),
         ("value_entropy", F.ln("_n") - F.col("_a.s") / F.col("_n")))])

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import clamp, col, let, ratio
-from .scale import materialize, names
+from .scale import names
 
 
 def checked(vals, w: int, h: int) -> Column:
@@ -183,44 +185,44 @@ def neighbour_similarity(grids: DataFrame, keys, w: int, h: int, tol: float = 0.
 
 # -- connected components -------------------------------------------------------------------------
 
-def component_labels(nodes: DataFrame, edges: DataFrame, keys) -> DataFrame:
-    """One representative per connected component, all samples at once, by contraction.
+def region_sizes(w: int, h: int, threshold: float = 0.5):
+    """Function of an array column -> (n_components, mean_size, max_size) of its 4-connected regions with v >= threshold.
 
-    Every vertex hooks onto its smallest neighbour, chains of hooks are shortened by pointer jumping,
-    and the graph of representatives goes into the next round.  A round removes at least half of
-    the vertices that still have edges, so rounds grow with the logarithm of the component size.
+    An Arrow batch of fields is one forest: every pair of neighbours hooks the larger root of the two onto the
+    smaller one and paths are halved until nothing changes, so rounds grow with the logarithm of a region's size.
     """
-    keys = names(keys)
-    lab = nodes.select(*keys, "idx", F.col("idx").alias("lab"))
-    e = materialize(edges.select(*keys, "a", "b"))
-    while not e.isEmpty():
-        p = materialize(e.groupBy(*keys, "a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
-        for _ in range(2):
-            up = p.select(*keys, F.col("a").alias("p"), F.col("p").alias("_pp"))
-            p = p.join(up, keys + ["p"], "left").select(*keys, "a", F.coalesce("_pp", "p").alias("p"))
-        p = materialize(p)
-        lab = lab.join(p.withColumnRenamed("a", "lab"), keys + ["lab"], "left").select(
-            *keys, "idx", F.coalesce("p", "lab").alias("lab"))
-        pb = p.select(*keys, F.col("a").alias("b"), F.col("p").alias("_pb"))
-        e = materialize(e.join(p, keys + ["a"]).join(pb, keys + ["b"]).filter("p <> _pb").select(
-            *keys, F.col("p").alias("a"), F.col("_pb").alias("b")).distinct())
-    return lab
+    n = w * h
+    cell = np.arange(n).reshape(h, w)
+    a = np.concatenate([cell[:, :-1].ravel(), cell[:-1].ravel()])
+    b = np.concatenate([cell[:, 1:].ravel(), cell[1:].ravel()])
+
+    @F.pandas_udf("n_components bigint, mean_size double, max_size bigint")
+    def sizes(vals: pd.Series) -> pd.DataFrame:
+        m = len(vals)
+        on = np.stack(vals.to_list()).reshape(m, n) >= threshold if m else np.zeros((0, n), bool)
+        base = np.arange(m, dtype=np.int64)[:, None] * n
+        both = on[:, a] & on[:, b]
+        p, q = (base + a)[both], (base + b)[both]
+        root = np.arange(m * n, dtype=np.int64)
+        while len(p):
+            rp, rq = root[p], root[q]
+            open_ = rp != rq
+            p, q, rp, rq = p[open_], q[open_], rp[open_], rq[open_]
+            np.minimum.at(root, np.maximum(rp, rq), np.minimum(rp, rq))
+            while True:
+                up = root[root]
+                if np.array_equal(up, root):
+                    break
+                root = up
+        size = np.bincount(root[on.ravel()], minlength=m * n).reshape(m, n)
+        count, top = (size > 0).sum(axis=1), size.max(axis=1, initial=0)
+        return pd.DataFrame({"n_components": count, "mean_size": on.sum(axis=1) / np.maximum(count, 1), "max_size": top})
+    return sizes
 
 
 def components(grids: DataFrame, keys, w: int, h: int, threshold: float = 0.5) -> DataFrame:
-    """4-connected regions with v >= threshold: count, mean size, largest size (0 when there are none)."""
-    keys = names(keys)
-    n = neighbours(grids, keys, w, h, RIGHT_DOWN).filter(F.col("v") >= threshold)
-    idx = F.col("idx")
-    half = n.select(*keys, idx.alias("a"), F.explode(F.filter(F.array(
-        F.when(F.col("r") >= threshold, idx + 1), F.when(F.col("d") >= threshold, idx + w)),
-        lambda e: e.isNotNull())).alias("b"))
-    edges = half.unionByName(half.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
-    lab = component_labels(n, edges, keys)
-    sizes = lab.groupBy(*keys, "lab").agg(F.count(F.lit(1)).alias("size"))
-    s = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_components"), F.avg("size").alias("mean_size"),
-                                 F.max("size").alias("max_size"))
-    return grids.select(*keys).join(s, keys, "left").fillna(0)
+    """4-connected regions with v >= threshold: count, mean size, largest size (0 when there are none).  Row-local."""
+    return grids.select(*names(keys), region_sizes(w, h, threshold)(checked("vals", w, h)).alias("_r")).select(*names(keys), "_r.*")
 
 
 # -- scores of a field against a target -----------------------------------------------------------

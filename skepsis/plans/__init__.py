@@ -1,2 +1,2 @@
 """Query plans.  Importing this package fills `spec.REGISTRY`."""
-from . import grids, series, experiments, records, physics, io  # noqa: F401
+from . import grids, series, experiments, records, physics, io, features  # noqa: F401
