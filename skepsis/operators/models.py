@@ -98,6 +98,42 @@ def standardized_centroid(train: DataFrame, test: DataFrame, features: list[str]
         F.raise_error(F.lit("sample does not carry exactly the frozen features")).cast("string")).alias("pred"), "dists")
 
 
+def accuracies(pred: DataFrame, by=(), true: str = "label", guess: str = "pred") -> DataFrame:
+    """(by, n, accuracy, balanced): share of hits, and the mean over true classes of the share of hits in each."""
+    hit = F.when(F.col(true) == F.col(guess), 1.0).otherwise(0.0)
+    c = pred.groupBy(*names(by), true).agg(F.count(F.lit(1)).alias("_n"), F.sum(hit).alias("_h"))
+    return c.groupBy(*names(by)).agg(F.sum("_n").alias("n"), (F.sum("_h") / F.sum("_n")).alias("accuracy"), F.avg(F.col("_h") / F.col("_n")).alias("balanced"))
+
+
+def label_permutation_null(train: DataFrame, test: DataFrame, reps: int, seed, order: Column, per_bucket: int = 512, sample="sample_id",
+                           label: str = "label", name: str = "name", value: str = "value") -> DataFrame:
+    """(rep, n, accuracy, balanced): the mean-difference classifier fitted on training labels that are permuted among all
+    training samples, tested on the true labels.
+
+    Class counts stay as they are, so no class or unit has to be left out to balance them; `balanced` doesn't see their
+    sizes.  order: a dense integer id of a training sample, which keys the draws.  Empty training or test data give no row.
+    """
+    from .resample import shuffle_values
+    from .scale import replicate
+    k = names(sample)
+    ids = train.groupBy(*k, label).agg(F.collect_list(F.struct(name, value)).alias("_f")).withColumn("_id", order)
+    drawn = shuffle_values(replicate(ids, reps), "rep", "_id", label, seed, F.floor(F.col("_id") / per_bucket), out="_label")
+    tr = drawn.select("rep", *k, F.col("_label").alias(label), F.inline("_f"))
+    scores = class_scores(replicate(test, reps), fit(tr, ["rep"], label, name, value), ["rep"], k, label, name, value)
+    truth = test.select(*k, label).distinct()
+    return accuracies(predict(scores, ["rep"], k, label).join(truth, k), ["rep"], label)
+
+
+def permutation_summary(real: DataFrame, null: DataFrame, metric: str = "balanced") -> DataFrame:
+    """One row: the real figure, mean, least and largest of the null, and the share of draws, the real one
+    included, that reach it."""
+    n = null.agg(F.count(metric).alias("reps"), F.avg(metric).alias("mean"), F.min(metric).alias("min"), F.max(metric).alias("max"),
+                 F.collect_list(metric).alias("_all"))       # as long as the number of replicates, a parameter
+    j = real.select(F.lit(1).alias("_one"), F.col(metric).alias("real")).join(n.withColumn("_one", F.lit(1)), "_one")
+    reach = F.size(F.filter("_all", lambda x: x >= F.col("real") - 1e-12))
+    return j.select("real", "reps", "mean", "min", "max", ((reach + 1.0) / (F.col("reps") + 1.0)).alias("p"))
+
+
 # -- evaluation ---------------------------------------------------------------------------------------------
 
 def confusion(pred: DataFrame, by=(), true: str = "label", guess: str = "pred") -> DataFrame:

@@ -28,7 +28,7 @@ def transposed(m):
 
 
 def lit_matrix(m) -> Column:
-    return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in m])
+    return F.expr(f"array({', '.join('array(' + ', '.join(f'{float(x)!r}D' for x in row) + ')' for row in m)})")
 
 
 def _dot(a, b) -> Column:

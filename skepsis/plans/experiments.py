@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
 from ..operators import fields, models, pairing, resample, scale, sequence as seq
-from .fixtures import H, W
+from .fixtures import H, UNITS, W
 from .spec import query
 
 TRAIN, TEST = ["g0", "g1", "g2", "g3", "g4"], ["g6", "g7"]
@@ -471,27 +471,31 @@ query("m20_frozen_model_digest", "digest:s rows:l", lambda V: models.FrozenModel
 
 # -- nulls on top of the classifiers ---------------------------------------------------------------------
 
+UNIT_NO = lambda: F.array_position(F.array(*[F.lit(u) for u in UNITS]), F.col("unit")) - 1
+
+
 def _label_perm(V):
-    lab = V.unit_grids.select("sample_id", "unit", "grp", "label").filter(F.col("unit").isin("none", "q15"))
-    ids = lab.filter(F.col("grp").isin(TRAIN)).withColumn("id", F.col("sample_id") * 2 + F.when(F.col("unit") == "none", 0).otherwise(1))
-    reps = scale.replicate(ids, 10)
-    sh = resample.shuffle_values(reps, "rep", "id", "label", "perm", F.floor(F.col("id") / 512), out="label2")
-    tr = sh.select("rep", "sample_id", "unit", F.col("label2").alias("label")).join(
-        V.unit_features.select("sample_id", "unit", "name", "value"), UKEY)
-    te = scale.replicate(_test(V).filter(F.col("unit").isin("none", "q15")), 10)
-    p = models.predict(models.class_scores(te, models.fit(tr, ["rep"]), ["rep"], UKEY), ["rep"], UKEY)
-    ok = F.when((F.col("unit") == "none") == (F.col("pred") == "continuous"), 1.0).otherwise(0.0)
-    return p.groupBy("rep").agg(F.avg(ok).alias("accuracy"))
+    return models.label_permutation_null(_train(V), _test(V), 10, "perm", F.col("sample_id") * len(UNITS) + UNIT_NO(), sample=UKEY)
+
+
+def _label_perm_summary(V):
+    return models.permutation_summary(models.accuracies(_preds(V)), _label_perm(V))
 
 
-query("n10_label_permutation_null", "rep:l accuracy:d", _label_perm, f"""
-WITH ids AS (SELECT DISTINCT sample_id, unit, label, sample_id * 2 + CASE WHEN unit = 'none' THEN 0 ELSE 1 END AS id
-  FROM v_unit_features WHERE unit IN ('none', 'q15') AND grp IN {lst(TRAIN)}),
+LABEL_PERM = f"""ids AS (SELECT DISTINCT sample_id, unit, label, sample_id * {len(UNITS)} + list_position([{', '.join(f"'{u_}'" for u_ in UNITS)}], unit) - 1 AS id
+  FROM v_unit_features WHERE grp IN {lst(TRAIN)}),
 rp AS (SELECT *, r AS rep, row_number() OVER (PARTITION BY r ORDER BY id) AS p, row_number() OVER (PARTITION BY r ORDER BY {u("'perm'", "r", "id")}, id) AS q FROM ids, range(10) w(r)),
 tr AS (SELECT a.rep, b.label, f.name, f.value FROM rp a JOIN rp b ON b.rep = a.rep AND b.q = a.p JOIN v_unit_features f ON f.sample_id = a.sample_id AND f.unit = a.unit),
-te AS (SELECT r AS rep, sample_id, unit, name, value FROM v_unit_features, range(10) w(r) WHERE unit IN ('none', 'q15') AND grp IN {lst(TEST)}),
-{model_sql('tr', 'rep')}, {score_sql('te', 'rep', UF)}, {pred_sql('rep', UF)}
-SELECT rep, avg(CASE WHEN (unit = 'none') = (pred_meandiff = 'continuous') THEN 1.0{D} ELSE 0 END) AS accuracy FROM pr GROUP BY 1""")
+te AS (SELECT r AS rep, sample_id, unit, name, value FROM v_unit_features, range(10) w(r) WHERE grp IN {lst(TEST)}),
+{model_sql('tr', 'rep')}, {score_sql('te', 'rep', UF)}, {pred_sql('rep', UF)},
+lh AS (SELECT rep, unit = 'none' AS t, count(*) AS n, count(CASE WHEN (unit = 'none') = (pred_meandiff = 'continuous') THEN 1 END) AS h FROM pr GROUP BY ALL),
+nl AS (SELECT rep, sum(n) AS n, sum(h) / sum(n)::DOUBLE AS accuracy, avg(h / n::DOUBLE) AS balanced FROM lh GROUP BY 1)"""
+query("n10_label_permutation_null", "rep:l n:l accuracy:d balanced:d", _label_perm, f"WITH {LABEL_PERM} SELECT * FROM nl")
+query("n10_label_permutation_summary", "real:d reps:l mean:d min:d max:d p:d", _label_perm_summary, f"""
+SELECT any_value(b.real) AS real, count(*) AS reps, avg(a.balanced) AS mean, min(a.balanced) AS min, max(a.balanced) AS max,
+ (count(CASE WHEN a.balanced >= b.real - 1e-12{D} THEN 1 END) + 1) / (count(*) + 1.0{D}) AS p
+FROM (WITH {LABEL_PERM} SELECT * FROM nl) a, (WITH {PREDS}, rc AS (SELECT label, avg(CASE WHEN label = pred THEN 1.0{D} ELSE 0 END) AS h FROM pl GROUP BY 1)
+ SELECT avg(h) AS real FROM rc) b""")
 
 
 def _feature_perm(V):

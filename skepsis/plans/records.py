@@ -290,8 +290,8 @@ FROM v_evals a FULL JOIN v_evals_b b ON a.candidate_id = b.candidate_id""")
 
 def _user_features(V):
     if "user_spread" not in evidence.FEATURES:
-        evidence.register_feature("user_spread", "marginal", lambda c: c.groupBy("sample_id").agg((F.max("v") - F.min("v")).alias("value")))
-        evidence.register_feature("user_positive", "marginal", lambda c: c.groupBy("sample_id").agg(F.avg(F.when(F.col("v") > 0, 1.0).otherwise(0.0)).alias("value")))
+        evidence.register_feature("user_spread", "marginal", lambda c: F.max("v") - F.min("v"))
+        evidence.register_feature("user_positive", "marginal", lambda c: F.avg(F.when(F.col("v") > 0, 1.0).otherwise(0.0)))
     return evidence.extract(V.cells, "sample_id", ["user_spread", "user_positive"])
 
 
