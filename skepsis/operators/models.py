@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.numeric import dbl, ratio
+from ..functions.numeric import dbl, let, ratio
 from .scale import materialize, names
 
 
@@ -41,27 +41,41 @@ def fit(train: DataFrame, by=(), label: str = "label", name: str = "name", value
     return s.select(*by, name, label, "mu", "sd", c.alias("c"), (c - r).alias("w"), (-0.5 * (c - r) * (c + r)).alias("b"))
 
 
+def packed_model(model: DataFrame, by=(), label: str = "label", name: str = "name") -> DataFrame:
+    """One row per `by` (a single row without keys): per feature its model rows, and per class its totals over all features."""
+    by = names(by)
+    rows = model.groupBy(*by, name).agg(F.collect_list(F.struct(F.col(label).alias("k"), "mu", "sd", "c", "w", "b")).alias("_k"))
+    m = rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(name, "_k"))).alias("f"))
+    flat = F.flatten(F.map_values("f"))
+    add = lambda rows_, value: F.aggregate(rows_, F.lit(0.0), lambda s, r: s + value(r))
+    classes = let(flat, lambda a: F.transform(F.array_sort(F.array_distinct(F.transform(a, lambda r: r["k"]))), lambda k: let(
+        F.filter(a, lambda r: r["k"] == k), lambda own: F.struct(k.alias("k"), add(own, lambda r: r["c"] * r["c"]).alias("c2"), add(own, lambda r: r["b"]).alias("b")))))
+    return m.select(*by, F.struct("f", classes.alias("classes")).alias("_model"))
+
+
 def class_scores(df: DataFrame, model: DataFrame, by=(), sample: str = "sample_id", label: str = "label",
                  name: str = "name", value: str = "value") -> DataFrame:
-    """(by, sample, label, dist2, score) of every sample: features meet their packed model row once and fan out to
-    classes after the join, so the join carries one row per feature.
+    """(by, sample, label, dist2, score) of every sample.
 
-    A known feature that a sample lacks has z = 0, one that the model does not know counts for nothing: each class starts from
-    its totals over all known features, and the features present correct them.
+    The model is one row per `by`, or a scalar where there are no keys: features look their rows up in its map, fan out to the
+    classes and are summed before the only shuffle.  A known feature that a sample lacks, or whose value is NULL, has z = 0, one that
+    the model does not know counts for nothing: each class starts from its totals over all known features, and the features present correct them.
     """
     by = names(by)
     # a written model has a known size, so the planner broadcasts it exactly when it is small
-    packed = materialize(model.groupBy(*by, name).agg(F.collect_list(F.struct(label, "mu", "sd", "c", "w", "b")).alias("_k")))
-    keys, one = (by, {}) if by else (["_one"], {"_one": F.lit(1)})
-    totals = materialize(model.withColumns(one).groupBy(*keys, label).agg(F.sum(F.col("c") * F.col("c")).alias("_c2"), F.sum("b").alias("_b")))
-    classes = totals.groupBy(*keys).agg(F.collect_list(F.struct(F.col(label), *[F.lit(0.0).alias(c) for c in ("mu", "sd", "c", "w", "b")])).alias("_all"))
-    j = df.select(*by, *names(sample), name, value).withColumns(one).join(packed, by + [name], "left").join(classes, keys)
-    j = j.select(*keys, *names(sample), value, F.explode(F.coalesce("_k", "_all")).alias("_m"))
-    z = F.coalesce((F.col(value) - F.col("_m.mu")) / F.nullif(F.col("_m.sd"), F.lit(0.0)), F.lit(0.0))
+    m = materialize(packed_model(model, by, label, name))
+    d = df.select(*by, *names(sample), name, value)
+    j = d.join(m, by) if by else d.withColumn("_model", m.scalar())
+    j = j.select(*by, *names(sample), value, F.try_element_at("_model.f", F.col(name)).alias("_own"), F.explode("_model.classes").alias("_c"))
+    own = F.get(F.filter("_own", lambda r: r["k"] == F.col("_c.k")), 0)
+    j = j.select(*by, *names(sample), value, "_c", own.alias("_m"))
+    z = (F.col(value) - F.col("_m.mu")) / F.nullif(F.col("_m.sd"), F.lit(0.0))
+    z = F.coalesce(z, F.lit(0.0))
     gap = z - F.col("_m.c")
-    s = j.groupBy(*keys, *names(sample), F.col(f"_m.{label}").alias(label)).agg(
-        F.sum(gap * gap - F.col("_m.c") * F.col("_m.c")).alias("_d"), F.sum(z * F.col("_m.w")).alias("_s"))
-    return s.join(totals, keys + [label]).select(*by, *names(sample), label, (F.col("_d") + F.col("_c2")).alias("dist2"), (F.col("_s") + F.col("_b")).alias("score"))
+    s = j.groupBy(*by, *names(sample), F.col("_c.k").alias(label)).agg(
+        F.max("_c.c2").alias("_c2"), F.max("_c.b").alias("_b"),
+        F.sum(F.coalesce(gap * gap - F.col("_m.c") * F.col("_m.c"), F.lit(0.0))).alias("_d"), F.sum(F.coalesce(z * F.col("_m.w"), F.lit(0.0))).alias("_s"))
+    return s.select(*by, *names(sample), label, (F.col("_d") + F.col("_c2")).alias("dist2"), (F.col("_s") + F.col("_b")).alias("score"))
 
 
 def predict(scores: DataFrame, by=(), sample: str = "sample_id", label: str = "label") -> DataFrame:
