@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.numeric import ratio
 from .scale import names
 
 EPS = 1e-12
@@ -147,17 +148,51 @@ def effective_rank(finals: DataFrame, roles: list[str], world="world_id", eps: f
     return g.select(*k, rank("m").cast("bigint").alias("rank")).withColumn("eff_rank", F.col("rank") / float(n))
 
 
-def operator_features(r: DataFrame, world="world_id") -> DataFrame:
-    """Response features of the roles A, B, AB and opposite, long (name, value)."""
+RANK_ROLES = ["A", "B", "C", "AB", "opposite", "ABC", "ABthenC"]
+FEATURES = ["mag_final", "energy", "decay", "locality", "speed", "superposition_err", "superposition_path", "symmetry_err", "path_dependence",
+            "composition_err", "repeatability_err", "recurrence", "collision", "eff_rank"]
+
+
+def operator_features(r: DataFrame, y: Column, x: Column, centre: tuple, radius: int = 3, world="world_id", floor: float = 1e-4,
+                      decimals: int = 9, floor_norm: float = 1e-6) -> DataFrame:
+    """The fourteen response features, long (name, value), NULL values left out.
+
+    Roles: single interventions A, B, C, their joint ones AB and ABC, `opposite` of A, ABthenC (C applied to the
+    response of AB) and AB_again (AB measured once more).  A role that a cell lacks is 0 there.  Twelve features come from one chain of
+    aggregations (cell, frame, world); `recurrence` is the share of the frames of A above floor_norm whose rounded state
+    occurred before.  A frame's state is as long as a field.
+    """
     k = names(world)
-    a = r.filter("role = 'A'")
-    n = norm_features(a, world).drop("role")
-    out = n.join(superposition_err(r, world=world), k).join(relative_err(r, {"A": 1, "opposite": 1}, "A", "symmetry_err", world), k)
+    roles = [*RANK_ROLES, "AB_again"]
+    c = {role: F.col(role) for role in roles}
+    sums = [F.sum(F.when(F.col("role") == role, F.col("v")).otherwise(0.0)).alias(role) for role in roles]
+    w = r.filter(F.col("role").isin(roles)).groupBy(*k, "t", "idx").agg(*sums, F.max(y).alias("_y"), F.max(x).alias("_x"))
+    d = F.greatest(F.abs(F.col("_x") - centre[1]), F.abs(F.col("_y") - centre[0]))
+    size = F.abs(c["A"])
+    scale_ = float(10 ** decimals)
+    p = w.groupBy(*k, "t").agg(
+        _norm(c["A"]).alias("a"), _norm(c["AB"]).alias("ab"), _norm(c["ABC"]).alias("abc"), _norm(c["AB"] - c["A"] - c["B"]).alias("sup"),
+        _norm(c["A"] + c["opposite"]).alias("sym"), _norm(c["ABC"] - c["ABthenC"]).alias("path"), _norm(c["ABC"] - c["AB"] - c["C"]).alias("comp"),
+        _norm(c["AB"] - c["AB_again"]).alias("rep"), F.sum(F.when(d <= radius, size).otherwise(0.0)).alias("near"), F.sum(size).alias("tot"),
+        F.coalesce(F.max(F.when(size > floor, d)), F.lit(0)).alias("far"),
+        F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("idx", F.floor(c["A"] * scale_ + 0.5).alias("s"))))), 256).alias("state"))
+    p = p.withColumn("_t0", F.min("t").over(W.partitionBy(*k)))
+    at_end = lambda name: F.max_by(name, "t")
+    live = F.when(F.col("a") > floor_norm, F.col("state"))
+    g = p.groupBy(*k).agg(
+        *[at_end(n).alias(n) for n in ("a", "ab", "abc", "sup", "sym", "path", "comp", "rep", "near", "tot", "far")], F.sum("a").alias("energy"), F.sum("sup").alias("sup_all"),
+        F.sum("ab").alias("ab_all"), F.min(F.when(F.col("t") > F.col("_t0"), F.struct("t", "a")))["a"].alias("second"),
+        F.count(live).alias("live"), F.count_distinct(live).alias("states"))
+    over = lambda num, den: F.col(num) / (F.col(den) + EPS)
+    out = {"mag_final": F.col("a"), "energy": F.col("energy"), "decay": F.col("a") / F.greatest(F.coalesce("second", "a"), F.lit(EPS)),
+           "locality": over("near", "tot"), "speed": F.col("far").cast("double"), "superposition_err": over("sup", "ab"), "superposition_path": over("sup_all", "ab_all"),
+           "symmetry_err": over("sym", "a"), "path_dependence": over("path", "abc"), "composition_err": over("comp", "abc"), "repeatability_err": F.col("rep"),
+           "recurrence": ratio(F.col("live") - F.col("states"), "live", 0.0)}
     f = final(r, world)
-    out = out.join(effective_rank(f, ["A", "B", "AB", "opposite"], world).drop("rank"), k)
-    out = out.join(collisions(f, world).select(*k, "collision"), k)
-    cols = [c for c in out.columns if c not in k]
-    return out.unpivot(k, cols, "name", "value")
+    pieces = [g.select(*k, *[e.alias(n) for n, e in out.items()]).unpivot(k, list(out), "name", "value"),
+              collisions(f, world).select(*k, F.lit("collision").alias("name"), F.col("collision").alias("value")),
+              effective_rank(f, RANK_ROLES, world).select(*k, F.lit("eff_rank").alias("name"), F.col("eff_rank").alias("value"))]
+    return pieces[0].unionByName(pieces[1]).unionByName(pieces[2]).filter("value is not null")
 
 
 def equivalence_check(a: DataFrame, b: DataFrame, keys, eps: float = 1e-9) -> DataFrame:

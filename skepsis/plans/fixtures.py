@@ -179,28 +179,29 @@ class Views:
 
     @cached_property
     def responses(self) -> DataFrame:
-        """Discounted revenue per supplier, year and line: flags A and R as two interventions.
+        """Discounted revenue per supplier, year and line: flags A, R and N as three interventions A, B and C.
 
-        mech 'additive' keeps the sums, 'snapped' rounds every response to 100.
+        Years count back from the last one of a flag (N starts where A and R end), so the interventions have the same frames.
+        mech 'additive' keeps the sums, 'snapped' rounds every response to 100.  ABC applies all at once, ABthenC adds C
+        to the response of AB, and AB_again measures AB once more from the joint sum of its lines.
         """
         li = self.table("lineitem")
         rev = F.col("l_extendedprice") * (1 - F.col("l_discount"))
         flag = F.col("l_returnflag")
-        g = (li.filter(flag.isin("A", "R"))
-             .groupBy(F.col("l_suppkey").alias("world_id"), (F.year("l_shipdate") - 1995).cast("bigint").alias("t"),
-                      F.col("l_linenumber").cast("bigint").alias("idx"))
-             .agg(F.sum(F.when(flag == "A", rev).otherwise(0.0)).alias("A"),
-                  F.sum(F.when(flag == "R", rev).otherwise(0.0)).alias("R")))
+        last = F.when(flag == "N", 1998).otherwise(1995)
+        part = lambda *flags: F.sum(F.when(flag.isin(*flags), rev).otherwise(0.0))
         # rounding at cents removes the summation order from the data itself
-        cents = lambda c: F.floor(F.col(c) * 100.0 + 0.50013) / 100.0
-        g = g.select("world_id", "t", "idx", cents("A").alias("A"), cents("R").alias("B"))
-        g = g.withColumns({"AB": F.col("A") + F.col("B"), "opposite": -F.col("A")})
-        long = g.unpivot(["world_id", "t", "idx"], ["A", "B", "AB", "opposite"], "role", "v")
-        snapped = F.floor(F.col("v") / 100.0 + 0.5) * 100.0
-        return long.withColumn("arm", F.explode(F.array(
-            F.struct(F.lit("additive").alias("mech"), F.col("v").alias("v")),
-            F.struct(F.lit("snapped").alias("mech"), snapped.alias("v"))))).select(
-            "world_id", "t", "idx", "role", F.col("arm.mech").alias("mech"), F.col("arm.v").alias("v"))
+        cents = lambda c: F.floor(c * 100.0 + 0.50013) / 100.0
+        g = (li.filter(flag.isin("A", "R", "N"))
+             .groupBy(F.col("l_suppkey").alias("world_id"), (F.year("l_shipdate") - last).cast("bigint").alias("t"),
+                      F.col("l_linenumber").cast("bigint").alias("idx"))
+             .agg(cents(part("A")).alias("A"), cents(part("R")).alias("B"), cents(part("N")).alias("C"), cents(part("A", "R")).alias("AB_again")))
+        g = g.withColumns({"AB": F.col("A") + F.col("B"), "opposite": -F.col("A"), "ABC": F.col("A") + F.col("B") + F.col("C")})
+        snap = lambda c: F.floor(c / 100.0 + 0.5) * 100.0
+        arm = lambda mech, f: F.struct(F.lit(mech).alias("mech"), F.array(*[F.struct(F.lit(x).alias("role"), f(F.col(x)).alias("v")) for x in (
+            "A", "B", "C", "AB", "AB_again", "opposite", "ABC")], F.struct(F.lit("ABthenC").alias("role"), f(f(F.col("AB")) + F.col("C")).alias("v"))).alias("r"))
+        long = g.select("world_id", "t", "idx", F.inline(F.array(arm("additive", lambda c: c), arm("snapped", snap))))
+        return long.select("world_id", "t", "idx", "mech", F.inline("r")).select("world_id", "t", "idx", "role", "mech", "v")
 
     @cached_property
     def evals(self) -> DataFrame:
@@ -336,14 +337,18 @@ n AS (SELECT *, coalesce(nullif(sqrt(a * a + b * b + c * c), 0), 1) AS n FROM b)
 SELECT unnest([sky, -1]) AS sky_id, event_id, a / n AS ux, b / n AS uy, c / n AS uz, energy FROM n""",
     "v_responses": """
 WITH g AS (
-  SELECT l_suppkey AS world_id, year(l_shipdate) - 1995 AS t, l_linenumber::BIGINT AS idx,
-    floor(sum(CASE WHEN l_returnflag = 'A' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) * 100.0::DOUBLE + 0.50013::DOUBLE) / 100.0::DOUBLE AS A,
-    floor(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) * 100.0::DOUBLE + 0.50013::DOUBLE) / 100.0::DOUBLE AS B
-  FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL),
-wide AS (SELECT *, A + B AS AB, -A AS opposite FROM g),
-long AS (UNPIVOT wide ON A, B, AB, opposite INTO NAME role VALUE v)
+  SELECT l_suppkey AS world_id, year(l_shipdate) - CASE WHEN l_returnflag = 'N' THEN 1998 ELSE 1995 END AS t, l_linenumber::BIGINT AS idx,
+    floor(sum(CASE WHEN l_returnflag IN ('A') THEN l_extendedprice * (1 - l_discount) ELSE 0 END) * 100.0::DOUBLE + 0.50013::DOUBLE) / 100.0::DOUBLE AS A,
+    floor(sum(CASE WHEN l_returnflag IN ('R') THEN l_extendedprice * (1 - l_discount) ELSE 0 END) * 100.0::DOUBLE + 0.50013::DOUBLE) / 100.0::DOUBLE AS B,
+    floor(sum(CASE WHEN l_returnflag IN ('N') THEN l_extendedprice * (1 - l_discount) ELSE 0 END) * 100.0::DOUBLE + 0.50013::DOUBLE) / 100.0::DOUBLE AS C,
+    floor(sum(CASE WHEN l_returnflag IN ('A', 'R') THEN l_extendedprice * (1 - l_discount) ELSE 0 END) * 100.0::DOUBLE + 0.50013::DOUBLE) / 100.0::DOUBLE AS AB_again
+  FROM lineitem WHERE l_returnflag IN ('A', 'R', 'N') GROUP BY ALL),
+wide AS (SELECT *, A + B AS AB, -A AS opposite, A + B + C AS ABC FROM g),
+long AS (UNPIVOT wide ON A, B, C, AB, AB_again, opposite, ABC INTO NAME role VALUE v)
 SELECT world_id, t, idx, role, 'additive' AS mech, v FROM long
-UNION ALL SELECT world_id, t, idx, role, 'snapped', floor(v / 100.0::DOUBLE + 0.5::DOUBLE) * 100.0::DOUBLE FROM long""",
+UNION ALL SELECT world_id, t, idx, role, 'snapped', floor(v / 100.0::DOUBLE + 0.5::DOUBLE) * 100.0::DOUBLE FROM long
+UNION ALL SELECT world_id, t, idx, 'ABthenC', 'additive', AB + C FROM wide
+UNION ALL SELECT world_id, t, idx, 'ABthenC', 'snapped', floor((floor(AB / 100.0::DOUBLE + 0.5::DOUBLE) * 100.0::DOUBLE + C) / 100.0::DOUBLE + 0.5::DOUBLE) * 100.0::DOUBLE FROM wide""",
     "v_evals": """
 SELECT o_orderpriority AS run_id, year(o_orderdate) * 12 + month(o_orderdate) AS step,
        o_orderkey AS candidate_id, o_orderstatus AS role, 'm' || (o_custkey % 3) AS model,

@@ -203,6 +203,8 @@ NORMS = "nm AS (SELECT world_id, mech, role, t, sqrt(sum(v * v)) AS norm FROM v_
 WIDE = """
 wd AS (SELECT world_id, mech, t, idx, sum(CASE WHEN role = 'A' THEN v ELSE 0 END) AS a, sum(CASE WHEN role = 'B' THEN v ELSE 0 END) AS b,
   sum(CASE WHEN role = 'AB' THEN v ELSE 0 END) AS ab, sum(CASE WHEN role = 'opposite' THEN v ELSE 0 END) AS op,
+  sum(CASE WHEN role = 'C' THEN v ELSE 0 END) AS c, sum(CASE WHEN role = 'ABC' THEN v ELSE 0 END) AS abc,
+  sum(CASE WHEN role = 'ABthenC' THEN v ELSE 0 END) AS staged, sum(CASE WHEN role = 'AB_again' THEN v ELSE 0 END) AS again,
   max(t) OVER (PARTITION BY world_id, mech) AS last FROM v_responses GROUP BY world_id, mech, t, idx)"""
 query("v1_response_norms", "world_id:l mech:s role:s mag_final:d2 energy:d2 decay:d", lambda V: response.norm_features(V.responses, WM), f"""
 WITH {NORMS}, s AS (SELECT *, row_number() OVER (PARTITION BY world_id, mech, role ORDER BY t) AS r FROM nm),
@@ -219,14 +221,14 @@ WITH {WIDE} SELECT world_id, mech, sqrt(sum((a + op) * (a + op))) / (sqrt(sum(a
 
 def _paths(V):
     r = V.responses
-    out = response.relative_err(r, {"AB": 1, "B": -1, "A": -1}, "AB", "composition_err", WM)
-    out = out.join(response.relative_err(r, {"A": 1, "B": -1}, "A", "path_dependence", WM), WM)
-    return out.join(response.repeatability_err(r, "AB", "AB", WM), WM)
+    out = response.relative_err(r, {"ABC": 1, "AB": -1, "C": -1}, "ABC", "composition_err", WM)
+    out = out.join(response.relative_err(r, {"ABC": 1, "ABthenC": -1}, "ABC", "path_dependence", WM), WM)
+    return out.join(response.repeatability_err(r, "AB", "AB_again", WM), WM)
 
 
-query("v4_path_composition", "world_id:l mech:s composition_err:d path_dependence:d repeatability_err:d", _paths, f"""
-WITH {WIDE} SELECT world_id, mech, sqrt(sum((ab - a - b) * (ab - a - b))) / (sqrt(sum(ab * ab)) + 1e-12) AS composition_err,
- sqrt(sum((a - b) * (a - b))) / (sqrt(sum(a * a)) + 1e-12) AS path_dependence, 0.0 AS repeatability_err FROM wd WHERE t = last GROUP BY ALL""")
+query("v4_path_composition", "world_id:l mech:s composition_err:d path_dependence:d repeatability_err:d4", _paths, f"""
+WITH {WIDE} SELECT world_id, mech, sqrt(sum((abc - ab - c) * (abc - ab - c))) / (sqrt(sum(abc * abc)) + 1e-12) AS composition_err,
+ sqrt(sum((abc - staged) * (abc - staged))) / (sqrt(sum(abc * abc)) + 1e-12) AS path_dependence, sqrt(sum((ab - again) * (ab - again))) AS repeatability_err FROM wd WHERE t = last GROUP BY ALL""")
 query("v5_locality_speed", "world_id:l mech:s locality:d speed:l", lambda V: response.locality(
     V.responses.filter("role = 'A'"), F.lit(0), F.col("idx"), (0, 2), 1, world=WM), """
 WITH r AS (SELECT *, max(t) OVER (PARTITION BY world_id, mech) AS last, abs(idx - 2) AS d FROM v_responses WHERE role = 'A')
@@ -241,15 +243,56 @@ def _finals(V):
 
 
 FIN = """
-fi AS (SELECT world_id, mech, role, idx, v FROM (SELECT *, max(t) OVER (PARTITION BY world_id, mech) AS last FROM v_responses) WHERE t = last),
+fi AS (SELECT world_id, mech, role, idx, v FROM (SELECT *, max(t) OVER (PARTITION BY world_id, mech) AS last FROM v_responses) WHERE t = last AND role IN ('A', 'B', 'AB', 'opposite')),
 ff AS (SELECT * FROM fi UNION ALL SELECT world_id, mech, 'AB_copy', idx, v FROM fi WHERE role = 'AB')"""
 COL = f"""
 {FIN}, sg AS (SELECT world_id, mech, role, string_agg(CASE WHEN abs(v) > 1e-9 THEN idx || '=' || round(v, 4) END, ',' ORDER BY idx) AS s FROM ff GROUP BY ALL),
 co AS (SELECT world_id, mech, count(*) AS interventions, count(*) - count(DISTINCT coalesce(s, '')) AS merged FROM sg GROUP BY ALL)"""
 query("v6_collisions", "world_id:l mech:s interventions:l merged:l collision:d", lambda V: response.collisions(_finals(V), WM), f"""
 WITH {COL} SELECT *, merged / interventions::DOUBLE AS collision FROM co""")
-query("v7_effective_rank", "world_id:l mech:s rank:l eff_rank:d", lambda V: response.effective_rank(_finals(V), ["A", "B", "AB", "opposite", "AB_copy"], WM))
-query("v8_operator_features", "world_id:l mech:s name:s value:d2", lambda V: response.operator_features(V.responses, WM))
+
+
+def rank_sql(source: str, roles: list[str]) -> str:
+    """CTEs ending in rk(world_id, mech, rank): elimination of the roles x cells matrix with the largest remaining role as pivot."""
+    names_ = ", ".join(f"'{r}'" for r in roles)
+    out = [f"""z AS (SELECT world_id, mech, role, sqrt(sum(v * v)) AS s FROM {source} WHERE role IN ({names_}) GROUP BY ALL),
+m0 AS MATERIALIZED (SELECT f.world_id, f.mech, f.role, idx, v / CASE WHEN s < 1e-9 THEN 1 ELSE s END AS v FROM {source} f JOIN z USING (world_id, mech, role))"""]
+    for i in range(len(roles)):
+        out.append(f"""n{i} AS (SELECT world_id, mech, role, sqrt(sum(v * v)) AS s FROM m{i} GROUP BY ALL),
+p{i} AS MATERIALIZED (SELECT world_id, mech, arg_max(role, s) AS pivot, max(s) AS s FROM n{i} GROUP BY ALL HAVING max(s) > 1e-9),
+q{i} AS MATERIALIZED (SELECT m.world_id, m.mech, m.idx, p.pivot, m.v / p.s AS v FROM m{i} m JOIN p{i} p ON p.world_id = m.world_id AND p.mech = m.mech AND p.pivot = m.role),
+d{i} AS (SELECT m.world_id, m.mech, m.role, sum(m.v * q.v) AS d FROM m{i} m JOIN q{i} q USING (world_id, mech, idx) GROUP BY ALL),
+m{i + 1} AS MATERIALIZED (SELECT m.world_id, m.mech, m.role, m.idx, m.v - d.d * q.v AS v FROM m{i} m JOIN q{i} q USING (world_id, mech, idx) JOIN d{i} d USING (world_id, mech, role)
+  WHERE m.role <> q.pivot)""")
+    found = " UNION ALL ".join(f"SELECT world_id, mech FROM p{i}" for i in range(len(roles)))
+    out.append(f"""rk AS (SELECT w.world_id, w.mech, count(f.mech) AS rank FROM (SELECT DISTINCT world_id, mech FROM m0) w
+  LEFT JOIN ({found}) f ON f.world_id = w.world_id AND f.mech = w.mech GROUP BY ALL)""")
+    return ",\n".join(out)
+
+
+COPY_ROLES = ["A", "B", "AB", "opposite", "AB_copy"]
+query("v7_effective_rank", "world_id:l mech:s rank:l eff_rank:d", lambda V: response.effective_rank(_finals(V), COPY_ROLES, WM), f"""
+WITH {FIN}, {rank_sql('ff', COPY_ROLES)} SELECT world_id, mech, rank, rank / {len(COPY_ROLES)}.0{D} AS eff_rank FROM rk""")
+ALL_FEATURES = f"""
+WITH {WIDE}, {NORMS}, fa AS (SELECT world_id, mech, role, idx, v FROM (SELECT *, max(t) OVER (PARTITION BY world_id, mech) AS last FROM v_responses) WHERE t = last),
+{rank_sql('fa', response.RANK_ROLES)},
+sg AS (SELECT world_id, mech, role, string_agg(CASE WHEN abs(v) > 1e-9 THEN idx || '=' || round(v, 4) END, ',' ORDER BY idx) AS s FROM fa WHERE role IN ('A', 'B', 'AB', 'opposite') GROUP BY ALL),
+co AS (SELECT world_id, mech, (count(*) - count(DISTINCT coalesce(s, ''))) / count(*)::DOUBLE AS collision FROM sg GROUP BY ALL),
+st AS (SELECT world_id, mech, t, sqrt(sum(v * v)) AS norm, string_agg(idx || ':' || floor(v * 1e9{D} + 0.5{D})::BIGINT, ',' ORDER BY idx) AS s FROM v_responses WHERE role = 'A' GROUP BY ALL),
+rc AS (SELECT world_id, mech, coalesce((count(*) - count(DISTINCT s)) / nullif(count(*), 0)::DOUBLE, 0) AS recurrence FROM st WHERE norm > 1e-6 GROUP BY ALL),
+na AS (SELECT *, row_number() OVER (PARTITION BY world_id, mech ORDER BY t) AS r FROM nm WHERE role = 'A'),
+nf AS (SELECT world_id, mech, max_by(norm, t) AS mag_final, sum(norm) AS energy, max_by(norm, t) / greatest(coalesce(max(CASE WHEN r = 2 THEN norm END), max_by(norm, t)), 1e-12{D}) AS decay FROM na GROUP BY ALL),
+sp AS (SELECT world_id, mech, sum(g) / (sum(n) + 1e-12) AS superposition_path FROM (SELECT world_id, mech, t, sqrt(sum((ab - a - b) * (ab - a - b))) AS g, sqrt(sum(ab * ab)) AS n FROM wd GROUP BY world_id, mech, t) GROUP BY ALL),
+fe AS (SELECT world_id, mech, sum(CASE WHEN abs(idx - 2) <= 1 THEN abs(a) ELSE 0 END) / (sum(abs(a)) + 1e-12) AS locality,
+  coalesce(max(CASE WHEN abs(a) > 0.0001 THEN abs(idx - 2) END), 0)::DOUBLE AS speed, sqrt(sum((ab - a - b) * (ab - a - b))) / (sqrt(sum(ab * ab)) + 1e-12) AS superposition_err,
+  sqrt(sum((a + op) * (a + op))) / (sqrt(sum(a * a)) + 1e-12) AS symmetry_err, sqrt(sum((abc - staged) * (abc - staged))) / (sqrt(sum(abc * abc)) + 1e-12) AS path_dependence,
+  sqrt(sum((abc - ab - c) * (abc - ab - c))) / (sqrt(sum(abc * abc)) + 1e-12) AS composition_err, sqrt(sum((ab - again) * (ab - again))) AS repeatability_err FROM wd WHERE t = last GROUP BY ALL),
+al AS (SELECT nf.*, locality, speed, superposition_err, superposition_path, symmetry_err, path_dependence, composition_err, repeatability_err, coalesce(recurrence, 0.0{D}) AS recurrence,
+  collision, rank / {len(response.RANK_ROLES)}.0{D} AS eff_rank FROM nf JOIN sp USING (world_id, mech) JOIN fe USING (world_id, mech) JOIN co USING (world_id, mech) JOIN rk USING (world_id, mech)
+  LEFT JOIN rc USING (world_id, mech))
+UNPIVOT al ON {', '.join(response.FEATURES)} INTO NAME name VALUE value"""
+query("v8_operator_features", "world_id:l mech:s name:s value:d2", lambda V: response.operator_features(
+    V.responses, F.lit(0), F.col("idx"), (0, 2), 1, WM), f"SELECT * FROM ({ALL_FEATURES})")
 
 
 def _equivalent(V):
