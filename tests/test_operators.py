@@ -255,6 +255,30 @@ def test_additive_responses(spark):
     assert response.effective_rank(response.final(r), ["A", "B", "AB", "opposite"]).first()["rank"] == 2
 
 
+def test_all_response_features(spark):
+    """World 1 is linear; in world 2 the staged response differs, AB is measured differently and A returns to an earlier state."""
+    base = {"A": lambda i: 1.0 + i, "B": lambda i: 2.0, "C": lambda i: float(i * i), "opposite": lambda i: -1.0 - i}
+    rows = []
+    for world in (1, 2):
+        for t in range(4):
+            for i in range(5):
+                grow = (t + 1) if world == 1 else 1 + t % 2
+                v = {r: f(i) * grow for r, f in base.items()}
+                v |= {"AB": v["A"] + v["B"], "ABC": v["A"] + v["B"] + v["C"]}
+                v |= {"AB_again": v["AB"] + (0.5 if world == 2 else 0.0), "ABthenC": v["ABC"] * (1.0 if world == 1 else 1.1)}
+                rows += [(world, r, t, i, x) for r, x in v.items()]
+    r = spark.createDataFrame(rows, "world_id bigint, role string, t bigint, idx bigint, v double")
+    got = {(x.world_id, x.name): x.value for x in response.operator_features(r, F.lit(0), F.col("idx"), (0, 2), 1).collect()}
+    assert {n for w, n in got if w == 1} == set(response.FEATURES) and len(got) == 2 * len(response.FEATURES)
+    for n in ("superposition_err", "superposition_path", "symmetry_err", "path_dependence", "composition_err", "repeatability_err", "recurrence"):
+        assert got[1, n] == pytest.approx(0, abs=1e-9), n
+    assert got[1, "decay"] == pytest.approx(2) and got[1, "locality"] == pytest.approx(9 / 15) and got[1, "speed"] == 2
+    assert got[1, "mag_final"] == pytest.approx(4 * math.sqrt(55)) and got[1, "energy"] == pytest.approx(10 * math.sqrt(55))
+    assert got[1, "eff_rank"] == pytest.approx(3 / 7) and got[1, "collision"] == 0
+    assert got[2, "recurrence"] == 0.5 and got[2, "path_dependence"] == pytest.approx(0.1) and got[2, "repeatability_err"] == pytest.approx(0.5 * math.sqrt(5))
+    assert response.operator_features(r.limit(0), F.lit(0), F.col("idx"), (0, 2), 1).count() == 0
+
+
 def test_rule_cascades_reach_every_status(spark):
     def status(rules, **m):
         rows = [("k", a, float(b)) for a, b in m.items()] or [("k", next(iter(rules.metrics)), float(next(iter(rules.metrics.values()))))]
