@@ -158,6 +158,19 @@ def content_hash(series: DataFrame, key, v: str = "v", chunk: int = 4096, places
     return d.groupBy(*k).agg(joined.alias("content"))
 
 
+def set_hash(table: DataFrame, columns: list[str], by=()) -> DataFrame:
+    """(by, rows, hash_a, hash_b): order-free hash of a multiset of rows, summed modulo 2^60 from two parts of each row's MD5.
+
+    Sums of two tables add up to that of their union, and a deleted row's is subtracted, so it is kept up to date
+    without reading the table again.  NULL differs from the empty text.  One map-side combined aggregation.
+    """
+    cell = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    digest = F.md5(F.concat_ws("|", *[cell(c) for c in columns]))
+    part = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(25,0)")
+    sums = lambda at: F.pmod(F.sum(part(at)), F.lit(2 ** 60).cast("decimal(35,0)")).cast("bigint")
+    return table.groupBy(*names(by)).agg(F.count(F.lit(1)).alias("rows"), sums(1).alias("hash_a"), sums(17).alias("hash_b"))
+
+
 def collisions(hashes: DataFrame, name: str = "name") -> DataFrame:
     """Names that share their content with another name."""
     g = hashes.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("first_name")).filter("n > 1")

@@ -139,6 +139,10 @@ hs AS (SELECT {key}, sha256(string_agg(h, ',' ORDER BY c2)) AS content FROM hd G
 
 
 query("l14_content_hash", "name:s content:s", lambda V: audit.content_hash(V.named_series, "name"), f"WITH {hash_sql('v_named_series', 'name')} SELECT * FROM hs")
+SET_ROW = "md5(" + " || '|' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("step", "candidate_id", "role", "status")) + ")"
+query("l14_set_hash", "run_id:s rows:l hash_a:l hash_b:l", lambda V: audit.set_hash(V.evals, ["step", "candidate_id", "role", "status"], "run_id"), f"""
+SELECT run_id, count(*) AS rows, sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT) % 1152921504606846976 AS hash_a, sum(('0x' || substr(h, 17, 15))::BIGINT::HUGEINT) % 1152921504606846976 AS hash_b
+FROM (SELECT run_id, {SET_ROW} AS h FROM v_evals) GROUP BY 1""")
 query("l15_collisions", "name:s first_name:s n:l", lambda V: audit.collisions(audit.content_hash(V.named_series, "name")), f"""
 WITH {hash_sql('v_named_series', 'name')}, g AS (SELECT content, count(*) AS n, min(name) AS first_name FROM hs GROUP BY 1 HAVING count(*) > 1)
 SELECT name, first_name, n FROM hs JOIN g USING (content)""")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skepsis.operators import evidence, fields, fingerprint, models
+from skepsis.operators import audit, evidence, fields, fingerprint, models
 
 
 def fields_of(spark, named):
@@ -127,3 +127,12 @@ def test_label_permutation_null_is_about_chance(spark):
     got = [r.n for r in null.collect()]
     assert got == [80] * 12
     assert models.label_permutation_null(train.limit(0), test, 3, 7, F.col("sample_id")).count() == 0
+
+
+def test_set_hash_adds_up(spark):
+    rows = [(i, None if i % 3 == 0 else "" if i % 3 == 1 else "x") for i in range(20)] * 2
+    h = lambda r: audit.set_hash(spark.createDataFrame(r, "a int, b string"), ["a", "b"]).first()
+    whole, left, right = h(rows), h(rows[:7]), h(rows[7:])
+    assert h(rows[::-1]) == whole and whole["rows"] == 40
+    assert whole.hash_a == (left.hash_a + right.hash_a) % 2 ** 60 and whole.hash_b == (left.hash_b + right.hash_b) % 2 ** 60
+    assert h([(1, None)]) != h([(1, "")]) and h(rows[:20]) != whole
