@@ -133,9 +133,9 @@ def label_permutation_null(train: DataFrame, test: DataFrame, reps: int, seed, o
     ids = train.groupBy(*k, label).agg(F.collect_list(F.struct(name, value)).alias("_f")).withColumn("_id", order)
     drawn = shuffle_values(replicate(ids, reps), "rep", "_id", label, seed, F.floor(F.col("_id") / per_bucket), out="_label")
     tr = drawn.select("rep", *k, F.col("_label").alias(label), F.inline("_f"))
-    scores = class_scores(replicate(test, reps), fit(tr, ["rep"], label, name, value), ["rep"], k, label, name, value)
-    truth = test.select(*k, label).distinct()
-    return accuracies(predict(scores, ["rep"], k, label).join(truth, k), ["rep"], label)
+    te = k + ["_true"]          # the true label rides along as a part of the sample's key
+    scores = class_scores(replicate(test.withColumnRenamed(label, "_true"), reps), fit(tr, ["rep"], label, name, value), ["rep"], te, label, name, value)
+    return accuracies(predict(scores, ["rep"], te, label), ["rep"], "_true")
 
 
 def permutation_summary(real: DataFrame, null: DataFrame, metric: str = "balanced") -> DataFrame:

@@ -5,29 +5,29 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import TWO32, hash_normal, hash_sign, hash_uniform
 from ..functions.numeric import dbl, let, ratio
-from .scale import CHUNK, dense_position, hash_bucket, materialize, names, replicate, running, spread
+from .scale import CHUNK, dense_position, hash_bucket, join_rows, materialize, names, replicate, running, spread
 
 
-def permutation(ids: DataFrame, by, id: str, draw: Column, bucket: Column, hash_buckets: int = 64) -> DataFrame:
-    """A uniformly random bijection id -> donor within each group `by`.
+def permutation(ids: DataFrame, by, id: str, draw: Column, bucket: Column, hash_buckets: int = 64, carry=()) -> DataFrame:
+    """A uniformly random bijection id -> donor within each group `by`; `carry` names columns taken from the donor's row.
 
     The i-th id takes the i-th id in the order of its draw.  Both orders are numbered from bucket
     counts; the draw is uniform, so its buckets are equally full whatever the group size.
     """
     by = names(by)
     a = dense_position(ids.select(*by, id), by, id, bucket, out="_r")
-    d = ids.select(*by, F.col(id).alias("donor"), draw.alias("_u"))
+    d = ids.select(*by, F.col(id).alias("donor"), draw.alias("_u"), *carry)
     b = dense_position(d, by, ["_u", "donor"], hash_bucket("_u", hash_buckets), out="_r").drop("_u")
-    return a.join(b, by + ["_r"]).drop("_r")
+    return join_rows(a, b, by + ["_r"]).drop("_r")
 
 
 def shuffle_values(df: DataFrame, by, id: str, value: str, seed, bucket: Column | None = None, out: str = "shuffled") -> DataFrame:
     """Permute `value` among the rows of each group."""
     by = names(by)
     bucket = F.floor(F.col(id) / 1024) if bucket is None else bucket
-    p = permutation(df, by, id, hash_uniform(seed, *[F.col(b) for b in by], F.col(id)), bucket)
-    v = df.select(*by, F.col(id).alias("donor"), F.col(value).alias(out))
-    return df.join(p, by + [id]).join(v, by + ["donor"]).drop("donor")
+    v = df.select(*by, id, F.col(value).alias(out))
+    p = permutation(v, by, id, hash_uniform(seed, *[F.col(b) for b in by], F.col(id)), bucket, carry=[out])
+    return join_rows(df, p.drop("donor"), by + [id])
 
 
 # -- event trains ---------------------------------------------------------------------------------------

@@ -103,7 +103,7 @@ def running(df: DataFrame, keys, pos: str, outs: dict, size: int = CHUNK,
     stop = -1 if exclusive else 0
     local = W.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(W.unboundedPreceding, stop)
     d = d.withColumns({f"_loc_{n}": _AGG[how](col(c)).over(local) for n, (c, how) in outs.items()})
-    d = d.join(base, keys + ["_chunk"], "left")
+    d = join_rows(d, base, keys + ["_chunk"], "left")
     for n, (_, how) in outs.items():
         b, l = F.col(f"_base_{n}"), F.col(f"_loc_{n}")
         if how == "sum":
@@ -113,6 +113,15 @@ def running(df: DataFrame, keys, pos: str, outs: dict, size: int = CHUNK,
     return d.drop("_chunk", *[f"_base_{n}" for n in outs], *[f"_loc_{n}" for n in outs])
 
 
+def join_rows(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join of two sides that both grow with the data, by a merge.
+
+    The size the optimizer assumes for a side leaves out what an explode above its last shuffle adds (replicates, draws,
+    blocks), so it would send many times the broadcast threshold through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def dense_position(df: DataFrame, keys, order, bucket: Column, out: str = "t") -> DataFrame:
     """1-based row number per key in `order`, without ever holding a key in one task.
 
@@ -126,7 +135,7 @@ def dense_position(df: DataFrame, keys, order, bucket: Column, out: str = "t") -
     earlier = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
     rn = F.row_number().over(W.partitionBy(*keys, "_b").orderBy(*order))
-    return (d.withColumn("_rn", rn).join(base, keys + ["_b"])
+    return (join_rows(d.withColumn("_rn", rn), base, keys + ["_b"])
             .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint"))
             .drop("_b", "_rn", "_off"))
 
