@@ -43,7 +43,7 @@ def matched_event(series: DataFrame, events: DataFrame, key: str, seed, by: tupl
         slots = slots.join(reps, key)
     u = hash_uniform(seed, *[F.col(b) for b in by], F.col(key), F.col("t"))
     slots = dense_position(slots.withColumn("_u", u), k, ["_u", "t"], hash_bucket("_u", 64), out="k").drop("_u")
-    return events.select(*k, "k", "amp").join(slots, k + ["k"])
+    return join_rows(events.select(*k, "k", "amp"), slots, k + ["k"])
 
 
 def gap_matched(events: DataFrame, lengths: DataFrame, key: str, seed, by: tuple = (), size: int = CHUNK) -> DataFrame:
@@ -56,7 +56,7 @@ def gap_matched(events: DataFrame, lengths: DataFrame, key: str, seed, by: tuple
     u = hash_uniform(seed, *[F.col(b) for b in by], F.col(key), F.col("k"))
     donors = dense_position(events.select(*ks, "gap", "k", u.alias("_u")), ks, ["_u", "k"], hash_bucket("_u", 64), out="_r")
     g = donors.select(*ks, F.col("_r").alias("k"), F.col("gap").alias("_g"))
-    e = events.drop("gap").join(g, ks + ["k"])
+    e = join_rows(events.drop("gap"), g, ks + ["k"])
     first = events.groupBy(*ks).agg(F.min("pos").alias("_first"))
     e = running(e, ks, "k", {"_before": ("_g", "sum")}, size, exclusive=True)
     e = e.join(first, ks).join(lengths, key)

@@ -43,6 +43,10 @@ def lengths(s):
     return s.groupBy("series_id").agg(F.max("t").alias("n"))
 
 
+def test_control_family_sends_no_replicated_events_to_the_driver(series, events):
+    assert not broadcasts_replicates(resample.control_family(series, events, lengths(series), "series_id", 5, F.col("amp")))
+
+
 def test_shuffled_replicates_are_not_sent_to_the_driver(series):
     d = scale.replicate(series, 5)
     got = resample.shuffle_values(d, ["rep", "series_id"], "t", "v", 1)
