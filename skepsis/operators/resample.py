@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import TWO32, hash_normal, hash_sign, hash_uniform
 from ..functions.numeric import dbl, let, ratio
-from .scale import CHUNK, dense_position, hash_bucket, join_rows, materialize, names, replicate, running, spread
+from .scale import CHUNK, chunked, dense_position, hash_bucket, join_rows, materialize, names, replicate, running, spread
 
 
 def permutation(ids: DataFrame, by, id: str, draw: Column, bucket: Column, hash_buckets: int = 64, carry=()) -> DataFrame:
@@ -158,24 +158,32 @@ def bootstrap_mean_ci(values: DataFrame, by, order, bucket: Column, value: str =
     return m.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
 
 
-def block_bootstrap_ci(series: DataFrame, key: str, value: str, block: int = 21, reps: int = 200, seed=0, size: int = CHUNK) -> DataFrame:
+#: positions whose values lie in one row of `block_bootstrap_ci`
+SPAN = 4096
+
+
+def block_bootstrap_ci(series: DataFrame, key: str, value: str, block: int = 21, reps: int = 200, seed=0, size: int = SPAN) -> DataFrame:
     """Circular moving-block interval of the mean of a dense series.
 
-    A block is a difference of two prefix sums, so a replicate fetches two rows per block instead
-    of `block` rows; the last block is cut so that exactly n values are drawn.
+    A chunk of positions, with the positions after it that a block may reach, is one row.  A block is one row (replicate, start) sent
+    to the chunk of its start, where its values are added up; the last block is cut so that exactly n values are drawn.  Blocks are
+    made where their replicate lies, so they are dealt over all tasks however few the series are.
     """
     n = series.groupBy(key).agg(F.max("t").alias("_n"))
-    s = series.select(key, "t", F.col(value).alias("_v")).join(n, key)
-    wrap = s.withColumn("t", F.explode(F.filter(F.array(F.col("t"), F.when(F.col("t") <= block, F.col("t") + F.col("_n"))),
-                                                lambda t: t.isNotNull())))
-    p = running(wrap, key, "t", {"_p": ("_v", "sum")}, size).select(key, F.col("t").alias("at"), "_p")
-    blocks = replicate(n.withColumn("b", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block)))), reps)
+    s = series.select(key, "t", F.col(value).cast("double").alias("_v"))
+    at = F.col("t") - 1
+    ends = F.when(F.col("t") < block, F.col("t") + F.col("_n") - 1)         # the first values once more behind the last
+    s = s.join(n, key).select(key, F.explode(F.filter(F.array(at, ends), lambda t: t.isNotNull())).alias("at"), "_v")
+    c = chunked(s, key, "at", after=block, size=size)
+    size = max(size, block, 1)
+    c = c.groupBy(key, "_chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "_v"))), lambda x: F.coalesce(x["_v"], F.lit(0.0))).alias("_vs"))
+    blocks = spread(replicate(n, reps), key, "rep").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / block))))
     start = F.floor(hash_uniform(seed, F.col("rep"), F.col(key), F.col("b")) * F.col("_n"))  # 0-based
     length = F.least(F.lit(block), F.col("_n") - F.col("b") * block)
-    ends = F.explode(F.array(F.struct(start.alias("at"), F.lit(-1).alias("sg")),
-                             F.struct((start + length).alias("at"), F.lit(1).alias("sg"))))
-    q = blocks.select(key, "rep", "_n", ends.alias("e")).select(key, "rep", "_n", "e.at", "e.sg").filter("at > 0")
-    m = q.join(p, [key, "at"]).groupBy(key, "rep").agg((F.sum(F.col("sg") * F.col("_p")) / F.max("_n")).alias("m"))
+    q = blocks.select(key, "rep", "_n", start.alias("_s"), length.alias("_l")).withColumn("_chunk", F.floor(F.col("_s") / size))
+    first = (F.col("_s") - F.col("_chunk") * size + 1).cast("int")
+    drawn = F.aggregate(F.slice("_vs", first, F.col("_l").cast("int")), F.lit(0.0), lambda a, x: a + x)
+    m = join_rows(q, c, [key, "_chunk"]).groupBy(key, "rep").agg((F.sum(drawn) / F.max("_n")).alias("m"))
     m = m.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("m", "rep")) - 1)
     return m.groupBy(key).agg(F.max(F.when(F.col("_r") == int(0.025 * reps), F.col("m"))).alias("lo"),
                               F.max(F.when(F.col("_r") == min(reps - 1, int(0.975 * reps)), F.col("m"))).alias("hi"))

@@ -43,6 +43,16 @@ def lengths(s):
     return s.groupBy("series_id").agg(F.max("t").alias("n"))
 
 
+def test_block_bootstrap_sends_no_draws_to_the_driver(series):
+    assert not broadcasts_replicates(resample.block_bootstrap_ci(series, "series_id", "v", 7, 20, 1))
+
+
+def test_block_bootstrap_of_short_series_wraps(spark):
+    s = spark.createDataFrame([(1, t, float(t * t)) for t in range(1, 6)], "series_id bigint, t bigint, v double")
+    # one block that covers the circle, whatever its start
+    assert rows(resample.block_bootstrap_ci(s, "series_id", "v", 21, 10, 1)) == [(1, 11.0, 11.0)]
+
+
 def test_control_family_sends_no_replicated_events_to_the_driver(series, events):
     assert not broadcasts_replicates(resample.control_family(series, events, lengths(series), "series_id", 5, F.col("amp")))
 
