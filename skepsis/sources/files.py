@@ -69,6 +69,11 @@ def write_catalogue(df: DataFrame, path: str) -> None:
     df.select(F.format_string("%.6f", ra).alias("ra"), F.format_string("%.6f", dec).alias("dec"), "energy").write.csv(path, header=True)
 
 
+def write_directions(df: DataFrame, path: str) -> None:
+    """x, y, z and energy in full digits as CSV with a header: a catalogue that reads back as it was written."""
+    df.select(F.col("ux").alias("x"), F.col("uy").alias("y"), F.col("uz").alias("z"), "energy").write.csv(path, header=True)
+
+
 # The 16 columns of a result row.
 RESULT_SCHEMA = ("candidate_id bigint, cr double, ci double, score double, pearson double, spearman double, mae double, gradient double, "
                  "spectral double, autocorr double, entropy double, anisotropy double, levels int, dominant double, rle double, status string")
