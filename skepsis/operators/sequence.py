@@ -144,12 +144,22 @@ def transition_entropy(series: DataFrame, bins: int = 8, key: str = S, v: str =
     return series.select(key).distinct().join(e, key, "left").fillna(0.0)
 
 
+def ordered_mean(series: DataFrame, key: str = S, v: str = "v", size: int = CHUNK) -> DataFrame:
+    """(key, _m): the mean, its values added in the order of positions within a chunk, and chunks in their order."""
+    upto = W.partitionBy(key, "_chunk").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = series.select(key, "t", F.floor(F.col("t").cast("bigint") / size).alias("_chunk"), v)
+    d = d.withColumn("_s", F.sum(v).over(upto)).groupBy(key, "_chunk").agg(F.max_by("_s", "t").alias("_s"), F.count(v).alias("_n"))
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") > 0, F.struct("_chunk", "_s")))), lambda c: c["_s"])
+    return d.groupBy(key).agg((F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.sum("_n").cast("double"), F.lit(0.0))).alias("_m"))
+
+
 def cycle_period(series: DataFrame, key: str = S, v: str = "v", size: int = CHUNK) -> DataFrame:
     """Mean gap between upward crossings of the mean; the length when there are fewer than two.
 
-    The gaps telescope, so only the first and last crossing and their number are needed.
+    The gaps telescope, so only the first and last crossing and their number are needed.  A value can be equal to the mean, so
+    the mean must not depend on how the rows lie in tasks.
     """
-    d = with_stats(series.select(key, "t", v), key, _m=F.avg(v))
+    d = series.select(key, "t", v).join(ordered_mean(series, key, v, size), key)
     d = with_local(d, key, "t", {"_p": lambda w: F.lag(v).over(w)}, before=1, size=size)
     at = F.when((F.col("_p") < F.col("_m")) & (F.col("_m") <= col(v)), F.col("t"))
     a = d.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.count(at).alias("_c"), F.min(at).alias("_a"), F.max(at).alias("_b"))

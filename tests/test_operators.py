@@ -470,6 +470,26 @@ def test_close_points_of_one_dense_series(spark):
     assert (r["c1"], r["c2"]) == (n * (n - 1) // 2,) * 2
 
 
+def test_cycle_period_when_values_equal_the_mean(spark):
+    """The mean is that of the values added in order, however the rows lie in tasks."""
+    def period(vs, order):
+        total = 0.0
+        for i in order:
+            total += vs[i]
+        at = [t for t in range(1, len(vs)) if vs[t - 1] < total / len(vs) <= vs[t]]
+        return (at[-1] - at[0]) / (len(at) - 1) if len(at) > 1 else float(len(vs))
+
+    draw, data = random.Random(3), []
+    while len(data) < 300:          # series of which a value is the mean in one order of adding only
+        vs = [draw.randint(1, 60) / 100 for _ in range(25)]
+        if period(vs, range(25)) != period(vs, sorted(range(25), key=lambda i: (i % 3, i))):
+            data.append(vs)
+    s = spark.createDataFrame([(k, t + 1, v) for k, vs in enumerate(data) for t, v in enumerate(vs)], "series_id bigint, t bigint, v double")
+    want = [(k, period(vs, range(25))) for k, vs in enumerate(data)]
+    got = seq.cycle_period(s.repartition(7, F.xxhash64("t", "v"))).orderBy("series_id").collect()
+    assert [(r.series_id, r.period) for r in got] == want
+
+
 def test_streamed_catalogue_keeps_directions(spark):
     """Written and read back as a stream, directions are the same to the last digits, the zero vector too."""
     from types import SimpleNamespace
