@@ -1,21 +1,25 @@
 """Directional clustering against isotropy, with the search over orientations inside the null.
 
-A rotation pool is rows of a 3x3 matrix; its size is a plan parameter.  An event meets the pool through
-an exploded rotation id and a join on it, so the pool is broadcast only while it is small.
+A rotation pool is rows of a 3x3 matrix; its size is a plan parameter.  Tasks hold the pool and weigh runs of
+events against it.
 """
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.hashing import hash_normal, hash_uniform
 from ..functions.numeric import clamp, col
 from .resample import empirical_p
-from .scale import join_small, names, replicate
+from .scale import names, replicate, spread
 
 # Fixed values of the published protocol.
 KERNEL_DELTA_DEG, MIN_EVENTS, ALPHA = 8.0, 30, 0.05
+RUN = 4096
 MATRIX = [f"m{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
 
 
@@ -88,19 +92,46 @@ def frame_axes(rotations: DataFrame) -> DataFrame:
     return rotations.select("rot_id", F.explode(arms).alias("a")).select("rot_id", "a.*")
 
 
+#: kernel values that a task holds at once
+BLOCK = 1 << 15
+
+
 def axis_score(events: DataFrame, rotations: DataFrame, n_rot: int, keys=("sky_id",), delta_deg: float = KERNEL_DELTA_DEG) -> DataFrame:
     """(keys, rot_id, score, n): mean kernel weight of the nearest of six axes.
 
-    The nearest of +-axis is the larger |dot|, so three dot products replace six.  Sums are
-    combined per task before the shuffle: it carries skies x rotations, not events.
+    The nearest of +-axis is the larger |dot|, so three dot products replace six.  The pool (`n_rot` rows, a plan parameter) rides
+    along with the tasks, which weigh short runs of events against all of it and add up each sky's weights: the shuffle carries skies x
+    rotations, not events.  A missing direction weighs 1, like one on an axis.
     """
     keys = names(keys)
-    e = events.select(*keys, "ux", "uy", "uz").withColumn("rot_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_rot - 1).cast("bigint"))))
-    j = join_small(e, rotations, "rot_id", n_rot)
-    dots = [F.abs(F.col("ux") * F.col(f"m1{k}") + F.col("uy") * F.col(f"m2{k}") + F.col("uz") * F.col(f"m3{k}")) for k in (1, 2, 3)]
-    theta = F.acos(F.least(F.lit(1.0), F.greatest(*dots)))
-    w = F.exp(-0.5 * F.pow(theta / math.radians(delta_deg), F.lit(2.0)))
-    return j.groupBy(*keys, "rot_id").agg(F.avg(w).alias("score"), F.count(F.lit(1)).alias("n"))
+    e = events.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("ux", "uy", "uz")])
+    pool = rotations.filter(F.col("rot_id").between(0, n_rot - 1)).select("rot_id", *[F.col(m).cast("double") for m in MATRIX]).orderBy("rot_id").collect()
+    ids, m = np.array([r[0] for r in pool], np.int64), np.array([r[1:] for r in pool], float).reshape(len(pool), 3, 3)
+
+    def weights(u):
+        dots = [np.abs(u[0] * m[:, 0, k] + u[1] * m[:, 1, k] + u[2] * m[:, 2, k]) for k in range(3)]
+        c = np.fmin(1.0, np.maximum(np.maximum(dots[0], dots[1]), dots[2]))
+        return np.exp(-0.5 * np.square(np.arccos(c) / math.radians(delta_deg)))
+
+    def run(batches):
+        rows = max(1, BLOCK // max(1, len(ids)))
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(ids) else 0, rows):
+                b = whole.slice(at, rows)
+                sky = np.zeros(b.num_rows, np.int64)
+                for c in b.columns[:len(keys)]:         # equal keys of the slice get one number
+                    d = c.dictionary_encode(null_encoding="encode")
+                    sky = np.unique(sky * len(d.dictionary) + d.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+                order = np.argsort(sky, kind="stable")
+                starts = np.flatnonzero(np.diff(sky[order], prepend=-1))
+                w = weights([c.to_numpy(zero_copy_only=False)[order, None] for c in b.columns[len(keys):]])
+                key = b.take(pa.array(np.repeat(order[starts], len(ids)))).columns[:len(keys)]
+                yield pa.RecordBatch.from_arrays([*key, pa.array(np.tile(ids, len(starts))), pa.array(np.add.reduceat(w, starts, axis=0).ravel()),
+                                                  pa.array(np.repeat(np.diff(starts, append=len(order)), len(ids)))], names=[*keys, "rot_id", "_w", "_n"])
+
+    made = StructType([*e.schema.fields[:len(keys)], StructField("rot_id", LongType()), StructField("_w", DoubleType()), StructField("_n", LongType())])
+    n = F.sum("_n")
+    return e.mapInArrow(run, made).groupBy(*keys, "rot_id").agg((F.sum("_w") / n).alias("score"), n.alias("n"))
 
 
 def alignment_statistic(scores: DataFrame, keys=("sky_id",)) -> DataFrame:
@@ -110,11 +141,18 @@ def alignment_statistic(scores: DataFrame, keys=("sky_id",)) -> DataFrame:
         *k, F.col("_b.score").alias("stat"), (-F.col("_b._r")).alias("rot_id"), "n")
 
 
+def numbered_events(skies: DataFrame, n: Column, keys) -> DataFrame:
+    """A row for each event 0 .. n - 1 of every row of `skies`; runs of `RUN` events are dealt over all tasks, so that neither few nor large skies make a task long."""
+    last = n.cast("bigint") - 1
+    d = skies.filter(n > 0).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / RUN))))
+    d = spread(d, *names(keys), "_run")
+    return d.withColumn("event_id", F.explode(F.sequence(F.col("_run") * RUN, F.least(last, F.col("_run") * RUN + (RUN - 1))))).drop("_run")
+
+
 def isotropic_events(skies: DataFrame, n_events, keys, seed) -> DataFrame:
     """`n_events` uniform directions for every row of `skies` (a number or a column)."""
     keys = names(keys)
-    n = n_events if isinstance(n_events, Column) else F.lit(n_events)
-    d = skies.withColumn("event_id", F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)))
+    d = numbered_events(skies, n_events if isinstance(n_events, Column) else F.lit(n_events), keys)
     key = [seed] + [F.col(k) for k in keys] + [F.col("event_id")]
     d = d.withColumns({"_z": 2.0 * hash_uniform(*key, "z") - 1.0, "_p": 2.0 * math.pi * hash_uniform(*key, "p")})
     r = F.sqrt(F.greatest(1.0 - F.col("_z") * F.col("_z"), F.lit(0.0)))
@@ -123,9 +161,9 @@ def isotropic_events(skies: DataFrame, n_events, keys, seed) -> DataFrame:
 
 def isotropic_null(skies: DataFrame, n_events, rotations: DataFrame, n_rot: int, n_null: int, seed, keys=("sky_id",)) -> DataFrame:
     """(keys, null_id, stat): fresh uniform skies scored over the same pool, so the look-elsewhere
-    effect is in the null.  Null skies are spread over tasks before their events are drawn."""
+    effect is in the null."""
     keys = names(keys)
-    d = replicate(skies.select(*keys, *(["n_events"] if "n_events" in skies.columns else [])), n_null, "null_id").repartition("null_id")
+    d = replicate(skies.select(*keys, *(["n_events"] if "n_events" in skies.columns else [])), n_null, "null_id")
     ev = isotropic_events(d, n_events, keys + ["null_id"], seed)
     return alignment_statistic(axis_score(ev, rotations, n_rot, keys + ["null_id"]), keys + ["null_id"])
 
@@ -172,9 +210,8 @@ def type1_calibration(null: DataFrame, fresh: DataFrame) -> DataFrame:
 def clustered_events(skies: DataFrame, n_events, keys, seed, width_deg: Column, share: Column) -> DataFrame:
     """Control skies: a `share` of events scatters by `width_deg` around the axes of a hidden rotation."""
     keys = names(keys)
-    n = n_events if isinstance(n_events, Column) else F.lit(n_events)
     sky = [seed] + [F.col(k) for k in keys]
-    d = with_rotation(skies, *sky, "rot").withColumn("event_id", F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)))
+    d = numbered_events(with_rotation(skies, *sky, "rot"), n_events if isinstance(n_events, Column) else F.lit(n_events), keys)
     key = sky + [F.col("event_id")]
     tx, ty, tz = direction(*key, "t")
     d = d.withColumns({"_on": hash_uniform(*key, "on") < share, "_ax": F.floor(6.0 * hash_uniform(*key, "ax")), "_tx": tx, "_ty": ty, "_tz": tz,
@@ -194,7 +231,7 @@ def clustered_events(skies: DataFrame, n_events, keys, seed, width_deg: Column,
 def power_scan(grid: DataFrame, reps: int, n_events: Column, null: DataFrame, rotations: DataFrame, n_rot: int, seed) -> DataFrame:
     """Detection rate per parameter row (width_deg, share).  All rows and replicates are one job."""
     ks = [c for c in grid.columns]
-    s = replicate(grid, reps).repartition("rep")
+    s = replicate(grid, reps)
     ev = clustered_events(s, n_events, ks + ["rep"], seed, F.col("width_deg"), F.col("share"))
     stat = alignment_statistic(axis_score(ev, rotations, n_rot, ks + ["rep"]), ks + ["rep"])
     # p < alpha holds exactly when fewer than alpha*(n+1) - 1 null values reach the statistic, so the

@@ -98,7 +98,7 @@ def _one(V):
 
 def _skies(V, n, seed, key):
     s = scale.replicate(_one(V), n, key)
-    ev = sphere.isotropic_events(s.repartition(key), F.col("n_events"), [key], seed)
+    ev = sphere.isotropic_events(s, F.col("n_events"), [key], seed)
     return sphere.alignment_statistic(sphere.axis_score(ev, _pool(V), N_ROT, [key]), [key])
 
 

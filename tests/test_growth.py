@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from skepsis.operators import models, resample, scale
+from skepsis.operators import models, resample, scale, sphere
 
 from .conftest import rows
 
@@ -72,3 +72,24 @@ def test_label_permutations_are_not_sent_to_the_driver(spark):
     got = models.label_permutation_null(f.filter("sample_id < 30"), f.filter("sample_id >= 30"), 4, "s", F.col("sample_id"))
     assert not broadcasts_replicates(got)
     assert [(r.rep, r.n) for r in got.orderBy("rep").collect()] == [(r, 10) for r in range(4)]
+
+
+def test_events_of_one_null_sky_are_made_in_many_tasks(spark):
+    n = 5 * sphere.RUN + 3
+    one = spark.range(1).select(F.lit(n).cast("bigint").alias("n_events"))
+    null = sphere.isotropic_events(scale.replicate(one, 2, "null_id"), F.col("n_events"), ["n_events", "null_id"], "s")
+    got = null.groupBy("null_id").agg(F.count_distinct("event_id").alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    assert rows(got, "null_id") == [(0, n, 0, n - 1), (1, n, 0, n - 1)]
+    assert null.groupBy(F.spark_partition_id().alias("p")).count().count() > 1
+
+
+def test_axis_score_adds_up_skies_that_share_batches(spark):
+    ev = spark.range(500).select((F.col("id") % 7).alias("sky_id"), F.concat(F.lit("k"), F.col("id") % 3).alias("name"), *[c.alias(n) for c, n in zip(sphere.direction("d", F.col("id")), ("ux", "uy", "uz"))])
+    pool = sphere.rotation_pool(spark, 4, 1)
+    j = ev.crossJoin(pool)
+    dots = [F.abs(F.col("ux") * F.col(f"m1{k}") + F.col("uy") * F.col(f"m2{k}") + F.col("uz") * F.col(f"m3{k}")) for k in (1, 2, 3)]
+    w = F.exp(-0.5 * F.pow(F.acos(F.least(F.lit(1.0), F.greatest(*dots))) / F.radians(F.lit(8.0)), F.lit(2.0)))
+    want = j.groupBy("sky_id", "name", "rot_id").agg(F.avg(w).alias("score"), F.count(F.lit(1)).alias("n"))
+    flat = lambda d: [(r.sky_id, r.name, r.rot_id, pytest.approx(r.score, abs=1e-12), r.n) for r in d.orderBy("sky_id", "name", "rot_id").collect()]
+    got = sphere.axis_score(ev, pool, 4, ["sky_id", "name"])
+    assert [(r.sky_id, r.name, r.rot_id, r.score, r.n) for r in got.orderBy("sky_id", "name", "rot_id").collect()] == flat(want)
