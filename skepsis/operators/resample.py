@@ -87,7 +87,7 @@ def bootstrap_ci(hits: DataFrame, by, id: str, reps: int = 1000, seed=0, hit: st
     hits = materialize(hits.select(*by, id, hit))
     c = hits.groupBy(*by).agg(F.count(hit).alias("_n"), F.count(F.when(F.col(hit) == 0, 1)).alias("_c0"),
                               F.count(F.when(F.col(hit) < 1, 1)).alias("_c1"), F.avg(hit).alias("mean"))
-    d = replicate(hits.select(*by, id).join(c, by), reps)
+    d = replicate(spread(hits.select(*by, id).join(c, by), *by, id), reps)       # groups are few, rows are many
     j = F.floor(hash_uniform(seed, "rep", F.col("rep"), F.col(id)) * F.col("_n"))
     x = F.when(j < F.col("_c0"), 0.0).when(j < F.col("_c1"), 0.5).otherwise(1.0)
     m = d.groupBy(*by, "rep").agg(F.avg(x).alias("m"), F.max("_n").alias("n"), F.max("mean").alias("mean"))

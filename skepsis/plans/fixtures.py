@@ -97,8 +97,8 @@ class Views:
 
     @cached_property
     def unit_grids(self) -> DataFrame:
-        """Every sample observed through every unit: the positive control."""
-        g = self.sample_grids
+        """Every sample observed through every unit: the positive control.  Samples are few bytes for much work, so they are dealt over all tasks."""
+        g = scale.spread(self.sample_grids, "sample_id")
         arms = F.array(*[F.struct(F.lit(u).alias("unit"), degrade.array_unit(
             u, F.col("vals"), F.col("sample_id"), W, H).alias("vals")) for u in UNITS])
         out = g.select("sample_id", "grp", "seed", "split", F.explode(arms).alias("arm")).select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skepsis.operators import models, resample, scale, sphere
 
-from .conftest import rows
+from .conftest import SF, rows
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +93,13 @@ def test_axis_score_adds_up_skies_that_share_batches(spark):
     flat = lambda d: [(r.sky_id, r.name, r.rot_id, pytest.approx(r.score, abs=1e-12), r.n) for r in d.orderBy("sky_id", "name", "rot_id").collect()]
     got = sphere.axis_score(ev, pool, 4, ["sky_id", "name"])
     assert [(r.sky_id, r.name, r.rot_id, r.score, r.n) for r in got.orderBy("sky_id", "name", "rot_id").collect()] == flat(want)
+
+
+def test_few_bytes_of_much_work_are_dealt_over_tasks(spark):
+    from skepsis.plans.fixtures import Views
+    tasks = lambda d: d.groupBy(F.spark_partition_id().alias("p")).count().count()
+    assert tasks(Views(spark, SF).unit_grids) > 1
+    hits = spark.range(400, numPartitions=1).select(F.lit("a").alias("set"), F.col("id").cast("string").alias("rid"), (F.col("id") % 2).cast("double").alias("hit"))
+    got = resample.bootstrap_ci(hits, "set", "rid", 20, 1)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().optimizedPlan().toString() or "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(got.select("n", "mean")) == [(400, 0.5)]
