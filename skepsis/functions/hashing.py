@@ -14,10 +14,13 @@ def _lit(part) -> Column:
     return (part if isinstance(part, Column) else F.lit(part)).cast("string")
 
 
+def _digest(parts) -> Column:
+    return F.md5(F.concat_ws(":", *[_lit(p) for p in parts]))
+
+
 def hash32(*parts) -> Column:
     """First 32 bits of md5 of the colon-joined parts, as a bigint."""
-    text = F.concat_ws(":", *[_lit(p) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(_digest(parts), 1, 8), 16, 10).cast("bigint")
 
 
 def hash_uniform(*parts) -> Column:
@@ -33,7 +36,8 @@ def hash_normal(*parts) -> Column:
 
 
 def hash_sign(*parts) -> Column:
-    return F.when(hash_uniform(*parts) < 0.5, -1.0).otherwise(1.0)
+    """-1 where `hash_uniform` is below 1/2, which the first hex digit of the digest tells."""
+    return F.when(_digest(parts) < "8", -1.0).otherwise(1.0)
 
 
 def stable_seed(name, offset=0, base: int = 0) -> Column:

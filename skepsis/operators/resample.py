@@ -1,11 +1,15 @@
 """Nulls, surrogates and resampling.  A replicate is a key, so all replicates run in one job."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..functions.hashing import TWO32, hash_normal, hash_sign, hash_uniform
-from ..functions.numeric import dbl, let, ratio
-from .scale import CHUNK, chunked, dense_position, hash_bucket, join_rows, materialize, names, replicate, running, spread
+from ..functions.digest import digester
+from ..functions.hashing import hash_normal, hash_uniform
+from ..functions.numeric import dbl, ratio
+from .scale import CHUNK, chunked, dense_position, grouper, hash_bucket, join_rows, materialize, names, replicate, running, spread
 
 
 def permutation(ids: DataFrame, by, id: str, draw: Column, bucket: Column, hash_buckets: int = 64, carry=()) -> DataFrame:
@@ -142,19 +146,28 @@ def bootstrap_mean_ci(values: DataFrame, by, order, bucket: Column, value: str =
                                          F.max("_n").alias("_n"), F.max("_k").alias("_k"))
     key = [F.col(b) for b in by]
     rep = F.col("rep")
-    d = replicate(leaves, reps).withColumn("_m", leaf_draws(rep, F.col("_leaf"), F.col("_k"), F.col("_n"), seed, *key))
-
-    def four(block):                        # one digest gives four draws
-        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("draw"), rep.cast("string"), *[k.cast("string") for k in key], F.col("_leaf").cast("string"), block.cast("string")))
-
-        def value_at(i, digest):
-            u = F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("double") / TWO32
-            x = F.get("_v", F.floor(u * F.size("_v")).cast("int"))
-            return F.when(block * 4 + i < F.col("_m"), x).otherwise(0.0)
-        return let(digest, lambda g: value_at(0, g) + value_at(1, g) + value_at(2, g) + value_at(3, g))
-    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_m") + 3) / 4))
-    s = F.aggregate(blocks, F.lit(0.0), lambda acc, b: acc + four(b))
-    m = d.select(*by, "rep", "_n", s.alias("_s")).groupBy(*by, "rep").agg((F.sum("_s") / F.max("_n")).alias("m"))
+    digests = digester()
+    lots = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: leaf_draws(r, F.col("_leaf"), F.col("_k"), F.col("_n"), seed, *key))
+    d = leaves.select(*by, "_n", F.concat_ws(":", *[k.cast("string") for k in key], F.col("_leaf").cast("string")).alias("_at"), lots.alias("_ms"), "_v")
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                at, lot, v = (b.column(c)[i] for c in range(len(by) + 1, len(by) + 4))
+                nulls, v = v.values.is_null().to_numpy(zero_copy_only=False), v.values.to_numpy(zero_copy_only=False)
+                lot = lot.values.to_numpy()
+                sums, lost = np.zeros(reps), np.zeros(reps, bool)
+                heads, blocks = [f"{seed}:draw:{rep}:{at}:".encode() for rep in range(reps)], [b"%d" % k for k in range((int(lot.max()) + 3) // 4)]
+                for r, k, words in digests(heads, blocks):              # one digest gives four draws
+                    j = (np.stack(words, axis=-1).astype(np.uint32).byteswap() / 2.0 ** 32 * len(v)).astype(np.int64)
+                    drawn = 4 * k[None, :, None] + np.arange(4) < lot[r, None, None]
+                    sums[r] += np.where(drawn, v[j], 0.0).sum(axis=(1, 2))
+                    lost[r] |= (drawn & nulls[j]).any(axis=(1, 2))
+                keys = b.slice(i, 1).take(pa.array(np.zeros(reps, np.int64))).columns[:len(by) + 1]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(reps)), pa.array(sums, mask=lost)], names=[*by, "_n", "rep", "_s"])
+
+    made = StructType([*d.schema.fields[:len(by) + 1], StructField("rep", LongType()), StructField("_s", DoubleType())])
+    m = d.mapInArrow(run, made).groupBy(*by, "rep").agg((F.sum("_s") / F.max("_n")).alias("m"))
     return m.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
 
 
@@ -190,11 +203,26 @@ def block_bootstrap_ci(series: DataFrame, key: str, value: str, block: int = 21,
 
 
 def sign_flip_test(values: DataFrame, by, id, value: str = "difference", reps: int = 1000, seed=0) -> DataFrame:
-    """Two-sided sign-flip p-value: replicate sums are combined on the map side."""
+    """Two-sided sign-flip p-value.  A task draws the signs of a batch of rows (`hash_sign` of seed, replicate, group and id) and sums up per replicate."""
     by, id = names(by), names(id)
-    s = hash_sign(seed, F.col("rep"), *[F.col(b) for b in by], *[F.col(i) for i in id])
-    d = replicate(spread(values.select(*by, *id, value), *by, *id), reps)
-    r = d.groupBy(*by, "rep").agg(F.sum(s * F.col(value)).alias("flip"), F.sum(value).alias("obs"))
+    row = F.concat_ws(":", F.lit(""), *[F.col(c).cast("string") for c in by + id])
+    d = spread(values.select(*by, *id, value), *by, *id).select(*by, row.alias("_row"), F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    digests, grouped = digester(), grouper()
+    heads = [f"{seed}:{rep}".encode() for rep in range(reps)]
+
+    def run(batches):
+        for b in batches:
+            order, starts = grouped(b, len(by)) if b.num_rows else ((), ())
+            for at in np.split(order, starts[1:]) if len(starts) else ():
+                g = b.take(pa.array(at))
+                v, flips = g.column(len(by) + 1).to_numpy(), np.zeros(reps)
+                for r, j, words in digests(heads, [x.encode() for x in g.column(len(by)).to_pylist()]):
+                    flips[r] += np.where(words[0] & 0x80, v[j], -v[j]).sum(axis=1)       # the first hex digit tells whether the draw is below 1/2
+                keys = g.take(pa.array(np.zeros(reps, np.int64))).columns[:len(by)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(reps)), pa.array(flips), pa.array(np.full(reps, v.sum()))], names=[*by, "rep", "_f", "_o"])
+
+    made = StructType([*d.schema.fields[:len(by)], StructField("rep", LongType()), StructField("_f", DoubleType()), StructField("_o", DoubleType())])
+    r = d.mapInArrow(run, made).groupBy(*by, "rep").agg(F.sum("_f").alias("flip"), F.sum("_o").alias("obs"))
     # a replicate equal to the observation up to rounding counts as reaching it
     hit = F.abs("flip") >= F.abs("obs") - 1e-9
     return r.groupBy(*by).agg(F.count(F.when(hit, 1)).alias("exceedances"),

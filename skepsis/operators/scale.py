@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import col
@@ -217,6 +218,19 @@ def replicate(df: DataFrame, n: int, name: str = "rep", start: int = 0) -> DataF
         F.lit(start).cast("bigint"), F.lit(start + n - 1).cast("bigint"))))
 
 
+def grouper():
+    """The function `grouped(batch, keys)`, which goes to the workers by value."""
+    def grouped(batch, keys: int):
+        """In a task: (order, starts) of an Arrow batch, the order that puts rows of equal first `keys` columns together and where each group starts in it."""
+        group = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns[:keys]:
+            d = c.dictionary_encode(null_encoding="encode")
+            group = np.unique(group * len(d.dictionary) + d.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        order = np.argsort(group, kind="stable")
+        return order, np.flatnonzero(np.diff(group[order], prepend=-1))
+    return grouped
+
+
 SMALL_ROWS = 100_000
 
 

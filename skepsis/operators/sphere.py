@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from ..functions.hashing import hash_normal, hash_uniform
 from ..functions.numeric import clamp, col
 from .resample import empirical_p
-from .scale import names, replicate, spread
+from .scale import grouper, names, replicate, spread
 
 # Fixed values of the published protocol.
 KERNEL_DELTA_DEG, MIN_EVENTS, ALPHA = 8.0, 30, 0.05
@@ -108,22 +108,18 @@ def axis_score(events: DataFrame, rotations: DataFrame, n_rot: int, keys=("sky_i
     pool = rotations.filter(F.col("rot_id").between(0, n_rot - 1)).select("rot_id", *[F.col(m).cast("double") for m in MATRIX]).orderBy("rot_id").collect()
     ids, m = np.array([r[0] for r in pool], np.int64), np.array([r[1:] for r in pool], float).reshape(len(pool), 3, 3)
 
+    grouped, rows = grouper(), max(1, BLOCK // max(1, len(ids)))
+
     def weights(u):
         dots = [np.abs(u[0] * m[:, 0, k] + u[1] * m[:, 1, k] + u[2] * m[:, 2, k]) for k in range(3)]
         c = np.fmin(1.0, np.maximum(np.maximum(dots[0], dots[1]), dots[2]))
         return np.exp(-0.5 * np.square(np.arccos(c) / math.radians(delta_deg)))
 
     def run(batches):
-        rows = max(1, BLOCK // max(1, len(ids)))
         for whole in batches:
             for at in range(0, whole.num_rows if len(ids) else 0, rows):
                 b = whole.slice(at, rows)
-                sky = np.zeros(b.num_rows, np.int64)
-                for c in b.columns[:len(keys)]:         # equal keys of the slice get one number
-                    d = c.dictionary_encode(null_encoding="encode")
-                    sky = np.unique(sky * len(d.dictionary) + d.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-                order = np.argsort(sky, kind="stable")
-                starts = np.flatnonzero(np.diff(sky[order], prepend=-1))
+                order, starts = grouped(b, len(keys))
                 w = weights([c.to_numpy(zero_copy_only=False)[order, None] for c in b.columns[len(keys):]])
                 key = b.take(pa.array(np.repeat(order[starts], len(ids)))).columns[:len(keys)]
                 yield pa.RecordBatch.from_arrays([*key, pa.array(np.tile(ids, len(starts))), pa.array(np.add.reduceat(w, starts, axis=0).ravel()),

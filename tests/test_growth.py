@@ -103,3 +103,27 @@ def test_few_bytes_of_much_work_are_dealt_over_tasks(spark):
     got = resample.bootstrap_ci(hits, "set", "rid", 20, 1)
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().optimizedPlan().toString() or "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()
     assert rows(got.select("n", "mean")) == [(400, 0.5)]
+
+
+def test_digests_are_those_of_the_library():
+    from hashlib import md5
+
+    import numpy as np
+
+    from skepsis.functions.digest import digester
+    heads, tails = [b"6:%d" % r for r in range(0, 1200, 37)] + [b""], [b":1:%d:%d" % (i, i * i) for i in range(40)] + [b"", b"x" * 54, b"y" * 53, b"z" * 70]
+    seen = {}
+    for i, j, words in digester(tile=100)(heads, tails):
+        raw = np.stack(words, axis=-1).astype("<u4")
+        seen |= {(a, b): raw[x, y].tobytes() for x, a in enumerate(i.tolist()) for y, b in enumerate(j.tolist())}
+    assert seen == {(a, b): md5(h + t).digest() for a, h in enumerate(heads) for b, t in enumerate(tails)}
+
+
+def test_sign_flips_are_those_of_the_hash_and_not_one_row_per_draw(spark):
+    from skepsis.functions.hashing import hash_sign
+    d = spark.range(300).select((F.col("id") % 2).alias("g"), "id", F.when(F.col("id") % 9 > 0, F.sin("id") + 0.1).alias("difference"))
+    got = resample.sign_flip_test(d, "g", "id", reps=40, seed="s")
+    flips = scale.replicate(d, 40).groupBy("g", "rep").agg(F.sum(hash_sign("s", F.col("rep"), F.col("g"), F.col("id")) * F.col("difference")).alias("f"), F.sum("difference").alias("o"))
+    want = flips.groupBy("g").agg(F.count(F.when(F.abs("f") >= F.abs("o") - 1e-9, 1)).alias("exceedances"))
+    assert rows(got.select("g", "exceedances"), "g") == rows(want, "g")
+    assert "Generate explode" not in got._jdf.queryExecution().executedPlan().toString()
