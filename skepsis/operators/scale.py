@@ -207,9 +207,12 @@ def rank_quantiles(df: DataFrame, keys, value: str, picks: dict, cells: int = 64
         for n in picks])
 
 
-def spread(df: DataFrame, *cols) -> DataFrame:
-    """Rows dealt over all shuffle partitions: for little data ahead of much work, which sizes in bytes do not show."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+def spread(df: DataFrame, *cols, rows: int = 0, most: int = 4096) -> DataFrame:
+    """Rows dealt over all shuffle partitions: for little data ahead of much work, which sizes in bytes do not show.
+
+    `rows` says how many there are, if a task's memory grows with them: there are then as many partitions as leave a task about `most`.
+    """
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // most)), *cols)
 
 
 def replicate(df: DataFrame, n: int, name: str = "rep", start: int = 0) -> DataFrame:

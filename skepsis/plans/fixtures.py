@@ -30,9 +30,10 @@ class Views:
 
     @cached_property
     def pair_grids(self) -> DataFrame:
-        """Each sample with its successor by id: an equi-join, spread over all tasks."""
-        a = self.grids.select(F.col("sample_id").alias("pair_id"), F.col("vals").alias("f"))
-        b = self.grids.select((F.col("sample_id") - 1).alias("pair_id"), F.col("vals").alias("t"))
+        """Each sample with its successor by id: an equi-join.  Every pair becomes many cells, so tasks get a bounded number of pairs."""
+        n = self.table("embeddings").count()
+        a = scale.spread(self.grids.select(F.col("sample_id").alias("pair_id"), F.col("vals").alias("f")), "pair_id", rows=n)
+        b = scale.spread(self.grids.select((F.col("sample_id") - 1).alias("pair_id"), F.col("vals").alias("t")), "pair_id", rows=n)
         return a.join(b, "pair_id")
 
     @cached_property

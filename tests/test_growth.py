@@ -127,3 +127,14 @@ def test_sign_flips_are_those_of_the_hash_and_not_one_row_per_draw(spark):
     want = flips.groupBy("g").agg(F.count(F.when(F.abs("f") >= F.abs("o") - 1e-9, 1)).alias("exceedances"))
     assert rows(got.select("g", "exceedances"), "g") == rows(want, "g")
     assert "Generate explode" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_holds_a_bounded_number_of_pairs(spark):
+    d = spark.range(10000).select(F.col("id").alias("pair_id"))
+    assert scale.spread(d, "pair_id", rows=10000, most=500).rdd.getNumPartitions() == 20
+    from skepsis.plans.fixtures import Views
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")       # as for large tables: what the join's own shuffle leaves is merged by size in bytes
+    try:
+        assert Views(spark, SF).pair_grids.groupBy(F.spark_partition_id().alias("p")).count().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
