@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -117,10 +118,12 @@ def runs(values: DataFrame, key: str, t: str = "t", q: str = "q", ts: str = "ts"
             out.append((k[0], *cur[:3]))
             state.remove()
         else:
-            pdf = pd.concat([c[[t, q, "_ms"]] for c in chunks]).sort_values(t, kind="stable")
-            new = (pdf[q] != pdf[q].shift()).cumsum()
-            g = pdf.groupby(new).agg(v=(q, "first"), start=(t, "first"), n=(t, "size"), ms=("_ms", "max"))
-            for v, st, n, ms in zip(g["v"], g["start"], g["n"], g["ms"]):
+            # arrays: a frame's own grouping costs milliseconds a key, and keys are many
+            at, v, ms = (np.concatenate(x) for x in zip(*[[c[x].to_numpy() for x in (t, q, "_ms")] for c in chunks]))
+            order = np.argsort(at, kind="stable")
+            at, v, ms = at[order], v[order], ms[order]
+            first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            for v, st, n, ms in zip(v[first], at[first], np.diff(first, append=len(at)), np.maximum.reduceat(ms, first)):
                 if cur is not None and cur[0] == v:
                     cur = (cur[0], cur[1], cur[2] + int(n), int(ms))
                 else:
