@@ -50,7 +50,7 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judge(pages, urls.fit(*urls.labelled(pages)))
+    return urls.judge(pages, urls.fit_table(urls.label_texts(pages)))
 
 
 def op9_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:

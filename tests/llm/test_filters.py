@@ -173,3 +173,31 @@ def test_character_model():
 def test_urls_of_an_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(pages, urls.fit(*urls.labelled(pages))).count() == 0
+
+
+def test_models_count_every_labelled_url(spark):
+    import math
+    from pyspark.sql import functions as F
+    pages = spark.range(20_500).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.org/"), "id").alias("url"))
+    assert urls.label_texts(pages).count() == 20_500 and len(urls.labelled(pages)[0]) == 20_500
+    long = spark.createDataFrame([(1, "http://a.org/" + "x" * 3000)], "page_id long, url string")
+    assert urls.label_texts(long).count() == 1
+
+    rows = [(i, f"http://{'spam-' if i % 3 == 0 else ''}news{i % 7}.example.{'com' if i % 5 else 'org'}/{'de' if i % 2 else 'fr'}/{i * i}") for i in range(200)]
+    texts = urls.label_texts(spark.createDataFrame(rows, "page_id long, url string")).withColumn("train", F.pmod(F.xxhash64("t"), F.lit(5)) != 0).collect()
+    model = urls.fit_table(urls.label_texts(spark.createDataFrame(rows, "page_id long, url string")))
+    train = [r for r in texts if r["train"]]
+    a = urls._counts([r["t"] for r in train if r["v"] == "allow"], urls.ORDER)
+    r = urls._counts([x["t"] for x in train if x["v"] != "allow"], urls.ORDER, [urls.LISTED_WEIGHT if x["v"] == "reject" else 1 for x in train if x["v"] != "allow"])
+    alphabet, known, want = len({c for x in texts for c in x["t"]}) + 1, ({}, {}), {}
+    for context in set(a) | set(r):
+        both = a.get(context, {}), r.get(context, {})
+        if not context or sum(sum(x.values()) for x in both) >= urls.LEAST:
+            for c in set(both[0]) | set(both[1]):
+                want[context + c] = math.log(urls._probability(a, context, c, known[0], alphabet)) - math.log(urls._probability(r, context, c, known[1], alphabet))
+    assert model.ratios == pytest.approx(want, abs=1e-9)
+    good = sorted(model.score(x["t"]) for x in texts if x["v"] == "allow" and not x["train"])
+    assert model.threshold == min(0.0, good[int((1 - urls.KEEP_ACCEPTED) * len(good))])
+    assert urls.fit_table(urls.label_texts(spark.createDataFrame([], "page_id long, url string"))).ratios == {}
+    few = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://spam.net/y")], "page_id long, url string")
+    assert urls.judge(few, urls.fit_table(urls.label_texts(few))).count() == 2
