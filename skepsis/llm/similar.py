@@ -7,7 +7,8 @@ whole sets, counted on Spark, reaches the limit.
 
 A bucket's nodes are checked against one of them, never all against all: `ROUNDS` times over, those still in different components meet
 another one of the bucket.  What is still apart then is checked pair by pair, as far as sizes and both fingerprints allow
-the similarity: no pair of a bucket is left out that could join two components.
+the similarity: no pair of a bucket is left out that could join two components.  The sets come to the bucket for that, in blocks of
+bounded size, and only links leave it, as many as the components they join; so what a bucket sends grows with its nodes, not its pairs.
 """
 from __future__ import annotations
 
@@ -24,6 +25,7 @@ ROWS, BANDS = 6, 24
 ROUNDS = 3
 #: Differing bits of both fingerprints (128); at a similarity of 0.8 they differ in 19 on average, with a deviation of 4.
 MOST_APART = 36
+BLOCK_HASHES = 2 << 20      # hashes (8 bytes each) of a bucket's sets that make a block: a task holds two blocks
 FEW_PAIRS = 50_000          # pairs (16 bytes each) up to which their nodes are broadcast
 MOST_BITS = 1 << 28         # the filter of documents that tasks receive: 32 MB at most
 ODD = np.random.default_rng(8).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -199,34 +201,90 @@ def stars(rows: DataFrame, order=None) -> DataFrame:
     return inner.unionByName(edges)
 
 
-def _rest(open_: DataFrame, similarity: float) -> DataFrame:
-    """(node, n, other, m): pairs of nodes that share a key, lie in different components, and may be similar by size and both fingerprints."""
-    def run(batches):
-        held = None
-
-        def pairs(x):
-            k, node, n, c, f, g = x
-            cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(k)]):
-                for i in range(a, z - 1):
-                    at = np.arange(i + 1, z)
-                    ok = (c[at] != c[i]) & (np.minimum(n[at], n[i]) >= similarity * np.maximum(n[at], n[i]) - 1e-9) & (np.bitwise_count(f[at] ^ f[i]).astype(int) + np.bitwise_count(g[at] ^ g[i]) <= MOST_APART)
-                    at = at[ok]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), node[i])), pa.array(np.full(len(at), n[i])), pa.array(node[at]), pa.array(n[at])], names=["node", "n", "other", "m"])
-        for b in batches:
-            rows = [b.column(c).to_numpy() for c in range(6)]
-            if not len(rows[0]):
-                continue
-            if held is not None:
-                rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
-            stop = int(np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])[-1])
-            if stop:
-                yield from pairs([r[:stop] for r in rows])
-            held = [r[stop:] for r in rows]
+def _by_key(batches, fields: int, whole):
+    """What `whole` yields for the rows of each key (the first column) of sorted batches, as lists of Arrow arrays."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = [b.column(c) for c in range(fields)]
         if held is not None:
-            yield from pairs(held)
-    return open_.select("k", "node", "n", "c", "fp", "fp2").repartition("k").sortWithinPartitions("k", "node").mapInArrow(run, "node long, n int, other long, m int")
+            rows = [pa.concat_arrays([h, r]) for h, r in zip(held, rows)]
+        k = rows[0].to_numpy()
+        cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist()]
+        for x, z in zip(cut, cut[1:]):
+            yield from whole([r.slice(x, z - x) for r in rows])
+        held = [r.slice(cut[-1]) for r in rows]
+    if held is not None:
+        yield from whole(held)
+
+
+def _allowed(i: int, at: np.ndarray, n, f, g, similarity: float) -> np.ndarray:
+    """Those of the rows `at` that may be similar to row i by size and both fingerprints."""
+    return at[(np.minimum(n[at], n[i]) >= similarity * np.maximum(n[at], n[i]) - 1e-9) & (np.bitwise_count(f[at] ^ f[i]).astype(int) + np.bitwise_count(g[at] ^ g[i]) <= MOST_APART)]
+
+
+def _met(open_: DataFrame, similarity: float) -> DataFrame:
+    """Rows (k, node, n, c, fp, fp2) of nodes that may be similar to a node of another component that shares their key."""
+    names = ["k", "node", "n", "c", "fp", "fp2"]
+
+    def whole(rows):
+        n, c, f, g = (r.to_numpy() for r in rows[2:])
+        some = np.zeros(len(n), bool)
+        for i in range(len(n) - 1):
+            at = np.arange(i + 1, len(n))
+            at = _allowed(i, at[c[at] != c[i]], n, f, g, similarity)
+            some[at] = True
+            some[i] |= len(at) > 0
+        if some.any():
+            yield pa.RecordBatch.from_arrays([r.filter(pa.array(some)) for r in rows], names=names)
+
+    rows = open_.select(*names).repartition("k").sortWithinPartitions("k", "node")
+    return rows.mapInArrow(lambda batches: _by_key(batches, len(names), whole), rows.schema)
+
+
+def _rest(open_: DataFrame, sets: DataFrame, similarity: float, size: int = BLOCK_HASHES) -> DataFrame:
+    """(a, b, fa, fb, link): links between nodes of rows (k, node, n, c, fp, fp2) that share a key and lie in different components.
+
+    All pairs that sizes and fingerprints allow are checked by their whole sets, unless links already found join them.
+    A key's nodes are dealt over blocks of about `size` hashes, and each two blocks meet in a task.
+    """
+    rows = materialize(_met(open_, similarity))
+    blocks = rows.groupBy("k").agg(F.ceil(F.sum("n") / F.lit(size)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (rows.join(blocks, "k").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumn("at", F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")))
+             .select("at", "k", "node", "n", "c", "fp", "fp2", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+    names = ["a", "b", "fa", "fb"]
+
+    def whole(group):
+        k, low, high = (group[x].to_numpy() for x in (1, 8, 9))
+        for key in sorted(set(zip(k.tolist(), low.tolist(), high.tolist()))):          # one, unless hashes collide
+            some = pa.array((k == key[0]) & (low == key[1]) & (high == key[2]))
+            node, n, c, f, g, own, first = (group[x].filter(some).to_numpy() for x in (2, 3, 4, 5, 6, 7, 10))
+            held = group[11].filter(some)
+            ends, hashes = held.offsets.to_numpy(), held.values.to_numpy()
+            each = [hashes[x:z].view(np.uint64) for x, z in zip(ends, ends[1:])]
+            c, links = c.copy(), []
+            for i in range(len(node) - 1):
+                at = np.arange(i + 1, len(node))
+                at = _allowed(i, at[(c[at] != c[i]) & ((own[at] != own[i]) | (key[1] == key[2]))], n, f, g, similarity)
+                for x in range(0, len(at), 1024):
+                    some_at = at[x:x + 1024]
+                    lengths = np.array([len(each[j]) for j in some_at])
+                    flat = np.concatenate([each[j] for j in some_at])
+                    hit = each[i][np.minimum(np.searchsorted(each[i], flat), len(each[i]) - 1)] == flat
+                    both = np.add.reduceat(hit, np.r_[0, np.cumsum(lengths)[:-1]], dtype=np.int64)
+                    for j in some_at[both >= similarity * (len(each[i]) + lengths - both) - 1e-9].tolist():
+                        if c[j] != c[i]:
+                            links.append((node[i], node[j], first[i], first[j]))
+                            c[c == c[j]] = c[i]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x), pa.int64()) for x in zip(*links)], names=names)
+
+    brought = dealt.join(sets.select("node", "first", "s"), "node").select("at", "k", "node", "n", "c", "fp", "fp2", "own", "low", "high", "first", "s")
+    found = brought.repartition("at").sortWithinPartitions("at", "k", "node").mapInArrow(lambda batches: _by_key(batches, 12, whole), "a long, b long, fa long, fb long")
+    return materialize(found.withColumn("link", F.lit(True)))
 
 
 def components(docs: DataFrame, similarity: float, words: int, radius: int, check: int) -> DataFrame:
@@ -261,11 +319,12 @@ def components(docs: DataFrame, similarity: float, words: int, radius: int, chec
         open_ = materialize(at.join(apart, "k", "left_semi").select("k", "node", "n", "c"))
         if turn <= ROUNDS:
             new = stars(open_, F.xxhash64("node", F.lit(turn))).filter("c <> oc").select("node", "n", "other", "m")
+            new = materialize(_pairs(new, similarity).join(done.select("a", "b"), ["a", "b"], "left_anti"))
+            new = new if new.isEmpty() else _checked(new, sets, similarity)
         else:
-            new = _rest(open_.join(nodes.select("node", "fp", "fp2"), "node"), similarity)
-        new = materialize(_pairs(new, similarity).join(done.select("a", "b"), ["a", "b"], "left_anti"))
+            new = _rest(open_.join(nodes.select("node", "fp", "fp2"), "node"), sets, similarity)
         if not new.isEmpty():
-            done = done.unionByName(_checked(new, sets, similarity))
+            done = done.unionByName(new)
             root = joined(done)
         open_ = open_.select("k", "node", "n")
     named = nodes.select(*key, F.struct("first", F.col("node").alias("no")).alias("node")).join(root, "node", "left")

@@ -89,3 +89,19 @@ def test_repeated_and_null_ids(spark, docs):
 
 def test_empty_table(empty):
     assert similar.distinct_documents(empty, SIMILARITY, WORDS, RADIUS, CHECK).count() == 0
+
+
+@pytest.mark.parametrize("size", [similar.BLOCK_HASHES, 2000])
+def test_a_bucket_sends_links_and_not_its_pairs(spark, size):
+    """60 sets that resemble each other below the limit, and a few above it: pairs leave no task, links do, in one block or in many."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 200)
+    sets = [np.unique(np.r_[base[:150], rng.integers(0, 1 << 62, 50)]) for _ in range(60)]
+    for i in range(0, 30, 3):
+        sets[i + 1] = np.unique(np.r_[sets[i][:-10], rng.integers(0, 1 << 62, 10)])
+    want = {(i, j) for j in range(60) for i in range(j) if 10 * len(set(sets[i]) & set(sets[j])) >= 8 * len(set(sets[i]) | set(sets[j]))}
+    s = spark.createDataFrame([(i, 100 + i, [int(h) for h in x]) for i, x in enumerate(sets)], "node long, first long, s array<long>")
+    rows = spark.createDataFrame([(k, i, len(x), i, 0, 0) for k in (7, 8) for i, x in enumerate(sets)] + [(9, 1, 200, 1, 0, 0)], "k long, node long, n int, c long, fp long, fp2 long")
+    got = similar._rest(rows, s, 0.8, size).collect()
+    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in got} == want and len(want) == 10
+    assert len(got) == 2 * len(want) and all(r["link"] and (r["fa"], r["fb"]) == (100 + r["a"], 100 + r["b"]) for r in got)
