@@ -24,6 +24,7 @@ LONGEST = 4                 # words of a candidate
 COVERED = 80                # a candidate goes if a longer one that holds it has this share (in percent) of its occurrences
 TOP = 2_000
 SCALE = 2_000_000
+TASK_BYTES = 64 << 20       # text that a task of the second pass reads, where there are tasks enough
 CHUNK_BYTES = 2 << 20       # text that is split at once
 FLUSH_HASHES = 4 << 20      # n-gram occurrences that a task holds before it folds them
 FLUSH_PHRASES = 700_000
@@ -224,13 +225,26 @@ def power(n: float) -> int:
     return max(0, int(np.ceil(np.log2(max(1, n)))))
 
 
-def survivors(texts: DataFrame, least: int = LEAST, entries: int = SUMMARY_ENTRIES, flush: int = FLUSH_HASHES) -> tuple[np.ndarray, int]:
+def text_bytes(texts: DataFrame) -> int:
+    """Bytes of all texts, one more for each."""
+    return texts.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).cast("bigint")).first()[0]
+
+
+def gathered(texts: DataFrame, size: int, most: int = TASK_BYTES) -> DataFrame:
+    """`texts` (`size` bytes in all) in fewer tasks: each reads up to about `most` bytes, unless less than two tasks a core would be left.
+
+    A task sends a row for each frequent phrase that it meets, however often: the more text it reads, the fewer rows leave all tasks.
+    """
+    return texts.coalesce(max(2 * texts.sparkSession.sparkContext.defaultParallelism, -(-size // most)))
+
+
+def survivors(texts: DataFrame, least: int = LEAST, entries: int = SUMMARY_ENTRIES, flush: int = FLUSH_HASHES, size: int | None = None) -> tuple[np.ndarray, int]:
     """(bitmap, its bits as a power of two): a set of hash prefixes that holds every n-gram of `least` occurrences.
 
     Two bytes make a word at least, so `LONGEST` n-grams for two bytes bound the mass; the partitions' number follows from
     it.  A partition's slice is 2**slice_bits bits, and all slices together at most `MOST_BITS`.
     """
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).cast("bigint")).first()[0]
+    size = text_bytes(texts) if size is None else size
     mass = LONGEST * (size // 2 + 1)
     bits = min(16, power(mass / least / entries))
     slice_bits = max(3, min(power(4 * mass / least), power(MOST_BITS)) - bits)
@@ -294,9 +308,10 @@ def exact_counts(shared, bits: int, flush: int = FLUSH_PHRASES):
 def frequent(docs: DataFrame, least: int = LEAST, entries: int = SUMMARY_ENTRIES, flush: int = FLUSH_HASHES) -> DataFrame:
     """(lang, phrase, words, n): the exact number of occurrences of every n-gram of `least` of them; words 0: of all words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
-    bitmap, bits = survivors(texts, least, entries, flush)
+    size = text_bytes(texts)
+    bitmap, bits = survivors(texts, least, entries, flush, size)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    n = texts.mapInArrow(exact_counts(shared, bits), "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    n = gathered(texts, size).mapInArrow(exact_counts(shared, bits), "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
     return n.select("lang", "phrase", words.alias("words"), "n").filter((F.col("n") >= least) | (F.col("words") == 0))
 

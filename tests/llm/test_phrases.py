@@ -84,3 +84,14 @@ def test_summary_keeps_every_frequent_key():
         assert set(every[n >= 30]) <= set(merged.at_least(30))
         held = dict(zip(merged.keys.tolist(), merged.counts.tolist()))
         assert all(held.get(int(k), 0) <= m <= held.get(int(k), 0) + merged.lost for k, m in zip(every, n))
+
+
+def test_counting_tasks_grow_with_the_text_not_with_the_files(spark):
+    """A task sends its frequent phrases once, so many small tasks would send each of them many times."""
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame([("en", "to be or not to be")] * 600, "lang string, text string").repartition(5 * cores)
+    size = c.text_bytes(df)
+    assert size == 600 * 19 and c.gathered(df, size).rdd.getNumPartitions() == 2 * cores
+    assert c.gathered(df, size, 1000).rdd.getNumPartitions() == max(2 * cores, min(5 * cores, 12))
+    rows = {(r["lang"], r["phrase"]): r["n"] for r in c.frequent(df).collect()}
+    assert rows["en", "to be"] == 1200 and rows["en", ""] == 3600
