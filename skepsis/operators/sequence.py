@@ -300,16 +300,17 @@ def count_close_points(points: DataFrame, key: str, radii: dict, dim: int = 3, s
     neighbours.  Two cells whose boxes lie wholly within or wholly beyond a radius are settled by the product of
     their counts; the others are halved along each axis and their parts meet again.  Points meet points only once at most
     `spare` pairs for each distinct point are left in such cells (or after `deepest` halvings), so the work does not grow
-    with the number of pairs.  Where the first cells hold so few points that all pairs of neighbours are at most four times as many, they meet at once.  Box distances are evaluated like point distances, so rounding keeps their order and
+    with the number of pairs.  Where the first cells hold so few points that all pairs of neighbours are at most four times as many, they meet at once; slabs along
+    as few axes as allow this are taken for cells, as a point is sent to 2, 5 or 14 neighbours of 1, 2 or 3 axes.  Box distances are evaluated like point distances, so rounding keeps their order and
     counts are exact.  Points with a null or non-finite coordinate are close to none.
     """
     xs, rs = [f"x{i}" for i in range(dim)], list(dict.fromkeys(radii.values()))
     rmax = list(radii.values())[-1]
     usable = reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(x)) < float("inf"), F.lit(False)) for x in xs])
     p = materialize(points.filter(usable).groupBy(key, *xs, *rs).agg(F.count(F.lit(1)).alias("n")))
-    def cell(level):
+    def cell(level, axes=dim):
         # a little wider than the radius: a quotient that is rounded over a cell border loses no pair
-        return F.struct(*[F.floor(F.col(x) / (F.col(rmax) * (1 + 1e-9)) * 2.0 ** level).alias(x) for x in xs])
+        return F.struct(*[F.floor(F.col(x) / (F.col(rmax) * (1 + 1e-9)) * 2.0 ** level).alias(x) for x in xs[:axes]])
 
     def cells(level, side):
         """Cells of a level with the cell above, counts and box, as columns of one side of a pair."""
@@ -332,13 +333,15 @@ def count_close_points(points: DataFrame, key: str, radii: dict, dim: int = 3, s
 
     opens = [f"open_{n}" for n in radii]
     undecided = reduce(lambda a, b: a | b, [F.col(o) for o in opens])
-    half = [o for o in itertools.product((-1, 0, 1), repeat=dim) if o >= (0,) * dim]
 
-    def met(c):
-        return F.explode(F.array(*[F.struct(*[(F.col(f"{c}.{x}") + k).alias(x) for x, k in zip(xs, o)]) for o in half]))
+    def half(axes=dim):
+        return [o for o in itertools.product((-1, 0, 1), repeat=axes) if o >= (0,) * axes]
 
-    def members(level, up, point, count):
-        return p.select(key, *(rs if up == "up_a" else []), cell(level).alias(up), F.struct(*xs).alias(point), F.col("n").alias(count))
+    def met(c, axes=dim):
+        return F.explode(F.array(*[F.struct(*[(F.col(f"{c}.{x}") + k).alias(x) for x, k in zip(xs, o)]) for o in half(axes)]))
+
+    def members(level, up, point, count, axes=dim):
+        return p.select(key, *(rs if up == "up_a" else []), cell(level, axes).alias(up), F.struct(*xs).alias(point), F.col("n").alias(count))
 
     def counted(met_points):
         """Pairs of points of two cells, by radius still open."""
@@ -347,12 +350,13 @@ def count_close_points(points: DataFrame, key: str, radii: dict, dim: int = 3, s
         both = F.when(F.col("p") == F.col("q"), F.shiftright(F.col("np") * (F.col("np") - 1), 1)).otherwise(F.col("np") * F.col("nq"))
         return j.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col(f"open_{n}") & (d < F.col(r)), both)), F.lit(0)).alias(n) for n, r in radii.items()])
 
-    crowd = p.groupBy(key, cell(0).alias("a")).agg(F.count(F.lit(1)).alias("m")).agg(
-        F.coalesce(F.sum("m"), F.lit(0)).alias("points"), F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0)).alias("squares")).first()
-    distinct = crowd["points"]
-    if len(half) * crowd["squares"] <= 4 * spare * distinct:
-        return counted(members(0, "up_a", "p", "np").withColumn("up_b", met("up_a")).join(members(0, "up_b", "q", "nq"), [key, "up_b"]).withColumns(
-            {o: F.lit(True) for o in opens}))
+    for axes in range(1, dim + 1):
+        crowd = p.groupBy(key, cell(0, axes).alias("a")).agg(F.count(F.lit(1)).alias("m")).agg(
+            F.coalesce(F.sum("m"), F.lit(0)).alias("points"), F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0)).alias("squares")).first()
+        distinct = crowd["points"]
+        if len(half(axes)) * crowd["squares"] <= 4 * spare * distinct:
+            return counted(members(0, "up_a", "p", "np", axes).withColumn("up_b", met("up_a", axes)).join(members(0, "up_b", "q", "nq", axes), [key, "up_b"]).withColumns(
+                {o: F.lit(True) for o in opens}))
     pairs = cells(0, "a").withColumn("b", met("a")).join(cells(0, "b"), [key, "b"]).withColumns({o: F.lit(True) for o in opens})
     settled, level = [], 0
     while True:

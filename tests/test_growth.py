@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from skepsis.operators import models, resample, scale, sphere
+from skepsis.operators import models, resample, scale, sequence, sphere
 
 from .conftest import SF, rows
 
@@ -138,3 +138,17 @@ def test_a_task_holds_a_bounded_number_of_pairs(spark):
         assert Views(spark, SF).pair_grids.groupBy(F.spark_partition_id().alias("p")).count().count() > 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("length,sent", [(12, 2), (60, 2)])
+def test_points_are_sent_to_few_neighbours(spark, length, sent):
+    """Short series meet in slabs along one axis: a point is sent to as few cells as keep the pairs in proportion."""
+    import itertools
+    import math
+    x = [tuple(math.sin(1.7 * i * (j + 1)) * 3 for j in range(3)) for i in range(length)]
+    p = spark.createDataFrame([(k, *v, 0.2, 1.0) for k in (1, 2) for v in x], "series_id long, x0 double, x1 double, x2 double, r1 double, r2 double")
+    got = sequence.count_close_points(p, "series_id", {"n1": "r1", "n2": "r2"})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("struct(x0") for line in plan.splitlines() if "explode(array(" in line) == sent
+    want = [sum(math.dist(a, b) < r for a, b in itertools.combinations(x, 2)) for r in (0.2, 1.0)]
+    assert {r.series_id: [r.n1, r.n2] for r in got.collect()} == {1: want, 2: want}
