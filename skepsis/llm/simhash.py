@@ -312,23 +312,35 @@ def links(nodes: DataFrame, radius: int, parts: list[tuple[list[int], int]], che
     return rows.repartition("p", "k").sortWithinPartitions("p", "k").mapInArrow(verify, "a long, a2 long, b long, b2 long").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether edges (u, v), u above v, are stars already: no node has two smaller ones, and none a smaller and a larger one."""
+    ends = edges.select("u", F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up")))
+    return ends.groupBy("u").agg(F.sum("up").alias("n"), F.min("up").alias("low")).filter("n > 1 or n > low").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, root): components of an undirected graph of links (a, b), root the smallest node; by alternating star contractions, each
-    written to the shared folder.  A node without links is not listed."""
+    written to the shared folder, until stars are left.  A node without links is not listed, nor is a root."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("w")).withColumn("w", F.least("u", "w"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("w").alias("v"))
-        large = materialize(large.distinct())
+        # No more rows than edges; what repeats goes with the small star.
+        large = materialize(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("w").alias("v")))
         # Small star: every node and its smaller neighbours point to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("w"))
-        small = (large.join(least, "u").select(F.explode(F.array(F.struct("u", "w"), F.struct(F.col("v").alias("u"), F.col("w")))).alias("e"))
-                 .select(F.col("e.u").alias("u"), F.col("e.w").alias("v")).filter("u <> v").distinct())
-        small = materialize(small)
-        if edges.count() == small.count() and small.exceptAll(edges).isEmpty():
-            return small.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = small
+        edges = materialize(large.join(least, "u").select(F.explode(F.array(F.struct("u", "w"), F.struct(F.col("v").alias("u"), F.col("w")))).alias("e"))
+                            .select(F.col("e.u").alias("u"), F.col("e.w").alias("v")).filter("u <> v").distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def merged(root: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of `connected` for the links that gave `root` and further `links` (a, b): only components that these join are contracted."""
+    name = lambda x: F.coalesce("root", x).alias(x)
+    between = links.join(root, F.col("a") == F.col("node"), "left").select(name("a"), "b").join(root, F.col("b") == F.col("node"), "left").select("a", name("b"))
+    more = connected(between)
+    moved = root.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    return materialize(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(more))
 
 
 def components(docs: DataFrame, radius: int = 2, words: int = 3, check: int | None = None) -> DataFrame:

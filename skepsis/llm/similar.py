@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .collocation import holds, power
 from .common import extend, materialize, slices, turn_to
-from .simhash import BITS, NO_ID, _majority, _remixed, connected, links, plan, shingle_hashes
+from .simhash import BITS, NO_ID, _majority, _remixed, connected, links, merged, plan, shingle_hashes
 
 ROWS, BANDS = 6, 24
 ROUNDS = 3
@@ -306,13 +306,13 @@ def components(docs: DataFrame, similarity: float, words: int, radius: int, chec
     needed = met.select("node").unionByName(near.select("node")).unionByName(near.select(F.col("other").alias("node"))).distinct()
     sets = materialize(_sets(docs, nodes.select("node", "first", "sig").join(needed, "node"), words))
 
-    def joined(done):
-        """(node, c): the component of each linked node, named by the smallest document."""
+    def linked(done):
+        """(a, b) of the links, nodes named by the smallest document."""
         a, b = (F.struct(F.col("f" + x).alias("first"), F.col(x).alias("no")) for x in "ab")
-        return connected(done.filter("link").select(a.alias("a"), b.alias("b")))
+        return done.filter("link").select(a.alias("a"), b.alias("b"))
 
     done = _checked(_pairs(near.unionByName(met.select("node", "n", "other", "m")), similarity), sets, similarity)
-    open_, root = met.select("k", "node", "n"), joined(done)
+    open_, root = met.select("k", "node", "n"), connected(linked(done))
     for turn in range(1, ROUNDS + 2):
         at = open_.join(root.select(F.col("node.no").alias("node"), F.col("root.no").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
         apart = at.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("k")
@@ -325,7 +325,8 @@ def components(docs: DataFrame, similarity: float, words: int, radius: int, chec
             new = _rest(open_.join(nodes.select("node", "fp", "fp2"), "node"), sets, similarity)
         if not new.isEmpty():
             done = done.unionByName(new)
-            root = joined(done)
+            if not linked(new).isEmpty():
+                root = merged(root, linked(new))
         open_ = open_.select("k", "node", "n")
     named = nodes.select(*key, F.struct("first", F.col("node").alias("no")).alias("node")).join(root, "node", "left")
     named = named.select(*key, F.nullif(F.coalesce("root", "node")["first"], F.lit(NO_ID)).alias("component_id"))

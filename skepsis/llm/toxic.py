@@ -139,6 +139,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     samples = [c * 2 for c, k in sorted(apart.items(), key=lambda x: (-x[1], x[0])) for _ in range(min(k, 20))]
     model = Model(trained(plain, DICTIONARY_BYTES), trained(samples, DICTIONARY_BYTES))
     model.calibrate(held[0] + held[1], np.r_[np.ones(len(held[0])), np.zeros(len(held[1]))])
+    _CODES.clear()          # on the driver, which goes on to other stages
     return model
 
 

@@ -73,6 +73,26 @@ def test_links_connect_all_near_nodes(spark, radius):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_components_of_links_in_two_steps(spark, monkeypatch):
+    """Later links contract only the components they join; a graph of stars is written once and not contracted at all."""
+    made, rng = [], np.random.default_rng(11)
+    write = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df: made.append(1) or write(df))
+    frame = lambda rows: spark.createDataFrame([tuple(map(int, r)) for r in rows], "a long, b long")
+    named = lambda df: {r["node"]: r["root"] for r in df.collect()}
+    stars = [(i, i % 7) for i in range(7, 90)]
+    assert named(simhash.connected(frame(stars))) == dict(stars) and len(made) == 1
+    first, second = [(i, i + 1) for i in range(40)] + list(rng.integers(100, 200, (60, 2))), [(40, 150), (300, 301), (150, 150), *rng.integers(100, 320, (25, 2))]
+    up = list(range(321))
+    for a, b in [*first, *second]:
+        low, high = sorted((up[a], up[b]))
+        up = [low if x == high else x for x in up]
+    want = {i: x for i, x in enumerate(up) if x != i}
+    root = write(simhash.connected(frame(first)))
+    assert named(simhash.merged(root, frame(second))) == want == named(simhash.connected(frame([*first, *second])))
+    assert named(simhash.connected(frame([]))) == {}
+
+
 def test_second_fingerprint_parts_chance_neighbours(spark):
     near = [(0b0, 0), (0b1, 0b11), (0b11, 2**63 - 1), (0b111, 2**63 - 2)]
     nodes = spark.createDataFrame(near, "fp long, fp2 long")
