@@ -306,13 +306,21 @@ query("v9_equivalence_check", "world_id:l mech:s max_abs:d hit:d", _equivalent,
 SELECT DISTINCT world_id, mech, 0.0 AS max_abs, 0.5 AS hit FROM v_responses""")
 
 
+LINES_A_TASK = 1 << 18        # rows of lineitem for each task that deals out responses
+
+
 def _role_surrogate(V):
-    """Each role's trajectories are dealt to other worlds, independently per mechanism, role and replicate."""
-    r = V.responses.filter("role in ('A', 'B', 'AB')")
-    ids = scale.replicate(r.select("mech", "world_id", "role").distinct(), 3)
+    """Each role's trajectories are dealt to other worlds, independently per mechanism, role and replicate.
+
+    Lines are dealt out by trajectory, and what the replicates make of them by world, in as many partitions as bound a task's rows.
+    """
+    lines = V.table("lineitem").count()
+    r = scale.spread(V.responses.filter("role in ('A', 'B', 'AB')").withColumnRenamed("world_id", "donor"), "mech", "role", "donor", rows=lines, most=LINES_A_TASK)
+    ids = scale.replicate(r.select("mech", F.col("donor").alias("world_id"), "role").distinct(), 3)
     p = resample.permutation(ids, ["rep", "mech", "role"], "world_id", hash_uniform("role", F.col("rep"), F.col("role"), F.col("world_id")), F.floor(F.col("world_id") / 64))
-    dealt = p.join(r.withColumnRenamed("world_id", "donor"), ["mech", "role", "donor"]).drop("donor")
-    e = response.superposition_err(dealt, world=["rep", "mech", "world_id"])
+    dealt = scale.join_rows(r, scale.spread(p, "mech", "role", "donor", rows=lines, most=LINES_A_TASK), ["mech", "role", "donor"]).drop("donor")
+    world = ["rep", "mech", "world_id"]
+    e = response.superposition_err(scale.spread(dealt, *world, rows=lines, most=LINES_A_TASK), world=world)
     return e.groupBy("rep", "mech").agg(F.count(F.lit(1)).alias("worlds"), F.avg("superposition_path").alias("mean_path"), F.min("superposition_path").alias("min_path"))
 
 

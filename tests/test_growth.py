@@ -152,3 +152,16 @@ def test_points_are_sent_to_few_neighbours(spark, length, sent):
     assert max(line.count("struct(x0") for line in plan.splitlines() if "explode(array(" in line) == sent
     want = [sum(math.dist(a, b) < r for a, b in itertools.combinations(x, 2)) for r in (0.2, 1.0)]
     assert {r.series_id: [r.n1, r.n2] for r in got.collect()} == {1: want, 2: want}
+
+
+def test_role_surrogate_deals_worlds_by_the_rows(spark, monkeypatch):
+    """What the replicates make of a table goes to tasks by its rows; the optimizer's merging of partitions by bytes doesn't touch it."""
+    from skepsis.plans import physics
+    from skepsis.plans.fixtures import Views
+    views = Views(spark, str(SF))
+    monkeypatch.setattr(physics, "LINES_A_TASK", 20)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-views.table("lineitem").count() // 20))
+    plan = physics._role_surrogate(views)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if f", {parts}), REPARTITION_BY_NUM" in line]
+    assert any(re.search(r"hashpartitioning\(rep#\w+, mech#\w+, world_id#", line) for line in dealt)
+    assert any(re.search(r"hashpartitioning\(mech#\w+, role#\w+, donor#", line) for line in dealt)
